@@ -12,7 +12,7 @@ from starloom.schema import DEFAULT_COLUMNS, MAX_STARS, MIN_STARS, RatingColumns
 STAT_NAMES = ["avg", "cnt", "var", "min", "max", "low_rate", "high_rate", "one_rate", "five_rate"]
 
 
-def _without(rating: Column, d: Column, mean: Column) -> dict[str, Column]:
+def without_rating(rating: Column, d: Column, mean: Column) -> dict[str, Column]:
     """The nine statistics of distribution ``d`` after removing one ``rating``."""
     left = d["cnt"] - 1
     some = left > 0
@@ -51,5 +51,5 @@ def leave_one_out(
     )
     spread_by = [c for c in (cols.user, cols.item, cols.seq) if c in ratings.columns]
     joined = salted_join(with_mean, packed, key, "left", spread_by)
-    stats = _without(F.col(cols.rating), F.col("_dist"), mean if mean is not None else F.col("_mean"))
+    stats = without_rating(F.col(cols.rating), F.col("_dist"), mean if mean is not None else F.col("_mean"))
     return joined.select(*ratings.columns, *[stats[name].alias(f"{prefix}_{name}") for name in STAT_NAMES])
