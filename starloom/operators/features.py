@@ -252,3 +252,19 @@ def assemble(
     if vector:
         return base.select(*keep, array_to_vector(F.array(*values)).alias(vector))
     return base.select(*keep, *[v.alias(name) for name, v in zip(names, values)])
+
+
+def bias_scores(
+    rows: DataFrame, ratings: DataFrame, held_out: bool, cols: RatingColumns = DEFAULT_COLUMNS
+) -> DataFrame:
+    """``rows`` plus ``cf_pred, n_neighbours`` of the bias estimate; ``held_out`` leaves each row's own rating out."""
+    users = _packed_stats(ratings, cols.user, "user_dist", True, cols)
+    items = _packed_stats(ratings, cols.item, "item_dist", True, cols)
+    joined = with_entities(rows, users, items, cols).withColumn("_g", ratings.agg(F.avg(cols.rating)).scalar())
+    if held_out:
+        u, i = [without_rating(F.col(cols.rating), F.col(d), F.col("_g")) for d in ("user_dist", "item_dist")]
+    else:
+        u, i = [_full_stats(F.col(d), F.col("_g"), True) for d in ("user_dist", "item_dist")]
+    return joined.select(
+        *rows.columns, bias_proxy(u, i, F.col("_g")).alias("cf_pred"), F.lit(0).cast("bigint").alias("n_neighbours")
+    )
