@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from starloom.operators.features import RICH_FEATURES, STACKED_FEATURES
 from starloom.schema import TOP_CATEGORIES
-from workload.queries import LOOSE, PART_WORDS, SEQ
+from workload.queries import LOOSE, PART_WORDS, SEQ, TIE
 
 ORDER = "(l_orderkey, l_linenumber, l_partkey, l_extendedprice)"
 SEQ_LIST = ", ".join(SEQ)
@@ -96,7 +96,7 @@ photo AS (SELECT user_id AS item_id, count(*) AS photos FROM events WHERE event_
 
 
 def r(expression: str, name: str) -> str:
-    return f"round({expression}, 6) AS {name}"
+    return f"round({expression} + {TIE}, 6) AS {name}"
 
 
 def key_stats(key: str) -> str:
@@ -264,7 +264,7 @@ def features(rows: str, rich: bool, score: str, neighbours: str, extra: str = ""
               "ja": "coalesce(average_stars, g)", "js": "coalesce(item_stars, g)"}
     stats = ", ".join(f"rows.{p}_{n}" for p in "ui" for n in STATS)
     names = RICH_FEATURES if rich else STACKED_FEATURES
-    shown = ", ".join(f"round(CAST({FORMULAS.get(n, n)} AS DOUBLE), 6) AS {n}" for n in names)
+    shown = ", ".join(f"round(CAST({FORMULAS.get(n, n)} AS DOUBLE) + {TIE}, 6) AS {n}" for n in names)
     keys = ", ".join(f"rows.{c}" for c in ["user_id", "item_id", *SEQ])
     return f"""WITH {RATINGS}, {USERS}, {ITEMS}, {ENGAGEMENT}, {rows}{extra},
     filled AS (SELECT {keys}, rows.g, {stats}, CAST({score} AS DOUBLE) AS cf, CAST({neighbours} AS DOUBLE) AS nn,
@@ -335,7 +335,7 @@ ORACLES: dict[str, str] = {
       count(*) AS n, sum(stars) AS stars_sum, any_value(c) AS positions, any_value(c) - 1 AS last_position
       FROM train, (SELECT count(*) AS c FROM train) GROUP BY user_id, item_id""",
     "predictions_to_files": f"""WITH {RATINGS}, {full_rows('test')} SELECT user_id, item_id AS business_id, count(*) AS n,
-      round(max({PROXY}), 4) AS prediction FROM rows GROUP BY user_id, item_id""",
+      round(max({PROXY}) + {TIE}, 4) AS prediction FROM rows GROUP BY user_id, item_id""",
     "attribute_codes": f"""WITH {ITEMS} SELECT {_ITEM_ID}, round(item_stars, 6) AS item_stars, item_review_count,
       {r('latitude', 'latitude')}, round(longitude, 6) AS longitude, is_open, price, alcohol, kids, outdoor, noise, wifi, tv, attire FROM items""",
     "weekly_hours": f"WITH {ITEMS} SELECT {_ITEM_ID}, {r('CAST(weekly_hours AS DOUBLE)', 'weekly_hours')}, weekend_open FROM items",

@@ -28,6 +28,9 @@ from starloom.sources import files, profiles
 from workload import views
 
 DIGITS = 6
+# Added before rounding, here and in the oracles: values half-way between two roundings are common among
+# ratios of counts, and sums in another order put them on either side.
+TIE = 3.3e-9
 SEQ = ["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"]
 SEQ_COLUMNS = [f"seq.{c}" for c in SEQ]
 LOOSE = 1e-4
@@ -38,7 +41,7 @@ def rounded(df: DataFrame, keep: list[str] | None = None) -> DataFrame:
     keep = keep or ["stars", "l_extendedprice"]
     return df.select(
         *[
-            F.round(F.col(name), DIGITS).alias(name) if kind == "double" and name not in keep else F.col(name)
+            F.round(F.col(name) + F.lit(TIE), DIGITS).alias(name) if kind == "double" and name not in keep else F.col(name)
             for name, kind in df.dtypes
         ]
     )
@@ -186,7 +189,7 @@ def predictions_to_files(spark: SparkSession, sf: str) -> DataFrame:
     """Bias predictions of the test rows through the prediction sink and back."""
     path = fresh_path(spark, "predictions")
     scored = bias_scores(staged_test(spark, sf), staged_train(spark, sf), False)
-    files.write_predictions(scored.withColumn("prediction", F.round("cf_pred", 4)), path, order_by="seq")
+    files.write_predictions(scored.withColumn("prediction", F.round(F.col("cf_pred") + F.lit(TIE), 4)), path, order_by="seq")
     back = spark.read.schema("user_id BIGINT, business_id BIGINT, prediction DOUBLE").csv(path, header=True)
     return back.groupBy("user_id", "business_id").agg(F.count("*").alias("n"), F.max("prediction").alias("prediction"))
 
@@ -237,9 +240,9 @@ def _features(spark: SparkSession, sf: str, rich: bool, train_side: bool) -> Dat
     known = views.all_profiles(spark, sf, rich)
     joined = with_entities(rows, user_table(train, known, rich), item_table(train, known, rich))
     mean = train.agg(F.avg("stars")).scalar()
-    return rounded(
-        assemble(joined, mean, rich, rich and train_side, ["user_id", "item_id", *SEQ_COLUMNS], "proxy" if rich else "columns")
-    )
+    out = assemble(joined, mean, rich, rich and train_side, ["user_id", "item_id", "seq"], "proxy" if rich else "columns")
+    names = RICH_FEATURES if rich else STACKED_FEATURES
+    return rounded(out.select("user_id", "item_id", *SEQ_COLUMNS, *names), ["l_extendedprice"])
 
 
 def _feature_query(rich: bool, train_side: bool):
@@ -328,5 +331,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "gbt_predict_stacked": _boosted(run_stacked, STACKED_BOOSTING),
     "gbt_predict_rich": _boosted(run_rich, RICH_BOOSTING),
 }
-
-FEATURE_NAMES = {"stacked": STACKED_FEATURES, "rich": RICH_FEATURES}
