@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from starloom.functions import encoders as enc
-from starloom.functions.parsing import JsonField, parse_lines
+from starloom.functions.parsing import JsonField, parse_documents
 from starloom.functions.rating import ratio
 from starloom.schema import COMPLIMENT_KINDS
 from starloom.sources.files import read_json_lines
@@ -29,24 +29,17 @@ def last_per_key(df: DataFrame, key: str, seq: str = "seq") -> DataFrame:
     return last.select(key, *[F.col(f"_last.{c}").alias(c) for c in fields])
 
 
-def _documents(lines: DataFrame) -> DataFrame:
-    return lines.withColumn("doc", parse_lines(F.col("value"))).where(F.col("doc").isNotNull())
-
-
 def parse_users(lines: DataFrame) -> DataFrame:
-    doc = F.col("doc")
-    whole = lambda name: JsonField(doc, name).integer()
-    users = _documents(lines).select(
-        JsonField(doc, "user_id").key().alias("user_id"),
+    whole = lambda name: JsonField("doc", name).integer()
+    users = parse_documents(lines).select(
+        JsonField("doc", "user_id").key().alias("user_id"),
         "seq",
-        JsonField(doc, "average_stars").floating().alias("average_stars"),
+        JsonField("doc", "average_stars").floating().alias("average_stars"),
         *[whole(c).alias(c) for c in ["review_count", "fans", "useful", "funny", "cool"]],
-        F.when(JsonField(doc, "yelping_since").is_absent, F.lit(2000).cast("bigint"))
-        .otherwise(JsonField(doc, "yelping_since").year())
-        .alias("since_year"),
+        JsonField("doc", "yelping_since").year(default=2000).alias("since_year"),
         reduce(add, [whole(f"compliment_{kind}") for kind in COMPLIMENT_KINDS]).alias("compliments"),
-        JsonField(doc, "friends").list_length().alias("friend_count"),
-        JsonField(doc, "elite").list_length().alias("elite_count"),
+        JsonField("doc", "friends").list_length().alias("friend_count"),
+        JsonField("doc", "elite").list_length().alias("elite_count"),
     )
     users = last_per_key(users, "user_id")
     return users.select(
@@ -62,31 +55,28 @@ def parse_items(lines: DataFrame, item: str = "item_id", rich: bool = True) -> D
     The two modes differ in poisoned records: with ``rich`` a record whose categories are neither text
     nor empty (or whose noise/attire value is nested) is dropped, without it the category count is 0.
     """
-    doc = F.col("doc")
-    attributes = F.try_variant_get(doc, "$.attributes", "variant")
-    attribute = lambda name: JsonField(attributes, name)
-    categories = JsonField(doc, "categories")
-    docs = _documents(lines)
+    attribute = lambda name: JsonField("doc", f"attributes.{name}")
+    categories = JsonField("doc", "categories")
+    docs = parse_documents(lines)
     columns = [
-        JsonField(doc, "business_id").key().alias(item),
+        JsonField("doc", "business_id").key().alias(item),
         F.col("seq"),
-        JsonField(doc, "stars").floating().alias("item_stars"),
-        JsonField(doc, "review_count").integer().alias("item_review_count"),
-        JsonField(doc, "latitude").floating().alias("latitude"),
-        JsonField(doc, "longitude").floating().alias("longitude"),
-        JsonField(doc, "is_open").integer(absent=1).alias("is_open"),
+        JsonField("doc", "stars").floating().alias("item_stars"),
+        JsonField("doc", "review_count").integer().alias("item_review_count"),
+        JsonField("doc", "latitude").floating().alias("latitude"),
+        JsonField("doc", "longitude").floating().alias("longitude"),
+        JsonField("doc", "is_open").integer(absent=1).alias("is_open"),
         attribute("RestaurantsPriceRange2").integer().alias("price"),
         enc.category_count(categories.string_only()).alias("category_count"),
     ]
     if rich:
-        nested = lambda field: F.coalesce(field.kind.rlike("^(OBJECT|ARRAY)"), F.lit(False))
         docs = docs.where(
             (categories.string_only().isNotNull() | categories.truthy_text().isNull())
-            & ~nested(attribute("NoiseLevel"))
-            & ~nested(attribute("RestaurantsAttire"))
+            & ~attribute("NoiseLevel").is_nested
+            & ~attribute("RestaurantsAttire").is_nested
         )
         hours = F.transform_values(
-            JsonField(doc, "hours").string_map(),
+            JsonField("doc", "hours").string_map(),
             lambda _, v: F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string")),
         )
         columns += [
@@ -109,10 +99,10 @@ def parse_checkins(lines: DataFrame, item: str = "item_id", strict_keys: bool =
 
     A record with a non-numeric count (among the counted keys) is dropped.
     """
-    entries = JsonField(F.col("doc"), "time").string_map()
+    entries = JsonField("doc", "time").string_map()
     counted = enc.valid_day_hours(entries) if strict_keys else entries
-    docs = _documents(lines).select(
-        JsonField(F.col("doc"), "business_id").key().alias(item), "seq", counted.alias("entries")
+    docs = parse_documents(lines).select(
+        JsonField("doc", "business_id").key().alias(item), "seq", counted.alias("entries")
     )
     numeric = F.forall(
         F.map_values("entries"), lambda v: F.schema_of_variant(v).rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT|BOOLEAN)")
@@ -134,16 +124,15 @@ def parse_checkins(lines: DataFrame, item: str = "item_id", strict_keys: bool =
 
 
 def parse_tips(lines: DataFrame, item: str = "item_id") -> DataFrame:
-    doc = F.col("doc")
-    return _documents(lines).select(
-        JsonField(doc, "user_id").key().alias("user_id"),
-        JsonField(doc, "business_id").key().alias(item),
-        JsonField(doc, "likes").integer().alias("likes"),
+    return parse_documents(lines).select(
+        JsonField("doc", "user_id").key().alias("user_id"),
+        JsonField("doc", "business_id").key().alias(item),
+        JsonField("doc", "likes").integer().alias("likes"),
     )
 
 
 def parse_photos(lines: DataFrame, item: str = "item_id") -> DataFrame:
-    return _documents(lines).select(JsonField(F.col("doc"), "business_id").key().alias(item))
+    return parse_documents(lines).select(JsonField("doc", "business_id").key().alias(item))
 
 
 def tip_stats(tips: DataFrame, key: str, prefix: str) -> DataFrame:
