@@ -15,7 +15,7 @@ from starloom.operators.features import Profiles, assemble, item_table, user_tab
 from starloom.operators.scoring import assign_folds, attach_scores, fit_cf, out_of_fold_cf, score_cf
 from starloom.operators.similarity import CfParams
 from starloom.schema import DEFAULT_COLUMNS, RatingColumns
-from starloom.session import stage
+from starloom.session import stage, tune
 from starloom.sources import files
 from starloom.sources import profiles as entities
 
@@ -52,6 +52,7 @@ def run_stacked(
 
     Training rows use full (not leave-one-out) statistics; only their neighbourhood score is out of fold.
     """
+    tune(ratings.sparkSession)
     if cols.fold not in ratings.columns:
         ratings = assign_folds(ratings, folds, cols=cols)
     ratings = stage(ratings.select(*cols.pair, cols.rating, cols.seq, cols.fold), "ratings")
@@ -85,6 +86,7 @@ def run_rich(
     """
     if cf not in ("proxy", "oof"):
         raise ValueError("cf must be 'proxy' or 'oof'")
+    tune(ratings.sparkSession)
     if cf == "oof" and cols.fold not in ratings.columns:
         ratings = assign_folds(ratings, folds, cols=cols)
     fold = [cols.fold] if cf == "oof" else []

@@ -22,7 +22,18 @@ def build_session(app: str = "starloom", master: str | None = None, **conf: str)
         builder = builder.master(master)
     for name, value in conf.items():
         builder = builder.config(name.replace("__", "."), value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    tune(spark)
+    return spark
+
+
+def tune(spark: SparkSession) -> None:
+    """Runtime settings for the wide feature rows, for sessions not made by :func:`build_session`.
+
+    One generated method over a hundred feature formulas is beyond what the JVM compiles to machine code (8000
+    bytes), and would run interpreted; below this limit Spark generates many small methods instead.
+    """
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
 
 
 def checkpoint_root(spark: SparkSession) -> str:
