@@ -108,8 +108,16 @@ def _packed_stats(ratings: DataFrame, key: str, name: str, rich: bool, cols: Rat
 
 
 def _merge(tables: list[DataFrame], key: str) -> DataFrame:
-    """Full outer joins of tables that are all aggregated by ``key``: they are partitioned alike already."""
-    return reduce(lambda a, b: a.join(b, key, "full_outer"), tables)
+    """All columns of tables that have at most one row per key, for every key of any of them.
+
+    A union and one aggregate: a chain of full outer joins would shuffle the growing rows again for each table.
+    """
+    packed = [
+        t.select(key, F.struct(*[c for c in t.columns if c != key]).alias(f"_t{n}")) for n, t in enumerate(tables)
+    ]
+    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), packed)
+    merged = stacked.groupBy(key).agg(*[F.first(f"_t{n}", ignorenulls=True).alias(f"_t{n}") for n in range(len(tables))])
+    return merged.select(key, *[F.col(f"_t{n}.{c}").alias(c) for n, t in enumerate(tables) for c in t.columns if c != key])
 
 
 def with_entities(
