@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from starloom.functions.rating import clamp, confidence, shrink, warm_or_cold
 from starloom.operators.leave_one_out import without_rating
-from starloom.operators.skew import salted_join
+from starloom.operators.skew import hot_keys, salted_join
 from starloom.operators.stats import key_stats, rating_distribution
 from starloom.schema import DEFAULT_COLUMNS, TOP_CATEGORIES, RatingColumns
 from starloom.sources.profiles import photo_counts, tip_stats
@@ -121,11 +121,21 @@ def _merge(tables: list[DataFrame], key: str) -> DataFrame:
 
 
 def with_entities(
-    rows: DataFrame, users: DataFrame, items: DataFrame, cols: RatingColumns = DEFAULT_COLUMNS
+    rows: DataFrame,
+    users: DataFrame,
+    items: DataFrame,
+    cols: RatingColumns = DEFAULT_COLUMNS,
+    counted: DataFrame | None = None,
 ) -> DataFrame:
-    """Left-join both entity tables to rating rows or pairs."""
+    """Left-join both entity tables to rating rows or pairs.
+
+    ``counted`` has the same users and items as ``rows`` where ``rows`` would be costly to compute just for counting keys.
+    """
     spread_by = [c for c in (*cols.pair, cols.seq) if c in rows.columns]
-    return salted_join(salted_join(rows, users, cols.user, "left", spread_by), items, cols.item, "left", spread_by)
+    keys = counted if counted is not None else rows
+    hot_users, hot_items = hot_keys(keys, [cols.user]), hot_keys(keys, [cols.item])
+    joined = salted_join(rows, users, cols.user, "left", spread_by, hot_users)
+    return salted_join(joined, items, cols.item, "left", spread_by, hot_items)
 
 
 def _full_stats(dist: Column, mean: Column, rich: bool) -> dict[str, Column]:

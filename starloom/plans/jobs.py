@@ -56,16 +56,17 @@ def run_stacked(
     if cols.fold not in ratings.columns:
         ratings = assign_folds(ratings, folds, cols=cols)
     ratings = stage(ratings.select(*cols.pair, cols.rating, cols.seq, cols.fold), "ratings")
+    pairs = stage(pairs, "to-score")
     mean = ratings.agg(F.avg(cols.rating)).scalar()
     users, items = user_table(ratings, profiles, False, cols), item_table(ratings, profiles, False, cols)
     users, items = stage(users, "users"), stage(items, "items")
 
     held_out = stage(out_of_fold_cf(ratings, folds, params, cols), "held-out")
-    train_rows = with_entities(attach_scores(ratings, held_out, cols), users, items, cols)
+    train_rows = with_entities(attach_scores(ratings, held_out, cols), users, items, cols, ratings)
     train = assemble(train_rows, mean, False, False, [*cols.pair, cols.rating], cols=cols, vector="features")
 
     scores = stage(score_cf(pairs, fit_cf(ratings, params, cols)), "scores")
-    test_rows = with_entities(attach_scores(pairs, scores, cols), users, items, cols)
+    test_rows = with_entities(attach_scores(pairs, scores, cols), users, items, cols, pairs)
     test = assemble(test_rows, mean, False, False, pairs.columns, cols=cols, vector="features")
     return _finish(train, test, pairs, boosting, False, cols)
 
@@ -91,6 +92,7 @@ def run_rich(
         ratings = assign_folds(ratings, folds, cols=cols)
     fold = [cols.fold] if cf == "oof" else []
     ratings = stage(ratings.select(*cols.pair, cols.rating, cols.seq, *fold), "ratings")
+    pairs = stage(pairs, "to-score")
     mean = ratings.agg(F.avg(cols.rating)).scalar()
     users, items = user_table(ratings, profiles, True, cols), item_table(ratings, profiles, True, cols)
     users, items = stage(users, "users"), stage(items, "items")
@@ -101,9 +103,9 @@ def run_rich(
         test_rows = attach_scores(pairs, stage(score_cf(pairs, fit_cf(ratings, params, cols)), "scores"), cols)
     source = "proxy" if cf == "proxy" else "columns"
     train = assemble(
-        with_entities(train_rows, users, items, cols), mean, True, True, [*cols.pair, cols.rating], source, cols, "features"
+        with_entities(train_rows, users, items, cols, ratings), mean, True, True, [*cols.pair, cols.rating], source, cols, "features"
     )
-    test = assemble(with_entities(test_rows, users, items, cols), mean, True, False, pairs.columns, source, cols, "features")
+    test = assemble(with_entities(test_rows, users, items, cols, pairs), mean, True, False, pairs.columns, source, cols, "features")
     return _finish(train, test, pairs, boosting, True, cols)
 
 
@@ -152,7 +154,7 @@ def predict_files(
     if by_file_order:
         ratings = files.with_row_index(ratings, cols.seq)
         ratings = assign_folds(ratings, options.get("folds", FOLDS), cols=cols)
-    pairs = stage(files.read_pairs(spark, pairs_path, cols), "pairs-file")
+    pairs = files.read_pairs(spark, pairs_path, cols)
     profiles = read_profiles(spark, source, job == "rich", cols)
     run = {"stacked": run_stacked, "rich": run_rich}[job]
     default = STACKED_BOOSTING if job == "stacked" else RICH_BOOSTING

@@ -238,12 +238,12 @@ def photo_counts(spark: SparkSession, sf: str) -> DataFrame:
 def _features(spark: SparkSession, sf: str, rich: bool, train_side: bool) -> DataFrame:
     tune(spark)
     train = staged_train(spark, sf)
-    rows = train if train_side else staged_test(spark, sf)
+    rows = counted = train if train_side else staged_test(spark, sf)
     if not rich:
         scores = out_of_fold_cf(train, views.FOLDS) if train_side else score_cf(rows, fit_cf(train))
         rows = attach_scores(rows, scores)
     known = views.all_profiles(spark, sf, rich)
-    joined = with_entities(rows, user_table(train, known, rich), item_table(train, known, rich))
+    joined = with_entities(rows, user_table(train, known, rich), item_table(train, known, rich), counted=counted)
     mean = train.agg(F.avg("stars")).scalar()
     out = assemble(joined, mean, rich, rich and train_side, ["user_id", "item_id", "seq"], "proxy" if rich else "columns")
     names = RICH_FEATURES if rich else STACKED_FEATURES
