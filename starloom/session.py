@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,29 +35,23 @@ def tune(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
 
 
-def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a new local one only where unset."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get(
-        "spark.checkpoint.dir", None
-    )
-    context = spark.sparkContext._jsc.sc()
-    active = context.getCheckpointDir()
-    if named:
-        if active.isEmpty():
-            spark.sparkContext.setCheckpointDir(named)
-        return named
-    if active.isEmpty():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="starloom-"))
-        active = context.getCheckpointDir()
-    return active.get()
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or the warehouse where that is unset."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    return named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/staging"
+
+
+def fresh_path(spark: SparkSession, label: str) -> str:
+    """A path of its own below :func:`shared_folder`."""
+    return f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as parquet below the checkpoint folder and read it back.
+    """Write ``df`` as parquet below the shared folder and read it back.
 
     This cuts the lineage at a table that outlives executors, and gives the planner real sizes.
     """
     spark = df.sparkSession
-    path = f"{checkpoint_root(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    path = fresh_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

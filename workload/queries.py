@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,7 +22,7 @@ from starloom.operators.similarity import CfParams, corater_sums
 from starloom.operators.similarity import item_similarity as similar_items
 from starloom.operators.similarity import top_similar
 from starloom.plans.jobs import run_rich, run_stacked
-from starloom.session import checkpoint_root, stage, tune
+from starloom.session import fresh_path, stage, tune
 from starloom.sources import files, profiles
 from workload import views
 
@@ -51,10 +50,6 @@ def rounded(df: DataFrame, keep: list[str] | None = None) -> DataFrame:
     )
 
 
-def fresh_path(spark: SparkSession, label: str) -> str:
-    return f"{checkpoint_root(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
-
-
 def staged_train(spark: SparkSession, sf: str) -> DataFrame:
     return stage(views.train(spark, sf), "train")
 
