@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from starloom.llm.dart_minhash import op5_dart_minhash
 from starloom.llm.token_files import op7_token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_dart_minhash": op5_dart_minhash,
     "op7_token_files": op7_token_files,
 }
 
