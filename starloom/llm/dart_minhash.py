@@ -38,10 +38,23 @@ class NearParams:
     # Expected hits per document: coordinates * (ln coordinates + surplus); empty coordinates get more darts.
     surplus: float = 2.0
 
+    # Pairs whose sketches agree in fewer coordinates than the similarity less this many deviations are not read.
+    deviations: float = 4.5
+
     @property
     def coordinates(self) -> int:
         return self.bands * self.rows
 
+    @property
+    def words(self) -> int:
+        """64-bit words of a sketch: four bits for each coordinate."""
+        return -(-self.coordinates // 16)
+
+    @property
+    def most_different(self) -> int:
+        k, share = self.coordinates, (1 - self.similarity) * 15 / 16
+        return int(k * share + self.deviations * (k * share * (1 - share)) ** 0.5 + 1)
+
 
 @lru_cache(maxsize=256)
 def _poisson(mean: float) -> np.ndarray:
@@ -131,6 +144,25 @@ def band_keys(signature: np.ndarray, params: NearParams) -> np.ndarray:
     return mix(keys + np.arange(params.bands, dtype=_U)).view(np.int64)
 
 
+def sketches(signature: np.ndarray, params: NearParams) -> np.ndarray:
+    nibbles = np.zeros((len(signature), params.words * 16), _U)
+    nibbles[:, : params.coordinates] = mix(signature) & _U(15)
+    words = nibbles.reshape(len(signature), params.words, 16) << (_U(4) * np.arange(16, dtype=_U))
+    return np.bitwise_or.reduce(words, axis=2).view(np.int64)
+
+
+def _differences(left: str, right: str, params: NearParams) -> Column:
+    """In how many coordinates two sketches differ, from columns ``<left>_0`` and so on."""
+    total = F.lit(0)
+    ones = F.lit(0x1111111111111111)
+    for i in range(params.words):
+        x = F.col(f"{left}_{i}").bitwiseXOR(F.col(f"{right}_{i}"))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
+        total = total + F.bit_count(x.bitwiseAND(ones))
+    return total
+
+
 def similarities(left: pa.Array, right: pa.Array, width: int) -> np.ndarray:
     """The exact weighted Jaccard similarity of the texts in each row."""
 
@@ -155,23 +187,30 @@ def text_key(text: str = "text") -> Column:
 def _signed(docs: DataFrame, params: NearParams) -> DataFrame:
     def sign(piece: pa.RecordBatch) -> pa.RecordBatch:
         prints, first = normal_shingles(piece.column("text"), params.width)
-        keys = band_keys(signatures(prints, first, params), params)
+        signature = signatures(prints, first, params)
+        keys, sketch = band_keys(signature, params), sketches(signature, params)
         used = np.diff(first) > 0
         offsets = np.concatenate([[0], np.cumsum(used * params.bands)]).astype(np.int32)
         bands = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[used].ravel()))
-        return pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("key"), bands], ["doc_id", "key", "bands"])
+        ends = np.arange(len(used) + 1, dtype=np.int32) * params.words
+        words = pa.ListArray.from_arrays(pa.array(ends), pa.array(sketch.ravel()))
+        return pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("key"), bands, words], ["doc_id", "key", "bands", "sketch"])
 
-    return docs.mapInArrow(over_slices(sign), "doc_id BIGINT, key BINARY, bands ARRAY<BIGINT>")
+    return docs.mapInArrow(over_slices(sign), "doc_id BIGINT, key BINARY, bands ARRAY<BIGINT>, sketch ARRAY<BIGINT>")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, params: NearParams) -> DataFrame:
-    """Those of the pairs ``u, v`` whose texts are similar enough, by exact comparison."""
+def _verified(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, params: NearParams) -> DataFrame:
+    """Those of the pairs ``u, v`` of nodes whose texts are similar enough, by exact comparison."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in slices(batches, "u_text"):
             near = similarities(piece.column("u_text"), piece.column("v_text"), params.width) >= params.similarity
             yield piece.select(["u", "v"]).filter(pa.array(near))
 
+    ends = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
+    keys = ends.join(nodes.select("node", "key"), "node")
+    # Equal texts count once.
+    texts = stage(rows.select("key", "text").join(keys, "key").dropDuplicates(["node"]).select("node", "text"), "texts")
     u = texts.select(F.col("node").alias("u"), F.col("text").alias("u_text"))
     v = texts.select(F.col("node").alias("v"), F.col("text").alias("v_text"))
     return pairs.join(u, "u").join(v, "v").select("u", "v", "u_text", "v_text").mapInArrow(compare, "u BIGINT, v BIGINT")
@@ -182,18 +221,22 @@ def near_duplicates(docs: DataFrame, params: NearParams = NearParams()) -> DataF
 
     Rows are of one class if their texts are linked by pairs of equal or near-duplicate texts; ``class_id`` is the
     lowest ``doc_id`` of the class (nulls aside), ``class_size`` its number of rows,
-    ``class_key`` its lowest text key.  Texts without words are duplicates
-    of equal texts only.  A null text is of no class: nulls, and size 1.  Other columns are not read.
+    ``class_key`` its lowest text key.  Texts without words are duplicates of equal texts only.  A null text is of no
+    class: nulls, and size 1.  Other columns are not read.
 
     Equal texts are one node.  In a bucket of a band every node is compared with the lowest one; only where that leaves
     several components in a bucket, the nodes outside its largest component are compared with those of other
-    components.  So all pairs that share a band are compared or already joined, and a large group costs linear work.
+    components.  So all pairs that share a band are compared or already joined.  Sketches are compared first (four bits
+    per coordinate); texts are read, and compared exactly, for pairs whose sketches do not rule the similarity out.
     """
     rows = docs.select(
         F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), text_key().alias("key")
     ).where("text IS NOT NULL")
     signed = _signed(rows, params)
-    nodes = signed.groupBy("key").agg(F.min("doc_id").alias("lowest"), F.count("*").alias("copies"), F.first("bands").alias("bands"))
+    nodes = signed.groupBy("key").agg(
+        F.min("doc_id").alias("lowest"), F.count("*").alias("copies"), F.first("bands").alias("bands"),
+        F.first("sketch").alias("sketch"),
+    )
     nodes = stage(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     buckets = nodes.select("node", F.explode("bands").alias("band"))
     shared = buckets.groupBy("band").agg(F.min("node").alias("hub"), F.count("*").alias("members")).where("members > 1")
@@ -201,10 +244,13 @@ def near_duplicates(docs: DataFrame, params: NearParams = NearParams()) -> DataF
     spokes = members.where("node != hub").select(F.col("node").alias("u"), F.col("hub").alias("v")).distinct()
     spokes = stage(spokes, "spokes")
 
-    involved = members.select("node").distinct().join(nodes.select("node", "key"), "node")
-    texts = rows.select("key", "text").join(involved, "key", "inner").select("node", "text").dropDuplicates(["node"])
-    texts = stage(texts, "texts")
-    links = stage(_verified(spokes, texts, params), "near-links")
+    def sketch_of(node: str) -> DataFrame:
+        words = [F.get("sketch", F.lit(i)).alias(f"{node}_{i}") for i in range(params.words)]
+        return nodes.select(F.col("node").alias(node), *words)
+
+    plausible = spokes.join(sketch_of("u"), "u").join(sketch_of("v"), "v")
+    plausible = stage(plausible.where(_differences("u", "v", params) <= params.most_different).select("u", "v"), "near-pairs")
+    links = stage(_verified(plausible, rows, nodes, params), "near-links")
     joined = components(links)
 
     # Pairs of a bucket that are not joined through its lowest node.
@@ -217,11 +263,14 @@ def near_duplicates(docs: DataFrame, params: NearParams = NearParams()) -> DataF
     open_ = stage(wide.join(split, "band"), "open-buckets")
     left = open_.where("component != main").select("band", F.col("node").alias("a"), F.col("component").alias("a_part"))
     right = open_.select("band", F.col("node").alias("b"), F.col("component").alias("b_part"), "main")
-    pairs = left.join(right, "band").where("a_part != b_part AND (b_part = main OR a < b)")
-    pairs = pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct().join(spokes, ["u", "v"], "left_anti")
-    pairs = stage(pairs, "more-pairs")
+    left, right = left.join(sketch_of("a"), "a"), right.join(sketch_of("b"), "b")
+    apart = (F.col("a_part") != F.col("b_part")) & ((F.col("b_part") == F.col("main")) | (F.col("a") < F.col("b")))
+    near = _differences("a", "b", params) <= params.most_different
+    pairs = left.join(right, (left.band == right.band) & apart & near)
+    pairs = pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+    pairs = stage(pairs.join(spokes, ["u", "v"], "left_anti"), "more-pairs")
     if not pairs.isEmpty():
-        links = links.unionByName(stage(_verified(pairs, texts, params), "more-links"))
+        links = links.unionByName(stage(_verified(pairs, rows, nodes, params), "more-links"))
         joined = components(links)
 
     part = nodes.join(joined, "node", "left").select(
