@@ -9,16 +9,20 @@ from pyspark.sql import DataFrame, SparkSession
 import corpus_pipeline
 from starloom.llm.dart_minhash import op5_dart_minhash
 from starloom.llm.decontaminate import op4_benchmark_containment
+from starloom.llm.importance import op2_ngram_importance
 from starloom.llm.language import op3_nearest_centroid
+from starloom.llm.licenses import op6_license_windows
 from starloom.llm.line_edits import op1_line_edits
 from starloom.llm.packing import op10_length_buckets
 from starloom.llm.token_files import op7_token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_edits": op1_line_edits,
+    "op2_ngram_importance": op2_ngram_importance,
     "op3_nearest_centroid": op3_nearest_centroid,
     "op4_benchmark_containment": op4_benchmark_containment,
     "op5_dart_minhash": op5_dart_minhash,
+    "op6_license_windows": op6_license_windows,
     "op7_token_files": op7_token_files,
     "op10_length_buckets": op10_length_buckets,
     "pipeline": corpus_pipeline.run,
