@@ -38,7 +38,9 @@ class NearParams:
     # Expected hits per document: coordinates * (ln coordinates + surplus); empty coordinates get more darts.
     surplus: float = 2.0
 
-    # Pairs whose sketches agree in fewer coordinates than the similarity less this many deviations are not read.
+    # A sketch has four bits for each of so many bins.  Texts are compared if the share of equal bins is not further
+    # below that of the wanted similarity than these deviations.
+    bins: int = 256
     deviations: float = 4.5
 
     @property
@@ -47,13 +49,13 @@ class NearParams:
 
     @property
     def words(self) -> int:
-        """64-bit words of a sketch: four bits for each coordinate."""
-        return -(-self.coordinates // 16)
+        return self.bins // 16
 
     @property
-    def most_different(self) -> int:
-        k, share = self.coordinates, (1 - self.similarity) * 15 / 16
-        return int(k * share + self.deviations * (k * share * (1 - share)) ** 0.5 + 1)
+    def most_different(self) -> float:
+        """The largest plausible share of used bins that differ."""
+        least = self.similarity - self.deviations * (self.similarity * (1 - self.similarity) / self.bins) ** 0.5
+        return (1 - least) * 14 / 15
 
 
 @lru_cache(maxsize=256)
@@ -67,8 +69,8 @@ def _poisson(mean: float) -> np.ndarray:
 def weighted(fingerprints: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct shingles of each document with their counts: document, fingerprint, weight."""
     doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    order = np.lexsort((fingerprints, doc)) if len(first) > 4097 else np.argsort(
-        (doc.astype(_U) << _U(52)) | (fingerprints >> _U(12))
+    order = np.lexsort((fingerprints, doc)) if len(first) > 8193 else np.argsort(
+        (doc.astype(_U) << _U(51)) | (fingerprints >> _U(13))
     )
     doc, fingerprints = doc[order], fingerprints[order]
     new = np.ones(len(doc), bool)
@@ -144,23 +146,38 @@ def band_keys(signature: np.ndarray, params: NearParams) -> np.ndarray:
     return mix(keys + np.arange(params.bands, dtype=_U)).view(np.int64)
 
 
-def sketches(signature: np.ndarray, params: NearParams) -> np.ndarray:
-    nibbles = np.zeros((len(signature), params.words * 16), _U)
-    nibbles[:, : params.coordinates] = mix(signature) & _U(15)
-    words = nibbles.reshape(len(signature), params.words, 16) << (_U(4) * np.arange(16, dtype=_U))
+def sketches(fingerprints: np.ndarray, first: np.ndarray, params: NearParams) -> np.ndarray:
+    """One-permutation sketches: every copy of a shingle falls into a bin, and each bin keeps four bits of its least.
+
+    The copies 1, 2 ... of a shingle are different elements, so that their Jaccard similarity is the weighted one.
+    Short texts have nearly all their elements in a sketch, so it tells their similarity almost exactly.
+    """
+    n = len(first) - 1
+    doc, element, weight = weighted(fingerprints, first)
+    weight = weight.astype(np.int64)
+    copy = np.arange(int(weight.sum())) - np.repeat(np.cumsum(weight) - weight, weight)
+    value = mix(np.repeat(element, weight) + copy.astype(_U) * _STEP)
+    slot = np.repeat(doc, weight) * params.bins + (value % _U(params.bins)).astype(np.int64)
+    least = np.full(n * params.bins, np.iinfo(np.uint64).max, _U)
+    np.minimum.at(least, slot, value)
+    nibbles = np.where(least == np.iinfo(np.uint64).max, _U(0), mix(least) % _U(15) + _U(1))
+    words = nibbles.reshape(n, params.words, 16) << (_U(4) * np.arange(16, dtype=_U))
     return np.bitwise_or.reduce(words, axis=2).view(np.int64)
 
 
-def _differences(left: str, right: str, params: NearParams) -> Column:
-    """In how many coordinates two sketches differ, from columns ``<left>_0`` and so on."""
-    total = F.lit(0)
-    ones = F.lit(0x1111111111111111)
-    for i in range(params.words):
-        x = F.col(f"{left}_{i}").bitwiseXOR(F.col(f"{right}_{i}"))
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
-        total = total + F.bit_count(x.bitwiseAND(ones))
-    return total
+def _nibbles(x: Column) -> Column:
+    """How many of a word's groups of four bits are not zero."""
+    x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
+    x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
+    return F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
+
+
+def _plausible(left: str, right: str, params: NearParams) -> Column:
+    """Whether two sketches, in columns ``<left>_0`` and so on, allow for the wanted similarity."""
+    pairs = [(F.col(f"{left}_{i}"), F.col(f"{right}_{i}")) for i in range(params.words)]
+    different = sum((_nibbles(a.bitwiseXOR(b)) for a, b in pairs[1:]), _nibbles(pairs[0][0].bitwiseXOR(pairs[0][1])))
+    used = sum((_nibbles(a.bitwiseOR(b)) for a, b in pairs[1:]), _nibbles(pairs[0][0].bitwiseOR(pairs[0][1])))
+    return different <= used * F.lit(params.most_different)
 
 
 def similarities(left: pa.Array, right: pa.Array, width: int) -> np.ndarray:
@@ -188,7 +205,7 @@ def _signed(docs: DataFrame, params: NearParams) -> DataFrame:
     def sign(piece: pa.RecordBatch) -> pa.RecordBatch:
         prints, first = normal_shingles(piece.column("text"), params.width)
         signature = signatures(prints, first, params)
-        keys, sketch = band_keys(signature, params), sketches(signature, params)
+        keys, sketch = band_keys(signature, params), sketches(prints, first, params)
         used = np.diff(first) > 0
         offsets = np.concatenate([[0], np.cumsum(used * params.bands)]).astype(np.int32)
         bands = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[used].ravel()))
@@ -226,8 +243,8 @@ def near_duplicates(docs: DataFrame, params: NearParams = NearParams()) -> DataF
 
     Equal texts are one node.  In a bucket of a band every node is compared with the lowest one; only where that leaves
     several components in a bucket, the nodes outside its largest component are compared with those of other
-    components.  So all pairs that share a band are compared or already joined.  Sketches are compared first (four bits
-    per coordinate); texts are read, and compared exactly, for pairs whose sketches do not rule the similarity out.
+    components.  So all pairs that share a band are compared or already joined.  Sketches are compared first;
+    texts are read, and compared exactly, for pairs whose sketches do not rule the similarity out.
     """
     rows = docs.select(
         F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), text_key().alias("key")
@@ -249,7 +266,7 @@ def near_duplicates(docs: DataFrame, params: NearParams = NearParams()) -> DataF
         return nodes.select(F.col("node").alias(node), *words)
 
     plausible = spokes.join(sketch_of("u"), "u").join(sketch_of("v"), "v")
-    plausible = stage(plausible.where(_differences("u", "v", params) <= params.most_different).select("u", "v"), "near-pairs")
+    plausible = stage(plausible.where(_plausible("u", "v", params)).select("u", "v"), "near-pairs")
     links = stage(_verified(plausible, rows, nodes, params), "near-links")
     joined = components(links)
 
@@ -265,8 +282,7 @@ def near_duplicates(docs: DataFrame, params: NearParams = NearParams()) -> DataF
     right = open_.select("band", F.col("node").alias("b"), F.col("component").alias("b_part"), "main")
     left, right = left.join(sketch_of("a"), "a"), right.join(sketch_of("b"), "b")
     apart = (F.col("a_part") != F.col("b_part")) & ((F.col("b_part") == F.col("main")) | (F.col("a") < F.col("b")))
-    near = _differences("a", "b", params) <= params.most_different
-    pairs = left.join(right, (left.band == right.band) & apart & near)
+    pairs = left.join(right, (left.band == right.band) & apart & _plausible("a", "b", params))
     pairs = pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     pairs = stage(pairs.join(spokes, ["u", "v"], "left_anti"), "more-pairs")
     if not pairs.isEmpty():

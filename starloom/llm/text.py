@@ -11,6 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 SLICE_BYTES = 2 << 20
+SLICE_ROWS = 8192
 _U = np.uint64
 _BASE, _ODD = _U(0x9E3779B97F4A7C15), _U(0xD6E8FEB86659FD93)
 
@@ -134,13 +135,15 @@ def normal_shingles(column: pa.Array, width: int = 5) -> tuple[np.ndarray, np.nd
 
 
 def slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The batches in pieces of about ``limit`` bytes of text, one row at least, to bound the memory of a task."""
+    """The batches in pieces of about ``limit`` bytes of text, one row at least and ``SLICE_ROWS`` at most, which bounds
+    the memory of a task."""
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
         total = np.cumsum(sizes, dtype=np.int64)
         at = 0
         while at < len(sizes):
             upto = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + limit, "right")))
+            upto = min(upto, at + SLICE_ROWS)
             yield batch.slice(at, upto - at)
             at = upto
 
