@@ -14,6 +14,8 @@ from starloom.llm.language import op3_nearest_centroid
 from starloom.llm.licenses import op6_license_windows
 from starloom.llm.line_edits import op1_line_edits
 from starloom.llm.packing import op10_length_buckets
+from starloom.llm.lm_score import op8_attention_lm
+from starloom.llm.pseudonyms import op9_feistel_pseudonyms
 from starloom.llm.token_files import op7_token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -24,6 +26,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_dart_minhash": op5_dart_minhash,
     "op6_license_windows": op6_license_windows,
     "op7_token_files": op7_token_files,
+    "op8_attention_lm": op8_attention_lm,
+    "op9_feistel_pseudonyms": op9_feistel_pseudonyms,
     "op10_length_buckets": op10_length_buckets,
     "pipeline": corpus_pipeline.run,
 }
