@@ -11,7 +11,7 @@ SF_DIR = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from starloom.session import build_session
 
     session = build_session(
@@ -21,6 +21,7 @@ def spark():
         spark__ui__enabled="false",
         spark__driver__memory="6g",
         spark__sql__session__timeZone="UTC",
+        spark__checkpoint__dir=str(tmp_path_factory.mktemp("shared")),
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
