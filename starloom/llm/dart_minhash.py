@@ -40,8 +40,11 @@ class NearParams:
 
     # A sketch has four bits for each of so many bins.  Texts are compared if the share of equal bins is not further
     # below that of the wanted similarity than these deviations.
-    bins: int = 256
+    bins: int = 512
     deviations: float = 4.5
+    # Members of a bucket that all others are compared with, in each of so many rounds.
+    hubs: int = 4
+    rounds: int = 2
 
     @property
     def coordinates(self) -> int:
@@ -216,21 +219,93 @@ def _signed(docs: DataFrame, params: NearParams) -> DataFrame:
     return docs.mapInArrow(over_slices(sign), "doc_id BIGINT, key BINARY, bands ARRAY<BIGINT>, sketch ARRAY<BIGINT>")
 
 
-def _verified(pairs: DataFrame, rows: DataFrame, nodes: DataFrame, params: NearParams) -> DataFrame:
-    """Those of the pairs ``u, v`` of nodes whose texts are similar enough, by exact comparison."""
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in slices(batches, "u_text"):
-            near = similarities(piece.column("u_text"), piece.column("v_text"), params.width) >= params.similarity
-            yield piece.select(["u", "v"]).filter(pa.array(near))
-
-    ends = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
-    keys = ends.join(nodes.select("node", "key"), "node")
-    # Equal texts count once.
-    texts = stage(rows.select("key", "text").join(keys, "key").dropDuplicates(["node"]).select("node", "text"), "texts")
-    u = texts.select(F.col("node").alias("u"), F.col("text").alias("u_text"))
-    v = texts.select(F.col("node").alias("v"), F.col("text").alias("v_text"))
-    return pairs.join(u, "u").join(v, "v").select("u", "v", "u_text", "v_text").mapInArrow(compare, "u BIGINT, v BIGINT")
+class _Buckets:
+    """The nodes of all buckets with several members, with what is needed to compare them."""
+
+    def __init__(self, rows: DataFrame, nodes: DataFrame, params: NearParams):
+        self.nodes, self.params = nodes, params
+        buckets = nodes.select("node", F.explode("bands").alias("band"))
+        shared = buckets.groupBy("band").agg(F.count("*").alias("members")).where("members > 1")
+        self.members = stage(buckets.join(shared, "band"), "buckets")
+        involved = self.members.select("node").distinct().join(nodes.select("node", "key"), "node")
+        # Equal texts count once.
+        texts = rows.select("key", "text").join(involved, "key").dropDuplicates(["node"])
+        self.texts = stage(texts.select("node", "text"), "texts")
+
+    def sketch_of(self, node: str) -> DataFrame:
+        words = [F.get("sketch", F.lit(i)).alias(f"{node}_{i}") for i in range(self.params.words)]
+        return self.nodes.select(F.col("node").alias(node), *words)
+
+    def spokes(self, parted: DataFrame, seed: int) -> DataFrame:
+        """Pairs of each node and the hubs of its buckets, if they are not of one component.
+
+        ``parted`` has ``band, node, component``.  A hub is the lowest node of its share of the bucket by hash.
+        """
+        share = F.pmod(F.xxhash64("band", "node", F.lit(seed)), F.lit(self.params.hubs))
+        one = F.struct(F.col("node").alias("hub"), F.col("component").alias("hub_component"))
+        hubs = parted.withColumn("share", share).groupBy("band", "share").agg(F.min(one).alias("one")).select("band", "one.*")
+        pairs = parted.join(hubs, "band").where("component != hub_component")
+        return pairs.select(F.greatest("node", "hub").alias("u"), F.least("node", "hub").alias("v")).distinct()
+
+    def plausible(self, pairs: DataFrame) -> DataFrame:
+        both = pairs.join(self.sketch_of("u"), "u").join(self.sketch_of("v"), "v")
+        return both.where(_plausible("u", "v", self.params)).select("u", "v")
+
+    def crossing(self, parted: DataFrame) -> DataFrame:
+        """All plausible pairs of a bucket's nodes of different components.  ``parted`` also has ``main``, the bucket's
+        largest component, so that its many members are not paired among each other only to be dropped."""
+        left = parted.where("component != main").select("band", F.col("node").alias("a"), F.col("component").alias("a_part"))
+        right = parted.select("band", F.col("node").alias("b"), F.col("component").alias("b_part"), "main")
+        left, right = left.join(self.sketch_of("a"), "a"), right.join(self.sketch_of("b"), "b")
+        apart = (F.col("a_part") != F.col("b_part")) & ((F.col("b_part") == F.col("main")) | (F.col("a") < F.col("b")))
+        pairs = left.join(right, (left.band == right.band) & apart & _plausible("a", "b", self.params))
+        return pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+
+    def verified(self, pairs: DataFrame) -> DataFrame:
+        """Those of the pairs whose texts are similar enough, by exact comparison."""
+        params = self.params
+
+        def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for piece in slices(batches, "u_text"):
+                near = similarities(piece.column("u_text"), piece.column("v_text"), params.width) >= params.similarity
+                yield piece.select(["u", "v"]).filter(pa.array(near))
+
+        u = self.texts.select(F.col("node").alias("u"), F.col("text").alias("u_text"))
+        v = self.texts.select(F.col("node").alias("v"), F.col("text").alias("v_text"))
+        texts = pairs.join(u, "u").join(v, "v").select("u", "v", "u_text", "v_text")
+        return stage(texts.mapInArrow(compare, "u BIGINT, v BIGINT"), "near-links")
+
+    def open(self, joined: DataFrame) -> DataFrame:
+        """``band, node, component, main`` of the buckets of several components."""
+        wide = self.members.where(F.col("members") > 2).select("band", "node").join(joined, "node", "left")
+        wide = wide.select("band", "node", F.coalesce("component", "node").alias("component"))
+        sizes = wide.groupBy("band", "component").agg(F.count("*").alias("size"))
+        split = sizes.groupBy("band").agg(
+            F.count("*").alias("parts"), F.max_by("component", F.struct("size", "component")).alias("main")
+        )
+        return stage(wide.join(split.where("parts > 1").drop("parts"), "band"), "open-buckets")
+
+    def joined(self) -> DataFrame:
+        """``node, component`` of all nodes with a verified link."""
+        parted = self.members.select("band", "node", F.col("node").alias("component"))
+        done = links = None
+        for number in range(self.params.rounds + 1):
+            pairs = self.spokes(parted, number) if number < self.params.rounds else self.crossing(parted)
+            pairs = pairs if done is None else pairs.join(done, ["u", "v"], "left_anti")
+            if number < self.params.rounds:
+                pairs = stage(pairs, "spokes")
+                done = pairs if done is None else done.unionByName(pairs)
+                pairs = self.plausible(pairs)
+            pairs = stage(pairs, "near-pairs")
+            if not pairs.isEmpty():
+                found = self.verified(pairs)
+                links = found if links is None else links.unionByName(found)
+            joined = components(links if links is not None else pairs.limit(0))
+            if number < self.params.rounds:
+                parted = self.open(joined)
+                if parted.isEmpty():
+                    break
+        return joined
 
 
 def near_duplicates(docs: DataFrame, params: NearParams = NearParams()) -> DataFrame:
@@ -241,10 +316,10 @@ def near_duplicates(docs: DataFrame, params: NearParams = NearParams()) -> DataF
     ``class_key`` its lowest text key.  Texts without words are duplicates of equal texts only.  A null text is of no
     class: nulls, and size 1.  Other columns are not read.
 
-    Equal texts are one node.  In a bucket of a band every node is compared with the lowest one; only where that leaves
-    several components in a bucket, the nodes outside its largest component are compared with those of other
-    components.  So all pairs that share a band are compared or already joined.  Sketches are compared first;
-    texts are read, and compared exactly, for pairs whose sketches do not rule the similarity out.
+    Equal texts are one node.  In a bucket of a band every node is compared with a few hubs, and again with others where
+    several components remain; then, in buckets that still have several, the nodes outside the largest component are
+    compared with those of other components.  So all pairs that share a band are compared or already joined.  Sketches
+    are compared first; texts are read, and compared exactly, for pairs whose sketches do not rule the similarity out.
     """
     rows = docs.select(
         F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), text_key().alias("key")
@@ -255,40 +330,7 @@ def near_duplicates(docs: DataFrame, params: NearParams = NearParams()) -> DataF
         F.first("sketch").alias("sketch"),
     )
     nodes = stage(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    buckets = nodes.select("node", F.explode("bands").alias("band"))
-    shared = buckets.groupBy("band").agg(F.min("node").alias("hub"), F.count("*").alias("members")).where("members > 1")
-    members = stage(buckets.join(shared, "band"), "buckets")
-    spokes = members.where("node != hub").select(F.col("node").alias("u"), F.col("hub").alias("v")).distinct()
-    spokes = stage(spokes, "spokes")
-
-    def sketch_of(node: str) -> DataFrame:
-        words = [F.get("sketch", F.lit(i)).alias(f"{node}_{i}") for i in range(params.words)]
-        return nodes.select(F.col("node").alias(node), *words)
-
-    plausible = spokes.join(sketch_of("u"), "u").join(sketch_of("v"), "v")
-    plausible = stage(plausible.where(_plausible("u", "v", params)).select("u", "v"), "near-pairs")
-    links = stage(_verified(plausible, rows, nodes, params), "near-links")
-    joined = components(links)
-
-    # Pairs of a bucket that are not joined through its lowest node.
-    wide = members.where("members > 2").select("band", "node").join(joined, "node", "left")
-    wide = wide.select("band", "node", F.coalesce("component", "node").alias("component"))
-    sizes = wide.groupBy("band", "component").agg(F.count("*").alias("size"))
-    split = sizes.groupBy("band").agg(
-        F.count("*").alias("parts"), F.max_by("component", F.struct("size", "component")).alias("main")
-    ).where("parts > 1")
-    open_ = stage(wide.join(split, "band"), "open-buckets")
-    left = open_.where("component != main").select("band", F.col("node").alias("a"), F.col("component").alias("a_part"))
-    right = open_.select("band", F.col("node").alias("b"), F.col("component").alias("b_part"), "main")
-    left, right = left.join(sketch_of("a"), "a"), right.join(sketch_of("b"), "b")
-    apart = (F.col("a_part") != F.col("b_part")) & ((F.col("b_part") == F.col("main")) | (F.col("a") < F.col("b")))
-    pairs = left.join(right, (left.band == right.band) & apart & _plausible("a", "b", params))
-    pairs = pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    pairs = stage(pairs.join(spokes, ["u", "v"], "left_anti"), "more-pairs")
-    if not pairs.isEmpty():
-        links = links.unionByName(stage(_verified(pairs, rows, nodes, params), "more-links"))
-        joined = components(links)
-
+    joined = _Buckets(rows, nodes, params).joined()
     part = nodes.join(joined, "node", "left").select(
         "key", "lowest", "copies", F.coalesce("component", "node").alias("component")
     )
