@@ -105,8 +105,8 @@ class PieceCache:
     def count(self, texts: Texts) -> np.ndarray:
         """The number of ids of each text."""
         starts, ends, first = pieces(texts)
-        lengths = self.lengths[self.lookup(texts.fingerprints(starts, ends), texts, starts, ends)]
-        return np.diff(np.concatenate([[0], np.cumsum(lengths)])[first])
+        entries = self.lookup(texts.fingerprints(starts, ends), texts, starts, ends)
+        return np.diff(np.concatenate([[0], np.cumsum(self.lengths[entries])])[first])
 
 
 @lru_cache(maxsize=4)

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +23,7 @@ from starloom.session import stage
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
 LAST = (1 << 63) - 1
+_ONE_BIT = _U(1) << np.arange(64, dtype=_U)
 
 
 @dataclass(frozen=True)
@@ -32,6 +34,14 @@ class LineParams:
     min_chars: int = 40
 
 
+@lru_cache(maxsize=1)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the odd base and of its inverse, modulo 2^64."""
+    up, down = np.full(n, _U(_BASE)), np.full(n, _U(pow(_BASE, -1, 1 << 64)))
+    up[0] = down[0] = 1
+    return np.cumprod(up, dtype=_U), np.cumprod(down, dtype=_U)
+
+
 class Lines:
     """The lines of several texts as code points, with prefix sums that give substring fingerprints."""
 
@@ -52,16 +62,10 @@ class Lines:
         long = ends - starts >= min_chars
         self.total = per_text
         self.row, self.number, self.starts, self.ends = self.row[long], self.number[long], starts[long], ends[long]
-        values = (self.points.astype(_U) + _U(1)) * _U(0xD6E8FEB86659FD93)
-        values ^= values >> _U(29)
-        values *= _U(0xBF58476D1CE4E5B9)
-        n = len(values)
-        up, down = np.full(n + 1, _U(_BASE)), np.full(n + 1, _U(pow(_BASE, -1, 1 << 64)))
-        up[0] = down[0] = 1
-        up, self.down = np.cumprod(up, dtype=_U), np.cumprod(down, dtype=_U)
+        n = len(self.points)
+        up, self.down = _powers(1 << max(21, int(n).bit_length()))
         self.prefix = np.zeros(n + 1, _U)
-        np.cumsum(values * up[:n], out=self.prefix[1:])
-        self.values = values
+        np.cumsum((self.points + np.uint32(1)) * up[:n], out=self.prefix[1:])
 
     def fingerprint(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         return mix((self.prefix[ends] - self.prefix[starts]) * self.down[starts] + (ends - starts).astype(_U))
@@ -71,9 +75,11 @@ class Lines:
 
     def bigrams(self) -> np.ndarray:
         """A bit per hashed bigram, set if it occurs an odd number of times."""
-        pair = self.values[:-1] + (self.values[1:] << _U(1))
-        bits = np.zeros(len(self.values) + 1, _U)
-        np.bitwise_xor.accumulate(_U(1) << (mix(pair) & _U(63)), out=bits[1:-1])
+        pair = self.points[:-1] * np.uint32(0x9E3779B1) + self.points[1:] * np.uint32(0x85EBCA77)
+        pair ^= pair >> np.uint32(15)
+        pair *= np.uint32(0xC2B2AE3D)
+        bits = np.zeros(len(self.points) + 1, _U)
+        np.bitwise_xor.accumulate(_ONE_BIT[pair >> np.uint32(26)], out=bits[1:-1])
         return (bits[np.maximum(self.ends - 1, self.starts)] ^ bits[self.starts]).view(np.int64)
 
 
