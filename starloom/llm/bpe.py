@@ -15,6 +15,7 @@ from starloom.llm.text import WHITE, Texts, expand
 
 VOCABULARY = "byte_bpe_50k.json"
 KEPT_PIECES = 1_500_000
+ENCODED_AT_ONCE = 4096
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -72,6 +73,12 @@ class PieceCache:
     def lookup(self, keys: np.ndarray, texts: Texts, starts: np.ndarray, ends: np.ndarray, prefix: str = "") -> np.ndarray:
         """The entry of each span; unknown ones are encoded, with ``prefix`` before them."""
         distinct, where, back = np.unique(keys, return_index=True, return_inverse=True)
+        return self.entries_of(distinct, where, texts, starts, ends, prefix)[back]
+
+    def entries_of(
+        self, distinct: np.ndarray, where: np.ndarray, texts: Texts, starts: np.ndarray, ends: np.ndarray, prefix: str = ""
+    ) -> np.ndarray:
+        """The same for ascending distinct keys; ``where`` is a span of each."""
         if len(self.keys) > KEPT_PIECES:
             self.clear()
         at = np.searchsorted(self.keys, distinct)
@@ -82,17 +89,25 @@ class PieceCache:
         entries[known] = self.entry[at[known]]
         new = np.flatnonzero(~known)
         if len(new):
-            body = texts.data.tobytes()
-            strings = [prefix + body[a:b].decode() for a, b in zip(starts[where[new]].tolist(), ends[where[new]].tolist())]
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
-            lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+            ids, lengths = self._encode([(starts[i], ends[i]) for i in where[new]], texts, prefix)
             entries[new] = len(self.lengths) + np.arange(len(new))
             self.places = np.append(self.places, len(self.flat) + np.cumsum(lengths) - lengths)
             self.lengths = np.append(self.lengths, lengths)
-            self.flat = np.append(self.flat, np.fromiter((i for x in ids for i in x), np.uint32, int(lengths.sum())))
+            self.flat = np.append(self.flat, ids)
             self.keys = np.insert(self.keys, at[new], distinct[new])
             self.entry = np.insert(self.entry, at[new], entries[new])
-        return entries[back]
+        return entries
+
+    def _encode(self, spans: list[tuple[int, int]], texts: Texts, prefix: str) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the spans in a row, and how many each has; some thousands at a time, as encodings are large."""
+        ids, lengths = [], []
+        for at in range(0, len(spans), ENCODED_AT_ONCE):
+            strings = [prefix + texts.data[a:b].tobytes().decode() for a, b in spans[at : at + ENCODED_AT_ONCE]]
+            for encoding in self.tokenizer.encode_batch_fast(strings, add_special_tokens=False):
+                mine = encoding.ids
+                ids.extend(mine)
+                lengths.append(len(mine))
+        return np.array(ids, np.uint32), np.array(lengths, np.int64)
 
     def encode(self, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, and the first of each text (and a last)."""
