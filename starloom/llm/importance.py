@@ -107,7 +107,8 @@ def ngram_weights(docs: DataFrame, trusted: DataFrame, params: QualityParams = Q
         yield pa.RecordBatch.from_pydict({"bucket": pa.array(at), "raw": pa.array(total[0][at]), "good": pa.array(total[1][at])})
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    mark = trusted.select(F.col("doc_id").alias("_starloom_id"), F.lit(True).alias("trusted"))
+    # Labels grow with the documents, so they are never sent to all tasks; the plan is the same at all sizes.
+    mark = trusted.select(F.col("doc_id").alias("_starloom_id"), F.lit(True).alias("trusted")).hint("merge")
     marked = rows.join(mark, F.col("doc_id") == F.col("_starloom_id"), "left").select("text", F.coalesce("trusted", F.lit(False)).alias("trusted"))
     each = marked.mapInArrow(count, "bucket BIGINT, raw BIGINT, good BIGINT")
     raw, good = np.zeros(size), np.zeros(size)

@@ -73,6 +73,12 @@ class Lines:
     def keys(self) -> np.ndarray:
         return self.fingerprint(self.starts, self.ends).view(np.int64)
 
+    def totals(self) -> np.ndarray:
+        """The sum of the code points of each line: tells lines apart that share a fingerprint by chance."""
+        upto = np.zeros(len(self.points) + 1, np.int64)
+        np.cumsum(self.points, out=upto[1:])
+        return upto[self.ends] - upto[self.starts]
+
     def bigrams(self) -> np.ndarray:
         """A bit per hashed bigram, set if it occurs an odd number of times."""
         pair = self.points[:-1] * np.uint32(0x9E3779B1) + self.points[1:] * np.uint32(0x85EBCA77)
@@ -185,7 +191,7 @@ def _occurrences(rows: DataFrame, params: LineParams, with_text: bool) -> DataFr
 
     def lines_of(piece: pa.RecordBatch) -> pa.RecordBatch:
         lines = Lines(piece.column("text"), params.min_chars)
-        keys, bits, length = lines.keys(), lines.bigrams(), lines.ends - lines.starts
+        keys, length = lines.keys(), lines.ends - lines.starts
         order = np.lexsort((lines.number, keys, lines.row))
         row, key = lines.row[order], keys[order]
         new = np.ones(len(order), bool)
@@ -195,18 +201,19 @@ def _occurrences(rows: DataFrame, params: LineParams, with_text: bool) -> DataFr
         pick = order[at]
         out = {
             "doc_id": piece.column("doc_id").take(pa.array(lines.row[pick])), "line_no": pa.array(lines.number[pick].astype(np.int32)),
-            "times": pa.array(times), "key": pa.array(keys[pick]), "bits": pa.array(bits[pick]),
+            "times": pa.array(times), "key": pa.array(keys[pick]), "total": pa.array(lines.totals()[pick]),
             "length": pa.array(length[pick].astype(np.int32)),
         }
         if with_text:
+            out["bits"] = pa.array(lines.bigrams()[pick])
             points = lines.points
             out["line"] = pa.array([points[a:b].tobytes().decode("utf-32-le", "surrogatepass") for a, b in zip(lines.starts[pick], lines.ends[pick])], pa.string())
         else:
             out["row_key"] = piece.column("row_key").take(pa.array(lines.row[pick]))
         return pa.RecordBatch.from_pydict(out)
 
-    schema = "doc_id BIGINT, line_no INT, times BIGINT, key BIGINT, bits BIGINT, length INT, "
-    return rows.mapInArrow(over_slices(lines_of), schema + ("line STRING" if with_text else "row_key BIGINT"))
+    schema = "doc_id BIGINT, line_no INT, times BIGINT, key BIGINT, total BIGINT, length INT, "
+    return rows.mapInArrow(over_slices(lines_of), schema + ("bits BIGINT, line STRING" if with_text else "row_key BIGINT"))
 
 
 def _keyed(lines: DataFrame, params: LineParams, keys, label: str) -> DataFrame:
@@ -223,12 +230,12 @@ def _keyed(lines: DataFrame, params: LineParams, keys, label: str) -> DataFrame:
 
 
 def distinct_lines(docs: DataFrame, params: LineParams = LineParams()) -> DataFrame:
-    """A written table of the distinct long lines: ``id, key, bits, length, first_doc, line_no, copies, line``."""
+    """A written table of the distinct long lines: ``id, key, total, length, first_doc, line_no, copies, bits, line``."""
     rows = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST)).alias("doc_id"), F.col("text").cast("string").alias("text"))
     each = _occurrences(rows, params, with_text=True)
-    grouped = each.groupBy("key", "bits", "length").agg(
+    grouped = each.groupBy("key", "total", "length").agg(
         F.min("doc_id").alias("first_doc"), F.min_by("line_no", "doc_id").alias("line_no"), F.sum("times").alias("copies"),
-        F.first("line").alias("line"),
+        F.first("bits").alias("bits"), F.first("line").alias("line"),
     )
     return stage(grouped.withColumn("id", F.monotonically_increasing_id()), "lines")
 
@@ -265,12 +272,12 @@ def line_decisions(docs: DataFrame, params: LineParams = LineParams()) -> DataFr
     links = stage(edit_links(lines, params), "line-links")
     ends = links.select(F.col("a").alias("id"), F.lit(0).alias("later")).unionByName(links.select(F.col("b").alias("id"), F.lit(1).alias("later")))
     per_line = ends.groupBy("id").agg(F.count("*").alias("links"), F.max("later").alias("later"))
-    known = lines.drop("line", "line_no", "copies").join(per_line, "id", "left").drop("id")
+    known = lines.drop("line", "line_no", "copies", "bits").join(per_line, "id", "left").drop("id")
     rows = docs.select(
         F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST)).alias("doc_id"), F.col("text").cast("string").alias("text"),
         _row_key(docs).alias("row_key"),
     )
-    joined = _occurrences(rows, params, with_text=False).join(known, ["key", "bits", "length"])
+    joined = _occurrences(rows, params, with_text=False).join(known, ["key", "total", "length"])
     return joined.select(
         "doc_id", "row_key", "line_no", "key", "times", F.coalesce("links", F.lit(0)).cast("bigint").alias("links"),
         (F.col("doc_id") > F.col("first_doc")).alias("exact"), (F.coalesce("later", F.lit(0)) == 1).alias("near"),
