@@ -1,4 +1,4 @@
-"""Wide feature rows for the rating model: two salted lookups, then one projection.
+"""Wide feature rows for the rating model: two lookups, then one projection.
 
 Everything known about a user (rating statistics, profile, tips) is first combined into one row per user, and the
 same per item, so that the rating rows - by far the largest table - are shuffled once per side only.
@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 
 from starloom.functions.rating import clamp, confidence, shrink, warm_or_cold
 from starloom.operators.leave_one_out import without_rating
-from starloom.operators.skew import hot_keys, salted_join
 from starloom.operators.stats import key_stats, rating_distribution
 from starloom.schema import DEFAULT_COLUMNS, TOP_CATEGORIES, RatingColumns
+from starloom.session import stage
 from starloom.sources.profiles import photo_counts, tip_stats
 
 # Shrinkage strengths, defaults of entities without a profile, and the year ages count back from.
@@ -125,17 +125,10 @@ def with_entities(
     users: DataFrame,
     items: DataFrame,
     cols: RatingColumns = DEFAULT_COLUMNS,
-    counted: DataFrame | None = None,
 ) -> DataFrame:
-    """Left-join both entity tables to rating rows or pairs.
-
-    ``counted`` has the same users and items as ``rows`` where ``rows`` would be costly to compute just for counting keys.
-    """
-    spread_by = [c for c in (*cols.pair, cols.seq) if c in rows.columns]
-    keys = counted if counted is not None else rows
-    hot_users, hot_items = hot_keys(keys, [cols.user]), hot_keys(keys, [cols.item])
-    joined = salted_join(rows, users, cols.user, "left", spread_by, hot_users)
-    return salted_join(joined, items, cols.item, "left", spread_by, hot_items)
+    """Left-join both entity tables, which should be written ones, to rating rows or pairs."""
+    joined = rows.join(users, cols.user, "left").join(items, cols.item, "left")
+    return joined.select(*rows.columns, *[c for c in (*users.columns, *items.columns) if c not in cols.pair])
 
 
 def _full_stats(dist: Column, mean: Column, rich: bool) -> dict[str, Column]:
@@ -276,8 +269,8 @@ def bias_scores(
     rows: DataFrame, ratings: DataFrame, held_out: bool, cols: RatingColumns = DEFAULT_COLUMNS
 ) -> DataFrame:
     """``rows`` plus ``cf_pred, n_neighbours`` of the bias estimate; ``held_out`` leaves each row's own rating out."""
-    users = _packed_stats(ratings, cols.user, "user_dist", True, cols)
-    items = _packed_stats(ratings, cols.item, "item_dist", True, cols)
+    users = stage(_packed_stats(ratings, cols.user, "user_dist", True, cols), "users")
+    items = stage(_packed_stats(ratings, cols.item, "item_dist", True, cols), "items")
     joined = with_entities(rows, users, items, cols).withColumn("_g", ratings.agg(F.avg(cols.rating)).scalar())
     if held_out:
         u, i = [without_rating(F.col(cols.rating), F.col(d), F.col("_g")) for d in ("user_dist", "item_dist")]

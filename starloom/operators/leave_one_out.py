@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from starloom.operators.skew import salted_join
+from starloom.operators.skew import lookup
 from starloom.operators.stats import HIGH_FROM, LOW_UP_TO, rating_distribution
 from starloom.schema import DEFAULT_COLUMNS, MAX_STARS, MIN_STARS, RatingColumns
 
@@ -41,7 +41,7 @@ def leave_one_out(
 ) -> DataFrame:
     """``ratings`` plus ``{prefix}_avg .. {prefix}_five_rate``.
 
-    One aggregate and one salted join back; a window over the key would put a hot key in one task.  A key
+    One aggregate and one lookup; a window over the key would put a hot key in one task.  A key
     with no other rating gets the global mean (which is not leave-one-out) and zeros.
     """
     distribution = rating_distribution(ratings, key, cols)
@@ -49,7 +49,6 @@ def leave_one_out(
     with_mean = ratings if mean is not None else ratings.withColumn(
         "_mean", ratings.agg(F.avg(cols.rating)).scalar()
     )
-    spread_by = [c for c in (cols.user, cols.item, cols.seq) if c in ratings.columns]
-    joined = salted_join(with_mean, packed, key, "left", spread_by)
+    joined = lookup(with_mean, packed, key, label="distribution")
     stats = without_rating(F.col(cols.rating), F.col("_dist"), mean if mean is not None else F.col("_mean"))
     return joined.select(*ratings.columns, *[stats[name].alias(f"{prefix}_{name}") for name in STAT_NAMES])

@@ -1,91 +1,41 @@
-"""Joins that stay balanced when one key holds a large share of the rows.
+"""Joins that stay balanced when one key holds a large share of the rows: one plan for all sizes, nothing counted ahead.
 
-AQE splits skewed partitions only where a shuffle feeds the join directly; below, the looked-up side is
-usually an aggregate on the same key, which hides the shuffle from that rule.  So hot keys are found by a
-map-side combined count and salted explicitly.  The count runs when the join is built: where no key is hot -
-the common case - the plan is the plain join.
+* A lookup has one row per key.  Where it is a written table, a shuffle feeds each side of the join directly, so Spark
+  splits the partition of a hot key by itself, or broadcasts a table whose real size is small.
+* A join of many to many rows of a key is quadratic, so its rows are dealt into blocks: the number of rows of the key is
+  carried as a column, and blocks are joined with blocks, so that a task is bounded by what it makes.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-HOT_ROWS_SETTING = "spark.starloom.hotRows"
-HOT_ROWS = 1_000_000
-# Bound of every hot-key list; a key outside it holds less than 1 / MAX_HOT_KEYS of the rows.
-MAX_HOT_KEYS = 10_000
+from starloom.session import stage
 
+# Rows of a key in a block; two blocks make at most this number squared.
+BLOCK = 2_000
 
-def hot_rows(spark: SparkSession) -> int:
-    """Rows of one key that a single task should take at most."""
-    return int(spark.conf.get(HOT_ROWS_SETTING, str(HOT_ROWS)))
-
-
-def largest_keys(df: DataFrame, keys: Sequence[str], more_than: int) -> list[Row]:
-    """``keys, n`` of the keys with over ``more_than`` rows, largest first; at most MAX_HOT_KEYS of them."""
-    counts = df.select(*keys).groupBy(*keys).agg(F.count("*").alias("n"))
-    return counts.where(F.col("n") > more_than).orderBy(F.desc("n"), *keys).limit(MAX_HOT_KEYS).collect()
-
-
-def local_table(like: DataFrame, keys: Sequence[str], rows: Sequence[Row]) -> DataFrame:
-    """A bounded list of keys (and ``n``) as a DataFrame with the key types of ``like``."""
-    schema = like.select(*keys, F.lit(0).cast("bigint").alias("n")).schema
-    return like.sparkSession.createDataFrame([tuple(r) for r in rows], schema)
-
-
-def hot_keys(df: DataFrame, keys: Sequence[str], rows: int | None = None) -> DataFrame | None:
-    """``keys, _salts`` of the keys with more than ``rows`` rows, or None where there is no such key."""
-    limit = rows or hot_rows(df.sparkSession)
-    largest = largest_keys(df, keys, limit)
-    return with_salts(local_table(df, keys, largest), keys, limit) if largest else None
-
-
-def with_salts(sizes: DataFrame, keys: Sequence[str], limit: int) -> DataFrame:
-    return sizes.select(*keys, F.ceil(F.col("n") / F.lit(float(limit))).cast("int").alias("_salts"))
 
+def lookup(left: DataFrame, right: DataFrame, keys: Sequence[str] | str, how: str = "left", label: str = "lookup") -> DataFrame:
+    """``left.join(right, keys, how)`` for a ``right`` of one row per key, which is written first."""
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    joined = left.join(stage(right, label), keys, how)
+    return joined.select(*left.columns, *([] if how == "left_semi" else [c for c in right.columns if c not in keys]))
 
-def salt(df: DataFrame, hot: DataFrame | None, keys: Sequence[str], spread_by: Sequence[str]) -> DataFrame:
-    """Add ``_salt``: rows of a hot key are spread by the hash of ``spread_by``, other rows get 0."""
-    if hot is None:
-        return df.withColumn("_salt", F.lit(0))
-    marked = df.join(F.broadcast(hot), list(keys), "left")
-    spread = F.pmod(F.xxhash64(*spread_by), F.col("_salts")).cast("int")
-    return marked.withColumn("_salt", F.coalesce(spread, F.lit(0))).drop("_salts")
 
+def block_counts(df: DataFrame, key: str, name: str, block: int = BLOCK) -> DataFrame:
+    """``key, name``: the number of blocks of each key."""
+    return df.groupBy(key).agg(F.ceil(F.count("*") / F.lit(float(block))).cast("int").alias(name))
 
-def replicate(df: DataFrame, hot: DataFrame | None, keys: Sequence[str]) -> DataFrame:
-    """Add ``_salt``: rows of a hot key are repeated once per salt."""
-    if hot is None:
-        return df.withColumn("_salt", F.lit(0))
-    marked = df.join(F.broadcast(hot), list(keys), "left")
-    salts = F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - F.lit(1))
-    return marked.withColumn("_salt", F.explode(salts)).drop("_salts")
 
+def block_of(by: str, blocks: str) -> Column:
+    """The block of a row, by the hash of what tells the rows of a key apart."""
+    return F.pmod(F.xxhash64(by), F.coalesce(F.col(blocks), F.lit(1))).cast("int")
 
-def salted_join(
-    left: DataFrame,
-    right: DataFrame,
-    keys: Sequence[str] | str,
-    how: str = "left",
-    spread_by: Sequence[str] | None = None,
-    hot: DataFrame | None | str = "count",
-) -> DataFrame:
-    """``left.join(right, keys, how)`` for a ``left`` that may be dominated by a few keys.
 
-    ``how`` is 'left', 'inner' or 'left_semi'.  ``spread_by`` should tell rows apart (a row id); rows equal in it share
-    a salt.  ``hot`` takes the result of :func:`hot_keys` where it is known already.  No side is broadcast by force:
-    the planner does it where the real size allows.
-    """
-    keys = [keys] if isinstance(keys, str) else list(keys)
-    if isinstance(hot, str):
-        hot = hot_keys(left, keys)
-    if hot is None:
-        return left.join(right, keys, how).select(
-            *left.columns, *([] if how == "left_semi" else [c for c in right.columns if c not in keys])
-        )
-    salted = salt(left, hot, keys, spread_by or left.columns)
-    joined = salted.join(replicate(right, hot, keys), [*keys, "_salt"], how).drop("_salt")
-    return joined.select(*left.columns, *[c for c in joined.columns if c not in left.columns])
+def every_block(blocks: str) -> Column:
+    """One row per block."""
+    return F.explode(F.sequence(F.lit(0), F.coalesce(F.col(blocks), F.lit(1)) - F.lit(1)))

@@ -70,11 +70,11 @@ def rating_distribution(ratings: DataFrame, key: str, cols: RatingColumns = DEFA
     return totals.join(extremes, key)
 
 
-def distribution_stats(distribution: DataFrame, key: str) -> DataFrame:
-    """``key`` and the nine statistics of a distribution table (variance from the sums, floored at 0)."""
+def distribution_stats(distribution: DataFrame, key: str, keep: list[str] | None = None) -> DataFrame:
+    """``key``, columns to ``keep`` and the nine statistics of a distribution table (variance from the sums, floored at 0)."""
     cnt = F.col("cnt")
     avg = F.col("sum") / cnt
     return distribution.select(
-        key, avg.alias("avg"), "cnt", F.greatest(F.lit(0.0), F.col("sumsq") / cnt - avg * avg).alias("var"), "min", "max",
+        key, *(keep or []), avg.alias("avg"), "cnt", F.greatest(F.lit(0.0), F.col("sumsq") / cnt - avg * avg).alias("var"), "min", "max",
         *[(F.col(c) / cnt).alias(f"{c}_rate") for c in ["low", "high", "one", "five"]],
     )

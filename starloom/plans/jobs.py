@@ -15,7 +15,7 @@ from starloom.operators.features import Profiles, assemble, item_table, user_tab
 from starloom.operators.scoring import assign_folds, attach_scores, fit_cf, out_of_fold_cf, score_cf
 from starloom.operators.similarity import CfParams
 from starloom.schema import DEFAULT_COLUMNS, RatingColumns
-from starloom.session import stage, tune
+from starloom.session import stage, temporary_tables
 from starloom.sources import files
 from starloom.sources import profiles as entities
 
@@ -31,82 +31,92 @@ class JobResult:
     test_vectors: DataFrame
 
 
-def _finish(train_vectors: DataFrame, test_vectors: DataFrame, pairs: DataFrame, boosting: BoostingParams, rich: bool, cols: RatingColumns) -> JobResult:
-    train_vectors = stage(train_vectors, "train-vectors")
-    model = fit_boosting(train_vectors, boosting, label=cols.rating, staged=False)
-    scored = model.predict(test_vectors)
-    value = calibrated(F.col("raw_prediction"), F.lit(model.centre)) if rich else clamped()
-    return JobResult(scored.select(*pairs.columns, value.alias("prediction")), train_vectors, test_vectors)
+@dataclass(frozen=True)
+class Prepared:
+    """The written tables that the vectors of a job are made from.
 
+    ``cf`` says where the neighbourhood score comes from: 'oof' for out-of-fold scores, 'proxy' for the bias estimate.
+    """
 
-def run_stacked(
-    ratings: DataFrame,
-    pairs: DataFrame,
-    profiles: Profiles,
-    params: CfParams = CfParams(),
-    boosting: BoostingParams = STACKED_BOOSTING,
-    folds: int = FOLDS,
-    cols: RatingColumns = DEFAULT_COLUMNS,
-) -> JobResult:
-    """Out-of-fold neighbourhood scores stacked into trees over 68 features.
+    ratings: DataFrame
+    pairs: DataFrame
+    users: DataFrame
+    items: DataFrame
+    rich: bool
+    cf: str
+    params: CfParams
+    folds: int
+    cols: RatingColumns
+
+
+def prepare(
+    ratings: DataFrame, pairs: DataFrame, profiles: Profiles, rich: bool, cf: str | None = None, params: CfParams = CfParams(),
+    folds: int = FOLDS, cols: RatingColumns = DEFAULT_COLUMNS,
+) -> Prepared:
+    cf = cf or ("proxy" if rich else "oof")
+    if cf not in ("proxy", "oof") or (cf == "proxy" and not rich):
+        raise ValueError("cf must be 'oof', or 'proxy' for the rich job")
+    if cf == "oof" and cols.fold not in ratings.columns:
+        ratings = assign_folds(ratings, folds, cols=cols)
+    fold = [cols.fold] if cf == "oof" else []
+    ratings = stage(ratings.select(*cols.pair, cols.rating, cols.seq, *fold), "ratings")
+    profiles = replace(profiles, tips=stage(profiles.tips, "tips"))
+    users = stage(user_table(ratings, profiles, rich, cols), "users")
+    items = stage(item_table(ratings, profiles, rich, cols), "items")
+    return Prepared(ratings, stage(pairs, "to-score"), users, items, rich, cf, params, folds, cols)
+
+
+def _vectors(p: Prepared, rows: DataFrame, scores: DataFrame | None, held_out: bool, keep: list[str]) -> DataFrame:
+    if scores is not None:
+        rows = attach_scores(rows, scores, p.cols)
+    mean = p.ratings.agg(F.avg(p.cols.rating)).scalar()
+    source = "columns" if p.cf == "oof" else "proxy"
+    return assemble(with_entities(rows, p.users, p.items, p.cols), mean, p.rich, held_out, keep, source, p.cols, "features")
 
-    Training rows use full (not leave-one-out) statistics; only their neighbourhood score is out of fold.
+
+def train_vectors(p: Prepared) -> DataFrame:
+    """Pair, rating, order and feature vector of each rating.
+
+    The rich job leaves each rating out of its statistics; of the stacked job only the neighbourhood score is out of fold.
     """
-    tune(ratings.sparkSession)
-    if cols.fold not in ratings.columns:
-        ratings = assign_folds(ratings, folds, cols=cols)
-    ratings = stage(ratings.select(*cols.pair, cols.rating, cols.seq, cols.fold), "ratings")
-    pairs = stage(pairs, "to-score")
-    mean = ratings.agg(F.avg(cols.rating)).scalar()
-    users, items = user_table(ratings, profiles, False, cols), item_table(ratings, profiles, False, cols)
-    users, items = stage(users, "users"), stage(items, "items")
+    scores = out_of_fold_cf(p.ratings, p.folds, p.params, p.cols) if p.cf == "oof" else None
+    return _vectors(p, p.ratings, scores, p.rich, [*p.cols.pair, p.cols.rating, p.cols.seq])
 
-    held_out = stage(out_of_fold_cf(ratings, folds, params, cols), "held-out")
-    train_rows = with_entities(attach_scores(ratings, held_out, cols), users, items, cols, ratings)
-    train = assemble(train_rows, mean, False, False, [*cols.pair, cols.rating], cols=cols, vector="features")
 
-    scores = stage(score_cf(pairs, fit_cf(ratings, params, cols)), "scores")
-    test_rows = with_entities(attach_scores(pairs, scores, cols), users, items, cols, pairs)
-    test = assemble(test_rows, mean, False, False, pairs.columns, cols=cols, vector="features")
-    return _finish(train, test, pairs, boosting, False, cols)
+def test_vectors(p: Prepared) -> DataFrame:
+    """The columns of the pairs and their feature vectors."""
+    scores = None
+    if p.cf == "oof":
+        scores = score_cf(p.pairs, fit_cf(p.ratings, p.params, p.cols, targets=p.pairs))
+    return _vectors(p, p.pairs, scores, False, p.pairs.columns)
+
+
+def fit_and_predict(p: Prepared, boosting: BoostingParams) -> JobResult:
+    """Trees over the vectors, then calibration (rich) or a clamp (stacked)."""
+    train, test = stage(train_vectors(p), "train-vectors"), test_vectors(p)
+    model = fit_boosting(train, boosting, label=p.cols.rating, staged=False)
+    scored = model.predict(test)
+    value = calibrated(F.col("raw_prediction"), F.lit(model.centre)) if p.rich else clamped()
+    return JobResult(scored.select(*p.pairs.columns, value.alias("prediction")), train, test)
+
+
+def run_stacked(
+    ratings: DataFrame, pairs: DataFrame, profiles: Profiles, params: CfParams = CfParams(),
+    boosting: BoostingParams = STACKED_BOOSTING, folds: int = FOLDS, cols: RatingColumns = DEFAULT_COLUMNS,
+) -> JobResult:
+    """Out-of-fold neighbourhood scores stacked into trees over 68 features."""
+    return fit_and_predict(prepare(ratings, pairs, profiles, False, "oof", params, folds, cols), boosting)
 
 
 def run_rich(
-    ratings: DataFrame,
-    pairs: DataFrame,
-    profiles: Profiles,
-    boosting: BoostingParams = RICH_BOOSTING,
-    cf: str = "proxy",
-    params: CfParams = CfParams(),
-    folds: int = FOLDS,
-    cols: RatingColumns = DEFAULT_COLUMNS,
+    ratings: DataFrame, pairs: DataFrame, profiles: Profiles, boosting: BoostingParams = RICH_BOOSTING, cf: str = "proxy",
+    params: CfParams = CfParams(), folds: int = FOLDS, cols: RatingColumns = DEFAULT_COLUMNS,
 ) -> JobResult:
     """Trees over 117 features with leave-one-out statistics, then calibration.
 
     ``cf='proxy'`` fills the neighbourhood slots with the bias estimate, ``cf='oof'`` with out-of-fold scores.
     """
-    if cf not in ("proxy", "oof"):
-        raise ValueError("cf must be 'proxy' or 'oof'")
-    tune(ratings.sparkSession)
-    if cf == "oof" and cols.fold not in ratings.columns:
-        ratings = assign_folds(ratings, folds, cols=cols)
-    fold = [cols.fold] if cf == "oof" else []
-    ratings = stage(ratings.select(*cols.pair, cols.rating, cols.seq, *fold), "ratings")
-    pairs = stage(pairs, "to-score")
-    mean = ratings.agg(F.avg(cols.rating)).scalar()
-    users, items = user_table(ratings, profiles, True, cols), item_table(ratings, profiles, True, cols)
-    users, items = stage(users, "users"), stage(items, "items")
-
-    train_rows, test_rows = ratings, pairs
-    if cf == "oof":
-        train_rows = attach_scores(ratings, stage(out_of_fold_cf(ratings, folds, params, cols), "held-out"), cols)
-        test_rows = attach_scores(pairs, stage(score_cf(pairs, fit_cf(ratings, params, cols)), "scores"), cols)
-    source = "proxy" if cf == "proxy" else "columns"
-    train = assemble(
-        with_entities(train_rows, users, items, cols, ratings), mean, True, True, [*cols.pair, cols.rating], source, cols, "features"
-    )
-    test = assemble(with_entities(test_rows, users, items, cols, pairs), mean, True, False, pairs.columns, source, cols, "features")
-    return _finish(train, test, pairs, boosting, True, cols)
+    return fit_and_predict(prepare(ratings, pairs, profiles, True, cf, params, folds, cols), boosting)
 
 
 @dataclass(frozen=True)
@@ -142,23 +152,25 @@ def predict_files(
     output_path: str,
     job: str = "rich",
     boosting: BoostingParams | None = None,
-    by_file_order: bool = False,
+    by_file_order: bool = True,
     cols: RatingColumns = DEFAULT_COLUMNS,
     **options,
-) -> JobResult:
-    """Read the six files and the pairs, run ``job`` ('stacked' or 'rich') and write the predictions.
+) -> DataFrame:
+    """Read the six files and the pairs, run ``job`` ('stacked' or 'rich'), write the predictions and read them back.
 
-    The output keeps the order of the pairs file.  ``by_file_order`` assigns folds by row position instead of by hash.
+    The output keeps the order of the pairs file.  Ratings are numbered by their place in the file, which orders them and
+    gives their folds; ``by_file_order=False`` assigns folds by hash.  Intermediate tables are removed at the end.
     """
-    ratings = files.read_ratings(spark, source.path("ratings"), cols)
-    if by_file_order:
+    with temporary_tables(spark):
+        ratings = stage(files.read_ratings(spark, source.path("ratings"), cols), "read")
         ratings = files.with_row_index(ratings, cols.seq)
-        ratings = assign_folds(ratings, options.get("folds", FOLDS), cols=cols)
-    pairs = files.read_pairs(spark, pairs_path, cols)
-    profiles = read_profiles(spark, source, job == "rich", cols)
-    run = {"stacked": run_stacked, "rich": run_rich}[job]
-    default = STACKED_BOOSTING if job == "stacked" else RICH_BOOSTING
-    result = run(ratings, pairs, profiles, boosting=boosting or default, cols=cols, **options)
-    result = replace(result, predictions=stage(result.predictions, "predictions"))
-    files.write_predictions(result.predictions, output_path, cols, order_by=cols.seq)
-    return result
+        if by_file_order:
+            ratings = assign_folds(ratings, options.get("folds", FOLDS), cols=cols)
+        ratings = ratings.withColumn(cols.seq, F.col("row_index")).drop("row_index")
+        pairs = files.read_pairs(spark, pairs_path, cols)
+        profiles = read_profiles(spark, source, job == "rich", cols)
+        run = {"stacked": run_stacked, "rich": run_rich}[job]
+        default = STACKED_BOOSTING if job == "stacked" else RICH_BOOSTING
+        result = run(ratings, pairs, profiles, boosting=boosting or default, cols=cols, **options)
+        files.write_predictions(stage(result.predictions, "predictions"), output_path, cols, order_by=cols.seq)
+    return spark.read.schema("user_id STRING, business_id STRING, prediction DOUBLE").csv(output_path, header=True)

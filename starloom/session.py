@@ -1,11 +1,19 @@
-"""Session settings and fault-tolerant staging of intermediate tables."""
+"""Session settings and fault-tolerant staging of intermediate tables.
+
+Nothing here changes a session that was handed in; :func:`build_session` makes one with the settings that fit.
+"""
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+_made: ContextVar[list[str] | None] = ContextVar("staged_paths", default=None)
+
 
 def build_session(app: str = "starloom", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the package is tuned for; cluster settings are left alone."""
@@ -16,23 +24,15 @@ def build_session(app: str = "starloom", master: str | None = None, **conf: str)
         .config("spark.sql.session.timeZone", "UTC")
         # Call sites in error messages cost several JVM calls per Column; wide feature plans have thousands.
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
+        # One generated method over a hundred feature formulas is beyond what the JVM compiles to machine code (8000
+        # bytes), and would run interpreted; below this limit Spark generates many small methods instead.
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
     )
     if master:
         builder = builder.master(master)
     for name, value in conf.items():
         builder = builder.config(name.replace("__", "."), value)
-    spark = builder.getOrCreate()
-    tune(spark)
-    return spark
-
-
-def tune(spark: SparkSession) -> None:
-    """Runtime settings for the wide feature rows, for sessions not made by :func:`build_session`.
-
-    One generated method over a hundred feature formulas is beyond what the JVM compiles to machine code (8000
-    bytes), and would run interpreted; below this limit Spark generates many small methods instead.
-    """
-    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
+    return builder.getOrCreate()
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -46,12 +46,36 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder, in whatever store it is."""
+    context = spark.sparkContext
+    folder = context._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+@contextmanager
+def temporary_tables(spark: SparkSession) -> Iterator[None]:
+    """Tables staged inside are deleted at the end, so results must be written or collected before."""
+    paths: list[str] = []
+    token = _made.set(paths)
+    try:
+        yield
+    finally:
+        _made.reset(token)
+        for path in paths:
+            remove(spark, path)
+
+
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as parquet below the shared folder and read it back.
 
-    This cuts the lineage at a table that outlives executors, and gives the planner real sizes.
+    This cuts the lineage at a table that outlives executors, and gives the planner real sizes.  Wrap a job in
+    :func:`temporary_tables` to have its tables removed.
     """
     spark = df.sparkSession
     path = fresh_path(spark, label)
+    made = _made.get()
+    if made is not None:
+        made.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -44,16 +44,30 @@ def with_row_index(df: DataFrame, seq: str = "seq", index: str = "row_index") ->
     return located.select(*df.columns, position.alias(index))
 
 
+_BROKEN = "_broken_line"
+
+
 def _read_csv(spark: SparkSession, path: str, names: list[str], strict: bool) -> DataFrame:
-    return (
-        spark.read.schema(", ".join(f"`{n}` STRING" for n in names))
+    """The named fields as text, and ``_short``: whether the line has fewer of them (an empty field is one)."""
+    raw = (
+        spark.read.schema(", ".join(f"`{n}` STRING" for n in [*names, _BROKEN]))
         .option("header", True)
         .option("enforceSchema", True)
         .option("quote", "")
-        .option("mode", "FAILFAST" if strict else "PERMISSIVE")
+        .option("mode", "PERMISSIVE")
+        .option("columnNameOfCorruptRecord", _BROKEN)
         .csv(path)
-        .select(*names, *_LOCATION)
+        .select(*names, _BROKEN, *_LOCATION)
     )
+    # Spark hands over lines of another number of fields as broken ones; those with more fields are read as usual.
+    short = F.coalesce(F.size(F.split(_BROKEN, ",")) < len(names), F.lit(False))
+    if strict:
+        short = F.when(short, F.raise_error(F.concat(F.lit("too few fields: "), F.col(_BROKEN))).cast("boolean")).otherwise(False)
+    return raw.withColumn("_short", short).drop(_BROKEN)
+
+
+def _is_header() -> Column:
+    return (F.col("user_id") == "user_id") & (F.col("business_id") == "business_id")
 
 
 def read_ratings(
@@ -61,44 +75,34 @@ def read_ratings(
 ) -> DataFrame:
     """``user, item, rating, seq`` from CSV with a header; repeated headers are dropped.
 
-    Text ratings that are not numbers become 0.0.  Rows too short to name an item are dropped, or
-    fail the job when ``strict``; an empty id followed by a rating is kept as ''.
+    An empty rating and text that is no number become 0.0, an empty id is kept as ''.  Lines of fewer than three fields
+    are dropped (:func:`short_lines` counts them), or fail the job when ``strict``.
     """
-    raw = _read_csv(spark, path, ["user_id", "business_id", "stars"], strict).withColumns(
-        {
-            name: F.coalesce(name, F.when(F.col("stars").isNotNull(), F.lit("")))
-            for name in ["user_id", "business_id"]
-        }
-    )
-    kept = raw.where(
-        F.col("business_id").isNotNull()
-        & ~((F.col("user_id") == "user_id") & (F.col("business_id") == "business_id"))
-    )
-    return kept.select(
-        F.col("user_id").alias(cols.user),
-        F.col("business_id").alias(cols.item),
-        float_text(F.col("stars")).alias(cols.rating),
-        file_order().alias(cols.seq),
+    raw = _read_csv(spark, path, ["user_id", "business_id", "stars"], strict).where("NOT _short")
+    raw = raw.withColumns({name: F.coalesce(name, F.lit("")) for name in ["user_id", "business_id"]})
+    return raw.where(~_is_header()).select(
+        F.col("user_id").alias(cols.user), F.col("business_id").alias(cols.item),
+        float_text(F.coalesce("stars", F.lit(""))).alias(cols.rating), file_order().alias(cols.seq),
     )
 
 
 def read_pairs(
     spark: SparkSession, path: str, cols: RatingColumns = DEFAULT_COLUMNS, strict: bool = False
 ) -> DataFrame:
-    """``user, item, seq`` of the pairs to predict; further CSV columns are ignored."""
-    names = ["user_id", "business_id"]
-    raw = _read_csv(spark, path, names, strict)
-    kept = raw.where(
-        F.col("business_id").isNotNull()
-        & ~((F.col("user_id") == "user_id") & (F.col("business_id") == "business_id"))
-    )
-    return kept.select(
-        F.col("user_id").alias(cols.user),
-        F.col("business_id").alias(cols.item),
-        file_order().alias(cols.seq),
+    """``user, item, seq`` of the pairs to predict; further CSV columns are ignored, lines of one field as above."""
+    raw = _read_csv(spark, path, ["user_id", "business_id"], strict).where("NOT _short")
+    raw = raw.withColumns({name: F.coalesce(name, F.lit("")) for name in ["user_id", "business_id"]})
+    return raw.where(~_is_header()).select(
+        F.col("user_id").alias(cols.user), F.col("business_id").alias(cols.item), file_order().alias(cols.seq)
     )
 
 
+def short_lines(spark: SparkSession, path: str, fields: int = 3) -> DataFrame:
+    """One row: ``n``, the number of lines that :func:`read_ratings` (3 fields) or :func:`read_pairs` (2) leaves out."""
+    lines = spark.read.text(path).where("value != ''")
+    return lines.agg(F.count_if(F.size(F.split("value", ",")) < fields).alias("n"))
+
+
 def read_json_lines(spark: SparkSession, path: str) -> DataFrame:
     """``value, seq``: the raw lines with their file order."""
     lines = spark.read.text(path).select("value", *_LOCATION)

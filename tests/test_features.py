@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import math
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from starloom.functions.rating import clamp
 from starloom.operators import evaluation
 from starloom.operators.boosting import BoostingParams, fit_boosting, fit_calibration
 from starloom.operators.features import RICH_FEATURES, STACKED_FEATURES, assemble, item_table, user_table, with_entities
-from starloom.operators.skew import HOT_ROWS_SETTING
+from starloom.plans import jobs
 from starloom.plans.jobs import InputFiles, predict_files, read_profiles
 from starloom.sources import files
 
@@ -55,16 +56,10 @@ def rows_of(spark, folder, rich, held_out, cf="proxy"):
     return ratings, assemble(joined, mean, rich, held_out, keep, cf)
 
 
-@pytest.mark.parametrize("hot", [None, "6"])
-def test_rich_training_features(spark, folder, hot):
-    if hot:
-        spark.conf.set(HOT_ROWS_SETTING, hot)
-    try:
-        ratings, features = rows_of(spark, folder[0], True, True)
-        everything = ratings.collect()
-        got = features.collect()
-    finally:
-        spark.conf.unset(HOT_ROWS_SETTING)
+def test_rich_training_features(spark, folder):
+    ratings, features = rows_of(spark, folder[0], True, True)
+    everything = ratings.collect()
+    got = features.collect()
     assert features.columns[3:] == RICH_FEATURES and len(RICH_FEATURES) == 117 and len(STACKED_FEATURES) == 68
     assert len(got) == len(everything)
     g = sum(r.stars for r in everything) / len(everything)
@@ -103,12 +98,24 @@ def test_leave_one_out_needs_rich_tables(spark, folder):
         rows_of(spark, folder[0], False, True)
 
 
-@pytest.mark.parametrize("job,options", [("stacked", {"by_file_order": True}), ("rich", {}), ("rich", {"cf": "oof"})])
+def made_so_far(spark):
+    from pathlib import Path
+
+    from starloom.session import shared_folder
+
+    return {str(p) for p in Path(shared_folder(spark)).glob("*")}
+
+
+@pytest.mark.parametrize("job,options", [("stacked", {}), ("stacked", {"by_file_order": False}), ("rich", {}), ("rich", {"cf": "oof"})])
 def test_jobs_end_to_end(spark, folder, tmp_path, job, options):
     path, truth, order = folder
     out = str(tmp_path / "out")
-    result = predict_files(spark, InputFiles(path), path + "/pairs.csv", out, job, BoostingParams(trees=8, depth=3, learning_rate=0.3, min_rows_per_leaf=5), **options)
-    assert result.train_vectors.first()["features"].size == (68 if job == "stacked" else 117)
+    before = made_so_far(spark)
+    boosting = BoostingParams(trees=8, depth=3, learning_rate=0.3, min_rows_per_leaf=5)
+    result = predict_files(spark, InputFiles(path), path + "/pairs.csv", out, job, boosting, **options)
+    assert result.count() == len(order)
+    # What is left is the trees' own checkpoint folder at most.
+    assert not [p for p in made_so_far(spark) - before if any(Path(p).rglob("*.parquet"))]
     text = [line for p in sorted((tmp_path / "out").glob("part-*.csv")) for line in p.read_text().splitlines()[1:]]
     assert [tuple(line.split(",")[:2]) for line in text] == order
     predicted = {tuple(line.split(",")[:2]): float(line.split(",")[2]) for line in text}
@@ -119,6 +126,32 @@ def test_jobs_end_to_end(spark, folder, tmp_path, job, options):
     assert error(predicted.get) < 0.85 * error(lambda _: g)
 
 
+def test_vectors_of_the_jobs(spark, folder):
+    source = InputFiles(folder[0])
+    ratings = files.with_row_index(files.read_ratings(spark, source.path("ratings")))
+    ratings = ratings.withColumn("seq", F.col("row_index")).drop("row_index")
+    pairs = files.read_pairs(spark, folder[0] + "/pairs.csv")
+    for rich, size in ((False, 68), (True, 117)):
+        prepared = jobs.prepare(ratings, pairs, read_profiles(spark, source, rich), rich)
+        train, test = jobs.train_vectors(prepared), jobs.test_vectors(prepared)
+        assert train.count() == ratings.count() and test.count() == pairs.count()
+        assert train.first()["features"].size == test.first()["features"].size == size
+    with pytest.raises(ValueError):
+        jobs.prepare(ratings, pairs, read_profiles(spark, source, False), False, "proxy")
+
+
+def test_submitted_job(spark, folder, tmp_path, monkeypatch):
+    from starloom import __main__ as command
+
+    monkeypatch.setattr(command, "build_session", lambda name: spark)
+    asked = {}
+    monkeypatch.setattr(command, "predict_files", lambda *a, **k: asked.update(files=a[1:], options=k))
+    command.main([folder[0], "pairs.csv", str(tmp_path / "out"), "--job", "stacked"])
+    assert asked == {"files": (InputFiles(folder[0]), "pairs.csv", str(tmp_path / "out"), "stacked"), "options": {}}
+    command.main([folder[0], "pairs.csv", str(tmp_path / "out"), "--cf", "oof"])
+    assert asked["files"][3] == "rich" and asked["options"] == {"cf": "oof"}
+
+
 def test_boosting_starts_from_the_mean(spark, folder):
     _, features = rows_of(spark, folder[0], True, True)
     from pyspark.ml.functions import array_to_vector

@@ -7,6 +7,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from starloom.operators.scoring import assign_folds
 from starloom.sources import files, profiles
 
 
@@ -24,10 +25,12 @@ def test_ratings_csv(spark, tmp_path):
     path = write(
         tmp_path,
         "r.csv",
-        ["user_id,business_id,stars", "u1,b1,5", "user_id,business_id,stars", "u1,b1,abc", "", "u2,b2,1d", "u3", "u4,b4, 1_0.5e0 ", "u5,,2"],
+        ["user_id,business_id,stars", "u1,b1,5", "user_id,business_id,stars", "u1,b1,abc", "", "u2,b2,1d", "u3", "u4,b4, 1_0.5e0 ", "u5,,2", "u6,b6", "u7,b7,", "u8,b8,3,more"],
     )
     rows = [(r.user_id, r.item_id, r.stars) for r in files.read_ratings(spark, path).orderBy("seq").collect()]
-    assert rows == [("u1", "b1", 5.0), ("u1", "b1", 0.0), ("u2", "b2", 0.0), ("u4", "b4", 10.5), ("u5", "", 2.0)]
+    assert rows == [("u1", "b1", 5.0), ("u1", "b1", 0.0), ("u2", "b2", 0.0), ("u4", "b4", 10.5), ("u5", "", 2.0), ("u7", "b7", 0.0), ("u8", "b8", 3.0)]
+    # A line without the third field is no rating of 0.0; an empty third field is one.
+    assert files.short_lines(spark, path).first().n == 2
     with pytest.raises(Exception):
         files.read_ratings(spark, path, strict=True).collect()
 
@@ -38,6 +41,20 @@ def test_pairs_ignore_extra_columns(spark, tmp_path):
     assert rows == [("u1", "b1"), ("u2", "b2")]
 
 
+def test_folds_do_not_depend_on_the_split(spark, tmp_path):
+    path = write(tmp_path, "r.csv", ["user_id,business_id,stars", *[f"u{i % 97},b{i % 31},{i % 5 + 1}" for i in range(4000)]])
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    found = []
+    for size in ("2048", "1048576"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        ratings = files.read_ratings(spark, path)
+        hashed = assign_folds(ratings, 5).groupBy("user_id", "item_id", "stars", "fold").count().collect()
+        placed = assign_folds(files.with_row_index(ratings), 5).select("row_index", "fold").collect()
+        found.append((sorted(hashed), sorted(placed)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert found[0] == found[1] and [r.fold for r in found[0][1]] == [i % 5 for i in range(4000)]
+
+
 def test_row_index_follows_file_order_over_many_blocks(spark, tmp_path):
     lines = [f"u{i},b{i % 7},{i % 5 + 1}" for i in range(5000)]
     folder = tmp_path / "many"

@@ -9,7 +9,7 @@ import pytest
 
 from starloom.operators import stats
 from starloom.operators.leave_one_out import STAT_NAMES, leave_one_out
-from starloom.operators.skew import HOT_ROWS_SETTING, hot_keys, salted_join
+from starloom.operators.skew import lookup
 
 
 def ratings_frame(spark, rows):
@@ -35,14 +35,6 @@ def expected(values, mean):
     ]
 
 
-@pytest.fixture(params=[None, "5"], ids=["plain", "salted"])
-def hot_setting(spark, request):
-    if request.param:
-        spark.conf.set(HOT_ROWS_SETTING, request.param)
-    yield request.param
-    spark.conf.unset(HOT_ROWS_SETTING)
-
-
 def hot_rows_case():
     rows = random_rows(3, 120, 12, 15)
     return rows + [("hot", f"i{k % 15}", 1 + k % 5) for k in range(60)] + [("solo", "only", 4), ("pair", "i1", 2), ("pair", "i2", 5)]
@@ -79,7 +71,7 @@ def test_rating_distribution(spark):
 
 
 @pytest.mark.parametrize("key,position", [("user_id", 0), ("item_id", 1)])
-def test_leave_one_out(spark, hot_setting, key, position):
+def test_leave_one_out(spark, key, position):
     rows = hot_rows_case()
     mean = sum(r[2] for r in rows) / len(rows)
     out = leave_one_out(ratings_frame(spark, rows), key, "k").collect()
@@ -97,12 +89,9 @@ def test_leave_one_out_ignores_own_rating(spark):
 
 
 @pytest.mark.parametrize("how", ["left", "inner", "left_semi"])
-def test_salted_join_equals_plain_join(spark, hot_setting, how):
+def test_lookup_equals_plain_join(spark, how):
     left = spark.createDataFrame([("a", n) for n in range(40)] + [("b", 1), ("c", 2)], "k string, x int")
-    right = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("b", 3.0)], "k string, y double")
-    found = hot_keys(left, ["k"])
-    assert (found.collect() == [("a", 8)]) if hot_setting else found is None
-    got = salted_join(left, right, "k", how)
-    want = left.join(right, "k", how)
+    right = spark.createDataFrame([("a", 1.0), ("b", 3.0)], "k string, y double")
+    got, want = lookup(left, right, "k", how), left.join(right, "k", how)
     assert got.columns == want.columns
     assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))

@@ -2,18 +2,49 @@
 
 from __future__ import annotations
 
-from starloom.operators.features import RICH_FEATURES, STACKED_FEATURES
-from starloom.schema import TOP_CATEGORIES
-from workload.queries import LOOSE, PART_WORDS, SEQ, TIE
-
-ORDER = "(l_orderkey, l_linenumber, l_partkey, l_extendedprice)"
-SEQ_LIST = ", ".join(SEQ)
+# Fixed values, written out here so that a wrong one in the library is seen: rounding, words, categories, features.
+TIE = 3.3e-9
+LOOSE = 1e-4
+PART_WORDS = ["ring", "widget", "bolt", "gear", "gizmo", "small", "red", "blue", "hot"]
+TOP_CATEGORIES = [
+    "restaurants", "food", "nightlife", "bars", "shopping", "beauty & spas", "health & medical", "home services",
+    "local services", "automotive", "active life", "event planning & services", "coffee & tea", "sandwiches",
+    "american (traditional)", "american (new)", "pizza", "breakfast & brunch", "mexican", "italian", "chinese",
+    "japanese", "seafood", "fast food",
+]
+STACKED_FEATURES = """
+user_mean item_mean pair_mean pair_mean_sq user_profile_mean item_profile_mean user_mean_c5 user_mean_c15
+item_mean_c10 item_mean_c35 user_conf item_conf log_user_cnt log_item_cnt log_user_reviews log_item_reviews mean_gap
+abs_mean_gap user_bias item_bias user_var item_var user_range item_range user_cold item_cold log_fans log_useful
+log_compliments log_friends elite_count fans_per_review useful_per_review account_years item_stars latitude
+longitude is_open price category_count log_checkins log_photos log_item_tips log_user_tips item_tip_likes
+user_tip_likes mean_product bias_product gap_x_user_var gap_x_item_var var_product log_cnt_product user_mean_x_price
+item_var_x_log_cnt user_mean_x_conf item_mean_x_conf gap_x_conf pair_mean_x_item_conf cf_pred n_neighbours cf_conf
+cf_minus_user cf_minus_item cf_minus_pair cf_x_cf_conf cf_x_item_conf cf_x_user_conf cf_abs_minus_user
+""".split()
+RICH_FEATURES = """
+user_mean item_mean pair_mean pair_mean_sq user_profile_mean item_profile_mean user_mean_c5 user_mean_c15
+item_mean_c10 item_mean_c35 user_conf item_conf log_user_cnt log_item_cnt log_user_reviews log_item_reviews mean_gap
+abs_mean_gap user_bias item_bias user_var item_var user_range item_range user_cold item_cold log_fans log_useful
+log_compliments log_friends elite_count fans_per_review useful_per_review account_years item_stars latitude
+longitude is_open price category_count log_checkins log_photos log_item_tips log_user_tips item_tip_likes
+user_tip_likes mean_product bias_product gap_x_user_var gap_x_item_var var_product log_cnt_product user_mean_x_price
+item_var_x_log_cnt user_mean_x_conf item_mean_x_conf gap_x_conf pair_mean_x_item_conf cf_pred n_neighbours cf_conf
+cf_minus_user cf_minus_item cf_minus_pair cf_x_cf_conf cf_x_item_conf cf_x_user_conf cf_abs_minus_user alcohol kids
+outdoor noise wifi tv attire weekly_hours weekend_open evening_ratio weekend_ratio user_low_rate user_high_rate
+item_low_rate item_high_rate low_rate_product high_rate_product user_one_rate user_five_rate item_one_rate
+item_five_rate one_rate_product five_rate_product user_one_x_item_low user_five_x_item_high
+""".split()
+RICH_FEATURES += [f"cat_{i:02d}" for i in range(1, 25)]
+
+ORDER = "(l_orderkey, l_linenumber, l_partkey)"
+SEQ_LIST = "seq"
 STATS = ["avg", "cnt", "var", "min", "max", "low_rate", "high_rate", "one_rate", "five_rate"]
 
 RATINGS = """
 ratings AS (
   SELECT o_custkey AS user_id, l_suppkey AS item_id, CAST(1 + floor((l_quantity - 1) / 10) AS DOUBLE) AS stars,
-         l_orderkey, l_linenumber, l_partkey, l_extendedprice,
+         l_orderkey, l_linenumber, l_partkey, l_orderkey * 16777216 + l_linenumber * 2097152 + l_partkey AS seq,
          CAST((l_orderkey * 31 + l_partkey * 7 + l_linenumber) % 5 AS INTEGER) AS fold,
          o_orderdate >= TIMESTAMP '2000-06-01' OR c_nationkey = 19 OR s_nationkey = 15 AS is_test
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
@@ -265,7 +296,7 @@ def features(rows: str, rich: bool, score: str, neighbours: str, extra: str = ""
     stats = ", ".join(f"rows.{p}_{n}" for p in "ui" for n in STATS)
     names = RICH_FEATURES if rich else STACKED_FEATURES
     shown = ", ".join(f"round(CAST({FORMULAS.get(n, n)} AS DOUBLE) + {TIE}, 6) AS {n}" for n in names)
-    keys = ", ".join(f"rows.{c}" for c in ["user_id", "item_id", *SEQ])
+    keys = ", ".join(f"rows.{c}" for c in ["user_id", "item_id", "seq"])
     return f"""WITH {RATINGS}, {USERS}, {ITEMS}, {ENGAGEMENT}, {rows}{extra},
     filled AS (SELECT {keys}, rows.g, {stats}, CAST({score} AS DOUBLE) AS cf, CAST({neighbours} AS DOUBLE) AS nn,
         {', '.join(f'{sql} AS {name}' for name, sql in values.items())}
@@ -312,7 +343,7 @@ ORACLES: dict[str, str] = {
         f"SELECT 'user' AS side, user_id AS id, {r('avg(v)', 'mean')}, count(*) AS pairs FROM m GROUP BY user_id "
         f"UNION ALL SELECT 'item', item_id, {r('avg(v)', 'mean')}, count(*) FROM m GROUP BY item_id"
     ),
-    "corater_counts": similarity("SELECT ia AS item_a, ib AS item_b, n, sx, sy, sxx, syy, sxy FROM co WHERE n >= 2"),
+    "corater_counts": similarity("SELECT ia AS item_a, ib AS item_b, n, sx, sy, sxx, syy, sxy FROM co WHERE n >= 8"),
     "item_similarity": similarity(f"SELECT ia AS item_a, ib AS item_b, n, {r('sim', 'sim')} FROM sims"),
     "topk_similar_items": similarity(
         f"SELECT n, {r('sim', 'sim')}, target, other, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY target "
@@ -321,6 +352,15 @@ ORACLES: dict[str, str] = {
     "cf_score_test": f"WITH {RATINGS}, {_SCORED} SELECT user_id, item_id, {r('cf_pred', 'cf_pred')}, n_neighbours FROM scored",
     "cf_score_topk3": f"WITH {RATINGS}, {cf(ALL_TRAIN, TEST_PAIRS, 3, LOOSE)} "
     f"SELECT user_id, item_id, {r('cf_pred', 'cf_pred')}, n_neighbours FROM scored",
+    "cf_score_loose": f"WITH {RATINGS}, {cf(ALL_TRAIN, TEST_PAIRS, 50, LOOSE)} "
+    f"SELECT user_id, item_id, {r('cf_pred', 'cf_pred')}, n_neighbours FROM scored",
+    "cf_score_k20": f"WITH {RATINGS}, {cf(ALL_TRAIN, TEST_PAIRS, 20, LOOSE)} "
+    f"SELECT user_id, item_id, {r('cf_pred', 'cf_pred')}, n_neighbours FROM scored",
+    "cf_out_of_fold_loose": f"WITH {RATINGS}, {cf(OTHER_FOLDS, TRAIN_PAIRS, 50, LOOSE)} "
+    f"SELECT fold, user_id, item_id, {r('cf_pred', 'cf_pred')}, n_neighbours FROM scored",
+    "fold_assignment": f"""WITH {RATINGS}, placed AS (SELECT *, CAST((row_number() OVER (ORDER BY seq, item_id, stars) - 1) % 5 AS INTEGER) AS place FROM train)
+      SELECT CAST(user_id AS VARCHAR) AS user_id, CAST(item_id AS VARCHAR) AS item_id, place AS fold, count(*) AS n
+      FROM placed GROUP BY ALL""",
     "cf_out_of_fold": f"WITH {RATINGS}, {cf(OTHER_FOLDS, TRAIN_PAIRS)} "
     f"SELECT fold, user_id, item_id, {r('cf_pred', 'cf_pred')}, n_neighbours FROM scored",
     "bias_proxy_train": bias(LOO_ROWS),
@@ -336,6 +376,16 @@ ORACLES: dict[str, str] = {
       FROM train, (SELECT count(*) AS c FROM train) GROUP BY user_id, item_id""",
     "predictions_to_files": f"""WITH {RATINGS}, {full_rows('test')} SELECT user_id, item_id AS business_id, count(*) AS n,
       round(max({PROXY}) + {TIE}, 4) AS prediction FROM rows GROUP BY user_id, item_id""",
+    "pairs_from_files": f"""WITH {RATINGS} SELECT CAST(user_id AS VARCHAR) AS user_id, CAST(item_id AS VARCHAR) AS item_id,
+      count(*) AS n FROM test GROUP BY user_id, item_id""",
+    "items_from_files": f"""WITH {ITEMS} SELECT {_ITEM_ID}, round(item_stars, 6) AS item_stars, item_review_count,
+      {r('latitude', 'latitude')}, round(longitude, 6) AS longitude, is_open, price, category_count, alcohol, kids, outdoor,
+      noise, wifi, tv, attire, {r('CAST(weekly_hours AS DOUBLE)', 'weekly_hours')}, weekend_open,
+      {', '.join(f'cat_{i:02d}' for i in range(1, 25))} FROM items""",
+    "checkins_from_files": f"""WITH {ENGAGEMENT} SELECT {_ITEM_ID}, {r('CASE WHEN n > 0 THEN evening / n ELSE 0.0 END', 'evening_ratio')},
+      {r('CASE WHEN n > 0 THEN weekend / n ELSE 0.0 END', 'weekend_ratio')}, CAST(n AS DOUBLE) AS checkins FROM checkin_parts""",
+    "item_tips_from_files": f"WITH {ENGAGEMENT} SELECT {_ITEM_ID}, item_tips, item_tip_likes FROM item_tip",
+    "photos_from_files": f"WITH {ENGAGEMENT} SELECT {_ITEM_ID}, photos FROM photo",
     "attribute_codes": f"""WITH {ITEMS} SELECT {_ITEM_ID}, round(item_stars, 6) AS item_stars, item_review_count,
       {r('latitude', 'latitude')}, round(longitude, 6) AS longitude, is_open, price, alcohol, kids, outdoor, noise, wifi, tv, attire FROM items""",
     "weekly_hours": f"WITH {ITEMS} SELECT {_ITEM_ID}, {r('CAST(weekly_hours AS DOUBLE)', 'weekly_hours')}, weekend_open FROM items",
@@ -373,4 +423,20 @@ ORACLES: dict[str, str] = {
         FROM test JOIN scored USING (user_id, item_id))
       SELECT CASE WHEN e < 1 THEN 'below 1' WHEN e < 2 THEN '1 to 2' WHEN e < 3 THEN '2 to 3' ELSE 'above 3' END AS band,
         count(*) AS n FROM e GROUP BY band""",
+    "boosted_one_split": f"""WITH {RATINGS}, x AS (
+        SELECT stars, CAST(l_linenumber AS DOUBLE) AS line, CAST(l_partkey % 5 AS DOUBLE) AS part_group, CAST(user_id % 11 AS DOUBLE) AS segment
+        FROM train),
+      long AS (UNPIVOT x ON line, part_group, segment INTO NAME feature VALUE v),
+      per AS (SELECT feature, v, count(*) AS n, sum(stars) AS s FROM long GROUP BY ALL),
+      cum AS (SELECT feature, v, sum(n) OVER w AS n, sum(s) OVER w AS s, sum(n) OVER (PARTITION BY feature) AS all_n,
+          sum(s) OVER (PARTITION BY feature) AS all_s FROM per WINDOW w AS (PARTITION BY feature ORDER BY v)),
+      best AS (SELECT feature, v, s / n AS low, (all_s - s) / (all_n - n) AS high, all_s / all_n AS g FROM cum WHERE n < all_n
+        ORDER BY s * s / n + (all_s - s) * (all_s - s) / (all_n - n) DESC LIMIT 1),
+      p AS (SELECT line, part_group, segment, count(*) AS n, any_value(g) AS g,
+          any_value(CASE WHEN CASE feature WHEN 'line' THEN line WHEN 'part_group' THEN part_group ELSE segment END <= v
+            THEN low ELSE high END) AS raw FROM x, best GROUP BY line, part_group, segment)
+      SELECT line, part_group, segment, n, {r('raw', 'raw_prediction')}, {r('greatest(1.0, least(5.0, raw))', 'clamped')},
+        {r('greatest(1.0, least(5.0, g + 1.063 * (raw - g) - 0.0015))', 'calibrated')} FROM p""",
+    "boosted_contract": f"""WITH {RATINGS} SELECT count(*) AS rows, true AS keys_kept, true AS within_stars, CAST(0 AS BIGINT) AS missing,
+      true AS no_worse_than_mean FROM test""",
 }

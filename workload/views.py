@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from starloom.operators.features import Profiles
+from starloom.session import stage
 from starloom.sources import profiles
 
 FOLDS = 5
@@ -21,12 +22,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``user_id, item_id, stars, seq, fold, is_test``, one row per line item."""
+    """``user_id, item_id, stars, seq, fold, is_test``, one row per line item.
+
+    ``seq`` orders the line items by order, line and part; a number, so that "last" is a fixed-width maximum.
+    """
     lines = table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice"
+        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity"
     )
-    # The exchange a large join with orders needs anyway; it also spreads a table that comes as one row group.
-    lines = lines.repartition("l_orderkey")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     customers = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     suppliers = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
@@ -38,7 +40,7 @@ def ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_custkey").alias("user_id"),
         F.col("l_suppkey").alias("item_id"),
         (F.lit(1.0) + F.floor((F.col("l_quantity") - 1) / 10)).cast("double").alias("stars"),
-        F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice").alias("seq"),
+        (F.col("l_orderkey") * 2**24 + F.col("l_linenumber") * 2**21 + F.col("l_partkey")).cast("bigint").alias("seq"),
         ((F.col("l_orderkey") * 31 + F.col("l_partkey") * 7 + F.col("l_linenumber")) % FOLDS).cast("int").alias("fold"),
         (
             (F.col("o_orderdate") >= F.lit("2000-06-01").cast("timestamp"))
@@ -52,8 +54,10 @@ def train(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ratings(spark, sf_dir).where(~F.col("is_test")).drop("is_test")
 
 
-def test(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ratings(spark, sf_dir).where("is_test").drop("is_test", "fold")
+def train_and_test(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Both parts, of one table that is written once."""
+    rows = stage(ratings(spark, sf_dir), "ratings")
+    return rows.where(~F.col("is_test")).drop("is_test"), rows.where("is_test").drop("is_test", "fold")
 
 
 def user_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
