@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -43,8 +43,8 @@ class NearParams:
     bins: int = 512
     deviations: float = 4.5
     # Members of a bucket that all others are compared with, in each of so many rounds.
-    hubs: int = 4
-    rounds: int = 2
+    hubs: int = 8
+    rounds: int = 1
 
     @property
     def coordinates(self) -> int:
@@ -253,12 +253,27 @@ class _Buckets:
 
     def crossing(self, parted: DataFrame) -> DataFrame:
         """All plausible pairs of a bucket's nodes of different components.  ``parted`` also has ``main``, the bucket's
-        largest component, so that its many members are not paired among each other only to be dropped."""
+        largest component, so that its many members are not paired among each other only to be dropped.
+
+        A pair that shares several bands is made in the first of them only.
+        """
+        bands = self.params.bands
+
+        def side(name: str, some: DataFrame) -> DataFrame:
+            keys = [F.get("bands", F.lit(i)).alias(f"{name}_band_{i}") for i in range(bands)]
+            words = [F.get("sketch", F.lit(i)).alias(f"{name}_{i}") for i in range(self.params.words)]
+            return some.join(self.nodes.select(F.col("node").alias(name), *keys, *words), name)
+
         left = parted.where("component != main").select("band", F.col("node").alias("a"), F.col("component").alias("a_part"))
         right = parted.select("band", F.col("node").alias("b"), F.col("component").alias("b_part"), "main")
-        left, right = left.join(self.sketch_of("a"), "a"), right.join(self.sketch_of("b"), "b")
+        left, right = side("a", left), side("b", right)
         apart = (F.col("a_part") != F.col("b_part")) & ((F.col("b_part") == F.col("main")) | (F.col("a") < F.col("b")))
-        pairs = left.join(right, (left.band == right.band) & apart & _plausible("a", "b", self.params))
+        first = reduce(
+            lambda later, i: F.when(F.col(f"a_band_{i}") == F.col(f"b_band_{i}"), F.col(f"a_band_{i}")).otherwise(later),
+            reversed(range(bands)), F.lit(None).cast("bigint"),
+        )
+        made_here = first == left.band
+        pairs = left.join(right, (left.band == right.band) & apart & made_here & _plausible("a", "b", self.params))
         return pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
 
     def verified(self, pairs: DataFrame) -> DataFrame:
