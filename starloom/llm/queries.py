@@ -16,9 +16,19 @@ from starloom.llm.line_edits import op1_line_edits
 from starloom.llm.packing import op10_length_buckets
 from starloom.llm.lm_score import op8_attention_lm
 from starloom.llm.pseudonyms import op9_feistel_pseudonyms
+from starloom.llm.shipping import ship
 from starloom.llm.token_files import op7_token_files
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+
+def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_edits": op1_line_edits,
     "op2_ngram_importance": op2_ngram_importance,
     "op3_nearest_centroid": op3_nearest_centroid,
@@ -31,6 +41,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_length_buckets": op10_length_buckets,
     "pipeline": corpus_pipeline.run,
 }
+QUERIES = {name: _shipped(query) for name, query in _QUERIES.items()}
 
 # None of the operators can be written in SQL: they need fingerprints, the tokenizer or a trained model.
 ORACLES: dict[str, str] = {}
