@@ -1,4 +1,6 @@
-"""Subword ids of whole texts: the tokenizers library, asked once for each distinct piece of text.
+"""Subword ids of whole texts: a tokenizer library, asked once for each distinct piece of text.
+
+The same vocabulary comes as a file for the tokenizers library and as one for tiktoken; the ids are equal.
 
 A byte-level vocabulary never joins characters across the border between a visible character and white space, so a
 text is cut there and the ids of its pieces are put together again.  Pieces repeat a lot; a task keeps those it has seen.
@@ -6,7 +8,9 @@ text is cut there and the ids of its pieces are put together again.  Pieces repe
 
 from __future__ import annotations
 
+import base64
 import os
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -14,7 +18,8 @@ import numpy as np
 from starloom.llm.text import WHITE, Texts, expand
 
 VOCABULARY = "byte_bpe_50k.json"
-KEPT_PIECES = 1_500_000
+RANKS = "byte_bpe_50k.tiktoken"
+KEPT_PIECES = 1_000_000
 ENCODED_AT_ONCE = 4096
 
 
@@ -34,8 +39,28 @@ def load(path: str):
     return tokenizer
 
 
+@lru_cache(maxsize=2)
+def load_ranks(path: str):
+    import public_tokenizers
+    import tiktoken
+
+    with open(path, "rb") as lines:
+        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def encoder(path: str) -> Callable[[list[str]], Iterator[list[int]]]:
+    """The ids of each string, by the library that the file is for."""
+    if path.endswith(".tiktoken"):
+        ranks = load_ranks(path)
+        return lambda strings: map(ranks.encode_ordinary, strings)
+    tokenizer = load(path)
+    return lambda strings: (e.ids for e in tokenizer.encode_batch_fast(strings, add_special_tokens=False))
+
+
 def vocabulary_size(path: str) -> int:
-    return load(path).get_vocab_size()
+    """The number of ids; a file of ranks has one free id behind them, for ends of texts."""
+    return load_ranks(path).n_vocab + 1 if path.endswith(".tiktoken") else load(path).get_vocab_size()
 
 
 def pieces(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -58,11 +83,19 @@ def pieces(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return starts, np.append(starts[1:], n), np.searchsorted(starts, texts.offsets)
 
 
+def distinct_keys(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct keys in order, a place of each, and which of them each key is."""
+    distinct, back = np.unique(keys, return_inverse=True)
+    where = np.zeros(len(distinct), np.int64)
+    where[back] = np.arange(len(keys))
+    return distinct, where, back
+
+
 class PieceCache:
     """Ids of pieces by their fingerprint."""
 
     def __init__(self, path: str):
-        self.tokenizer = load(path)
+        self.encoder = encoder(path)
         self.clear()
 
     def clear(self) -> None:
@@ -72,7 +105,7 @@ class PieceCache:
 
     def lookup(self, keys: np.ndarray, texts: Texts, starts: np.ndarray, ends: np.ndarray, prefix: str = "") -> np.ndarray:
         """The entry of each span; unknown ones are encoded, with ``prefix`` before them."""
-        distinct, where, back = np.unique(keys, return_index=True, return_inverse=True)
+        distinct, where, back = distinct_keys(keys)
         return self.entries_of(distinct, where, texts, starts, ends, prefix)[back]
 
     def entries_of(
@@ -103,8 +136,7 @@ class PieceCache:
         ids, lengths = [], []
         for at in range(0, len(spans), ENCODED_AT_ONCE):
             strings = [prefix + texts.data[a:b].tobytes().decode() for a, b in spans[at : at + ENCODED_AT_ONCE]]
-            for encoding in self.tokenizer.encode_batch_fast(strings, add_special_tokens=False):
-                mine = encoding.ids
+            for mine in self.encoder(strings):
                 ids.extend(mine)
                 lengths.append(len(mine))
         return np.array(ids, np.uint32), np.array(lengths, np.int64)

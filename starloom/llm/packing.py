@@ -66,7 +66,7 @@ def best_ends(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> list[int
 
 def token_lengths(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """A written table ``doc_id, n_tokens, part, place``: the ids of each text and one end id; a null text is empty."""
-    vocabulary = vocabulary or bpe.vocabulary_path()
+    vocabulary = vocabulary or bpe.vocabulary_path(bpe.RANKS)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
