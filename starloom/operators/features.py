@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from starloom.functions.rating import clamp, confidence, shrink, warm_or_cold
 from starloom.operators.leave_one_out import without_rating
@@ -110,14 +111,27 @@ def _packed_stats(ratings: DataFrame, key: str, name: str, rich: bool, cols: Rat
 def _merge(tables: list[DataFrame], key: str) -> DataFrame:
     """All columns of tables that have at most one row per key, for every key of any of them.
 
-    A union and one aggregate: a chain of full outer joins would shuffle the growing rows again for each table.
+    A union and one aggregate: a chain of full outer joins would shuffle the growing rows again for each table.  Structs
+    are taken apart before and put together behind, as numbers are aggregated in place, without sorting.
     """
-    packed = [
-        t.select(key, F.struct(*[c for c in t.columns if c != key]).alias(f"_t{n}")) for n, t in enumerate(tables)
-    ]
-    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), packed)
-    merged = stacked.groupBy(key).agg(*[F.first(f"_t{n}", ignorenulls=True).alias(f"_t{n}") for n in range(len(tables))])
-    return merged.select(key, *[F.col(f"_t{n}.{c}").alias(c) for n, t in enumerate(tables) for c in t.columns if c != key])
+    flat, rebuilt = [], []
+    for n, t in enumerate(tables):
+        columns = []
+        for field in (f for f in t.schema.fields if f.name != key):
+            if isinstance(field.dataType, StructType):
+                parts = {c: f"_t{n}_{field.name}_{c}" for c in field.dataType.names}
+                columns += [F.col(f"{field.name}.{c}").alias(name) for c, name in parts.items()]
+                known = f"_t{n}_{field.name}"
+                columns.append(F.col(field.name).isNotNull().alias(known))
+                whole = F.struct(*[F.col(name).alias(c) for c, name in parts.items()])
+                rebuilt.append(F.when(F.col(known), whole).alias(field.name))
+            else:
+                columns.append(F.col(field.name).alias(f"_t{n}_{field.name}"))
+                rebuilt.append(F.col(f"_t{n}_{field.name}").alias(field.name))
+        flat.append(t.select(key, *columns))
+    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), flat)
+    merged = stacked.groupBy(key).agg(*[F.max(c).alias(c) for c in stacked.columns if c != key])
+    return merged.select(key, *rebuilt)
 
 
 def with_entities(

@@ -6,6 +6,7 @@ import random
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from starloom.operators import stats
 from starloom.operators.leave_one_out import STAT_NAMES, leave_one_out
@@ -95,3 +96,21 @@ def test_lookup_equals_plain_join(spark, how):
     got, want = lookup(left, right, "k", how), left.join(right, "k", how)
     assert got.columns == want.columns
     assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+
+
+def test_last_and_merged_rows_are_aggregated_in_place(spark):
+    """Fixed-width buffers: no sort-based aggregate where the order is a number."""
+    from starloom.operators.matrix import dedupe_last, rating_matrix
+
+    frame = ratings_frame(spark, random_rows(5, 50, 5, 5)).withColumn("fold", F.col("seq").cast("int") % 3)
+    for df in (dedupe_last(frame), rating_matrix(frame), rating_matrix(frame, folds=3)):
+        assert "SortAggregate" not in df._jdf.queryExecution().toString()
+
+
+def test_oracles_use_nothing_of_the_library():
+    import ast
+    from pathlib import Path
+
+    tree = ast.parse((Path(__file__).parent.parent / "workload" / "oracles.py").read_text())
+    names = [n.module or "" for n in ast.walk(tree) if isinstance(n, ast.ImportFrom)] + [a.name for n in ast.walk(tree) if isinstance(n, ast.Import) for a in n.names]
+    assert not [n for n in names if n.startswith(("starloom", "workload"))]
