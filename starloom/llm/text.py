@@ -49,6 +49,7 @@ class Texts:
 
     data: np.ndarray
     offsets: np.ndarray
+    _prefix: np.ndarray | None = None
 
     @staticmethod
     def of(column: pa.Array) -> Texts:
@@ -80,16 +81,17 @@ class Texts:
         return starts, np.flatnonzero(last) + 1, np.searchsorted(starts, self.offsets)
 
     def prefix(self) -> np.ndarray:
-        """Prefix sums for :meth:`fingerprints`."""
-        n = len(self.data)
-        up, _ = _powers(_room(n + 1))
-        out = np.zeros(n + 1, _U)
-        np.cumsum(BYTE_VALUE[self.data] * up[:n], out=out[1:])
-        return out
-
-    def fingerprints(self, starts: np.ndarray, ends: np.ndarray, prefix: np.ndarray | None = None) -> np.ndarray:
+        """Prefix sums for :meth:`fingerprints`, computed once."""
+        if self._prefix is None:
+            n = len(self.data)
+            up, _ = _powers(_room(n + 1))
+            self._prefix = np.zeros(n + 1, _U)
+            np.cumsum(BYTE_VALUE[self.data] * up[:n], out=self._prefix[1:])
+        return self._prefix
+
+    def fingerprints(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """A 64-bit fingerprint of each span; equal bytes give equal ones."""
-        prefix = self.prefix() if prefix is None else prefix
+        prefix = self.prefix()
         _, down = _powers(_room(len(self.data) + 1))
         return mix((prefix[ends] - prefix[starts]) * down[starts] + (ends - starts).astype(_U) * _ODD)
 
