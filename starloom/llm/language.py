@@ -18,10 +18,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starloom.llm.text import NOT_ALNUM, Texts, lower, mix, slices
+from starloom.llm.text import NOT_ALNUM, Texts, lower, slices
 
 UNKNOWN = "und"
-_U = np.uint64
 
 
 @dataclass(frozen=True)

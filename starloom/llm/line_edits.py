@@ -207,7 +207,8 @@ def _occurrences(rows: DataFrame, params: LineParams, with_text: bool) -> DataFr
         if with_text:
             out["bits"] = pa.array(lines.bigrams()[pick])
             points = lines.points
-            out["line"] = pa.array([points[a:b].tobytes().decode("utf-32-le", "surrogatepass") for a, b in zip(lines.starts[pick], lines.ends[pick])], pa.string())
+            spans = zip(lines.starts[pick].tolist(), lines.ends[pick].tolist())
+            out["line"] = pa.array([points[a:b].tobytes().decode("utf-32-le", "surrogatepass") for a, b in spans], pa.string())
         else:
             out["row_key"] = piece.column("row_key").take(pa.array(lines.row[pick]))
         return pa.RecordBatch.from_pydict(out)
@@ -292,12 +293,10 @@ def line_report(docs: DataFrame, params: LineParams = LineParams()) -> DataFrame
     occurs earlier; ``n_links`` the different lines within the threshold of each of its distinct long lines.  Rows that
     share a ``doc_id`` are separate; neither removes lines of the other.
     """
-    own = F.col("times") - F.when(F.col("exact") | F.col("near"), 0).otherwise(1)
     per_row = line_decisions(docs, params).groupBy("row_key").agg(
-        F.sum("times").alias("times"), F.count("*").alias("distinct"),
+        F.sum("times").alias("times"),
         F.sum(F.when(F.col("exact"), F.col("times")).otherwise(F.col("times") - 1)).alias("n_exact"),
         F.sum((~F.col("exact") & F.col("near")).cast("bigint")).alias("n_near"), F.sum("links").alias("n_links"),
-        F.first("doc_id").alias("any_doc"), F.sum(own).alias("dropped"),
     )
     # Equal rows are counted together above and divided again here.
     rows = docs.select(

@@ -230,8 +230,10 @@ KINDS: list[tuple[str, str, Callable[..., str | None]]] = [
     ("card", r"(?<![A-Za-z0-9.])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![A-Za-z0-9])", card),
     ("address", r"(?<![A-Za-z0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![A-Za-z0-9]|\.[0-9])", address),
     ("social", r"(?<![A-Za-z0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![A-Za-z0-9]|-[0-9])", social),
-    ("date", r"(?<![A-Za-z0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{2}-[0-9]{2}-[0-9]{4})(?![A-Za-z0-9]|[./-][0-9])", date),
-    ("phone", r"(?<![A-Za-z0-9.+])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4})(?![A-Za-z0-9]|[.-][0-9])", phone),
+    ("date", r"(?<![A-Za-z0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}"
+             r"|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{2}-[0-9]{2}-[0-9]{4})(?![A-Za-z0-9]|[./-][0-9])", date),
+    ("phone", r"(?<![A-Za-z0-9.+])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}"
+              r"|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4})(?![A-Za-z0-9]|[.-][0-9])", phone),
 ]
 _SHAPES = [(kind, re.compile(shape, re.ASCII), change) for kind, shape, change in KINDS]
 
@@ -239,15 +241,17 @@ _SHAPES = [(kind, re.compile(shape, re.ASCII), change) for kind, shape, change i
 def spans_of(text: str, f: Feistel, back: bool = False) -> list[tuple[int, int, str, str]]:
     """Start, end, kind and pseudonym of each value in a text, in order; they do not overlap."""
     taken: list[tuple[int, int, str, str]] = []
+    covered = bytearray(len(text))
     has_mail = "@" in text
     for kind, shape, change in _SHAPES:
         if kind == "mail" and not has_mail:
             continue
         for m in shape.finditer(text):
-            if any(a < m.end() and m.start() < b for a, b, _, _ in taken):
+            if 1 in covered[m.start() : m.end()]:
                 continue
             new = change(f, m.group(), back)
             if new is not None:
+                covered[m.start() : m.end()] = b"\x01" * (m.end() - m.start())
                 taken.append((m.start(), m.end(), kind, new))
     return sorted(taken)
 
