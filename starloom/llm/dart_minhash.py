@@ -232,45 +232,38 @@ class _Buckets:
         texts = rows.select("key", "text").join(involved, "key").dropDuplicates(["node"])
         self.texts = stage(texts.select("node", "text"), "texts")
 
-    def sketch_of(self, node: str) -> DataFrame:
+    def _sketched(self, some: DataFrame, node: str, bands: bool = False) -> DataFrame:
+        """``some`` with the sketch of its column ``node``, and with the node's bands if asked for."""
         words = [F.get("sketch", F.lit(i)).alias(f"{node}_{i}") for i in range(self.params.words)]
-        return self.nodes.select(F.col("node").alias(node), *words)
+        keys = [F.get("bands", F.lit(i)).alias(f"{node}_band_{i}") for i in range(self.params.bands)] if bands else []
+        return some.join(self.nodes.select(F.col("node").alias(node), *keys, *words), node)
 
     def spokes(self, parted: DataFrame, seed: int) -> DataFrame:
-        """Pairs of each node and the hubs of its buckets, if they are not of one component.
+        """Plausible pairs of each node and the hubs of its buckets, if they are not of one component.
 
         ``parted`` has ``band, node, component``.  A hub is the lowest node of its share of the bucket by hash.
         """
         share = F.pmod(F.xxhash64("band", "node", F.lit(seed)), F.lit(self.params.hubs))
         one = F.struct(F.col("node").alias("hub"), F.col("component").alias("hub_component"))
         hubs = parted.withColumn("share", share).groupBy("band", "share").agg(F.min(one).alias("one")).select("band", "one.*")
-        pairs = parted.join(hubs, "band").where("component != hub_component")
+        left, right = self._sketched(parted.select("band", "node", "component"), "node"), self._sketched(hubs, "hub")
+        apart = F.col("component") != F.col("hub_component")
+        pairs = left.join(right, (left.band == right.band) & apart & _plausible("node", "hub", self.params))
         return pairs.select(F.greatest("node", "hub").alias("u"), F.least("node", "hub").alias("v")).distinct()
 
-    def plausible(self, pairs: DataFrame) -> DataFrame:
-        both = pairs.join(self.sketch_of("u"), "u").join(self.sketch_of("v"), "v")
-        return both.where(_plausible("u", "v", self.params)).select("u", "v")
-
     def crossing(self, parted: DataFrame) -> DataFrame:
         """All plausible pairs of a bucket's nodes of different components.  ``parted`` also has ``main``, the bucket's
         largest component, so that its many members are not paired among each other only to be dropped.
 
         A pair that shares several bands is made in the first of them only.
         """
-        bands = self.params.bands
-
-        def side(name: str, some: DataFrame) -> DataFrame:
-            keys = [F.get("bands", F.lit(i)).alias(f"{name}_band_{i}") for i in range(bands)]
-            words = [F.get("sketch", F.lit(i)).alias(f"{name}_{i}") for i in range(self.params.words)]
-            return some.join(self.nodes.select(F.col("node").alias(name), *keys, *words), name)
-
         left = parted.where("component != main").select("band", F.col("node").alias("a"), F.col("component").alias("a_part"))
         right = parted.select("band", F.col("node").alias("b"), F.col("component").alias("b_part"), "main")
-        left, right = side("a", left), side("b", right)
+        left, right = self._sketched(left, "a", bands=True), self._sketched(right, "b", bands=True)
         apart = (F.col("a_part") != F.col("b_part")) & ((F.col("b_part") == F.col("main")) | (F.col("a") < F.col("b")))
         first = reduce(
             lambda later, i: F.when(F.col(f"a_band_{i}") == F.col(f"b_band_{i}"), F.col(f"a_band_{i}")).otherwise(later),
-            reversed(range(bands)), F.lit(None).cast("bigint"),
+            reversed(range(self.params.bands)), F.lit(None).cast("bigint"),
         )
         made_here = first == left.band
         pairs = left.join(right, (left.band == right.band) & apart & made_here & _plausible("a", "b", self.params))
@@ -306,12 +299,8 @@ class _Buckets:
         done = links = None
         for number in range(self.params.rounds + 1):
             pairs = self.spokes(parted, number) if number < self.params.rounds else self.crossing(parted)
-            pairs = pairs if done is None else pairs.join(done, ["u", "v"], "left_anti")
-            if number < self.params.rounds:
-                pairs = stage(pairs, "spokes")
-                done = pairs if done is None else done.unionByName(pairs)
-                pairs = self.plausible(pairs)
-            pairs = stage(pairs, "near-pairs")
+            pairs = stage(pairs if done is None else pairs.join(done, ["u", "v"], "left_anti"), "near-pairs")
+            done = pairs if done is None else done.unionByName(pairs)
             if not pairs.isEmpty():
                 found = self.verified(pairs)
                 links = found if links is None else links.unionByName(found)
