@@ -20,6 +20,7 @@ from starloom.llm.text import WHITE, Texts, expand
 VOCABULARY = "byte_bpe_50k.json"
 RANKS = "byte_bpe_50k.tiktoken"
 KEPT_PIECES = 1_000_000
+KEPT_WORDS = 500_000
 ENCODED_AT_ONCE = 4096
 
 
@@ -94,8 +95,8 @@ def distinct_keys(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]
 class PieceCache:
     """Ids of pieces by their fingerprint."""
 
-    def __init__(self, path: str):
-        self.encoder = encoder(path)
+    def __init__(self, path: str, kept: int = KEPT_PIECES):
+        self.encoder, self.kept = encoder(path), kept
         self.clear()
 
     def clear(self) -> None:
@@ -112,7 +113,7 @@ class PieceCache:
         self, distinct: np.ndarray, where: np.ndarray, texts: Texts, starts: np.ndarray, ends: np.ndarray, prefix: str = ""
     ) -> np.ndarray:
         """The same for ascending distinct keys; ``where`` is a span of each."""
-        if len(self.keys) > KEPT_PIECES:
+        if len(self.keys) > self.kept:
             self.clear()
         at = np.searchsorted(self.keys, distinct)
         known = np.zeros(len(distinct), bool)
@@ -158,5 +159,5 @@ class PieceCache:
 
 @lru_cache(maxsize=4)
 def cache(path: str, use: str = "pieces") -> PieceCache:
-    """One for all tasks of a worker."""
-    return PieceCache(path)
+    """One for all tasks of a worker; ``words`` are kept beside larger tables, so fewer of them."""
+    return PieceCache(path, KEPT_WORDS if use == "words" else KEPT_PIECES)
