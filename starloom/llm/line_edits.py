@@ -10,18 +10,16 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starloom.llm.text import mix, over_slices, slices
+from starloom.llm.text import mix, over_slices, powers, room, slices
 from starloom.session import stage
 
 _U = np.uint64
-_BASE = 0x9E3779B97F4A7C15
 LAST = (1 << 63) - 1
 _ONE_BIT = _U(1) << np.arange(64, dtype=_U)
 
@@ -34,14 +32,6 @@ class LineParams:
     min_chars: int = 40
 
 
-@lru_cache(maxsize=1)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the odd base and of its inverse, modulo 2^64."""
-    up, down = np.full(n, _U(_BASE)), np.full(n, _U(pow(_BASE, -1, 1 << 64)))
-    up[0] = down[0] = 1
-    return np.cumprod(up, dtype=_U), np.cumprod(down, dtype=_U)
-
-
 class Lines:
     """The lines of several texts as code points, with prefix sums that give substring fingerprints."""
 
@@ -63,7 +53,7 @@ class Lines:
         self.total = per_text
         self.row, self.number, self.starts, self.ends = self.row[long], self.number[long], starts[long], ends[long]
         n = len(self.points)
-        up, self.down = _powers(1 << max(21, int(n).bit_length()))
+        up, self.down = powers(room(n + 1))
         self.prefix = np.zeros(n + 1, _U)
         np.cumsum((self.points + np.uint32(1)) * up[:n], out=self.prefix[1:])
 

@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 SLICE_ROWS = 8192
 _U = np.uint64
 _BASE, _ODD = _U(0x9E3779B97F4A7C15), _U(0xD6E8FEB86659FD93)
@@ -34,9 +34,9 @@ def mix(x: np.ndarray) -> np.ndarray:
 BYTE_VALUE = mix(np.arange(1, 257, dtype=_U))
 
 
-@lru_cache(maxsize=1)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the odd base and of its inverse, modulo 2^64."""
+@lru_cache(maxsize=2)
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``n`` powers of the odd base and of its inverse, modulo 2^64."""
     inverse = pow(int(_BASE), -1, 1 << 64)
     up, down = np.full(n, _BASE), np.full(n, _U(inverse))
     up[0] = down[0] = 1
@@ -84,7 +84,7 @@ class Texts:
         """Prefix sums for :meth:`fingerprints`, computed once."""
         if self._prefix is None:
             n = len(self.data)
-            up, _ = _powers(_room(n + 1))
+            up, _ = powers(room(n + 1))
             self._prefix = np.zeros(n + 1, _U)
             np.cumsum(BYTE_VALUE[self.data] * up[:n], out=self._prefix[1:])
         return self._prefix
@@ -92,12 +92,13 @@ class Texts:
     def fingerprints(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """A 64-bit fingerprint of each span; equal bytes give equal ones."""
         prefix = self.prefix()
-        _, down = _powers(_room(len(self.data) + 1))
+        _, down = powers(room(len(self.data) + 1))
         return mix((prefix[ends] - prefix[starts]) * down[starts] + (ends - starts).astype(_U) * _ODD)
 
 
-def _room(n: int) -> int:
-    return max(SLICE_BYTES * 2, 1 << int(n - 1).bit_length())
+def room(n: int) -> int:
+    """A size of the table of powers that fits ``n`` and few other sizes, so that it is kept between texts."""
+    return max(SLICE_BYTES + 4096, 1 << int(n - 1).bit_length() if n > SLICE_BYTES + 4096 else 0)
 
 
 def lower(column: pa.Array) -> pa.Array:
