@@ -168,6 +168,27 @@ def test_training_helps_held_out_documents(spark):
     assert trained > 0.9 * plain and trained > plain
 
 
+def test_production_training_beats_the_small_one(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    small = lm_score.LmParams(shape=attention.ModelShape(window=16, overlap=4), train_one_in=128, rates=(0.01, 0.004))
+    small, production = (lm_score.scores(docs, p).where("held_out").groupBy().sum("score").first()[0] for p in (small, lm_score.LmParams()))
+    assert production > small + 1e-6 * abs(small)
+
+
+def test_production_windows_and_their_share(spark):
+    params = lm_score.LmParams()
+    rng = random.Random(13)
+    docs = table(spark, [(i, prose(rng, 3000)) for i in range(40)])
+    vocabulary = lm_score.bpe.vocabulary_path(lm_score.bpe.RANKS)
+    gathered = lm_score.gather(docs, vocabulary, params)
+    rows = [r.ids for r in gathered.where("kind = 2").collect()]
+    learnable_ids = gathered.where("kind = 1").groupBy().sum("n").first()[0]
+    scored = sum(i >= 0 for ids in rows for i in ids[1:])
+    assert max(len(ids) for ids in rows) == 33
+    assert 1 / 64 < scored / learnable_ids < 1 / 36
+    assert len(params.rates) == 3 and params.shape.overlap == 8
+
+
 def small_model():
     shape = attention.ModelShape(classes=4, per_class=3, width=5, window=8, overlap=3)
     ids = np.arange(30)
