@@ -4,15 +4,22 @@ Two lines within ``edits`` edits of each other share a segment: cut one into ``e
 occurs unchanged in the other, near its own place.  Lines are indexed by their segments under their length and probed
 with the few substrings of their own that can match.  A bit set of the line's bigrams, which every edit changes by four
 bits at most, thins out the pairs inside the join; what remains is verified by a banded bit-parallel edit distance.
+
+With a threshold that grows with the length (``WHOLE``), long lines are joined by chosen grams instead, since segments
+would take a number of probes that grows with the third power of the threshold: ``k`` edits leave a run of at least
+``(length - k) / (k + 1)`` characters unchanged, and of the grams of every ``RUN`` characters in a row the least is kept,
+so two lines within the threshold keep an equal gram.  Counts of hashed characters thin out these pairs.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from copy import copy
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,16 +33,35 @@ _ONE_BIT = _U(1) << np.arange(64, dtype=_U)
 
 @dataclass(frozen=True)
 class LineParams:
-    """Lines of fewer than ``min_chars`` characters (code points) are never compared or removed."""
+    """Lines of fewer than ``min_chars`` characters (code points) are never compared or removed.
+
+    ``classes``: from which length on how many edits count, instead of ``edits`` for all; from ``LONG`` characters on
+    ``edits_of_long``.  Lines shorter than the first class are compared for equality only, and blank ones not at all.
+    The threshold of a pair is that of its shorter line.
+    """
 
     edits: int = 2
     min_chars: int = 40
+    classes: tuple[tuple[int, int], ...] | None = None
+
+
+WHOLE = LineParams(min_chars=1, classes=((10, 1), (20, 2)))
+LONG = 96
+GRAM, RUN = 10, 24
+MOST_EDITS = 31  # the band of the edit distance is a word
+
+
+def edits_of_long(length: np.ndarray) -> np.ndarray:
+    return np.minimum(length // 32, MOST_EDITS)
+
+
+_BLANK = np.array([chr(i).isspace() for i in range(0x3001)] + [False])
 
 
 class Lines:
     """The lines of several texts as code points, with prefix sums that give substring fingerprints."""
 
-    def __init__(self, column: pa.Array, min_chars: int, split: bool = True):
+    def __init__(self, column: pa.Array, min_chars: int, split: bool = True, visible: bool = False):
         texts = column.to_pylist()
         # A line feed ends each text; it belongs to no line.
         joined = "\n".join(t or "" for t in texts) + "\n"
@@ -50,6 +76,9 @@ class Lines:
         first = np.cumsum(per_text) - per_text
         self.number = np.arange(len(starts)) - first[self.row]
         long = ends - starts >= min_chars
+        if visible:
+            shown = np.concatenate([[0], np.cumsum(~_BLANK[np.minimum(self.points, 0x3001)])])
+            long &= shown[ends] > shown[starts]
         self.total = per_text
         self.row, self.number, self.starts, self.ends = self.row[long], self.number[long], starts[long], ends[long]
         n = len(self.points)
@@ -78,6 +107,49 @@ class Lines:
         np.bitwise_xor.accumulate(_ONE_BIT[pair >> np.uint32(26)], out=bits[1:-1])
         return (bits[np.maximum(self.ends - 1, self.starts)] ^ bits[self.starts]).view(np.int64)
 
+    def some(self, rows: np.ndarray) -> Lines:
+        """These lines only, of the same texts."""
+        out = copy(self)
+        out.row, out.number, out.starts, out.ends = self.row[rows], self.number[rows], self.starts[rows], self.ends[rows]
+        return out
+
+    def character_counts(self) -> np.ndarray:
+        """Eight counts of hashed characters, modulo 256, in the bytes of a word: an edit changes two of them by one."""
+        slot = (self.points * np.uint32(0x9E3779B1)) >> np.uint32(29)
+        out = np.zeros(len(self.starts), _U)
+        for i in range(8):
+            upto = np.concatenate([[0], np.cumsum(slot == i)])
+            out |= ((upto[self.ends] - upto[self.starts]) & 255).astype(_U) << _U(8 * i)
+        return out.view(np.int64)
+
+    def chosen_grams(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct chosen grams of each line: line, gram, first and last place in the line."""
+        n = len(self.points)
+        if n < RUN or not len(self.starts):
+            return (np.zeros(0, np.int64), np.zeros(0, _U), np.zeros(0, np.int32), np.zeros(0, np.int32))
+        at = np.arange(n - GRAM + 1)
+        gram = self.fingerprint(at, at + GRAM)
+        # The least gram of the window from each place on, and of those the places that equal one of their windows'.
+        wide = RUN - GRAM + 1
+        least = np.lib.stride_tricks.sliding_window_view(gram, wide).min(axis=1)
+        chosen = np.zeros(len(gram), bool)
+        for j in range(wide):
+            chosen[j : j + len(least)] |= gram[j : j + len(least)] == least
+        at = np.flatnonzero(chosen)
+        line = np.searchsorted(self.ends, at, "right")
+        inside = line < len(self.ends)
+        at, line = at[inside], line[inside]
+        inside = (at >= self.starts[line]) & (at + GRAM <= self.ends[line])
+        at, line = at[inside], line[inside]
+        order = np.lexsort((at, gram[at], line))
+        at, line = at[order], line[order]
+        new = np.ones(len(at), bool)
+        new[1:] = (line[1:] != line[:-1]) | (gram[at[1:]] != gram[at[:-1]])
+        first = np.flatnonzero(new)
+        last = np.append(first[1:], len(at)) - 1 if len(at) else first
+        line = line[first]
+        return line, gram[at[first]], (at[first] - self.starts[line]).astype(np.int32), (at[last] - self.starts[line]).astype(np.int32)
+
 
 def segments(length: np.ndarray, edits: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """Place and length of each segment: as even as can be, the longer ones last."""
@@ -172,6 +244,38 @@ def within_edits(left: pa.Array, right: pa.Array, edits: int) -> np.ndarray:
     return np.where(far, k + 1, np.minimum(distance, k + 1))
 
 
+def within_own_edits(left: pa.Array, right: pa.Array, most: np.ndarray) -> np.ndarray:
+    """The edit distance of the strings in each row, or a number above ``most`` if it is larger than that."""
+    out = most + 1
+    a, b = Lines(left, 0, split=False), Lines(right, 0, split=False)
+    # An edit changes the counts of bigrams by four at most.
+    bins = 1024
+    near = np.zeros(len(most), bool)
+    counts = np.zeros(bins, np.int64)
+    hashed = []
+    for lines in (a, b):
+        pair = (lines.points[:-1] * np.uint32(0x9E3779B1) + lines.points[1:] * np.uint32(0x85EBCA77)) * np.uint32(0xC2B2AE3D)
+        hashed.append((pair >> np.uint32(22)).astype(np.int64))
+    for i in range(len(most)):
+        x = hashed[0][a.starts[i] : max(a.ends[i] - 1, a.starts[i])]
+        y = hashed[1][b.starts[i] : max(b.ends[i] - 1, b.starts[i])]
+        counts = np.bincount(x, minlength=bins) - np.bincount(y, minlength=bins)
+        near[i] = np.abs(counts).sum() <= 4 * most[i]
+    size = np.maximum(a.ends - a.starts, b.ends - b.starts)
+    for low, high in ((0, 4), (5, 8), (9, 16), (17, MOST_EDITS)):
+        rows = np.flatnonzero(near & (most >= low) & (most <= high))
+        rows = rows[np.argsort(size[rows], kind="stable")]
+        at = 0
+        while at < len(rows):  # as many of like size as a bounded matrix holds
+            upto = at + 1
+            while upto < len(rows) and (upto + 1 - at) * int(size[rows[upto]] + 200) <= 1 << 21:
+                upto += 1
+            some = pa.array(rows[at:upto])
+            out[rows[at:upto]] = within_edits(left.take(some), right.take(some), high)
+            at = upto
+    return out
+
+
 def _row_key(docs: DataFrame) -> Column:
     return F.xxhash64(F.col("doc_id"), F.col("text"))
 
@@ -180,7 +284,7 @@ def _occurrences(rows: DataFrame, params: LineParams, with_text: bool) -> DataFr
     """One row for each distinct long line of each document."""
 
     def lines_of(piece: pa.RecordBatch) -> pa.RecordBatch:
-        lines = Lines(piece.column("text"), params.min_chars)
+        lines = Lines(piece.column("text"), params.min_chars, visible=params.classes is not None)
         keys, length = lines.keys(), lines.ends - lines.starts
         order = np.lexsort((lines.number, keys, lines.row))
         row, key = lines.row[order], keys[order]
@@ -196,6 +300,8 @@ def _occurrences(rows: DataFrame, params: LineParams, with_text: bool) -> DataFr
         }
         if with_text:
             out["bits"] = pa.array(lines.bigrams()[pick])
+            if params.classes is not None:
+                out["counted"] = pa.array(lines.character_counts()[pick])
             points = lines.points
             spans = zip(lines.starts[pick].tolist(), lines.ends[pick].tolist())
             out["line"] = pa.array([points[a:b].tobytes().decode("utf-32-le", "surrogatepass") for a, b in spans], pa.string())
@@ -204,7 +310,10 @@ def _occurrences(rows: DataFrame, params: LineParams, with_text: bool) -> DataFr
         return pa.RecordBatch.from_pydict(out)
 
     schema = "doc_id BIGINT, line_no INT, times BIGINT, key BIGINT, total BIGINT, length INT, "
-    return rows.mapInArrow(over_slices(lines_of), schema + ("bits BIGINT, line STRING" if with_text else "row_key BIGINT"))
+    counted = "counted BIGINT, " if params.classes is not None else ""
+    if with_text:  # as ordered in ``out``
+        return rows.mapInArrow(over_slices(lines_of), schema + f"bits BIGINT, {counted}line STRING")
+    return rows.mapInArrow(over_slices(lines_of), schema + "row_key BIGINT")
 
 
 def _keyed(lines: DataFrame, params: LineParams, keys, label: str) -> DataFrame:
@@ -220,30 +329,128 @@ def _keyed(lines: DataFrame, params: LineParams, keys, label: str) -> DataFrame:
     return lines.select("id", "bits", "line").mapInArrow(over_slices(run, "line"), f"slot BIGINT, {label} BIGINT, {label}_bits BIGINT")
 
 
+def _bucket(length: np.ndarray) -> np.ndarray:
+    return np.floor(np.log2(np.maximum(length, 1)) * 4).astype(np.int64)
+
+
+def _short_pairs(lines: DataFrame, params: LineParams) -> DataFrame:
+    """Candidate pairs whose shorter line is of a class, by segments."""
+    bounds = [low for low, _ in params.classes] + [LONG]
+
+    def keyed(label: str):
+        def run(piece: pa.RecordBatch) -> pa.RecordBatch:
+            lines = Lines(piece.column("line"), 0, split=False)
+            length = lines.ends - lines.starts
+            slots, of, most = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
+            for (low, edits), high in zip(params.classes, bounds[1:]):
+                rows = np.flatnonzero((length >= low) & (length < high + (edits if label == "probe" else 0)))
+                if not len(rows):
+                    continue
+                table = (index_keys if label == "own" else probe_keys)(lines.some(rows), edits)
+                # Keys are of a class, or its lines would meet at another threshold.
+                table = mix(table.view(_U) + _U(edits)).view(np.int64)
+                slots.append(table.ravel())
+                of.append(np.repeat(rows, table.shape[1]))
+                most.append(np.full(table.size, edits, np.int32))
+            of = pa.array(np.concatenate(of))
+            return pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate(slots)), piece.column("id").take(of), piece.column("length").take(of), piece.column("bits").take(of), pa.array(np.concatenate(most))],
+                ["slot", label, f"{label}_length", f"{label}_bits", f"{label}_most"],
+            )
+
+        schema = f"slot BIGINT, {label} BIGINT, {label}_length INT, {label}_bits BIGINT, {label}_most INT"
+        some = lines.where(f"length >= {bounds[0]} AND length < {LONG + params.classes[-1][1]}")
+        return some.select("id", "length", "bits", "line").mapInArrow(over_slices(run, "line"), schema)
+
+    own, probe = keyed("own"), keyed("probe")
+    near = F.bit_count(F.col("own_bits").bitwiseXOR(F.col("probe_bits"))) <= 4 * F.col("own_most")
+    gap = F.col("probe_length") - F.col("own_length")
+    near &= gap.between(0, F.col("own_most"))
+    pairs = own.join(probe, (own.slot == probe.slot) & (F.col("own") != F.col("probe")) & near)
+    return pairs.select(F.least("own", "probe").alias("u"), F.greatest("own", "probe").alias("v"))
+
+
+def _long_pairs(lines: DataFrame) -> DataFrame:
+    """Candidate pairs of lines of ``LONG`` characters or more, by chosen grams of lines of like length."""
+
+    def run(piece: pa.RecordBatch) -> pa.RecordBatch:
+        lines = Lines(piece.column("line"), 0, split=False)
+        length = lines.ends - lines.starts
+        line, gram, low, high = lines.chosen_grams()
+        home, away = _bucket(length), _bucket(length - edits_of_long(length))
+        more = np.flatnonzero((home != away)[line])
+        every = np.concatenate([np.arange(len(line)), more])
+        of = line[every]
+        bucket = np.concatenate([home[line], away[line[more]]])
+        slot = mix(gram[every] ^ mix(bucket.astype(_U) + _U(977))).view(np.int64)
+        # Guests of a shorter bucket have a negative length.
+        sign = np.where(np.arange(len(every)) < len(line), 1, -1)
+        rows = pa.array(of)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(slot), piece.column("id").take(rows), pa.array((length[of] * sign).astype(np.int32)),
+             pa.array(low[every]), pa.array(high[every]), piece.column("counted").take(rows)],
+            ["slot", "id", "length", "low", "high", "counted"],
+        )
+
+    some = lines.where(F.col("length") >= LONG).select("id", "counted", "line")
+    keyed = some.mapInArrow(over_slices(run, "line"), "slot BIGINT, id BIGINT, length INT, low INT, high INT, counted BIGINT")
+    a, b = keyed.alias("a"), keyed.alias("b")
+    most = F.least(F.shiftright(F.least(F.abs("a.length"), F.abs("b.length")), 5), F.lit(MOST_EDITS))
+    changed = F.lit(0)
+    for i in range(8):
+        x, y = (F.shiftright(F.col(f"{s}.counted"), 8 * i).bitwiseAND(F.lit(255)) for s in "ab")
+        apart = F.abs(x - y)
+        changed = changed + F.least(apart, F.lit(256) - apart)
+    near = (F.col("a.length") > 0) | (F.col("b.length") > 0)
+    near &= F.abs(F.abs("a.length") - F.abs("b.length")) <= most
+    near &= (F.col("a.low") <= F.col("b.high") + most) & (F.col("b.low") <= F.col("a.high") + most) & (changed <= 2 * most)
+    pairs = a.join(b, (F.col("a.slot") == F.col("b.slot")) & (F.col("a.id") < F.col("b.id")) & near)
+    return pairs.select(F.col("a.id").alias("u"), F.col("b.id").alias("v"))
+
+
+def _most(shorter: np.ndarray, params: LineParams) -> np.ndarray:
+    """The threshold of pairs by the length of the shorter line."""
+    out = np.full(len(shorter), -1, np.int64)
+    for low, edits in params.classes:
+        out[shorter >= low] = edits
+    return np.where(shorter >= LONG, edits_of_long(shorter), out)
+
+
 def distinct_lines(docs: DataFrame, params: LineParams = LineParams()) -> DataFrame:
     """A written table of the distinct long lines: ``id, key, total, length, first_doc, line_no, copies, bits, line``."""
     rows = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST)).alias("doc_id"), F.col("text").cast("string").alias("text"))
     each = _occurrences(rows, params, with_text=True)
     grouped = each.groupBy("key", "total", "length").agg(
         F.min("doc_id").alias("first_doc"), F.min_by("line_no", "doc_id").alias("line_no"), F.sum("times").alias("copies"),
-        F.first("bits").alias("bits"), F.first("line").alias("line"),
+        F.first("bits").alias("bits"), *([F.first("counted").alias("counted")] if params.classes is not None else []),
+        F.first("line").alias("line"),
     )
     return stage(grouped.withColumn("id", F.monotonically_increasing_id()), "lines")
 
 
 def edit_links(lines: DataFrame, params: LineParams = LineParams()) -> DataFrame:
     """``a, b, edits``: all pairs of different lines within the threshold, once each, ``a`` occurring first."""
-    own = _keyed(lines, params, index_keys, "own")
-    probe = _keyed(lines, params, probe_keys, "probe")
-    near = F.bit_count(F.col("own_bits").bitwiseXOR(F.col("probe_bits"))) <= 4 * params.edits
-    pairs = own.join(probe, (own.slot == probe.slot) & (F.col("own") != F.col("probe")) & near)
-    pairs = stage(pairs.select(F.least("own", "probe").alias("u"), F.greatest("own", "probe").alias("v")).distinct(), "line-pairs")
+    if params.classes is None:
+        own = _keyed(lines, params, index_keys, "own")
+        probe = _keyed(lines, params, probe_keys, "probe")
+        near = F.bit_count(F.col("own_bits").bitwiseXOR(F.col("probe_bits"))) <= 4 * params.edits
+        pairs = own.join(probe, (own.slot == probe.slot) & (F.col("own") != F.col("probe")) & near)
+        pairs = pairs.select(F.least("own", "probe").alias("u"), F.greatest("own", "probe").alias("v"))
+    else:
+        pairs = _short_pairs(lines, params).unionByName(_long_pairs(lines))
+    pairs = stage(pairs.distinct(), "line-pairs")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in slices(batches, "u_line"):
-            edits = within_edits(piece.column("u_line"), piece.column("v_line"), params.edits)
+            u, v = piece.column("u_line"), piece.column("v_line")
+            if params.classes is None:
+                edits, most = within_edits(u, v, params.edits), params.edits
+            else:
+                shorter = np.minimum(*(pc.utf8_length(x).to_numpy(zero_copy_only=False) for x in (u, v)))
+                most = _most(shorter.astype(np.int64), params)
+                edits = within_own_edits(u, v, most)
             out = piece.select(["u", "v", "v_first"]).append_column("edits", pa.array(edits.astype(np.int32)))
-            yield out.filter(pa.array(edits <= params.edits))
+            yield out.filter(pa.array(edits <= most))
 
     place = F.struct("first_doc", "line_no", "id")
     u = lines.select(F.col("id").alias("u"), F.col("line").alias("u_line"), place.alias("u_place"))
@@ -263,7 +470,7 @@ def line_decisions(docs: DataFrame, params: LineParams = LineParams()) -> DataFr
     links = stage(edit_links(lines, params), "line-links")
     ends = links.select(F.col("a").alias("id"), F.lit(0).alias("later")).unionByName(links.select(F.col("b").alias("id"), F.lit(1).alias("later")))
     per_line = ends.groupBy("id").agg(F.count("*").alias("links"), F.max("later").alias("later"))
-    known = lines.drop("line", "line_no", "copies", "bits").join(per_line, "id", "left").drop("id")
+    known = lines.drop("line", "line_no", "copies", "bits", "counted").join(per_line, "id", "left").drop("id")
     rows = docs.select(
         F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST)).alias("doc_id"), F.col("text").cast("string").alias("text"),
         _row_key(docs).alias("row_key"),
@@ -322,7 +529,7 @@ def without_repeats(docs: DataFrame, params: LineParams = LineParams()) -> DataF
             keep = np.ones(len(texts), bool)
             if touched:
                 chosen = piece.column("text").take(pa.array(touched))
-                lines = Lines(chosen, params.min_chars)
+                lines = Lines(chosen, params.min_chars, visible=params.classes is not None)
                 keys = lines.keys()
                 bounds = np.searchsorted(lines.row, np.arange(len(touched) + 1))
                 for k, i in enumerate(touched):
@@ -348,4 +555,4 @@ def without_repeats(docs: DataFrame, params: LineParams = LineParams()) -> DataF
 
 def op1_line_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repeated and nearly repeated lines of every document."""
-    return line_report(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return line_report(spark.read.parquet(f"{sf_dir}/documents.parquet"), WHOLE)

@@ -122,3 +122,48 @@ def test_probes_and_distance(edits):
         if want[i] <= edits and min(len(left[i]), len(right[i])) > edits:
             assert set(keys[0][0][i]) & set(keys[1][1][i]) or set(keys[1][0][i]) & set(keys[0][1][i])
             assert int(keys[0][2][i] ^ keys[1][2][i]).bit_count() <= 4 * edits
+
+
+def most_edits(length):
+    return -1 if length < 10 else 1 if length < 20 else 2 if length < 96 else min(length // 32, 31)
+
+
+def test_growing_threshold_equals_brute_force(spark):
+    rng = random.Random(21)
+    base = ["".join(rng.choice("abcdefgh é") for _ in range(n)) for n in (4, 9, 12, 19, 25, 60, 94, 97, 127, 130, 205, 260, 400, 555, 1000, 1300)]
+    lines = set(base)
+    for line in base:
+        k = max(most_edits(len(line)), 0)
+        for times in (1, max(k - 1, 1), k, k, k + 1, k + 2):
+            lines.add(edited(rng, line, times))
+        at = len(line) // 2
+        lines.add(line[:at] + line[at + max(k, 1) :])
+    lines = sorted(x for x in lines if x.strip())
+    lines += [" ", "\u3000\u3000", "Of, edti oner.", "Of, edti oner."]
+    docs = [(i, x) for i, x in enumerate(lines)]
+    got = {r.doc_id: (r.n_long, r.n_exact, r.n_near, r.n_links) for r in line_edits.line_report(table(spark, docs), line_edits.WHOLE).collect()}
+    distinct = {}
+    for d, x in docs:
+        if x.strip():
+            distinct.setdefault(x, d)
+    links = {x: [] for x in distinct}
+    for x in distinct:
+        for y in distinct:
+            if x < y and abs(len(x) - len(y)) <= 31 and edit_distance(x, y) <= most_edits(min(len(x), len(y))):
+                links[x].append(y)
+                links[y].append(x)
+    want = {}
+    for d, x in docs:
+        if not x.strip():
+            want[d] = (0, 0, 0, 0)
+            continue
+        again = distinct[x] < d
+        want[d] = (1, int(again), int(not again and any(distinct[y] < d for y in links[x])), len(links[x]))
+    assert got == want
+    assert sum(len(v) for x, v in links.items() if len(x) > 200) > 40
+
+
+def test_short_repeated_lines_count(spark):
+    rows = [(i, "Of, edti oner.\n\n   \nunique line " + "abcdefghij"[i] * 5) for i in range(4)]
+    got = {r.doc_id: (r.n_long, r.n_exact) for r in line_edits.line_report(table(spark, rows), line_edits.WHOLE).collect()}
+    assert got == {0: (2, 0), 1: (2, 1), 2: (2, 1), 3: (2, 1)}
