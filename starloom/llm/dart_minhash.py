@@ -39,9 +39,9 @@ class NearParams:
     surplus: float = 2.0
 
     # A sketch has four bits for each of so many bins.  Texts are compared if the share of equal bins is not further
-    # below that of the wanted similarity than these deviations; a long pair just at it is left out once in 4,000 times.
+    # below that of the wanted similarity than these deviations; a long pair just at it is left out 3 times in a million.
     bins: int = 512
-    deviations: float = 3.5
+    deviations: float = 4.5
     # Members of a bucket that all others are compared with, in each of so many rounds.
     hubs: int = 4
     rounds: int = 1

@@ -117,3 +117,10 @@ def test_components(spark):
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "u BIGINT, v BIGINT")).collect()}
     assert got == {x: sets.find(x) for e in edges if e[0] != e[1] for x in e}
     assert components(spark.createDataFrame([], "u BIGINT, v BIGINT")).count() == 0
+
+
+def test_the_sketch_filter_passes_pairs_at_the_threshold():
+    params = near.NearParams()
+    # Of independent bins, the share that agrees falls below this once in 30,000 times (4 deviations).
+    least = params.similarity - 4 * (params.similarity * (1 - params.similarity) / params.bins) ** 0.5
+    assert (1 - least) * 14 / 15 <= params.most_different
