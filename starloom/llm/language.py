@@ -31,7 +31,7 @@ class LanguageParams:
     centroids: int = 4
     sample: int = 400
     languages: int = 400
-    # A text is rejected below this share of the cosine that the worst sampled text of like length had.
+    # A text is rejected below this share of the cosine that the worst learnable text of like length had.
     slack: float = 0.6
     length_classes: int = 8
     # Texts of the two shortest classes tell little: they are rejected only if they share next to nothing.
@@ -118,10 +118,10 @@ def sample_of(docs: DataFrame, params: LanguageParams) -> DataFrame:
     """Up to ``sample`` texts of each language, those of lowest hash; equal texts count once."""
     from pyspark.sql import Window
 
-    rows = docs.where(learnable() & F.col("text").isNotNull()).select("lang", F.xxhash64("text").alias("pick"))
+    rows = docs.where(learnable() & F.col("text").isNotNull()).select("lang", F.xxhash64("text").alias("pick")).distinct()
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("pick"))
     # Ranks above the bound are dropped before the shuffle, so a hot language sends few rows.
-    picks = rows.withColumn("rank", rank).where(F.col("rank") <= params.sample).select("lang", "pick").distinct()
+    picks = rows.withColumn("rank", rank).where(F.col("rank") <= params.sample).select("lang", "pick")
     names = sorted(r.lang for r in picks.select("lang").distinct().limit(params.languages + 1).collect())
     if len(names) > params.languages:
         raise ValueError(f"more than {params.languages} languages")
@@ -144,6 +144,31 @@ def _clusters(vectors: np.ndarray, k: int) -> np.ndarray:
     return centroids
 
 
+def _lowest(
+    learned: DataFrame, names: list[str], of: np.ndarray, middles: np.ndarray, weights: np.ndarray, params: LanguageParams
+) -> np.ndarray:
+    """By length class, the least cosine of any learnable row to the nearest centroid of its own language."""
+    place = {name: i for i, name in enumerate(names)}
+
+    def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        low = np.ones(params.length_classes)
+        for piece in _by_rows(batches, params.dimensions):
+            counted = counts(piece.column("text"), params.dimensions)
+            own = np.array([place.get(x, -1) for x in piece.column("lang").to_pylist()], np.int64)
+            used = counted.any(axis=1) & (own >= 0)
+            if used.any():
+                counted, own = counted[used], own[used]
+                cosine = np.where(of == own[:, None], normalised(counted, weights) @ middles.T, -1.0).max(axis=1)
+                np.minimum.at(low, length_class(counted.sum(axis=1), params.length_classes), cosine)
+        yield pa.RecordBatch.from_pydict({"low": pa.array([low], pa.list_(pa.float64()))})
+
+    each = learned.mapInArrow(least, "low ARRAY<DOUBLE>").select(F.posexplode("low").alias("class", "low"))
+    out = np.ones(params.length_classes)
+    for r in each.groupBy("class").agg(F.min("low").alias("low")).collect():  # one row per length class
+        out[r["class"]] = r["low"]
+    return out
+
+
 def fit(docs: DataFrame, params: LanguageParams = LanguageParams()) -> LanguageModel:
     """Learn from ``text`` and ``lang`` of the learnable rows.  No such row gives a model without languages."""
     dims = params.dimensions
@@ -157,8 +182,10 @@ def fit(docs: DataFrame, params: LanguageParams = LanguageParams()) -> LanguageM
         yield pa.RecordBatch.from_pydict({"n": pa.array([n]), "seen": pa.array([seen], pa.list_(pa.int64()))})
 
     sample = sample_of(docs, params).persist()
+    learned = docs.where(learnable() & F.col("text").isNotNull()).select("lang", F.col("text").cast("string").alias("text"))
     try:
-        partial = sample.mapInArrow(frequencies, "n BIGINT, seen ARRAY<BIGINT>")
+        # Document frequencies of all learnable rows, not of the sample.
+        partial = learned.select("text").mapInArrow(frequencies, "n BIGINT, seen ARRAY<BIGINT>")
         each = partial.select("n", F.posexplode("seen").alias("slot", "seen")).groupBy("slot").agg(F.sum("n").alias("n"), F.sum("seen").alias("seen"))
         found = each.collect()
         seen = np.zeros(dims)
@@ -171,28 +198,24 @@ def fit(docs: DataFrame, params: LanguageParams = LanguageParams()) -> LanguageM
             counted = counts(pa.array(group["text"], pa.large_string()), dims)
             counted = counted[counted.any(axis=1)]
             if not len(counted):
-                return pd.DataFrame({"lang": [], "centroid": [], "lowest": []})
+                return pd.DataFrame({"lang": [], "centroid": []})
             vectors = normalised(counted, weights)
             middles = _clusters(vectors, params.centroids)
-            cosine = (vectors @ middles.T).max(axis=1)
-            cls = length_class(counted.sum(axis=1), params.length_classes)
-            lowest = [float(cosine[cls == c].min(initial=1.0)) for c in range(params.length_classes)]
-            return pd.DataFrame(
-                {"lang": group["lang"].iloc[0], "centroid": list(middles), "lowest": [lowest] * len(middles)}
-            )
+            return pd.DataFrame({"lang": group["lang"].iloc[0], "centroid": list(middles)})
 
-        rows = sample.groupBy("lang").applyInPandas(centroids, "lang STRING, centroid ARRAY<FLOAT>, lowest ARRAY<DOUBLE>")
+        rows = sample.groupBy("lang").applyInPandas(centroids, "lang STRING, centroid ARRAY<FLOAT>")
         rows = sorted(rows.collect(), key=lambda r: (r.lang, tuple(r.centroid)))
     finally:
         sample.unpersist()
     names = sorted({r.lang for r in rows})
-    lowest = np.min([r.lowest for r in rows], axis=0) if rows else np.ones(params.length_classes)
+    of = np.array([names.index(r.lang) for r in rows], np.int64)
+    middles = np.array([r.centroid for r in rows], np.float32).reshape(len(rows), dims)
+    lowest = _lowest(learned, names, of, middles, weights, params) if rows else np.ones(params.length_classes)
     # Longer texts are never nearer to rejection than shorter ones were seen to be.
     lowest = np.minimum.accumulate(lowest[::-1])[::-1] * params.slack
     lowest[: params.short_classes] = params.short_cosine
     return LanguageModel(
-        names, np.array([names.index(r.lang) for r in rows], np.int64),
-        np.array([r.centroid for r in rows], np.float32).reshape(len(rows), dims), weights, lowest,
+        names, of, middles, weights, lowest,
     )
 
 

@@ -58,6 +58,32 @@ def test_language_without_labels_or_rows(spark):
     assert language.predict(empty, language.fit(empty)).count() == 0
 
 
+def test_copies_do_not_displace_other_texts_of_the_sample(spark):
+    rng = random.Random(17)
+    texts = [prose(rng, 30) for _ in range(30)]
+    ids = [i for i in range(3000) if remainder(i, 5) != 0]
+    made = []
+    for copied in texts[:6]:  # one of them has a low hash
+        made.append([(i, t, "aa") for i, t in zip(ids, texts + [copied] * 60)])
+    params = language.LanguageParams(sample=40)
+    for rows in made:
+        assert {r.text for r in language.sample_of(table(spark, rows), params).collect()} == set(texts)
+
+
+def test_statistics_take_all_learnable_rows(spark):
+    rng = random.Random(18)
+    ids = [i for i in range(400) if remainder(i, 5) != 0][:80]
+    docs = table(spark, [(i, prose(rng, 60), "aa") for i in ids])
+    params = language.LanguageParams(sample=5)
+    model = language.fit(docs, params)
+    counted = language.counts(language.pa.array([r.text for r in docs.collect()]), params.dimensions)
+    weights = np.log((1 + len(ids)) / (1 + (counted > 0).sum(axis=0))) + 0.05
+    assert np.allclose(model.weights, weights, atol=1e-5)
+    cosine = (language.normalised(counted, model.weights) @ model.centroids.T).max(axis=1)
+    cls = language.length_class(counted.sum(axis=1), params.length_classes)
+    assert all(model.lowest[c] <= params.slack * cosine[cls == c].min() + 1e-6 for c in set(cls.tolist()) if c >= params.short_classes)
+
+
 # Quality
 
 
