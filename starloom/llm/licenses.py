@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starloom.llm.text import normal_shingles, slices
+from starloom.llm.text import NOT_ALNUM, Texts, lower, shingles, slices
 from starloom.llm.windows import Blocks, ItemIndex, distinct_shingles
 
 # Usual license notices, by SPDX identifier.
@@ -42,7 +43,45 @@ TEMPLATES = [
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("LGPL-2.1-or-later", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU "
+                          "Lesser General Public License as published by the Free Software Foundation; either version 2.1 of "
+                          "the License, or (at your option) any later version."),
+    ("LGPL-3.0-or-later", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU "
+                          "Lesser General Public License as published by the Free Software Foundation, either version 3 of "
+                          "the License, or (at your option) any later version."),
+    ("AGPL-3.0-or-later", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU "
+                          "Affero General Public License as published by the Free Software Foundation, either version 3 of "
+                          "the License, or (at your option) any later version."),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License "
+                "2.0 which is available at"),
+    ("BSD-2-Clause", "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the "
+                     "following disclaimer in the documentation and/or other materials provided with the distribution. THIS "
+                     "SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\""),
+    ("MIT", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of "
+            "the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT "
+            "NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT "
+            "SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF "
+            "CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS "
+            "IN THE SOFTWARE."),
+    *((f"{name}", f"SPDX-License-Identifier: {name}") for name in (
+        "Apache-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "LGPL-2.1-only", "LGPL-2.1-or-later",
+        "LGPL-3.0-only", "LGPL-3.0-or-later", "AGPL-3.0-only", "AGPL-3.0-or-later", "BSD-2-Clause", "BSD-3-Clause", "MPL-2.0",
+        "EPL-2.0", "CC0-1.0",
+    )),
 ]
+# Notices of fewer words than a shingle.
+SHORT_NOTICES = [
+    ("LicenseRef-All-Rights-Reserved", "All rights reserved."), ("MIT", "MIT License"), ("MIT", "SPDX-License-Identifier: MIT"),
+    ("ISC", "SPDX-License-Identifier: ISC"), ("Unlicense", "SPDX-License-Identifier: Unlicense"), ("ISC", "ISC License"),
+    ("Apache-2.0", "Apache License 2.0"),
+]
+
+
+def whole_texts() -> list[tuple[str, str]]:
+    """Whole license bodies; read by the driver only."""
+    names = {"GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-3": "LGPL-3.0"}
+    files = sorted((Path(__file__).parent / "license_texts").glob("*.txt"))
+    return [(names.get(f.stem, f.stem), f.read_text(encoding="utf-8")) for f in files]
 
 
 @dataclass(frozen=True)
@@ -55,33 +94,74 @@ class LicenseParams:
     rows: int = 1
 
 
+def _words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    texts = Texts.of(lower(column))
+    starts, ends, first = texts.spans(NOT_ALNUM)
+    return texts.fingerprints(starts, ends), first
+
+
+def prints_of(words: np.ndarray, first: np.ndarray, those: np.ndarray, width: int) -> np.ndarray:
+    """The one shingle of each of some texts of ``width`` words."""
+    some = np.concatenate([words[first[i] : first[i + 1]] for i in those])
+    return shingles(some, np.arange(len(those) + 1) * width, width)[0]
+
+
+def _inside(words: np.ndarray, first: np.ndarray, width: int, keys: np.ndarray, those: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct pairs of text and short template; ``keys`` are sorted."""
+    prints, at = shingles(words, first, width)
+    hit = np.flatnonzero(np.isin(prints, keys))
+    low, high = (np.searchsorted(keys, prints[hit], side) for side in ("left", "right"))
+    doc = np.searchsorted(at, hit, "right") - 1
+    pairs = {(d, int(those[k])) for d, a, b in zip(doc.tolist(), low.tolist(), high.tolist()) for k in range(a, b)}
+    found = np.array(sorted(pairs), np.int64).reshape(-1, 2)
+    return found[:, 0], found[:, 1]
+
+
 def license_notices(
     docs: DataFrame, templates: list[tuple[str, str]] | None = None, params: LicenseParams = LicenseParams()
 ) -> DataFrame:
     """``doc_id, license, template, n_shared, n_shingles, containment``: a row for each template found in each row.
 
     ``template`` is the place in the list, which is part of the program, so small.  Matching ignores case, punctuation
-    and line breaks.  Null and empty texts contain nothing; repeated rows give repeated results; null ids stay null.
+    and line breaks.  A template of fewer words than a shingle is found wherever its words stand in a row.  Null and empty texts contain nothing; repeated rows give repeated results; null ids stay null.
     """
     templates = TEMPLATES if templates is None else templates
     names = [name for name, _ in templates]
-    prints, first = distinct_shingles(*normal_shingles(pa.array([text for _, text in templates], pa.large_string()), params.width))
+    words, at = _words(pa.array([text for _, text in templates], pa.large_string()))
+    prints, first = distinct_shingles(*shingles(words, at, params.width))
+    n_words = np.diff(at)
+    short = {}
+    for width in range(1, params.width):
+        those = np.flatnonzero(n_words == width)
+        if len(those):
+            keys = prints_of(words, at, those, width)
+            order = np.argsort(keys)
+            short[width] = (keys[order], those[order])
+    # The index holds the others; short ones are left without shingles there.
+    long = n_words >= params.width
+    prints = prints[np.repeat(long, np.diff(first))]
+    first = np.concatenate([[0], np.cumsum(np.where(long, np.diff(first), 0))])
     index = docs.sparkSession.sparkContext.broadcast(ItemIndex.of(prints, first, params.bands, params.rows))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = index.value
         sizes = np.diff(known.first)
         for piece in slices(batches, "text"):
-            prints, first = normal_shingles(piece.column("text"), params.width)
+            words, at = _words(piece.column("text"))
+            prints, first = shingles(words, at, params.width)
             doc, item = known.candidates(Blocks.of(prints, first, params.bands * params.rows))
             shared = known.contained(doc, item, prints, first)
             found = shared >= np.ceil(params.containment * sizes[item] - 1e-9)
-            doc, item, shared = doc[found], item[found], shared[found]
+            doc, item, shared, size = doc[found], item[found], shared[found], sizes[item[found]]
+            for width, (keys, those) in short.items():
+                more_doc, more = _inside(words, at, width, keys, those)
+                doc, item = np.concatenate([doc, more_doc]), np.concatenate([item, more])
+                shared, size = (np.concatenate([x, np.ones(len(more), np.int64)]) for x in (shared, size))
             yield pa.RecordBatch.from_pydict(
                 {
                     "doc_id": piece.column("doc_id").take(pa.array(doc)), "license": pa.array([names[i] for i in item], pa.string()),
-                    "template": pa.array(item.astype(np.int32)), "n_shared": pa.array(shared), "n_shingles": pa.array(sizes[item]),
-                    "containment": pa.array(shared / np.maximum(sizes[item], 1)),
+                    "template": pa.array(item.astype(np.int32)), "n_shared": pa.array(shared), "n_shingles": pa.array(size),
+                    "containment": pa.array(shared / np.maximum(size, 1)),
                 }
             )
 
@@ -93,4 +173,4 @@ def license_notices(
 
 def op6_license_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All license notices in all documents."""
-    return license_notices(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return license_notices(spark.read.parquet(f"{sf_dir}/documents.parquet"), TEMPLATES + SHORT_NOTICES + whole_texts())

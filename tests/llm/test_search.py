@@ -90,3 +90,15 @@ def test_license_notices(spark):
     assert {(r.doc_id, r.template) for r in got} == contained(docs, list(enumerate(t for _, t in licenses.TEMPLATES)))
     assert {(10 + n, n) for n in range(len(licenses.TEMPLATES))} <= {(r.doc_id, r.template) for r in got}
     assert licenses.license_notices(table(spark, [])).count() == 0
+
+
+def test_short_notices_and_whole_licenses_inside_texts(spark):
+    rng = random.Random(4)
+    known = licenses.TEMPLATES + licenses.SHORT_NOTICES + licenses.whole_texts()
+    docs = [(-1, prose(rng, 300))]
+    for n, (_, text) in enumerate(known[len(licenses.TEMPLATES) :], len(licenses.TEMPLATES)):
+        docs.append((n, f"{prose(rng, 300)}\n{text.upper()}\n{prose(rng, 300)}"))
+    got = {(r.doc_id, r.template) for r in licenses.license_notices(table(spark, docs), known).collect()}
+    assert {(n, n) for n in range(len(licenses.TEMPLATES), len(known))} <= got
+    assert not any(d == -1 for d, _ in got)
+    assert {"GPL-3.0", "LGPL-2.1", "CC0-1.0"} <= {name for name, _ in licenses.whole_texts()}
