@@ -188,3 +188,15 @@ def test_prediction_sink_keeps_order(spark, tmp_path):
     assert back.columns == ["user_id", "business_id", "prediction"]
     text = [p.read_text().splitlines()[1:] for p in sorted((tmp_path / "out").glob("part-*.csv"))]
     assert [line.split(",")[0] for part in text for line in part] == [f"u{i}" for i in range(100)]
+
+
+def test_pairs_query_reads_no_file_as_one_row(spark, monkeypatch):
+    from pyspark.sql import DataFrameReader
+
+    from workload import queries
+
+    whole = []
+    text = DataFrameReader.text
+    monkeypatch.setattr(DataFrameReader, "text", lambda self, *a, **k: whole.append(k.get("wholetext")) or text(self, *a, **k))
+    assert queries.pairs_from_files(spark, "/root/testdata/sf0.001").count() > 0
+    assert True not in whole

@@ -191,15 +191,13 @@ def predictions_to_files(spark: SparkSession, sf: str) -> DataFrame:
 def pairs_from_files(spark: SparkSession, sf: str) -> DataFrame:
     """The pairs to predict through CSV, with lines that are too short among them."""
     path = fresh_path(spark, "pairs")
-    pairs = views.train_and_test(spark, sf)[1].select(F.concat_ws(",", "user_id", "item_id").alias("value"))
-    broken = pairs.select(F.element_at(F.split("value", ","), 1).alias("value"))
-    header = spark.range(1).select(F.lit("user_id,business_id").alias("value"))
-    pairs.unionByName(broken).unionByName(header).repartition(3).sortWithinPartitions(F.desc("value")).write.text(path)
-    # Each part starts with what its reader takes for a header, so one more is put first.
-    headed = fresh_path(spark, "pairs-headed")
-    lines = spark.read.text(path, wholetext=True).select(F.concat(F.lit("user_id,business_id\n"), "value").alias("value"))
-    lines.write.text(headed)
-    return files.read_pairs(spark, headed).groupBy("user_id", "item_id").agg(F.count("*").alias("n"))
+    names = ["user_id", "business_id"]
+    pairs = views.train_and_test(spark, sf)[1].select(*(F.col(c).cast("string").alias(n) for c, n in zip(("user_id", "item_id"), names)))
+    # One more header among the lines is dropped by the reader, as are lines that are too short.
+    header = spark.range(1).select(*(F.lit(n).alias(n) for n in names))
+    pairs.unionByName(header).write.option("header", True).csv(path)
+    pairs.select("user_id").write.mode("append").option("header", True).csv(path)
+    return files.read_pairs(spark, path).groupBy("user_id", "item_id").agg(F.count("*").alias("n"))
 
 
 def _through_files(lines, read):
