@@ -66,8 +66,8 @@ def temporary_tables(spark: SparkSession) -> Iterator[None]:
             remove(spark, path)
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as parquet below the shared folder and read it back.
+def stage(df: DataFrame, label: str, **options: str) -> DataFrame:
+    """Write ``df`` as parquet below the shared folder, with the writer's ``options``, and read it back.
 
     This cuts the lineage at a table that outlives executors, and gives the planner real sizes.  Wrap a job in
     :func:`temporary_tables` to have its tables removed.
@@ -77,5 +77,5 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     made = _made.get()
     if made is not None:
         made.append(path)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
