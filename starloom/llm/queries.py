@@ -18,6 +18,8 @@ from starloom.llm.lm_score import op8_attention_lm
 from starloom.llm.pseudonyms import op9_feistel_pseudonyms
 from starloom.llm.shipping import ship
 from starloom.llm.token_files import op7_token_files
+from starloom.llm.vector_codes import ORACLE_SQL as VECTOR_CODES_SQL
+from starloom.llm.vector_codes import op11_cover_tree_codes
 
 
 def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -39,9 +41,10 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_attention_lm": op8_attention_lm,
     "op9_feistel_pseudonyms": op9_feistel_pseudonyms,
     "op10_length_buckets": op10_length_buckets,
+    "op11_cover_tree_codes": op11_cover_tree_codes,
     "pipeline": corpus_pipeline.run,
 }
 QUERIES = {name: _shipped(query) for name, query in _QUERIES.items()}
 
-# None of the operators can be written in SQL: they need fingerprints, the tokenizer or a trained model.
-ORACLES: dict[str, str] = {}
+# The other operators can't be written in SQL: they need fingerprints, the tokenizer or a trained model.
+ORACLES: dict[str, str] = {"op11_cover_tree_codes": VECTOR_CODES_SQL}
