@@ -15,6 +15,8 @@ from starloom.llm.licenses import op6_license_windows
 from starloom.llm.line_edits import op1_line_edits
 from starloom.llm.packing import op10_length_buckets
 from starloom.llm.lm_score import op8_attention_lm
+from starloom.llm.phrases import ORACLE_SQL as PHRASES_SQL
+from starloom.llm.phrases import op13_partitioned_phrases
 from starloom.llm.pseudonyms import op9_feistel_pseudonyms
 from starloom.llm.shipping import ship
 from starloom.llm.token_files import op7_token_files
@@ -42,9 +44,10 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_feistel_pseudonyms": op9_feistel_pseudonyms,
     "op10_length_buckets": op10_length_buckets,
     "op11_cover_tree_codes": op11_cover_tree_codes,
+    "op13_partitioned_phrases": op13_partitioned_phrases,
     "pipeline": corpus_pipeline.run,
 }
 QUERIES = {name: _shipped(query) for name, query in _QUERIES.items()}
 
 # The other operators can't be written in SQL: they need fingerprints, the tokenizer or a trained model.
-ORACLES: dict[str, str] = {"op11_cover_tree_codes": VECTOR_CODES_SQL}
+ORACLES: dict[str, str] = {"op11_cover_tree_codes": VECTOR_CODES_SQL, "op13_partitioned_phrases": PHRASES_SQL}
