@@ -35,8 +35,8 @@ class PhraseParams:
     # A candidate inside a longer one goes if the longer one has this share of its occurrences.
     contained_percent: int = 100
     top: int = 2000
-    # Words of a shard, which bounds the memory of a task.
-    shard_words: int = 4_000_000
+    # Words of a shard, at least, where its partition has as many; it has less than twice as many, which bounds the memory.
+    shard_words: int = 3_000_000
     # Bits of the filter that holds the candidates: a fixed size, at the price of false candidates, which are counted exactly too.
     filter_bits: int = 26
 
@@ -72,31 +72,34 @@ def parse(column: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray, np.ndarray]
     return words.dictionary_encode(), joined, first
 
 
-def shards(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[Shard]:
-    """The batches' ``lang`` and ``text`` as shards of about ``most`` words."""
+def shards(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[Shard]:
+    """The batches' ``lang`` and ``text`` as shards of ``least`` words or more, as small shards have a low local support.
+
+    Only a partition of fewer words makes a smaller one; beyond twice as many, a shard is as long as its last text makes it.
+    """
     words: list[pa.DictionaryArray] = []
     joined: list[np.ndarray] = []
     languages: list[np.ndarray] = []
     names: dict[str, int] = {}
-    held = 0
 
-    def whole() -> Shard:
-        chunks = pa.chunked_array(words).unify_dictionaries().chunks
-        places = np.concatenate([c.indices.to_numpy(zero_copy_only=False) for c in chunks]).astype(np.int64)
-        return Shard(places, np.concatenate(languages), np.concatenate(joined), chunks[0].dictionary, list(names))
+    def first(pieces: int) -> Shard:
+        chunks = pa.chunked_array(words[:pieces]).unify_dictionaries().chunks
+        places = np.concatenate([c.indices.to_numpy(zero_copy_only=False) for c in chunks])
+        shard = Shard(places, np.concatenate(languages[:pieces]), np.concatenate(joined[:pieces]), chunks[0].dictionary, list(names))
+        del words[:pieces], languages[:pieces], joined[:pieces]
+        return shard
 
     for piece in slices(batches, "text"):
-        found, close, first = parse(piece.column("text"))
+        found, close, start = parse(piece.column("text"))
         numbers = [names.setdefault(x, len(names)) for x in piece.column("lang").to_pylist()]
         words.append(found)
         joined.append(close)
-        languages.append(np.repeat(np.array(numbers, np.int32), np.diff(first)))
-        held += len(found)
-        if held >= most:
-            yield whole()
-            words, joined, languages, names, held = [], [], [], {}, 0
-    if held:
-        yield whole()
+        languages.append(np.repeat(np.array(numbers, np.int32), np.diff(start)))
+        upto = np.cumsum([len(w) for w in words])
+        if upto[-1] >= 2 * least:
+            yield first(int(np.searchsorted(upto, least)) + 1)
+    if words:
+        yield first(len(words))
 
 
 @dataclass
@@ -123,14 +126,17 @@ def levels(shard: Shard, most_words: int, keep: Callable[[np.ndarray, np.ndarray
     for length in range(1, most_words + 1):
         if length == 1:
             at = np.arange(len(number))
-            key = shard.languages.astype(np.int64) * kept + number
+            key = shard.languages.astype(np.int64) * kept
+            key += number
         else:
             near = (number[:-1] >= 0) & (number[1:] >= 0)
             at = np.flatnonzero(near & shard.joined[:-1] if length == 2 else near)
-            key = number[at] * kept + number[at + 1]
+            key = number[at].astype(np.int64) * kept
+            key += number[at + 1]
         if not len(at):
             return
         code, _ = pd.factorize(key)
+        del key
         count = np.bincount(code)
         place = np.empty(len(count), np.int64)
         place[code[::-1]] = at[::-1]
@@ -140,9 +146,10 @@ def levels(shard: Shard, most_words: int, keep: Callable[[np.ndarray, np.ndarray
             prints = prints + word_prints[shard.words[place + j]] * factors[j]
         prints = mix(prints)
         good = keep(language, count, prints)
-        renumbered = np.where(good, np.cumsum(good) - 1, -1)
-        number = np.full(len(shard.words), -1, np.int64)
+        renumbered = np.where(good, np.cumsum(good) - 1, -1).astype(np.int32)
+        number = np.full(len(shard.words), -1, np.int32)
         number[at] = renumbered[code]
+        del code, at
         kept = max(1, int(good.sum()))
         yield Level(language[good], place[good], count[good], prints[good])
 
