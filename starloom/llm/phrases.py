@@ -1,9 +1,10 @@
 """Phrases whose words occur together more often than apart, by partitioned frequent-phrase mining.
 
-The corpus is dealt into shards of bounded size.  Each shard is mined completely, length by length, at a support lowered to
-the shard's share of its language's words: a phrase with the support overall reaches the lowered one in some shard, so the
-union of what is frequent somewhere misses none.  That union, thinned by the most that other shards can still hold, is then
-counted over all documents exactly.
+The corpus is dealt into a fixed number of shards.  Each is mined completely at a support lowered to the shard's share of its
+language's words: a phrase with the support overall reaches the lowered one in some shard, so the union of what is frequent
+somewhere misses none.  A shard is as large as its share of the corpus, so many tasks mine it together: words first, then
+pairs of frequent words, then longer runs of frequent pairs.  The union, thinned by the most that other shards can still
+hold, is then counted over all documents exactly.
 """
 
 from __future__ import annotations
@@ -35,25 +36,25 @@ class PhraseParams:
     # A candidate inside a longer one goes if the longer one has this share of its occurrences.
     contained_percent: int = 100
     top: int = 2000
-    # Words of a shard, at least, where its partition has as many; it has less than twice as many, which bounds the memory.
-    shard_words: int = 3_000_000
-    # Bits of the filter that holds the candidates: a fixed size, at the price of false candidates, which are counted exactly too.
+    shards: int = 8
+    # Documents of so many successive ids fall into one shard, so that a task's texts are mostly of one.
+    shard_ids: int = 4096
+    # Words that a task counts at a time, at least, where its partition has as many, and less than twice as many: its memory.
+    block_words: int = 3_000_000
+    # Bits of the filters that hold phrases: a fixed size, at the price of false ones, which are counted exactly too.
     filter_bits: int = 26
 
 
 @dataclass
-class Shard:
-    """The words of several texts in a row: their places in ``dictionary``, their texts' languages, and whether the next
-    word is in the same piece."""
+class Block:
+    """The words of several texts in a row: their places in ``dictionary``, their texts' groups (places in ``keys``, which
+    are shard and language), and whether the next word is in the same piece."""
 
     words: np.ndarray
-    languages: np.ndarray
+    groups: np.ndarray
     joined: np.ndarray
     dictionary: pa.Array
-    names: list[str]
-
-    def word_counts(self) -> np.ndarray:
-        return np.bincount(self.languages, minlength=len(self.names))
+    keys: list[tuple[int, str]]
 
 
 def parse(column: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray, np.ndarray]:
@@ -72,29 +73,30 @@ def parse(column: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray, np.ndarray]
     return words.dictionary_encode(), joined, first
 
 
-def shards(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[Shard]:
-    """The batches' ``lang`` and ``text`` as shards of ``least`` words or more, as small shards have a low local support.
+def blocks(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[Block]:
+    """The batches' ``shard, lang, text`` as blocks of ``least`` words or more, as equal phrases of a block are one row.
 
-    Only a partition of fewer words makes a smaller one; beyond twice as many, a shard is as long as its last text makes it.
+    Only a partition of fewer words makes a smaller one; beyond twice as many, a block is as long as its last text makes it.
     """
     words: list[pa.DictionaryArray] = []
     joined: list[np.ndarray] = []
-    languages: list[np.ndarray] = []
-    names: dict[str, int] = {}
+    groups: list[np.ndarray] = []
+    keys: dict[tuple[int, str], int] = {}
 
-    def first(pieces: int) -> Shard:
+    def first(pieces: int) -> Block:
         chunks = pa.chunked_array(words[:pieces]).unify_dictionaries().chunks
         places = np.concatenate([c.indices.to_numpy(zero_copy_only=False) for c in chunks])
-        shard = Shard(places, np.concatenate(languages[:pieces]), np.concatenate(joined[:pieces]), chunks[0].dictionary, list(names))
-        del words[:pieces], languages[:pieces], joined[:pieces]
-        return shard
+        block = Block(places, np.concatenate(groups[:pieces]), np.concatenate(joined[:pieces]), chunks[0].dictionary, list(keys))
+        del words[:pieces], groups[:pieces], joined[:pieces]
+        return block
 
     for piece in slices(batches, "text"):
         found, close, start = parse(piece.column("text"))
-        numbers = [names.setdefault(x, len(names)) for x in piece.column("lang").to_pylist()]
+        key = zip(piece.column("shard").to_pylist(), piece.column("lang").to_pylist(), strict=True)
+        numbers = [keys.setdefault(x, len(keys)) for x in key]
         words.append(found)
         joined.append(close)
-        languages.append(np.repeat(np.array(numbers, np.int32), np.diff(start)))
+        groups.append(np.repeat(np.array(numbers, np.int32), np.diff(start)))
         upto = np.cumsum([len(w) for w in words])
         if upto[-1] >= 2 * least:
             yield first(int(np.searchsorted(upto, least)) + 1)
@@ -104,33 +106,34 @@ def shards(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[Shard]:
 
 @dataclass
 class Level:
-    """The kept phrases of one length: language, first word's place in the shard, occurrences, fingerprint."""
+    """The kept phrases of one length: group, first word's place in the block, occurrences, fingerprint."""
 
-    language: np.ndarray
+    group: np.ndarray
     place: np.ndarray
     count: np.ndarray
     fingerprint: np.ndarray
 
 
-def levels(shard: Shard, most_words: int, keep: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]) -> Iterator[Level]:
-    """The phrases that ``keep(language, count, fingerprint)`` keeps, length by length.
+def levels(block: Block, longest: int, keep: Callable[[int, np.ndarray, np.ndarray], np.ndarray | None]) -> Iterator[Level]:
+    """The phrases that ``keep(length, group, fingerprint)`` keeps (None: all), length by length.
 
-    A phrase is looked at only if both phrases of one word less inside it were kept; the two name it exactly.
+    A phrase is looked at only if both phrases of one word less inside it were kept; the two name it exactly.  Fingerprints
+    are those of language and words, so they are the same in all blocks and shards.
     """
-    texts = Texts.of(shard.dictionary)
+    texts = Texts.of(block.dictionary)
     word_prints = texts.fingerprints(texts.offsets[:-1], texts.offsets[1:])
-    names = Texts.of(pa.array(shard.names, pa.large_string()))
+    names = Texts.of(pa.array([name for _, name in block.keys], pa.large_string()))
     name_prints = names.fingerprints(names.offsets[:-1], names.offsets[1:])
-    factors = mix(np.arange(1, most_words + 1, dtype=_U)) | _U(1)
-    number, kept = shard.words, max(1, len(shard.dictionary))
-    for length in range(1, most_words + 1):
+    factors = mix(np.arange(1, longest + 1, dtype=_U)) | _U(1)
+    number, kept = block.words, max(1, len(block.dictionary))
+    for length in range(1, longest + 1):
         if length == 1:
             at = np.arange(len(number))
-            key = shard.languages.astype(np.int64) * kept
+            key = block.groups.astype(np.int64) * kept
             key += number
         else:
             near = (number[:-1] >= 0) & (number[1:] >= 0)
-            at = np.flatnonzero(near & shard.joined[:-1] if length == 2 else near)
+            at = np.flatnonzero(near & block.joined[:-1] if length == 2 else near)
             key = number[at].astype(np.int64) * kept
             key += number[at + 1]
         if not len(at):
@@ -140,111 +143,164 @@ def levels(shard: Shard, most_words: int, keep: Callable[[np.ndarray, np.ndarray
         count = np.bincount(code)
         place = np.empty(len(count), np.int64)
         place[code[::-1]] = at[::-1]
-        language = shard.languages[place]
-        prints = name_prints[language]
+        group = block.groups[place]
+        prints = name_prints[group]
         for j in range(length):
-            prints = prints + word_prints[shard.words[place + j]] * factors[j]
+            prints = prints + word_prints[block.words[place + j]] * factors[j]
         prints = mix(prints)
-        good = keep(language, count, prints)
+        good = keep(length, group, prints)
+        good = np.ones(len(count), bool) if good is None else good
         renumbered = np.where(good, np.cumsum(good) - 1, -1).astype(np.int32)
-        number = np.full(len(shard.words), -1, np.int32)
+        number = np.full(len(block.words), -1, np.int32)
         number[at] = renumbered[code]
         del code, at
         kept = max(1, int(good.sum()))
-        yield Level(language[good], place[good], count[good], prints[good])
+        yield Level(group[good], place[good], count[good], prints[good])
 
 
-def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+def _texts(docs: DataFrame, params: PhraseParams) -> DataFrame:
+    shard = F.pmod(F.xxhash64(F.floor(F.col("doc_id").cast("bigint") / F.lit(params.shard_ids))), F.lit(params.shards))
+    return docs.select(
+        shard.cast("int").alias("shard"), F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"),
+        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
+    )
 
 
-def word_totals(docs: DataFrame) -> DataFrame:
-    """``lang, n``: all word occurrences of each language (a null one is ``und``); languages without words are left out."""
+def word_totals(docs: DataFrame, params: PhraseParams = PhraseParams()) -> DataFrame:
+    """``shard, lang, n``: all word occurrences (a null language is ``und``); groups without words are left out."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[str, int] = {}
+        total: dict[tuple[int, str], int] = {}
         for piece in slices(batches, "text"):
             _, _, first = Texts.of(piece.column("text")).spans(SEPARATOR)
-            for name, n in zip(piece.column("lang").to_pylist(), np.diff(first).tolist(), strict=True):
-                total[name] = total.get(name, 0) + n
-        yield pa.RecordBatch.from_pydict({"lang": pa.array(list(total), pa.string()), "n": pa.array(list(total.values()), pa.int64())})
+            for *key, n in zip(piece.column("shard").to_pylist(), piece.column("lang").to_pylist(), np.diff(first).tolist(), strict=True):
+                total[tuple(key)] = total.get(tuple(key), 0) + n
+        shard, lang = [k[0] for k in total], [k[1] for k in total]
+        yield pa.RecordBatch.from_pydict({"shard": pa.array(shard, pa.int32()), "lang": pa.array(lang, pa.string()), "n": pa.array(list(total.values()), pa.int64())})
 
-    return _texts(docs).mapInArrow(count, "lang STRING, n BIGINT").groupBy("lang").agg(F.sum("n").alias("n")).where("n > 0")
+    rows = _texts(docs, params).mapInArrow(count, "shard INT, lang STRING, n BIGINT")
+    return rows.groupBy("shard", "lang").agg(F.sum("n").alias("n")).where("n > 0")
 
 
-def _dealt(docs: DataFrame, words: int, params: PhraseParams) -> DataFrame:
-    """The texts in no more partitions than shards, without a shuffle, so that small input files don't make small shards."""
-    return _texts(docs).coalesce(max(1, -(-words // params.shard_words)))
+@dataclass
+class Groups:
+    """Shards' languages by number: the least occurrences that are frequent there, and what tells their filter bits apart."""
+
+    number: dict[tuple[int, str], int]
+    least: list[int]
+    words: int
+
+    @staticmethod
+    def of(totals: DataFrame, support: int) -> Groups:
+        rows = totals.collect()  # as many as shards times languages
+        words: dict[str, int] = {}
+        for r in rows:
+            words[r.lang] = words.get(r.lang, 0) + r.n
+        return Groups({(r.shard, r.lang): i for i, r in enumerate(rows)}, [-(-support * r.n // words[r.lang]) for r in rows], sum(words.values()))
+
+    def salts(self) -> np.ndarray:
+        return mix(np.arange(1, len(self.least) + 1, dtype=_U))
+
+    def frame(self, spark: SparkSession) -> DataFrame:
+        rows = [(i, lang, self.least[i], int(salt)) for ((_, lang), i), salt in zip(self.number.items(), self.salts().view(np.int64), strict=True)]
+        return spark.createDataFrame(rows, "group INT, lang STRING, least BIGINT, salt BIGINT")
+
+
+def _bits(prints: DataFrame, print_column: str, bits: int) -> np.ndarray:
+    """A filter with the bits of all fingerprints set, in 64-bit words; its size doesn't depend on the data."""
+    bit = F.col(print_column).bitwiseAND((1 << bits) - 1)
+    words = prints.groupBy(F.shiftright(bit, 6).cast("bigint").alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, int({print_column} & 63))")).alias("bits"))
+    found = words.toArrow()  # at most 2^(bits - 6) rows
+    out = np.zeros(1 << (bits - 6), np.int64)
+    out[found.column("word").to_numpy()] = found.column("bits").to_numpy()
+    return out.view(_U)
 
 
-def locally_frequent(docs: DataFrame, totals: dict[str, int], params: PhraseParams = PhraseParams()) -> DataFrame:
-    """``lang, print, surplus``: the fingerprints of what is frequent in a shard, and occurrences beyond the most that an
-    infrequent phrase can have there, summed over the shards.  The row of a language with a null ``print`` has the
-    number of occurrences that a phrase can have without being frequent in any shard.
-    """
-    shared = docs.sparkSession.sparkContext.broadcast(totals)
-
-    def mine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shard in shards(batches, params.shard_words):
-            share = zip(shard.names, shard.word_counts().tolist(), strict=True)
-            least = np.array([max(1, -(-params.support * n // max(1, shared.value[name] if n else 1))) for name, n in share], np.int64)
-            names = pa.array(shard.names, pa.string())
-            yield pa.RecordBatch.from_pydict({"lang": names, "print": pa.nulls(len(names), pa.int64()), "surplus": pa.array(least - 1)})
-            for level in levels(shard, params.most_words, lambda language, count, _, least=least: count >= least[language]):
-                yield pa.RecordBatch.from_pydict({
-                    "lang": names.take(pa.array(level.language)), "print": pa.array(level.fingerprint.view(np.int64)),
-                    "surplus": pa.array(level.count - least[level.language] + 1),
-                })
+def is_set(filled: np.ndarray, prints: np.ndarray) -> np.ndarray:
+    bit = prints & _U(len(filled) * 64 - 1)
+    return (filled[bit >> _U(6)] >> (bit & _U(63))) & _U(1) > 0
 
-    mined = _dealt(docs, sum(totals.values()), params).mapInArrow(mine, "lang STRING, print BIGINT, surplus BIGINT")
-    return mined.groupBy("lang", "print").agg(F.sum("surplus").alias("surplus"))
 
+def _dealt(texts: DataFrame, groups: Groups, params: PhraseParams) -> DataFrame:
+    """The texts in no more partitions than blocks, without a shuffle, so that small input files don't make small blocks."""
+    return texts.coalesce(max(1, -(-groups.words // params.block_words)))
 
-def candidate_filter(known: DataFrame, params: PhraseParams = PhraseParams()) -> np.ndarray:
-    """Bits of all fingerprints that can reach the support, in 64-bit words; its size doesn't depend on the data."""
-    slack = known.where("print IS NULL").select("lang", F.col("surplus").alias("slack"))
-    possible = known.where("print IS NOT NULL").join(slack, "lang").where(F.col("surplus") + F.col("slack") >= params.support)
-    bit = F.col("print").bitwiseAND((1 << params.filter_bits) - 1)
-    words = possible.groupBy(F.shiftright(bit, 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, int(print & 63))")).alias("bits"))
-    found = words.toArrow()  # at most 2^(filter_bits - 6) rows
-    out = np.zeros(1 << (params.filter_bits - 6), np.int64)
-    out[found.column("word").to_numpy()] = found.column("bits").to_numpy()
-    return out.view(_U)
 
+def _frequent(docs: DataFrame, groups: Groups, filters: list[np.ndarray], longest: int, params: PhraseParams) -> DataFrame:
+    """``group, print, n`` of the shards' frequent phrases of more words than there are ``filters``, up to ``longest``.
 
-def exact_counts(docs: DataFrame, words: int, bits: np.ndarray, params: PhraseParams = PhraseParams()) -> DataFrame:
-    """``lang, phrase, words, f`` of all phrases with the support, among those whose bit is set, over all documents."""
-    shared = docs.sparkSession.sparkContext.broadcast(bits)
+    The filters hold the shards' frequent phrases of 1, 2, ... words; no phrase around others is counted.
+    """
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast((groups.number, groups.salts(), filters))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mask = _U((1 << params.filter_bits) - 1)
+        numbers, salts, known = shared.value
+        for block in blocks(batches, params.block_words):
+            number = np.array([numbers.get(key, 0) for key in block.keys])  # keys without words have none, nor rows
+
+            def keep(length: int, group: np.ndarray, prints: np.ndarray, number=number) -> np.ndarray | None:
+                return is_set(known[length - 1], prints ^ salts[number[group]]) if length <= len(known) else None
+
+            for length, level in enumerate(levels(block, longest, keep), 1):
+                if length > len(known):
+                    columns = {"group": number[level.group].astype(np.int32), "print": level.fingerprint.view(np.int64), "n": level.count}
+                    yield pa.RecordBatch.from_pydict({k: pa.array(v) for k, v in columns.items()})
+
+    rows = _dealt(_texts(docs, params), groups, params).mapInArrow(count, "group INT, print BIGINT, n BIGINT")
+    least = groups.frame(spark).select("group", "least")
+    return rows.groupBy("group", "print").agg(F.sum("n").alias("n")).join(least, "group").where("n >= least").drop("least")
+
 
-        def keep(language: np.ndarray, count: np.ndarray, prints: np.ndarray) -> np.ndarray:
-            bit = prints & mask
-            return (shared.value[bit >> _U(6)] >> (bit & _U(63))) & _U(1) > 0
+def locally_frequent(docs: DataFrame, groups: Groups, params: PhraseParams = PhraseParams()) -> DataFrame:
+    """``group, print, n``: all phrases that are frequent in a shard, with their occurrences there."""
+    frame = groups.frame(docs.sparkSession)
+    known, filters = None, []
+    for longest in (1, 2, params.most_words):
+        if longest > len(filters):
+            found = stage(_frequent(docs, groups, filters, longest, params), "mined")
+            known = found if known is None else known.unionByName(found)
+            if longest < params.most_words:
+                marked = found.join(frame, "group").select(F.col("print").bitwiseXOR(F.col("salt")).alias("mark"))
+                filters.append(_bits(marked, "mark", params.filter_bits))
+    return known
 
-        for shard in shards(batches, params.shard_words):
-            names = pa.array(shard.names, pa.string())
-            for length, level in enumerate(levels(shard, params.most_words, keep), 1):
-                parts = [shard.dictionary.take(pa.array(shard.words[level.place + j])) for j in range(length)]
+
+def possible(known: DataFrame, groups: Groups, params: PhraseParams = PhraseParams()) -> DataFrame:
+    """``print`` of the phrases that can have the support: counted where they are frequent, one less than that elsewhere."""
+    frame = groups.frame(known.sparkSession)
+    slack = frame.groupBy("lang").agg(F.sum(F.col("least") - 1).alias("slack"))
+    surplus = known.join(frame, "group").groupBy("lang", "print").agg(F.sum(F.col("n") - F.col("least") + 1).alias("surplus"))
+    return surplus.join(slack, "lang").where(F.col("surplus") + F.col("slack") >= params.support).select("print")
+
+
+def exact_counts(docs: DataFrame, groups: Groups, candidates: np.ndarray, params: PhraseParams = PhraseParams()) -> DataFrame:
+    """``lang, phrase, words, f`` of all phrases with the support, among those in the filter, over all documents."""
+    shared = docs.sparkSession.sparkContext.broadcast(candidates)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in blocks(batches, params.block_words):
+            names = pa.array([name for _, name in block.keys], pa.string())
+            for length, level in enumerate(levels(block, params.most_words, lambda _, __, prints: is_set(shared.value, prints)), 1):
+                parts = [block.dictionary.take(pa.array(block.words[level.place + j])) for j in range(length)]
                 phrase = pc.binary_join_element_wise(*parts, pa.scalar(" ", pa.large_string())) if length > 1 else parts[0]
                 yield pa.RecordBatch.from_pydict({
-                    "lang": names.take(pa.array(level.language)), "phrase": phrase.cast(pa.string()),
+                    "lang": names.take(pa.array(level.group)), "phrase": phrase.cast(pa.string()),
                     "words": pa.array(np.full(len(phrase), length, np.int32)), "n": pa.array(level.count),
                 })
 
-    rows = _dealt(docs, words, params).mapInArrow(count, "lang STRING, phrase STRING, words INT, n BIGINT")
+    texts = _texts(docs, params).withColumn("shard", F.lit(0))
+    rows = _dealt(texts, groups, params).mapInArrow(count, "lang STRING, phrase STRING, words INT, n BIGINT")
     return rows.groupBy("lang", "phrase", "words").agg(F.sum("n").alias("f")).where(F.col("f") >= params.support)
 
 
 def frequent_phrases(docs: DataFrame, params: PhraseParams = PhraseParams()) -> tuple[DataFrame, DataFrame]:
     """All phrases of up to ``most_words`` words with the support (``lang, phrase, words, f``, a written table), and the word
     totals (``lang, n``)."""
-    totals = stage(word_totals(docs), "words")
-    by_name = {r.lang: r.n for r in totals.collect()}  # one row per language
-    known = stage(locally_frequent(docs, by_name, params), "mined")
-    counted = exact_counts(docs, sum(by_name.values()), candidate_filter(known, params), params)
-    return stage(counted, "phrases"), totals
+    totals = stage(word_totals(docs, params), "words")
+    groups = Groups.of(totals, params.support)
+    candidates = _bits(possible(locally_frequent(docs, groups, params), groups, params), "print", params.filter_bits)
+    return stage(exact_counts(docs, groups, candidates, params), "phrases"), totals.groupBy("lang").agg(F.sum("n").alias("n"))
 
 
 def scored(phrases: DataFrame, totals: DataFrame, params: PhraseParams = PhraseParams()) -> DataFrame:
@@ -282,8 +338,9 @@ def collocations(docs: DataFrame, params: PhraseParams = PhraseParams()) -> Data
     """``lang, rank, phrase, a, l, r, n, score``: the best phrases of each language.
 
     Texts are lower-cased (A to Z), split into pieces at punctuation and line ends and those into words at blanks and tabs.  A
-    null text is empty, a null language is ``und``; repeated rows count as often as they occur.  Ties in the score go to
-    the more frequent, then to the first phrase by its bytes.  Only ``lang`` and ``text`` are read; an empty table gives none.
+    null text is empty, a null language is ``und``; repeated rows and ids count as often as they occur.  Ties in the score go to
+    the more frequent, then to the first phrase by its bytes.  Only ``doc_id, lang, text``
+    are read, the id only to deal documents into shards; an empty table gives none.
     """
     phrases, totals = frequent_phrases(docs, params)
     candidates = stage(scored(phrases, totals, params), "scored")

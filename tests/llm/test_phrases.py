@@ -60,7 +60,7 @@ def got(df):
 
 
 def test_against_counting_everything(spark):
-    for seed, params in enumerate([PhraseParams(support=12, shard_words=500, filter_bits=12, top=40), PhraseParams(support=7, shard_words=10**6, contained_percent=80, most_words=4)]):
+    for seed, params in enumerate([PhraseParams(support=12, shards=3, shard_ids=2, block_words=500, filter_bits=12, top=40), PhraseParams(support=7, block_words=10**6, contained_percent=80, most_words=4)]):
         rows = corpus(seed)
         found = got(collocations(table(spark, rows).repartition(5), params))
         assert len(found) > 20 and found == plain(rows, params)
@@ -73,7 +73,7 @@ def test_a_full_filter_changes_nothing(spark):
 
 
 def test_all_frequent_phrases_are_found(spark):
-    rows, params = corpus(7), PhraseParams(support=9, shard_words=200)
+    rows, params = corpus(7), PhraseParams(support=9, shard_ids=1, block_words=200)
     phrases, totals = frequent_phrases(table(spark, rows).repartition(3), params)
     f, n = plain_counts(rows, 5)
     assert {(r.lang, tuple(r.phrase.split(" "))): r.f for r in phrases.collect()} == {k: v for k, v in f.items() if v >= 9}
