@@ -40,7 +40,7 @@ class PhraseParams:
     # Documents of so many successive ids fall into one shard, so that a task's texts are mostly of one.
     shard_ids: int = 4096
     # Words that a task counts at a time, at least, where its partition has as many, and less than twice as many: its memory.
-    block_words: int = 3_000_000
+    block_words: int = 1_500_000
     # Bits of the filters that hold phrases: a fixed size, at the price of false ones, which are counted exactly too.
     filter_bits: int = 26
 
