@@ -19,6 +19,8 @@ from starloom.llm.phrases import ORACLE_SQL as PHRASES_SQL
 from starloom.llm.phrases import op13_partitioned_phrases
 from starloom.llm.pseudonyms import op9_feistel_pseudonyms
 from starloom.llm.shipping import ship
+from starloom.llm.suffixes import ORACLE_SQL as SUFFIXES_SQL
+from starloom.llm.suffixes import op12_deep_shallow
 from starloom.llm.token_files import op7_token_files
 from starloom.llm.vector_codes import ORACLE_SQL as VECTOR_CODES_SQL
 from starloom.llm.vector_codes import op11_cover_tree_codes
@@ -44,10 +46,13 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_feistel_pseudonyms": op9_feistel_pseudonyms,
     "op10_length_buckets": op10_length_buckets,
     "op11_cover_tree_codes": op11_cover_tree_codes,
+    "op12_deep_shallow": op12_deep_shallow,
     "op13_partitioned_phrases": op13_partitioned_phrases,
     "pipeline": corpus_pipeline.run,
 }
 QUERIES = {name: _shipped(query) for name, query in _QUERIES.items()}
 
 # The other operators can't be written in SQL: they need fingerprints, the tokenizer or a trained model.
-ORACLES: dict[str, str] = {"op11_cover_tree_codes": VECTOR_CODES_SQL, "op13_partitioned_phrases": PHRASES_SQL}
+ORACLES: dict[str, str] = {
+    "op11_cover_tree_codes": VECTOR_CODES_SQL, "op12_deep_shallow": SUFFIXES_SQL, "op13_partitioned_phrases": PHRASES_SQL,
+}
