@@ -36,7 +36,7 @@ class RepeatParams:
     anchor: int = 24
     # Bytes of text in a piece, and at most around repeated anchors in a part: the memory of a task.
     piece_bytes: int = 4 << 20
-    part_bytes: int = 32 << 20
+    part_bytes: int = 8 << 20
     # Depth of the first phase of sorting.
     shallow: int = 32
     # Strings of an anchor in so many pieces are dealt out by their own hashes.
@@ -322,7 +322,7 @@ def sorted_parts(sent: DataFrame, params: RepeatParams = RepeatParams()) -> Data
             of = np.repeat(rest, counts[rest])
             begin = expand(starts[rest], counts[rest])
             place = begin - starts[of] + places[of]
-            again = repeats(data, begin, np.full(len(begin), params.length), ids[of], place, params.shallow)
+            again = repeats(data, begin, np.broadcast_to(np.int64(params.length), len(begin)), ids[of], place, params.shallow)
             of, place = of[again], place[again]
             # Successive starts of one text as one span.
             head = np.concatenate([[True], (of[1:] != of[:-1]) | (place[1:] != place[:-1] + 1)])[: len(of)]
