@@ -26,7 +26,7 @@ from starloom.session import stage_by
 
 _U = np.uint64
 # Starts whose anchors are found at a time; their places fit into so many bits beside a hash's leading ones.
-SEGMENT, PLACE_BITS = 1 << 20, 24
+SEGMENT, PLACE_BITS = 1 << 19, 24
 NULL_ID = np.iinfo(np.int64).min
 
 
@@ -125,6 +125,14 @@ def _blind_tries(data, words, starts, lengths, shallow, order, new, places) -> t
     return order, new
 
 
+def string_hashes(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
+    """A hash of each string of ``length`` bytes."""
+    words, lengths, out = _words(data), np.broadcast_to(np.int64(length), len(starts)), np.zeros(len(starts), _U)
+    for depth in range(0, length, 8):
+        out = mix(out + _word(words, starts, lengths, depth))
+    return out
+
+
 def repeats(data, starts, lengths, ids, places, shallow) -> np.ndarray:
     """Which strings also start earlier: with a smaller id, or the same and a smaller place."""
     order, new = sort_strings(data, starts, lengths, shallow)
@@ -276,7 +284,7 @@ def strings_by_part(table: DataFrame, marks: DataFrame, parts: int, params: Repe
                 starts = np.concatenate([runs.start[plain], expand(runs.start[single], runs.count[single])])
                 counts = np.concatenate([runs.count[plain], np.ones(len(starts) - int(plain.sum()), np.int64)])
                 own = expand(runs.start[single], runs.count[single])
-                hashes = np.concatenate([runs.hash[plain], texts.fingerprints(own, own + params.length)])
+                hashes = np.concatenate([runs.hash[plain], string_hashes(texts.data, own, params.length)])
                 docs = np.searchsorted(texts.offsets, starts, "right") - 1
                 lengths = counts + params.length - 1
                 known = repeats(texts.data, starts, lengths, ids[docs], starts - texts.offsets[docs], params.shallow)
