@@ -158,7 +158,7 @@ class Runs:
 
 
 def anchor_runs(texts: Texts, length: int, width: int) -> Runs:
-    """All starts of strings of ``length`` bytes that lie within a text."""
+    """All starts of strings of ``length`` bytes that lie within a text.  Least hashes are small, so they are mixed anew."""
     size = length - width + 1
     room_left = np.repeat(texts.offsets[1:], np.diff(texts.offsets)) if len(texts.data) <= SEGMENT else None
     parts: list[tuple[np.ndarray, ...]] = []
@@ -183,7 +183,7 @@ def anchor_runs(texts: Texts, length: int, width: int) -> Runs:
             continue
         head = np.concatenate([[True], (np.diff(at[inside]) != 0) | (np.diff(inside) != 1)])
         first = np.flatnonzero(head)
-        parts.append((starts[inside[first]], np.diff(np.concatenate([first, [len(inside)]])), grams[at[inside[first]]]))
+        parts.append((starts[inside[first]], np.diff(np.concatenate([first, [len(inside)]])), mix(~grams[at[inside[first]]])))
     if not parts:
         return Runs(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, _U))
     return Runs(*(np.concatenate(x) for x in zip(*parts, strict=True)))
