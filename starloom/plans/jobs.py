@@ -8,8 +8,9 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from starloom.operators.additive import RICH_ADDITIVE, STACKED_ADDITIVE, AdditiveParams, fit_additive
 from starloom.operators.boosting import (
-    RICH_BOOSTING, STACKED_BOOSTING, BoostingParams, calibrated, clamped, fit_boosting,
+    BoostingParams, calibrated, clamped, fit_boosting,
 )
 from starloom.operators.features import Profiles, assemble, item_table, user_table, with_entities
 from starloom.operators.scoring import assign_folds, attach_scores, fit_cf, out_of_fold_cf, score_cf
@@ -91,10 +92,16 @@ def test_vectors(p: Prepared) -> DataFrame:
     return _vectors(p, p.pairs, scores, False, p.pairs.columns)
 
 
-def fit_and_predict(p: Prepared, boosting: BoostingParams) -> JobResult:
-    """Trees over the vectors, then calibration (rich) or a clamp (stacked)."""
+def fit_and_predict(p: Prepared, boosting: AdditiveParams | BoostingParams) -> JobResult:
+    """Trees over the vectors, then calibration (rich) or a clamp (stacked).
+
+    ``BoostingParams`` asks for Spark's own booster, without penalties.
+    """
     train, test = stage(train_vectors(p), "train-vectors"), test_vectors(p)
-    model = fit_boosting(train, boosting, label=p.cols.rating, staged=False)
+    if isinstance(boosting, AdditiveParams):
+        model = fit_additive(train, boosting, label=p.cols.rating)
+    else:
+        model = fit_boosting(train, boosting, label=p.cols.rating, staged=False)
     scored = model.predict(test)
     value = calibrated(F.col("raw_prediction"), F.lit(model.centre)) if p.rich else clamped()
     return JobResult(scored.select(*p.pairs.columns, value.alias("prediction")), train, test)
@@ -102,14 +109,14 @@ def fit_and_predict(p: Prepared, boosting: BoostingParams) -> JobResult:
 
 def run_stacked(
     ratings: DataFrame, pairs: DataFrame, profiles: Profiles, params: CfParams = CfParams(),
-    boosting: BoostingParams = STACKED_BOOSTING, folds: int = FOLDS, cols: RatingColumns = DEFAULT_COLUMNS,
+    boosting: AdditiveParams | BoostingParams = STACKED_ADDITIVE, folds: int = FOLDS, cols: RatingColumns = DEFAULT_COLUMNS,
 ) -> JobResult:
     """Out-of-fold neighbourhood scores stacked into trees over 68 features."""
     return fit_and_predict(prepare(ratings, pairs, profiles, False, "oof", params, folds, cols), boosting)
 
 
 def run_rich(
-    ratings: DataFrame, pairs: DataFrame, profiles: Profiles, boosting: BoostingParams = RICH_BOOSTING, cf: str = "proxy",
+    ratings: DataFrame, pairs: DataFrame, profiles: Profiles, boosting: AdditiveParams | BoostingParams = RICH_ADDITIVE, cf: str = "proxy",
     params: CfParams = CfParams(), folds: int = FOLDS, cols: RatingColumns = DEFAULT_COLUMNS,
 ) -> JobResult:
     """Trees over 117 features with leave-one-out statistics, then calibration.
@@ -151,7 +158,7 @@ def predict_files(
     pairs_path: str,
     output_path: str,
     job: str = "rich",
-    boosting: BoostingParams | None = None,
+    boosting: AdditiveParams | BoostingParams | None = None,
     by_file_order: bool = True,
     cols: RatingColumns = DEFAULT_COLUMNS,
     **options,
@@ -170,7 +177,7 @@ def predict_files(
         pairs = files.read_pairs(spark, pairs_path, cols)
         profiles = read_profiles(spark, source, job == "rich", cols)
         run = {"stacked": run_stacked, "rich": run_rich}[job]
-        default = STACKED_BOOSTING if job == "stacked" else RICH_BOOSTING
+        default = STACKED_ADDITIVE if job == "stacked" else RICH_ADDITIVE
         result = run(ratings, pairs, profiles, boosting=boosting or default, cols=cols, **options)
         files.write_predictions(stage(result.predictions, "predictions"), output_path, cols, order_by=cols.seq)
     return spark.read.schema("user_id STRING, business_id STRING, prediction DOUBLE").csv(output_path, header=True)

@@ -329,6 +329,25 @@ _TEST_SCORES = f"""t AS (SELECT test.stars, cf_pred AS item_cf, g AS global_mean
   FROM rows test JOIN scored USING (user_id, item_id))"""
 _FEATURE_SCORE = ", scored_rows AS (SELECT fold AS sfold, user_id, item_id, cf_pred, n_neighbours FROM scored)"
 _WORD_LIST = "string_split(replace(concat_ws(' , ', p_name, p_type), ' ', ', '), ',')"
+def additive(trees, rate=0.5, l1=40.0, l2=25.0, start=2.5):
+    """Trees of depth one over three features, one after the other; leaves are penalised, all trees are shrunk."""
+    leaf = lambda s, n: f"sign({s}) * greatest(abs({s}) - {l1}, 0) / ({n} + {l2})"
+    steps = [f"""r0 AS (SELECT stars, CAST(l_linenumber AS DOUBLE) AS line, CAST(l_partkey % 5 AS DOUBLE) AS part_group,
+        CAST(user_id % 11 AS DOUBLE) AS segment, CAST({start} AS DOUBLE) AS p FROM train)"""]
+    for k in range(1, trees + 1):
+        steps.append(f"""x{k} AS (SELECT line, part_group, segment, stars - p AS e FROM r{k - 1}),
+      long{k} AS (UNPIVOT x{k} ON line, part_group, segment INTO NAME feature VALUE v),
+      per{k} AS (SELECT feature, v, count(*) AS n, sum(e) AS s FROM long{k} GROUP BY ALL),
+      cum{k} AS (SELECT feature, v, sum(n) OVER w AS n, sum(s) OVER w AS s, sum(n) OVER (PARTITION BY feature) AS all_n,
+          sum(s) OVER (PARTITION BY feature) AS all_s FROM per{k} WINDOW w AS (PARTITION BY feature ORDER BY v)),
+      best{k} AS (SELECT feature, v, {leaf("s", "n")} AS low, {leaf("(all_s - s)", "(all_n - n)")} AS high FROM cum{k} WHERE n < all_n
+        ORDER BY s * s / n + (all_s - s) * (all_s - s) / (all_n - n) DESC LIMIT 1),
+      r{k} AS (SELECT stars, line, part_group, segment, p + {rate} * CASE WHEN CASE feature WHEN 'line' THEN line
+          WHEN 'part_group' THEN part_group ELSE segment END <= v THEN low ELSE high END AS p FROM r{k - 1}, best{k})""")
+    return f"""WITH {RATINGS}, {", ".join(steps)}
+      SELECT line, part_group, segment, count(*) AS n, {r("avg(p)", "raw_prediction")} FROM r{trees} GROUP BY line, part_group, segment"""
+
+
 
 ORACLES: dict[str, str] = {
     "global_mean": f"WITH {RATINGS} SELECT {r('avg(stars)', 'global_mean')} FROM train",
@@ -437,6 +456,8 @@ ORACLES: dict[str, str] = {
             THEN low ELSE high END) AS raw FROM x, best GROUP BY line, part_group, segment)
       SELECT line, part_group, segment, n, {r('raw', 'raw_prediction')}, {r('greatest(1.0, least(5.0, raw))', 'clamped')},
         {r('greatest(1.0, least(5.0, g + 1.063 * (raw - g) - 0.0015))', 'calibrated')} FROM p""",
+    "boosted_penalised_leaves": additive(1),
+    "boosted_shrunk_trees": additive(3),
     "boosted_contract": f"""WITH {RATINGS} SELECT count(*) AS rows, true AS keys_kept, true AS within_stars, CAST(0 AS BIGINT) AS missing,
       true AS no_worse_than_mean FROM test""",
 }

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from starloom.functions import encoders as enc
 from starloom.functions.rating import confidence, expand_around, shrink, warm_or_cold
 from starloom.operators import evaluation, stats
+from starloom.operators.additive import AdditiveParams, fit_additive
 from starloom.operators.boosting import BoostingParams, calibrated, clamped, fit_boosting
 from starloom.operators.features import RICH_FEATURES, STACKED_FEATURES, bias_scores
 from starloom.operators.leave_one_out import STAT_NAMES, leave_one_out
@@ -322,6 +323,17 @@ def boosted_one_split(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(out.withColumns({"clamped": clamped(), "calibrated": value}))
 
 
+def _additive(trees: int):
+    """Trees of depth one with penalised leaves, all of them shrunk, from a start value that is not the mean."""
+
+    def query(spark: SparkSession, sf: str) -> DataFrame:
+        rows = stage(_few_valued(views.train(spark, sf)).select(*SPLIT_FEATURES, "stars", "features"), "few-valued")
+        model = fit_additive(rows, AdditiveParams(trees=trees, depth=1, learning_rate=0.5, l1=40.0, l2=25.0), start=2.5)
+        return rounded(model.predict(rows).groupBy(*SPLIT_FEATURES).agg(F.count("*").alias("n"), F.avg("raw_prediction").alias("raw_prediction")))
+
+    return query
+
+
 CONTRACT_BOOSTING = BoostingParams(trees=20, depth=4, learning_rate=0.1, row_share=0.8, min_rows_per_leaf=10)
 
 
@@ -392,5 +404,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "rmse_ladder": rmse_ladder,
     "error_histogram": error_histogram,
     "boosted_one_split": boosted_one_split,
+    "boosted_penalised_leaves": _additive(1),
+    "boosted_shrunk_trees": _additive(3),
     "boosted_contract": boosted_contract,
 }
