@@ -14,8 +14,10 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def unrepeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines that occur, or nearly occur, before; documents of which nothing is left go."""
-    return line_edits.without_repeats(docs)
+    """Documents without lines that occur, or nearly occur, before, whatever their length; documents of which nothing is
+    left go.  The rule is that of op1_line_edits.  Blank lines stay, null and empty texts too; of rows with equal id and
+    text all get the same."""
+    return line_edits.without_repeats(docs, line_edits.WHOLE)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
