@@ -10,7 +10,6 @@ import pytest
 
 import corpus_pipeline
 from starloom.llm import language
-from starloom.llm.line_edits import LineParams
 from starloom.session import stage
 from tests.conftest import SF_DIR
 from tests.llm.helpers import SCHEMA, prose, table
@@ -62,23 +61,29 @@ def brute_language(rows, model, params):
     return kept
 
 
-def brute_lines(rows, params=LineParams()):
+def most_edits(shorter):
+    return 0 if shorter < 10 else 1 if shorter < 20 else 2 if shorter < 96 else min(shorter // 32, 31)
+
+
+def brute_lines(rows):
+    """Every line with a visible character: equal ones of any length, and near ones by the threshold of the shorter."""
     first = {}
     for d, text in sorted(rows):
         for n, line in enumerate(text.split("\n")):
-            if len(line) >= params.min_chars:
+            if line.strip():
                 first.setdefault(line, (d, n))
     lines = list(first)
     near = set()
     for n, x in enumerate(lines):
         for y in lines[:n]:
-            if distance_within(x, y, params.edits) <= params.edits:
+            edits = most_edits(min(len(x), len(y)))
+            if abs(len(x) - len(y)) <= edits and edits and distance_within(x, y, edits) <= edits:
                 near.add(max(x, y, key=first.get))
     out = []
     for d, text in rows:
         kept, seen = [], set()
         for line in text.split("\n"):
-            if len(line) < params.min_chars or (line not in seen and first[line][0] >= d and line not in near):
+            if not line.strip() or (line not in seen and first[line][0] >= d and line not in near):
                 kept.append(line)
             seen.add(line)
         if "\n".join(kept) == text or "\n".join(kept).strip():
@@ -127,6 +132,8 @@ def made(spark, tmp_path_factory):
         text = prose(rng, rng.choice([5, 40, 120]), letters)
         if i % 10 == 3:
             text = docs[rng.randrange(len(docs))][1].replace("a", "b", 1)
+        if i % 20 == 9:  # the same words in other lines: no line repeats, the document does
+            text = " ".join(max((t for _, t, _ in docs[-4:]), key=len).split())
         if i % 15 == 4:
             text += "\n" + docs[0][1].split("\n")[0]
         if i % 12 == 5:
