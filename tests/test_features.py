@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from starloom.functions.rating import clamp
 from starloom.operators import evaluation
+from starloom.operators.additive import AdditiveParams
 from starloom.operators.boosting import BoostingParams, fit_boosting, fit_calibration
 from starloom.operators.features import RICH_FEATURES, STACKED_FEATURES, assemble, item_table, user_table, with_entities
 from starloom.plans import jobs
@@ -126,6 +127,19 @@ def test_jobs_end_to_end(spark, folder, tmp_path, job, options):
     assert error(predicted.get) < 0.85 * error(lambda _: g)
 
 
+def test_job_with_penalised_trees(spark, folder, tmp_path):
+    path, truth, order = folder
+    params = AdditiveParams(trees=6, depth=3, learning_rate=0.4, l1=0.5, l2=1.0, tree_columns=0.8, min_rows_per_leaf=5)
+    result = predict_files(spark, InputFiles(path), path + "/pairs.csv", str(tmp_path / "out"), "rich", params)
+    assert result.count() == len(order)
+    text = [line.split(",") for p in sorted((tmp_path / "out").glob("part-*.csv")) for line in p.read_text().splitlines()[1:]]
+    predicted = {tuple(x[:2]): float(x[2]) for x in text}
+    known = [p for p, s in truth.items() if s is not None]
+    g = files.read_ratings(spark, path + "/train.csv").agg(F.avg("stars")).first()[0]
+    error = lambda f: math.sqrt(sum((truth[p] - f(p)) ** 2 for p in known) / len(known))
+    assert error(predicted.get) < 0.95 * error(lambda _: g)
+
+
 def test_vectors_of_the_jobs(spark, folder):
     source = InputFiles(folder[0])
     ratings = files.with_row_index(files.read_ratings(spark, source.path("ratings")))
