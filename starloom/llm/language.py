@@ -2,8 +2,8 @@
 
 A text is the normalised TF-IDF vector of its hashed letter n-grams (one to three bytes of lower-cased words with their
 borders).  Each language has a few centroids, found by spherical k-means over a bounded sample of its labelled texts; the
-language of the centroid of highest cosine wins.  A text that is further from its centroid than any plausible text of
-that length is rejected.
+language of the centroid of highest cosine wins.  A text that is much further from every centroid than nearly all labelled
+texts of like length is rejected.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from starloom.llm.text import NOT_ALNUM, Texts, lower, slices
@@ -25,14 +25,21 @@ UNKNOWN = "und"
 
 @dataclass(frozen=True)
 class LanguageParams:
-    """``sample`` bounds the labelled texts per language that the centroids are fitted on, ``languages`` their number."""
+    """``sample`` bounds the labelled texts per language that the centroids are fitted on, ``languages`` the languages learned:
+    those of most learnable texts, so that free-form labels do no harm."""
 
     dimensions: int = 2048
     centroids: int = 4
     sample: int = 400
     languages: int = 400
-    # A text is rejected below this share of the cosine that the worst learnable text of like length had.
-    slack: float = 0.6
+    # This share of a language's sample, the furthest from its mean, makes no centroid.
+    outliers: float = 0.05
+    # A text is rejected below ``slack`` times the cosine that all but ``tail`` of the learnable texts of like length reach.
+    tail: float = 0.05
+    slack: float = 0.45
+    # Classes of a smaller share of the rows are judged together with shorter ones.
+    least_class: float = 0.2
+    cosine_bins: int = 1000
     length_classes: int = 8
     # Texts of the two shortest classes tell little: they are rejected only if they share next to nothing.
     short_classes: int = 2
@@ -114,23 +121,40 @@ def _by_rows(batches: Iterator[pa.RecordBatch], dimensions: int) -> Iterator[pa.
             yield piece.slice(at, most)
 
 
-def sample_of(docs: DataFrame, params: LanguageParams) -> DataFrame:
-    """Up to ``sample`` texts of each language, those of lowest hash; equal texts count once."""
-    from pyspark.sql import Window
+# Groups of tasks that rank a language's texts before they meet.
+_RANKERS = 64
 
-    rows = docs.where(learnable() & F.col("text").isNotNull()).select("lang", F.xxhash64("text").alias("pick")).distinct()
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("pick"))
-    # Ranks above the bound are dropped before the shuffle, so a hot language sends few rows.
-    picks = rows.withColumn("rank", rank).where(F.col("rank") <= params.sample).select("lang", "pick")
-    names = sorted(r.lang for r in picks.select("lang").distinct().limit(params.languages + 1).collect())
-    if len(names) > params.languages:
-        raise ValueError(f"more than {params.languages} languages")
-    texts = docs.where(learnable()).select(F.col("lang"), F.xxhash64("text").alias("pick"), "text")
-    return texts.join(F.broadcast(picks), ["lang", "pick"]).dropDuplicates(["lang", "pick"]).select("lang", "text")
 
+def learned_languages(docs: DataFrame, params: LanguageParams) -> list[str]:
+    """The ``languages`` labels of most learnable texts, equally frequent ones by name."""
+    rows = docs.where(learnable() & F.col("text").isNotNull()).groupBy("lang").agg(F.count("*").alias("n"))
+    return sorted(r.lang for r in rows.orderBy(F.desc("n"), "lang").limit(params.languages).collect())
 
-def _clusters(vectors: np.ndarray, k: int) -> np.ndarray:
-    """Spherical k-means, started from mutually distant vectors; empty clusters vanish."""
+
+def sample_of(docs: DataFrame, params: LanguageParams, names: list[str] | None = None) -> DataFrame:
+    """Up to ``sample`` texts of each learned language, those of lowest hash; equal texts count once."""
+    names = learned_languages(docs, params) if names is None else names
+    wanted = docs.where(learnable() & F.col("text").isNotNull() & F.col("lang").isin(names))
+    rows = wanted.select("lang", F.xxhash64("text").alias("pick"))
+    # Each task sends its lowest hashes of a language only, and groups of tasks thin them out before the last ranking: that
+    # one gets at most ``sample`` rows of every group, however many tasks there are.
+    group = F.pmod(F.spark_partition_id(), F.lit(_RANKERS)).alias("group")
+    picks = rows.distinct().select("lang", "pick", group)
+    for by in (["lang", "group"], ["lang"]):
+        rank = F.row_number().over(Window.partitionBy(*by).orderBy("pick"))
+        picks = picks.withColumn("rank", rank).where(F.col("rank") <= params.sample).drop("rank")
+    texts = wanted.select("lang", F.xxhash64("text").alias("pick"), "text")
+    return texts.join(F.broadcast(picks.drop("group")), ["lang", "pick"]).dropDuplicates(["lang", "pick"]).select("lang", "text")
+
+
+def _clusters(vectors: np.ndarray, k: int, outliers: float) -> np.ndarray:
+    """Spherical k-means, started from mutually distant vectors; empty clusters vanish.
+
+    Distant starts would be outliers, so the share ``outliers`` of vectors that lie furthest from the mean takes no part:
+    mislabelled and junk texts must not get a centroid of their own.
+    """
+    near = vectors @ vectors.sum(axis=0)
+    vectors = vectors[near >= np.quantile(near, outliers)]
     chosen = [int(np.argmax(vectors @ vectors.sum(axis=0)))]
     nearest = vectors @ vectors[chosen[0]]
     while len(chosen) < min(k, len(vectors)):
@@ -144,33 +168,62 @@ def _clusters(vectors: np.ndarray, k: int) -> np.ndarray:
     return centroids
 
 
-def _lowest(
+def threshold(bins: np.ndarray, params: LanguageParams) -> np.ndarray:
+    """Least accepted cosine by length class, out of the histograms of cosines of the learnable rows (class x bin).
+
+    A small class might hold outliers only, so it is judged together with as many shorter ones as make up the share
+    ``least_class`` of all rows, or with all of them; without any row it takes the threshold of the next longer class.
+    Outliers of up to ``tail * least_class`` of all rows thus change no threshold that rests on such a share.
+    """
+    least = params.least_class * bins.sum()
+    low = np.full(params.length_classes, np.nan)
+    for c in range(params.length_classes):
+        sizes = np.cumsum(bins[c::-1].sum(axis=1))
+        pooled = bins[c - min(int(np.searchsorted(sizes, least)), c) : c + 1].sum(axis=0)
+        if pooled.any():
+            # The lower end of the bin in which the tail ends, so a few outliers move nothing, however many rows there are.
+            low[c] = np.argmax(np.cumsum(pooled) > params.tail * pooled.sum()) / params.cosine_bins
+    if np.isnan(low).all():
+        return np.ones(params.length_classes)
+    # Shorter texts are never nearer to rejection than longer ones.
+    low = np.fmin.accumulate(low[::-1])[::-1] * params.slack
+    low[: params.short_classes] = params.short_cosine
+    return low
+
+
+def _cosines(
     learned: DataFrame, names: list[str], of: np.ndarray, middles: np.ndarray, weights: np.ndarray, params: LanguageParams
 ) -> np.ndarray:
-    """By length class, the least cosine of any learnable row to the nearest centroid of its own language."""
+    """By length class, a histogram of the cosines of all learnable rows to the nearest centroid of their own language."""
     place = {name: i for i, name in enumerate(names)}
+    shape = (params.length_classes, params.cosine_bins)
 
-    def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        low = np.ones(params.length_classes)
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(shape, np.int64)
         for piece in _by_rows(batches, params.dimensions):
             counted = counts(piece.column("text"), params.dimensions)
             own = np.array([place.get(x, -1) for x in piece.column("lang").to_pylist()], np.int64)
             used = counted.any(axis=1) & (own >= 0)
             if used.any():
                 counted, own = counted[used], own[used]
-                cosine = np.where(of == own[:, None], normalised(counted, weights) @ middles.T, -1.0).max(axis=1)
-                np.minimum.at(low, length_class(counted.sum(axis=1), params.length_classes), cosine)
-        yield pa.RecordBatch.from_pydict({"low": pa.array([low], pa.list_(pa.float64()))})
-
-    each = learned.mapInArrow(least, "low ARRAY<DOUBLE>").select(F.posexplode("low").alias("class", "low"))
-    out = np.ones(params.length_classes)
-    for r in each.groupBy("class").agg(F.min("low").alias("low")).collect():  # one row per length class
-        out[r["class"]] = r["low"]
+                cosine = np.where(of == own[:, None], normalised(counted, weights) @ middles.T, 0.0).max(axis=1)
+                at = np.clip((cosine * params.cosine_bins).astype(np.int64), 0, params.cosine_bins - 1)
+                np.add.at(total, (length_class(counted.sum(axis=1), params.length_classes), at), 1)
+        cls, at = np.nonzero(total)
+        yield pa.RecordBatch.from_pydict({"class": pa.array(cls), "bin": pa.array(at), "n": pa.array(total[cls, at])})
+
+    each = learned.mapInArrow(count, "class BIGINT, bin BIGINT, n BIGINT").groupBy("class", "bin").agg(F.sum("n").alias("n"))
+    out = np.zeros(shape)
+    for r in each.collect():  # one row per length class and bin
+        out[r["class"], r.bin] = r.n
     return out
 
 
 def fit(docs: DataFrame, params: LanguageParams = LanguageParams()) -> LanguageModel:
-    """Learn from ``text`` and ``lang`` of the learnable rows.  No such row gives a model without languages."""
+    """Learn from ``text`` and ``lang`` of the learnable rows.  No such row gives a model without languages.
+
+    Rows of a label that is not among the ``languages`` most frequent ones count in the document frequencies only.
+    """
     dims = params.dimensions
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,7 +234,8 @@ def fit(docs: DataFrame, params: LanguageParams = LanguageParams()) -> LanguageM
             seen += (counted > 0).sum(axis=0)
         yield pa.RecordBatch.from_pydict({"n": pa.array([n]), "seen": pa.array([seen], pa.list_(pa.int64()))})
 
-    sample = sample_of(docs, params).persist()
+    learnt = learned_languages(docs, params)
+    sample = sample_of(docs, params, learnt).persist()
     learned = docs.where(learnable() & F.col("text").isNotNull()).select("lang", F.col("text").cast("string").alias("text"))
     try:
         # Document frequencies of all learnable rows, not of the sample.
@@ -200,7 +254,7 @@ def fit(docs: DataFrame, params: LanguageParams = LanguageParams()) -> LanguageM
             if not len(counted):
                 return pd.DataFrame({"lang": [], "centroid": []})
             vectors = normalised(counted, weights)
-            middles = _clusters(vectors, params.centroids)
+            middles = _clusters(vectors, params.centroids, params.outliers)
             return pd.DataFrame({"lang": group["lang"].iloc[0], "centroid": list(middles)})
 
         rows = sample.groupBy("lang").applyInPandas(centroids, "lang STRING, centroid ARRAY<FLOAT>")
@@ -210,13 +264,8 @@ def fit(docs: DataFrame, params: LanguageParams = LanguageParams()) -> LanguageM
     names = sorted({r.lang for r in rows})
     of = np.array([names.index(r.lang) for r in rows], np.int64)
     middles = np.array([r.centroid for r in rows], np.float32).reshape(len(rows), dims)
-    lowest = _lowest(learned, names, of, middles, weights, params) if rows else np.ones(params.length_classes)
-    # Longer texts are never nearer to rejection than shorter ones were seen to be.
-    lowest = np.minimum.accumulate(lowest[::-1])[::-1] * params.slack
-    lowest[: params.short_classes] = params.short_cosine
-    return LanguageModel(
-        names, of, middles, weights, lowest,
-    )
+    bins = _cosines(learned, names, of, middles, weights, params) if rows else np.zeros((params.length_classes, params.cosine_bins))
+    return LanguageModel(names, of, middles, weights, threshold(bins, params))
 
 
 def _predict(model: LanguageModel, column: pa.Array, params: LanguageParams):
@@ -255,7 +304,8 @@ def predict(docs: DataFrame, model: LanguageModel, params: LanguageParams = Lang
 
 
 def accepted(docs: DataFrame, model: LanguageModel, params: LanguageParams = LanguageParams()) -> DataFrame:
-    """The documents that are not rejected, all columns as they are."""
+    """The documents that are not rejected, all columns as they are.  Null texts, texts without letters and, with a model that
+    has learned nothing, all texts are rejected; of rows with equal text all stay or go."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -35,7 +35,7 @@ def test_language_of_held_out_documents(spark):
 def test_language_rows_of_every_kind(spark):
     rng = random.Random(3)
     rows = [(i, prose(rng, 60, letters), lang) for i in range(60) for letters, lang in [("abcdef", "aa"), ("uvwxyz", "zz")][i % 2 : i % 2 + 1]]
-    odd = [(100, None, "aa"), (101, "", "aa"), (102, "12 34 !", "zz"), (None, prose(rng, 60, "uvwxyz"), None), (103, "привет мир " * 50, None), (104, "abc " * 40_000, "aa")]
+    odd = [(100, None, "aa"), (101, "", "aa"), (102, "12 34 !", "zz"), (None, prose(rng, 60, "uvwxyz"), None), (103, "привет мир " * 50, None), (104, "abc " * 40_000, "aa"), (105, prose(rng, 40_000, "abcdef"), "aa")]
     docs = table(spark, rows + odd + odd, extra=True)
     model = language.fit(docs)
     assert model.languages == ["aa", "zz"]
@@ -45,10 +45,11 @@ def test_language_rows_of_every_kind(spark):
     for i in (100, 101, 102):
         assert (by_id[i].lang_pred, by_id[i].score, by_id[i].rejected) == ("und", 0.0, True)
     assert by_id[None].lang_pred == "zz" and not by_id[None].rejected
-    assert by_id[103].rejected and not by_id[104].rejected
+    # A single word over and over is unlike all other texts, label or not.
+    assert by_id[103].rejected and by_id[104].rejected and not by_id[105].rejected
     assert all(by_id[i].lang_pred == lang for i, _, lang in rows)
     kept = language.accepted(docs, model)
-    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i, _, _ in rows} | {None, 104}
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i, _, _ in rows} | {None, 105}
 
 
 def test_language_without_labels_or_rows(spark):
@@ -81,7 +82,49 @@ def test_statistics_take_all_learnable_rows(spark):
     assert np.allclose(model.weights, weights, atol=1e-5)
     cosine = (language.normalised(counted, model.weights) @ model.centroids.T).max(axis=1)
     cls = language.length_class(counted.sum(axis=1), params.length_classes)
-    assert all(model.lowest[c] <= params.slack * cosine[cls == c].min() + 1e-6 for c in set(cls.tolist()) if c >= params.short_classes)
+    bins = np.zeros((params.length_classes, params.cosine_bins))
+    for c, x in zip(cls, cosine):
+        bins[c, min(int(x * params.cosine_bins), params.cosine_bins - 1)] += 1
+    assert np.allclose(model.lowest, language.threshold(bins, params), atol=params.slack / params.cosine_bins + 1e-6)
+
+
+def test_junk_with_a_label_is_rejected_at_every_size(spark):
+    rng = random.Random(19)
+    ids = [i for i in range(6000) if remainder(i, 5) != 0]
+    for size in (300, 2400):
+        rows = [(i, prose(rng, 60, letters), lang) for i in ids[:size] for letters, lang in [("abcdef", "aa"), ("uvwxyz", "zz")][i % 2 : i % 2 + 1]]
+        # One row in a hundred is of other letters than its label says.
+        junk = [(i, prose(rng, 60, "гджзий"), "aa" if i % 2 else "zz") for i in ids[size : size + size // 100]]
+        docs = table(spark, rows + junk)
+        kept = {r.doc_id for r in language.accepted(docs, language.fit(docs)).collect()}
+        assert kept == {r[0] for r in rows}
+
+
+def test_thresholds_of_histograms():
+    params = language.LanguageParams(length_classes=5, short_classes=1, cosine_bins=10, tail=0.1, slack=0.5, least_class=0.1)
+    bins = np.zeros((5, 10))
+    bins[1, [0, 6]] = 1, 99  # the tail holds the outlier
+    bins[3, 0] = 4  # so few rows are judged together with shorter ones
+    assert np.allclose(language.threshold(bins, params), [0.02, 0.3, 0.3, 0.3, 0.3])
+    bins[3, [0, 9]] = 50, 50
+    assert language.threshold(bins, params).tolist() == [0.02, 0.0, 0.0, 0.0, 0.0]
+    bins[:3] = 0
+    bins[3, [0, 9]] = 1, 50  # no shorter rows: all take the next longer class
+    assert np.allclose(language.threshold(bins, params), [0.02, 0.45, 0.45, 0.45, 0.45])
+    assert language.threshold(np.zeros((5, 10)), params).tolist() == [1.0] * 5
+
+
+def test_more_labels_than_languages(spark):
+    rng = random.Random(20)
+    ids = [i for i in range(500) if remainder(i, 5) != 0]
+    rows = [(i, prose(rng, 30, "abcdef" if k % 2 else "uvwxyz"), "aa" if k % 2 else "zz") for k, i in enumerate(ids[:100])]
+    rare = [(i, prose(rng, 30, "abcdef"), f"label {i}") for i in ids[100:110]]
+    docs = table(spark, rows + rare)
+    params = language.LanguageParams(languages=2)
+    model = language.fit(docs, params)
+    assert model.languages == ["aa", "zz"]
+    got = {r.doc_id: r.lang_pred for r in language.predict(docs, model, params).collect()}
+    assert all(got[i] == "aa" for i, _, _ in rare) and all(got[i] == lang for i, _, lang in rows)
 
 
 # Quality
