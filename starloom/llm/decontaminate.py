@@ -10,8 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starloom.llm.text import normal_shingles, slices
-from starloom.llm.windows import Blocks, ItemIndex, distinct_shingles
+from starloom.llm.text import normal_words, shingles, slices
+from starloom.llm.windows import Blocks, ItemIndex, ShortItems, without_short
 
 PAIR_SCHEMA = "doc_id BIGINT, item_id BIGINT, n_shared BIGINT, n_shingles BIGINT, containment DOUBLE"
 
@@ -45,27 +45,33 @@ def item_sets(items: DataFrame, params: ContainmentParams) -> Iterator[tuple[lis
 
 def _indexed(docs: DataFrame, ids: list[int | None], texts: list[str], params: ContainmentParams):
     """The set's index, on all executors."""
-    prints, first = distinct_shingles(*normal_shingles(pa.array(texts, pa.large_string()), params.width))
-    return docs.sparkSession.sparkContext.broadcast((ids, ItemIndex.of(prints, first, params.functions)))
+    words, at = normal_words(pa.array(texts, pa.large_string()))
+    index = ItemIndex.of(*without_short(words, at, params.width), params.functions)
+    return docs.sparkSession.sparkContext.broadcast((ids, index, ShortItems.of(words, at, params.width)))
 
 
-def _found(items: ItemIndex, texts: pa.Array, params: ContainmentParams) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, item and number of shared shingles of every item found."""
-    prints, first = normal_shingles(texts, params.width)
+def _found(
+    items: ItemIndex, short: ShortItems, texts: pa.Array, params: ContainmentParams
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Row, item, number of shared shingles and of the item's shingles for every item found."""
+    words, at = normal_words(texts)
+    prints, first = shingles(words, at, params.width)
     doc, item = items.candidates(Blocks.of(prints, first, params.functions))
-    shared = items.contained(doc, item, prints, first)
-    found = shared >= np.ceil(params.containment * np.diff(items.first)[item] - 1e-9)
-    return doc[found], item[found], shared[found]
+    shared, sizes = items.contained(doc, item, prints, first), np.diff(items.first)[item]
+    found = shared >= np.ceil(params.containment * sizes - 1e-9)
+    more_doc, more = short.inside(words, at)
+    one = np.ones(len(more), np.int64)
+    parts = (doc[found], more_doc), (item[found], more), (shared[found], one), (sizes[found], one)
+    return tuple(np.concatenate(p) for p in parts)
 
 
 def _search(docs: DataFrame, ids: list[int | None], texts: list[str], params: ContainmentParams) -> DataFrame:
     index = _indexed(docs, ids, texts, params)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, items = index.value
+        names, items, short = index.value
         for piece in slices(batches, "text"):
-            doc, item, shared = _found(items, piece.column("text"), params)
-            sizes = np.diff(items.first)[item]
+            doc, item, shared, sizes = _found(items, short, piece.column("text"), params)
             yield pa.RecordBatch.from_pydict(
                 {
                     "doc_id": piece.column("doc_id").take(pa.array(doc)), "item_id": pa.array([names[i] for i in item], pa.int64()),
@@ -80,8 +86,8 @@ def _search(docs: DataFrame, ids: list[int | None], texts: list[str], params: Co
 def contained_items(docs: DataFrame, items: DataFrame, params: ContainmentParams = ContainmentParams()) -> DataFrame:
     """``doc_id, item_id, n_shared, n_shingles, containment``: one row per row of ``docs`` and item found in it.
 
-    Words are lower-cased runs of letters and digits.  Items of one to four words have a single shingle and are found in
-    documents of just these words; items and documents without words, or null, are never found.  Repeated rows of either
+    Words are lower-cased runs of letters and digits.  Items of one to four words are one shingle of that
+    length, found wherever these words stand in a row; items and documents without words, or null, are never found.  Repeated rows of either
     side give repeated pairs; a null id stays null.  No items or no documents give an empty table.
     """
     found = [_search(docs, ids, texts, params) for ids, texts in item_sets(items, params)]
@@ -98,9 +104,10 @@ def without_items(docs: DataFrame, items: DataFrame, params: ContainmentParams =
 
     def dropping(index):
         def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            _, items, short = index.value
             for piece in slices(batches, "text"):
                 keep = np.ones(piece.num_rows, bool)
-                keep[_found(index.value[1], piece.column("text"), params)[0]] = False
+                keep[_found(items, short, piece.column("text"), params)[0]] = False
                 yield piece.filter(pa.array(keep))
 
         return drop

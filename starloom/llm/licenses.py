@@ -11,8 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starloom.llm.text import NOT_ALNUM, Texts, lower, shingles, slices
-from starloom.llm.windows import Blocks, ItemIndex, distinct_shingles
+from starloom.llm.text import normal_words, shingles, slices
+from starloom.llm.windows import Blocks, ItemIndex, ShortItems, without_short
 
 # Usual license notices, by SPDX identifier.
 TEMPLATES = [
@@ -94,29 +94,6 @@ class LicenseParams:
     rows: int = 1
 
 
-def _words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    texts = Texts.of(lower(column))
-    starts, ends, first = texts.spans(NOT_ALNUM)
-    return texts.fingerprints(starts, ends), first
-
-
-def prints_of(words: np.ndarray, first: np.ndarray, those: np.ndarray, width: int) -> np.ndarray:
-    """The one shingle of each of some texts of ``width`` words."""
-    some = np.concatenate([words[first[i] : first[i + 1]] for i in those])
-    return shingles(some, np.arange(len(those) + 1) * width, width)[0]
-
-
-def _inside(words: np.ndarray, first: np.ndarray, width: int, keys: np.ndarray, those: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct pairs of text and short template; ``keys`` are sorted."""
-    prints, at = shingles(words, first, width)
-    hit = np.flatnonzero(np.isin(prints, keys))
-    low, high = (np.searchsorted(keys, prints[hit], side) for side in ("left", "right"))
-    doc = np.searchsorted(at, hit, "right") - 1
-    pairs = {(d, int(those[k])) for d, a, b in zip(doc.tolist(), low.tolist(), high.tolist()) for k in range(a, b)}
-    found = np.array(sorted(pairs), np.int64).reshape(-1, 2)
-    return found[:, 0], found[:, 1]
-
-
 def license_notices(
     docs: DataFrame, templates: list[tuple[str, str]] | None = None, params: LicenseParams = LicenseParams()
 ) -> DataFrame:
@@ -127,36 +104,24 @@ def license_notices(
     """
     templates = TEMPLATES if templates is None else templates
     names = [name for name, _ in templates]
-    words, at = _words(pa.array([text for _, text in templates], pa.large_string()))
-    prints, first = distinct_shingles(*shingles(words, at, params.width))
-    n_words = np.diff(at)
-    short = {}
-    for width in range(1, params.width):
-        those = np.flatnonzero(n_words == width)
-        if len(those):
-            keys = prints_of(words, at, those, width)
-            order = np.argsort(keys)
-            short[width] = (keys[order], those[order])
-    # The index holds the others; short ones are left without shingles there.
-    long = n_words >= params.width
-    prints = prints[np.repeat(long, np.diff(first))]
-    first = np.concatenate([[0], np.cumsum(np.where(long, np.diff(first), 0))])
+    words, at = normal_words(pa.array([text for _, text in templates], pa.large_string()))
+    short = ShortItems.of(words, at, params.width)
+    prints, first = without_short(words, at, params.width)
     index = docs.sparkSession.sparkContext.broadcast(ItemIndex.of(prints, first, params.bands, params.rows))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = index.value
         sizes = np.diff(known.first)
         for piece in slices(batches, "text"):
-            words, at = _words(piece.column("text"))
+            words, at = normal_words(piece.column("text"))
             prints, first = shingles(words, at, params.width)
             doc, item = known.candidates(Blocks.of(prints, first, params.bands * params.rows))
             shared = known.contained(doc, item, prints, first)
             found = shared >= np.ceil(params.containment * sizes[item] - 1e-9)
             doc, item, shared, size = doc[found], item[found], shared[found], sizes[item[found]]
-            for width, (keys, those) in short.items():
-                more_doc, more = _inside(words, at, width, keys, those)
-                doc, item = np.concatenate([doc, more_doc]), np.concatenate([item, more])
-                shared, size = (np.concatenate([x, np.ones(len(more), np.int64)]) for x in (shared, size))
+            more_doc, more = short.inside(words, at)
+            doc, item = np.concatenate([doc, more_doc]), np.concatenate([item, more])
+            shared, size = (np.concatenate([x, np.ones(len(more), np.int64)]) for x in (shared, size))
             yield pa.RecordBatch.from_pydict(
                 {
                     "doc_id": piece.column("doc_id").take(pa.array(doc)), "license": pa.array([names[i] for i in item], pa.string()),

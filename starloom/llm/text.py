@@ -130,11 +130,16 @@ def shingles(words: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarr
     return mix(out[keep]), np.concatenate([[0], np.cumsum(runs)])
 
 
-def normal_shingles(column: pa.Array, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles of the lower-cased words, which are runs of letters, digits and characters beyond ASCII."""
+def normal_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Fingerprints of the lower-cased words, which are runs of letters, digits and characters beyond ASCII."""
     texts = Texts.of(lower(column))
     starts, ends, first = texts.spans(NOT_ALNUM)
-    return shingles(texts.fingerprints(starts, ends), first, width)
+    return texts.fingerprints(starts, ends), first
+
+
+def normal_shingles(column: pa.Array, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles of the normal words."""
+    return shingles(*normal_words(column), width)
 
 
 def slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

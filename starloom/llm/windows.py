@@ -15,7 +15,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 
-from starloom.llm.text import mix
+from starloom.llm.text import expand, mix, shingles
 
 _U = np.uint64
 BLOCK = 8
@@ -185,6 +185,46 @@ class ItemIndex:
         return shared
 
 
+@dataclass
+class ShortItems:
+    """Items of fewer words than a shingle, found wherever all their words stand in a row."""
+
+    width: int
+    keys: dict[int, tuple[np.ndarray, np.ndarray]]  # by number of words: sorted fingerprints of all the words, and their items
+
+    @staticmethod
+    def of(words: np.ndarray, first: np.ndarray, width: int) -> ShortItems:
+        """``words`` are word fingerprints of all items, ``first`` the first word of each (and a last)."""
+        keys, n_words = {}, np.diff(first)
+        for n in range(1, width):
+            those = np.flatnonzero(n_words == n)
+            if len(those):
+                run = shingles(words[expand(first[those], n_words[those])], np.arange(len(those) + 1) * n, n)[0]
+                order = np.argsort(run, kind="stable")
+                keys[n] = (run[order], those[order])
+        return ShortItems(width, keys)
+
+    def inside(self, words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct pairs of text and item found in it."""
+        docs, items = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for n, (keys, those) in self.keys.items():
+            runs, at = shingles(words, first, n)
+            hit = np.flatnonzero(np.isin(runs, keys))
+            low = np.searchsorted(keys, runs[hit], "left")
+            count = np.searchsorted(keys, runs[hit], "right") - low
+            docs.append(np.repeat(np.searchsorted(at, hit, "right") - 1, count))
+            items.append(those[expand(low, count)])
+        return tuple(np.unique(np.stack([np.concatenate(docs), np.concatenate(items)]), axis=1))
+
+
+def without_short(words: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingles of the items of ``width`` words and more; the others have none."""
+    prints, at = distinct_shingles(*shingles(words, first, width))
+    long = np.diff(first) >= width
+    sizes = np.diff(at)
+    return prints[np.repeat(long, sizes)], np.concatenate([[0], np.cumsum(np.where(long, sizes, 0))])
+
+
 def _band_key(minima: list[np.ndarray]) -> np.ndarray:
     key = minima[0].astype(_U)
     for low in minima[1:]:
