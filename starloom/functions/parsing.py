@@ -114,10 +114,13 @@ class JsonField:
 
 
 def parse_documents(lines: DataFrame) -> DataFrame:
-    """Replace ``value`` by ``doc``, a VARIANT; lines that are not a JSON object are dropped.
+    """Replace ``value`` by ``doc``, a VARIANT; lines that are not a JSON object are dropped.  A table that has ``doc`` already
+    stays as it is.
 
     The document is generated, not projected, so that the filter on it cannot make Spark parse a line twice.
     """
+    if "doc" in lines.columns:
+        return lines
     objects = lines.where(F.col("value").rlike(r"^\s*\{"))
     rest = [c for c in lines.columns if c != "value"]
     return objects.select(*rest, F.explode(F.expr("array_compact(array(try_parse_json(value)))")).alias("doc"))

@@ -36,9 +36,17 @@ def build_session(app: str = "starloom", master: str | None = None, **conf: str)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or the warehouse where that is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or the warehouse where that is unset.
+
+    Raises where neither is set on a cluster: the default warehouse is a folder of the driver's own disk.
+    """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    return named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/staging"
+    if named:
+        return named
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    if not spark.sparkContext.master.startswith("local") and (warehouse.startswith("file:") or ":" not in warehouse):
+        raise ValueError(f"set spark.checkpoint.dir to a shared folder; the warehouse {warehouse} is on a machine's own disk")
+    return f"{warehouse}/staging"
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:

@@ -44,30 +44,43 @@ def with_row_index(df: DataFrame, seq: str = "seq", index: str = "row_index") ->
     return located.select(*df.columns, position.alias(index))
 
 
-_BROKEN = "_broken_line"
+BROKEN = "_broken_line"
 
 
-def _read_csv(spark: SparkSession, path: str, names: list[str], strict: bool) -> DataFrame:
-    """The named fields as text, and ``_short``: whether the line has fewer of them (an empty field is one)."""
+def read_csv(spark: SparkSession, path: str, names: list[str], strict: bool = False) -> DataFrame:
+    """The named fields as text, the whole line in ``BROKEN`` if it has another number of fields, and ``_short``: whether it
+    has fewer of them (an empty field is one)."""
     raw = (
-        spark.read.schema(", ".join(f"`{n}` STRING" for n in [*names, _BROKEN]))
+        spark.read.schema(", ".join(f"`{n}` STRING" for n in [*names, BROKEN]))
         .option("header", True)
         .option("enforceSchema", True)
         .option("quote", "")
         .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", _BROKEN)
+        .option("columnNameOfCorruptRecord", BROKEN)
         .csv(path)
-        .select(*names, _BROKEN, *_LOCATION)
+        .select(*names, BROKEN, *_LOCATION)
     )
     # Spark hands over lines of another number of fields as broken ones; those with more fields are read as usual.
-    short = F.coalesce(F.size(F.split(_BROKEN, ",")) < len(names), F.lit(False))
+    short = F.coalesce(F.size(F.split(BROKEN, ",")) < len(names), F.lit(False))
     if strict:
-        short = F.when(short, F.raise_error(F.concat(F.lit("too few fields: "), F.col(_BROKEN))).cast("boolean")).otherwise(False)
-    return raw.withColumn("_short", short).drop(_BROKEN)
+        short = F.when(short, F.raise_error(F.concat(F.lit("too few fields: "), F.col(BROKEN))).cast("boolean")).otherwise(False)
+    return raw.withColumn("_short", short)
 
 
-def _is_header() -> Column:
-    return (F.col("user_id") == "user_id") & (F.col("business_id") == "business_id")
+def is_header() -> Column:
+    return F.coalesce((F.col("user_id") == "user_id") & (F.col("business_id") == "business_id"), F.lit(False))
+
+
+def pair_columns(cols: RatingColumns, seq: Column) -> list[Column]:
+    """The output of :func:`read_pairs` from the text fields; an empty id is kept as ''."""
+    ids = {cols.user: "user_id", cols.item: "business_id"}
+    return [*(F.coalesce(field, F.lit("")).alias(name) for name, field in ids.items()), seq.alias(cols.seq)]
+
+
+def rating_columns(cols: RatingColumns, seq: Column) -> list[Column]:
+    """The output of :func:`read_ratings` from the text fields."""
+    user, item, place = pair_columns(cols, seq)
+    return [user, item, float_text(F.coalesce("stars", F.lit(""))).alias(cols.rating), place]
 
 
 def read_ratings(
@@ -76,25 +89,18 @@ def read_ratings(
     """``user, item, rating, seq`` from CSV with a header; repeated headers are dropped.
 
     An empty rating and text that is no number become 0.0, an empty id is kept as ''.  Lines of fewer than three fields
-    are dropped (:func:`short_lines` counts them), or fail the job when ``strict``.
+    are dropped (:func:`short_lines` counts them, :mod:`~starloom.sources.quarantine` keeps them), or fail the job when ``strict``.
     """
-    raw = _read_csv(spark, path, ["user_id", "business_id", "stars"], strict).where("NOT _short")
-    raw = raw.withColumns({name: F.coalesce(name, F.lit("")) for name in ["user_id", "business_id"]})
-    return raw.where(~_is_header()).select(
-        F.col("user_id").alias(cols.user), F.col("business_id").alias(cols.item),
-        float_text(F.coalesce("stars", F.lit(""))).alias(cols.rating), file_order().alias(cols.seq),
-    )
+    raw = read_csv(spark, path, ["user_id", "business_id", "stars"], strict)
+    return raw.where(~F.col("_short") & ~is_header()).select(*rating_columns(cols, file_order()))
 
 
 def read_pairs(
     spark: SparkSession, path: str, cols: RatingColumns = DEFAULT_COLUMNS, strict: bool = False
 ) -> DataFrame:
     """``user, item, seq`` of the pairs to predict; further CSV columns are ignored, lines of one field as above."""
-    raw = _read_csv(spark, path, ["user_id", "business_id"], strict).where("NOT _short")
-    raw = raw.withColumns({name: F.coalesce(name, F.lit("")) for name in ["user_id", "business_id"]})
-    return raw.where(~_is_header()).select(
-        F.col("user_id").alias(cols.user), F.col("business_id").alias(cols.item), file_order().alias(cols.seq)
-    )
+    raw = read_csv(spark, path, ["user_id", "business_id"], strict)
+    return raw.where(~F.col("_short") & ~is_header()).select(*pair_columns(cols, file_order()))
 
 
 def short_lines(spark: SparkSession, path: str, fields: int = 3) -> DataFrame:

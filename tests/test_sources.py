@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from starloom.operators.scoring import assign_folds
-from starloom.sources import files, profiles
+from starloom.sources import files, profiles, quarantine
 
 
 def write(tmp_path, name, lines):
@@ -200,3 +200,33 @@ def test_pairs_query_reads_no_file_as_one_row(spark, monkeypatch):
     monkeypatch.setattr(DataFrameReader, "text", lambda self, *a, **k: whole.append(k.get("wholetext")) or text(self, *a, **k))
     assert queries.pairs_from_files(spark, "/root/testdata/sf0.001").count() > 0
     assert True not in whole
+
+
+def test_rejected_lines_and_accepted_ones_make_up_the_files(spark, tmp_path):
+    ratings = tmp_path / "ratings"
+    ratings.mkdir()
+    (ratings / "a.csv").write_text("user_id,business_id,stars\nu,i,3.0\nu\nuser_id,business_id,stars\n,i,x\nu,i,2,more\n")
+    (ratings / "b.csv").write_text("user_id,business_id,stars\nv,j,\nv,j\n")
+    sifted = quarantine.sift_ratings(spark, str(ratings))
+    names = ["user_id", "item_id", "stars"]
+    plain = files.read_ratings(spark, str(ratings))
+    assert sifted.accepted.columns == plain.columns
+    assert sorted(map(tuple, sifted.accepted.select(names).collect())) == sorted(map(tuple, plain.select(names).collect()))
+    got = {(r.line, r.reason, r.file.rsplit("/", 1)[1], r.block) for r in sifted.rejected.collect()}
+    assert got == {
+        ("u", "too few fields", "a.csv", 0), ("user_id,business_id,stars", "repeated header", "a.csv", 0), ("v,j", "too few fields", "b.csv", 0),
+    }
+    assert sifted.accepted.count() + sifted.rejected.count() == 7
+
+    users = tmp_path / "users.json"
+    users.write_text('{"user_id": "a", "fans": 1}\n[1]\n\n{"user_id": \n{"user_id": "a", "fans": 2}\n  {"user_id": "b"}\n"x"\n')
+    sifted = quarantine.sift_json_lines(spark, str(users))
+    assert sorted((r.line, r.reason) for r in sifted.rejected.collect()) == [
+        ("", "not an object"), ('"x"', "not an object"), ("[1]", "not an object"), ('{"user_id": ', "broken JSON"),
+    ]
+    assert {(r.user_id, r.fans) for r in profiles.parse_users(sifted.accepted).collect()} == {("a", 2), ("b", 0)}
+
+    empty = tmp_path / "empty.json"
+    empty.write_text("")
+    sifted = quarantine.sift_json_lines(spark, str(empty))
+    assert sifted.accepted.count() == 0 and sifted.rejected.count() == 0

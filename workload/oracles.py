@@ -397,6 +397,16 @@ ORACLES: dict[str, str] = {
       round(max({PROXY}) + {TIE}, 4) AS prediction FROM rows GROUP BY user_id, item_id""",
     "pairs_from_files": f"""WITH {RATINGS} SELECT CAST(user_id AS VARCHAR) AS user_id, CAST(item_id AS VARCHAR) AS item_id,
       count(*) AS n FROM test GROUP BY user_id, item_id""",
+    "rejected_lines": f"""WITH {RATINGS}, lines AS (
+      SELECT 'pairs' AS source, 'accepted' AS reason, CAST(NULL AS VARCHAR) AS line FROM test
+      UNION ALL SELECT 'pairs', 'too few fields', CAST(user_id AS VARCHAR) FROM test
+      UNION ALL SELECT 'pairs', 'repeated header', 'user_id,business_id'
+      UNION ALL SELECT 'users', 'broken JSON', '{{"user_id": ' || c_name FROM customer WHERE c_acctbal < 0
+      UNION ALL SELECT 'users', 'accepted', NULL FROM customer WHERE c_acctbal >= 0
+      UNION ALL SELECT 'users', 'accepted', NULL FROM customer WHERE c_acctbal >= 0 AND c_mktsegment = 'FURNITURE'
+      UNION ALL SELECT 'items', 'accepted', NULL FROM supplier WHERE s_acctbal >= 0
+      UNION ALL SELECT 'items', 'not an object', '[1, 2]' FROM supplier WHERE s_acctbal < 0)
+      SELECT source, reason, line, count(*) AS n FROM lines GROUP BY source, reason, line""",
     "items_from_files": f"""WITH {ITEMS} SELECT {_ITEM_ID}, round(item_stars, 6) AS item_stars, item_review_count,
       {r('latitude', 'latitude')}, round(longitude, 6) AS longitude, is_open, price, category_count, alcohol, kids, outdoor,
       noise, wifi, tv, attire, {r('CAST(weekly_hours AS DOUBLE)', 'weekly_hours')}, weekend_open,

@@ -9,10 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from starloom.functions import encoders as enc
-from starloom.functions.rating import confidence, expand_around, shrink, warm_or_cold
+from starloom.functions.rating import confidence, shrink, warm_or_cold
 from starloom.operators import evaluation, stats
 from starloom.operators.additive import AdditiveParams, fit_additive
-from starloom.operators.boosting import BoostingParams, calibrated, clamped, fit_boosting
+from starloom.operators.boosting import BoostingParams, calibrated, clamped, fit_boosting, fit_calibration
 from starloom.operators.features import RICH_FEATURES, STACKED_FEATURES, bias_scores
 from starloom.operators.leave_one_out import STAT_NAMES, leave_one_out
 from starloom.operators.matrix import dedupe_last as last_ratings
@@ -23,7 +23,7 @@ from starloom.operators.similarity import item_similarity as similar_items
 from starloom.operators.similarity import top_similar
 from starloom.plans import jobs
 from starloom.session import fresh_path, stage
-from starloom.sources import files, profiles
+from starloom.sources import files, profiles, quarantine
 from workload import views
 
 DIGITS = 6
@@ -191,6 +191,10 @@ def predictions_to_files(spark: SparkSession, sf: str) -> DataFrame:
 
 def pairs_from_files(spark: SparkSession, sf: str) -> DataFrame:
     """The pairs to predict through CSV, with lines that are too short among them."""
+    return files.read_pairs(spark, _odd_pairs(spark, sf)).groupBy("user_id", "item_id").agg(F.count("*").alias("n"))
+
+
+def _odd_pairs(spark: SparkSession, sf: str) -> str:
     path = fresh_path(spark, "pairs")
     names = ["user_id", "business_id"]
     pairs = views.train_and_test(spark, sf)[1].select(*(F.col(c).cast("string").alias(n) for c, n in zip(("user_id", "item_id"), names)))
@@ -198,7 +202,31 @@ def pairs_from_files(spark: SparkSession, sf: str) -> DataFrame:
     header = spark.range(1).select(*(F.lit(n).alias(n) for n in names))
     pairs.unionByName(header).write.option("header", True).csv(path)
     pairs.select("user_id").write.mode("append").option("header", True).csv(path)
-    return files.read_pairs(spark, path).groupBy("user_id", "item_id").agg(F.count("*").alias("n"))
+    return path
+
+
+def rejected_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """What the scans leave out, line by line, and how many lines they accept: user and item records and pairs through files."""
+
+    def written(name: str, lines: DataFrame) -> str:
+        path = fresh_path(spark, name)
+        lines.select("value").write.text(path)
+        return path
+
+    sifted = {
+        "pairs": quarantine.sift_pairs(spark, _odd_pairs(spark, sf)),
+        "users": quarantine.sift_json_lines(spark, written("user-lines", views.user_lines(spark, sf))),
+        "items": quarantine.sift_json_lines(spark, written("item-lines", views.item_lines(spark, sf))),
+    }
+    out = None
+    for name, parts in sifted.items():
+        taken = parts.accepted.groupBy().agg(F.count("*").alias("n")).select(
+            F.lit(name).alias("source"), F.lit("accepted").alias("reason"), F.lit(None).cast("string").alias("line"), "n"
+        )
+        left = parts.rejected.groupBy("reason", "line").agg(F.count("*").alias("n"))
+        both = taken.unionByName(left.select(F.lit(name).alias("source"), "reason", "line", "n"))
+        out = both if out is None else out.unionByName(both)
+    return out
 
 
 def _through_files(lines, read):
@@ -277,15 +305,11 @@ def calibrate(spark: SparkSession, sf: str) -> DataFrame:
     """Calibration line of the bias estimate on the test rows, and the fixed expansion of its extremes."""
     train, test = views.train_and_test(spark, sf)
     g = F.col("global_mean")
-    y, x = F.col("stars") - g, F.col("cf_pred") - g
-    expanded = expand_around(F.col("cf_pred"), g, 1.063, -0.0015)
-    scored = stats.with_global_mean(bias_scores(test, train, False), train)
-    return rounded(
-        scored.agg(
-            F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("shift"), F.min(expanded).alias("lowest"),
-            F.max(expanded).alias("highest"), F.avg(expanded).alias("mean"),
-        )
-    )
+    expanded = calibrated(F.col("cf_pred"), g)
+    scored = stage(stats.with_global_mean(bias_scores(test, train, False), train), "scored")
+    line = fit_calibration(scored, g, prediction="cf_pred")
+    ends = {"lowest": F.min(expanded), "highest": F.max(expanded), "mean": F.avg(expanded)}
+    return rounded(line.withColumns({name: scored.agg(value).scalar() for name, value in ends.items()}))
 
 
 def rmse_ladder(spark: SparkSession, sf: str) -> DataFrame:
@@ -383,6 +407,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "ratings_from_files": ratings_from_files,
     "predictions_to_files": predictions_to_files,
     "pairs_from_files": pairs_from_files,
+    "rejected_lines": rejected_lines,
     "items_from_files": _through_files(views.item_lines, profiles.read_items),
     "checkins_from_files": _through_files(views.checkin_lines, profiles.read_checkins),
     "item_tips_from_files": _through_files(views.tip_lines, lambda spark, path: profiles.tip_stats(profiles.read_tips(spark, path), "item_id", "item")),
