@@ -5,10 +5,11 @@ occurs unchanged in the other, near its own place.  Lines are indexed by their s
 with the few substrings of their own that can match.  A bit set of the line's bigrams, which every edit changes by four
 bits at most, thins out the pairs inside the join; what remains is verified by a banded bit-parallel edit distance.
 
-With a threshold that grows with the length (``WHOLE``), long lines are joined by chosen grams instead, since segments
-would take a number of probes that grows with the third power of the threshold: ``k`` edits leave a run of at least
-``(length - k) / (k + 1)`` characters unchanged, and of the grams of every ``RUN`` characters in a row the least is kept,
-so two lines within the threshold keep an equal gram.  Counts of hashed characters thin out these pairs.
+With a threshold that grows with the length (``WHOLE``), the segments of long lines are too many to probe every place of
+every length for.  A long segment is therefore indexed by its least gram, and a line is probed with the least grams of all
+its substrings of that size, which are few, as neighbours share theirs.  Lines of like length meet in parts, where the
+index is sorted by slot and length: a segment's partners are one range of it.  Hashed counts of characters thin them out.
+Each part gets packed blocks, so that a line costs some bytes per gram and no row per gram.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from copy import copy
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starloom.llm.text import mix, over_slices, powers, room, slices
+from starloom.llm.text import expand, mix, over_slices, powers, room, slices
 from starloom.session import stage
 
 _U = np.uint64
@@ -45,9 +47,19 @@ class LineParams:
     classes: tuple[tuple[int, int], ...] | None = None
 
 
+    def steps(self) -> tuple[tuple[int, int], ...]:
+        return self.classes or ((self.min_chars, self.edits),)
+
+    def long(self) -> int:
+        """From which length on the threshold grows."""
+        return LONG if self.classes else 1 << 40
+
+
 WHOLE = LineParams(min_chars=1, classes=((10, 1), (20, 2)))
 LONG = 96
-GRAM, RUN = 10, 24
+GRAM = 12
+BATCH_PAIRS, BATCH_CHARS = 1 << 17, 1 << 22
+PART_CHARS = 48_000_000  # characters of text per part, of some 6 MB packed
 MOST_EDITS = 31  # the band of the edit distance is a word
 
 
@@ -122,33 +134,39 @@ class Lines:
             out |= ((upto[self.ends] - upto[self.starts]) & 255).astype(_U) << _U(8 * i)
         return out.view(np.int64)
 
-    def chosen_grams(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct chosen grams of each line: line, gram, first and last place in the line."""
-        n = len(self.points)
-        if n < RUN or not len(self.starts):
-            return (np.zeros(0, np.int64), np.zeros(0, _U), np.zeros(0, np.int32), np.zeros(0, np.int32))
-        at = np.arange(n - GRAM + 1)
-        gram = self.fingerprint(at, at + GRAM)
-        # The least gram of the window from each place on, and of those the places that equal one of their windows'.
-        wide = RUN - GRAM + 1
-        least = np.lib.stride_tricks.sliding_window_view(gram, wide).min(axis=1)
-        chosen = np.zeros(len(gram), bool)
-        for j in range(wide):
-            chosen[j : j + len(least)] |= gram[j : j + len(least)] == least
-        at = np.flatnonzero(chosen)
-        line = np.searchsorted(self.ends, at, "right")
-        inside = line < len(self.ends)
-        at, line = at[inside], line[inside]
-        inside = (at >= self.starts[line]) & (at + GRAM <= self.ends[line])
-        at, line = at[inside], line[inside]
-        order = np.lexsort((at, gram[at], line))
-        at, line = at[order], line[order]
-        new = np.ones(len(at), bool)
-        new[1:] = (line[1:] != line[:-1]) | (gram[at[1:]] != gram[at[:-1]])
-        first = np.flatnonzero(new)
-        last = np.append(first[1:], len(at)) - 1 if len(at) else first
-        line = line[first]
-        return line, gram[at[first]], (at[first] - self.starts[line]).astype(np.int32), (at[last] - self.starts[line]).astype(np.int32)
+    def least_grams(self, sizes: list[int]) -> dict[int, np.ndarray]:
+        """For each size, the least gram of that many characters from each place on: its hash, and its place in the low
+        27 bits.  Places at the end have no such number of characters, and no entry."""
+        out = {}
+        if len(self.points) < GRAM:
+            return {size: np.zeros(0, _U) for size in sizes}
+        at = np.arange(len(self.points) - GRAM + 1)
+        least, wide = (self.fingerprint(at, at + GRAM) & ~_PLACE) | (at.astype(_U) & _PLACE), 1
+        for size in sorted(sizes):
+            while wide < size - GRAM + 1:  # a window of twice the width, or of what is left
+                step = min(wide, size - GRAM + 1 - wide)
+                least = np.minimum(least[:-step], least[step:])
+                wide += step
+            out[size] = least
+        return out
+
+
+_PLACE = _U((1 << 27) - 1)
+_LARGEST = 65535  # lengths and places in blocks
+_LOWS = np.unique(np.floor(LONG * 2.0 ** (np.arange(4 * 8) / 4)).astype(np.int64))  # least length of each bucket
+
+
+def _bucket(length: np.ndarray) -> np.ndarray:
+    """0 for lines shorter than ``LONG``."""
+    return np.searchsorted(_LOWS, length, "right")
+
+
+@cache
+def _least_segment(bucket: int) -> int:
+    """The size of the least segment of the bucket's lines; from 32 edits on no segment is shorter than 32."""
+    low = int(_LOWS[bucket - 1])
+    length = np.arange(low, max(low + 1, min(int(_LOWS[bucket]) if bucket < len(_LOWS) else low + 1, 1025)))
+    return int((length // (edits_of_long(length) + 1)).min())
 
 
 def segments(length: np.ndarray, edits: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -244,34 +262,20 @@ def within_edits(left: pa.Array, right: pa.Array, edits: int) -> np.ndarray:
     return np.where(far, k + 1, np.minimum(distance, k + 1))
 
 
-def within_own_edits(left: pa.Array, right: pa.Array, most: np.ndarray) -> np.ndarray:
-    """The edit distance of the strings in each row, or a number above ``most`` if it is larger than that."""
-    out = most + 1
-    a, b = Lines(left, 0, split=False), Lines(right, 0, split=False)
-    # An edit changes the counts of bigrams by four at most.
-    bins = 1024
-    near = np.zeros(len(most), bool)
-    counts = np.zeros(bins, np.int64)
-    hashed = []
-    for lines in (a, b):
-        pair = (lines.points[:-1] * np.uint32(0x9E3779B1) + lines.points[1:] * np.uint32(0x85EBCA77)) * np.uint32(0xC2B2AE3D)
-        hashed.append((pair >> np.uint32(22)).astype(np.int64))
-    for i in range(len(most)):
-        x = hashed[0][a.starts[i] : max(a.ends[i] - 1, a.starts[i])]
-        y = hashed[1][b.starts[i] : max(b.ends[i] - 1, b.starts[i])]
-        counts = np.bincount(x, minlength=bins) - np.bincount(y, minlength=bins)
-        near[i] = np.abs(counts).sum() <= 4 * most[i]
-    size = np.maximum(a.ends - a.starts, b.ends - b.starts)
-    for low, high in ((0, 4), (5, 8), (9, 16), (17, MOST_EDITS)):
-        rows = np.flatnonzero(near & (most >= low) & (most <= high))
+def within_own_edits(strings: pa.Array, u: np.ndarray, v: np.ndarray, length: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """The edit distance of strings ``u[i]`` and ``v[i]``, or a number above ``most[i]`` if it is larger than that."""
+    out = np.zeros(len(most), np.int64)
+    size = np.maximum(length[u], length[v])
+    for low, high in ((0, 2), (3, 4), (5, 8), (9, 12), (13, 16), (17, 22), (23, MOST_EDITS)):
+        rows = np.flatnonzero((most >= low) & (most <= high))
         rows = rows[np.argsort(size[rows], kind="stable")]
+        # As many of like size as a bounded matrix holds; the sizes ascend.
         at = 0
-        while at < len(rows):  # as many of like size as a bounded matrix holds
-            upto = at + 1
-            while upto < len(rows) and (upto + 1 - at) * int(size[rows[upto]] + 200) <= 1 << 21:
-                upto += 1
-            some = pa.array(rows[at:upto])
-            out[rows[at:upto]] = within_edits(left.take(some), right.take(some), high)
+        while at < len(rows):
+            fits = (np.arange(1, len(rows) - at + 1) * (size[rows[at:]] + 200)) <= 1 << 20
+            upto = at + max(1, int(np.count_nonzero(fits)))
+            some = rows[at:upto]
+            out[some] = within_edits(strings.take(pa.array(u[some])), strings.take(pa.array(v[some])), high)
             at = upto
     return out
 
@@ -280,8 +284,15 @@ def _row_key(docs: DataFrame) -> Column:
     return F.xxhash64(F.col("doc_id"), F.col("text"))
 
 
-def _occurrences(rows: DataFrame, params: LineParams, with_text: bool) -> DataFrame:
-    """One row for each distinct long line of each document."""
+def _rows(docs: DataFrame) -> DataFrame:
+    return docs.select(
+        F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST)).alias("doc_id"), F.col("text").cast("string").alias("text"),
+        _row_key(docs).alias("row_key"),
+    )
+
+
+def _occurrences(docs: DataFrame, params: LineParams) -> DataFrame:
+    """A written table with one narrow row for each distinct long line of each document."""
 
     def lines_of(piece: pa.RecordBatch) -> pa.RecordBatch:
         lines = Lines(piece.column("text"), params.min_chars, visible=params.classes is not None)
@@ -293,171 +304,272 @@ def _occurrences(rows: DataFrame, params: LineParams, with_text: bool) -> DataFr
         at = np.flatnonzero(new)
         times = np.diff(np.append(at, len(order)))
         pick = order[at]
-        out = {
-            "doc_id": piece.column("doc_id").take(pa.array(lines.row[pick])), "line_no": pa.array(lines.number[pick].astype(np.int32)),
-            "times": pa.array(times), "key": pa.array(keys[pick]), "total": pa.array(lines.totals()[pick]),
-            "length": pa.array(length[pick].astype(np.int32)),
-        }
-        if with_text:
-            out["bits"] = pa.array(lines.bigrams()[pick])
-            if params.classes is not None:
-                out["counted"] = pa.array(lines.character_counts()[pick])
-            points = lines.points
-            spans = zip(lines.starts[pick].tolist(), lines.ends[pick].tolist())
-            out["line"] = pa.array([points[a:b].tobytes().decode("utf-32-le", "surrogatepass") for a, b in spans], pa.string())
-        else:
-            out["row_key"] = piece.column("row_key").take(pa.array(lines.row[pick]))
-        return pa.RecordBatch.from_pydict(out)
+        of = pa.array(lines.row[pick])
+        return pa.RecordBatch.from_pydict({
+            "doc_id": piece.column("doc_id").take(of), "row_key": piece.column("row_key").take(of),
+            "line_no": pa.array(lines.number[pick].astype(np.int32)), "times": pa.array(times), "key": pa.array(keys[pick]),
+            "total": pa.array(lines.totals()[pick]), "length": pa.array(length[pick].astype(np.int32)),
+        })
 
-    schema = "doc_id BIGINT, line_no INT, times BIGINT, key BIGINT, total BIGINT, length INT, "
-    counted = "counted BIGINT, " if params.classes is not None else ""
-    if with_text:  # as ordered in ``out``
-        return rows.mapInArrow(over_slices(lines_of), schema + f"bits BIGINT, {counted}line STRING")
-    return rows.mapInArrow(over_slices(lines_of), schema + "row_key BIGINT")
+    schema = "doc_id BIGINT, row_key BIGINT, line_no INT, times BIGINT, key BIGINT, total BIGINT, length INT"
+    return stage(_rows(docs).mapInArrow(over_slices(lines_of), schema), "lines")
 
 
-def _keyed(lines: DataFrame, params: LineParams, keys, label: str) -> DataFrame:
-    def run(piece: pa.RecordBatch) -> pa.RecordBatch:
-        table = keys(Lines(piece.column("line"), 0, split=False), params.edits)
-        n, each = table.shape
-        of = np.repeat(np.arange(n), each)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(table.ravel()), piece.column("id").take(pa.array(of)), piece.column("bits").take(pa.array(of))],
-            ["slot", label, f"{label}_bits"],
-        )
+def _short_entries(lines: Lines, params: LineParams) -> Iterator[tuple[np.ndarray, ...]]:
+    """Line, slot, first and last place and whether it is a segment: of lines that have a partner of a class, whose slots tell the place."""
+    length = lines.ends - lines.starts
+    bounds = [low for low, _ in params.steps()] + [params.long()]
+    for (low, edits), high in zip(params.steps(), bounds[1:]):
+        for own in (True, False):
+            rows = np.flatnonzero((length >= low) & (length < high + (0 if own else edits)))
+            if len(rows):
+                table = (index_keys if own else probe_keys)(lines.some(rows), edits)
+                # Slots are of a class, or its lines would meet at another threshold.
+                slot = mix(table.view(_U) + _U(edits)).ravel()
+                of = np.repeat(rows, table.shape[1])
+                yield of, slot, np.zeros(len(of), np.int64), np.zeros(len(of), np.int64), np.full(len(of), own)
+
+
+def _long_entries(lines: Lines) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """The same for each bucket of longer lines; a line is probed in the next lower bucket too if partners can be there."""
+    length = lines.ends - lines.starts
+    home, away = _bucket(length), _bucket(length - edits_of_long(length))
+    buckets = np.unique(np.concatenate([home, away]))
+    sizes = {bucket: _least_segment(bucket) for bucket in buckets[buckets > 0].tolist()}
+    all_least = lines.least_grams(list(set(sizes.values())))
+    for bucket, size in sizes.items():
+        rows = np.flatnonzero((length >= LONG) & ((home == bucket) | (away == bucket)))
+        least = all_least[size]
+        starts, chars = lines.starts[rows], length[rows]
+        windows = chars - size + 1
+        of = np.repeat(np.arange(len(rows)), windows)
+        grams = least[expand(starts, windows)]
+        new = np.ones(len(of), bool)
+        new[1:] = (of[1:] != of[:-1]) | (grams[1:] != grams[:-1])
+        of, grams = of[new], grams[new]
+        place = (grams & _PLACE).astype(np.int64)
+        # The places of the segments' grams, among those of all windows, which ascend.
+        mine = np.flatnonzero(home[rows] == bucket)
+        edits = edits_of_long(chars[mine])
+        segment = np.arange(int(edits.sum() + len(mine))) - np.repeat(np.cumsum(edits + 1) - edits - 1, edits + 1)
+        k, whole, start = (np.repeat(x, edits + 1) for x in (edits, chars[mine], starts[mine]))
+        base, longer = whole // (k + 1), whole % (k + 1)
+        begin = segment * base + np.maximum(segment - (k + 1 - longer), 0)
+        own = np.zeros(len(of), bool)
+        own[np.searchsorted(place, (least[start + begin] & _PLACE).astype(np.int64))] = True
+        slot = mix((grams & ~_PLACE) ^ mix(np.full(len(grams), bucket + 977, _U)))
+        # A gram that a line has at several places is one entry.
+        order = np.lexsort((slot, of))
+        of, slot, place, own = of[order], slot[order], (place - starts[of])[order], own[order]
+        new = np.ones(len(of), bool)
+        new[1:] = (of[1:] != of[:-1]) | (slot[1:] != slot[:-1])
+        at = np.flatnonzero(new)
+        last = np.append(at[1:], len(of)) - 1
+        yield bucket, rows[of[at]], slot[at], place[at], place[last], np.logical_or.reduceat(own, at)
 
-    return lines.select("id", "bits", "line").mapInArrow(over_slices(run, "line"), f"slot BIGINT, {label} BIGINT, {label}_bits BIGINT")
 
+def _blocks(rows: DataFrame, params: LineParams, splits: int) -> DataFrame:
+    """``part`` and packed entries of the distinct lines of a slice of text for that part.
 
-def _bucket(length: np.ndarray) -> np.ndarray:
-    return np.floor(np.log2(np.maximum(length, 1)) * 4).astype(np.int64)
-
-
-def _short_pairs(lines: DataFrame, params: LineParams) -> DataFrame:
-    """Candidate pairs whose shorter line is of a class, by segments."""
-    bounds = [low for low, _ in params.classes] + [LONG]
-
-    def keyed(label: str):
-        def run(piece: pa.RecordBatch) -> pa.RecordBatch:
-            lines = Lines(piece.column("line"), 0, split=False)
-            length = lines.ends - lines.starts
-            slots, of, most = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
-            for (low, edits), high in zip(params.classes, bounds[1:]):
-                rows = np.flatnonzero((length >= low) & (length < high + (edits if label == "probe" else 0)))
-                if not len(rows):
-                    continue
-                table = (index_keys if label == "own" else probe_keys)(lines.some(rows), edits)
-                # Keys are of a class, or its lines would meet at another threshold.
-                table = mix(table.view(_U) + _U(edits)).view(np.int64)
-                slots.append(table.ravel())
-                of.append(np.repeat(rows, table.shape[1]))
-                most.append(np.full(table.size, edits, np.int32))
-            of = pa.array(np.concatenate(of))
-            return pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(slots)), piece.column("id").take(of), piece.column("length").take(of), piece.column("bits").take(of), pa.array(np.concatenate(most))],
-                ["slot", label, f"{label}_length", f"{label}_bits", f"{label}_most"],
-            )
-
-        schema = f"slot BIGINT, {label} BIGINT, {label}_length INT, {label}_bits BIGINT, {label}_most INT"
-        some = lines.where(f"length >= {bounds[0]} AND length < {LONG + params.classes[-1][1]}")
-        return some.select("id", "length", "bits", "line").mapInArrow(over_slices(run, "line"), schema)
-
-    own, probe = keyed("own"), keyed("probe")
-    near = F.bit_count(F.col("own_bits").bitwiseXOR(F.col("probe_bits"))) <= 4 * F.col("own_most")
-    gap = F.col("probe_length") - F.col("own_length")
-    near &= gap.between(0, F.col("own_most"))
-    pairs = own.join(probe, (own.slot == probe.slot) & (F.col("own") != F.col("probe")) & near)
-    return pairs.select(F.least("own", "probe").alias("u"), F.greatest("own", "probe").alias("v"))
-
-
-def _long_pairs(lines: DataFrame) -> DataFrame:
-    """Candidate pairs of lines of ``LONG`` characters or more, by chosen grams of lines of like length."""
+    Parts are of a bucket of lengths and, if there is more text than for one part each, of a share of the slots.
+    """
 
     def run(piece: pa.RecordBatch) -> pa.RecordBatch:
-        lines = Lines(piece.column("line"), 0, split=False)
-        length = lines.ends - lines.starts
-        line, gram, low, high = lines.chosen_grams()
-        home, away = _bucket(length), _bucket(length - edits_of_long(length))
-        more = np.flatnonzero((home != away)[line])
-        every = np.concatenate([np.arange(len(line)), more])
-        of = line[every]
-        bucket = np.concatenate([home[line], away[line[more]]])
-        slot = mix(gram[every] ^ mix(bucket.astype(_U) + _U(977))).view(np.int64)
-        # Guests of a shorter bucket have a negative length.
-        sign = np.where(np.arange(len(every)) < len(line), 1, -1)
-        rows = pa.array(of)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(slot), piece.column("id").take(rows), pa.array((length[of] * sign).astype(np.int32)),
-             pa.array(low[every]), pa.array(high[every]), piece.column("counted").take(rows)],
-            ["slot", "id", "length", "low", "high", "counted"],
-        )
-
-    some = lines.where(F.col("length") >= LONG).select("id", "counted", "line")
-    keyed = some.mapInArrow(over_slices(run, "line"), "slot BIGINT, id BIGINT, length INT, low INT, high INT, counted BIGINT")
-    a, b = keyed.alias("a"), keyed.alias("b")
-    most = F.least(F.shiftright(F.least(F.abs("a.length"), F.abs("b.length")), 5), F.lit(MOST_EDITS))
-    changed = F.lit(0)
-    for i in range(8):
-        x, y = (F.shiftright(F.col(f"{s}.counted"), 8 * i).bitwiseAND(F.lit(255)) for s in "ab")
-        apart = F.abs(x - y)
-        changed = changed + F.least(apart, F.lit(256) - apart)
-    near = (F.col("a.length") > 0) | (F.col("b.length") > 0)
-    near &= F.abs(F.abs("a.length") - F.abs("b.length")) <= most
-    near &= (F.col("a.low") <= F.col("b.high") + most) & (F.col("b.low") <= F.col("a.high") + most) & (changed <= 2 * most)
-    pairs = a.join(b, (F.col("a.slot") == F.col("b.slot")) & (F.col("a.id") < F.col("b.id")) & near)
-    return pairs.select(F.col("a.id").alias("u"), F.col("b.id").alias("v"))
+        lines = Lines(piece.column("text"), params.steps()[0][0], visible=params.classes is not None)
+        _, first = np.unique(lines.keys(), return_index=True)
+        lines = lines.some(np.sort(first))
+        length, keys = lines.ends - lines.starts, lines.keys()
+        parts, blocks = [], []
+        short = list(_short_entries(lines, params))
+        groups = [(0, *(np.concatenate(x) for x in zip(*short)))] if short else []
+        sketches = {True: lines.bigrams(), False: lines.character_counts()}
+        for bucket, of, slot, first, last, own in [*groups, *(_long_entries(lines) if params.classes else [])]:
+            share = (slot >> _U(32)) % _U(splits)
+            order = np.lexsort((of, share))
+            cuts = np.searchsorted(share[order], np.arange(splits + 1))
+            for i in np.flatnonzero(np.diff(cuts)).tolist():
+                some = order[cuts[i] : cuts[i + 1]]
+                line, count = np.unique(of[some], return_counts=True)
+                parts.append(bucket * splits + i)
+                blocks.append(b"".join((
+                    np.array([len(line), len(some)], np.int64).tobytes(), keys[line].tobytes(), sketches[bucket == 0][line].tobytes(),
+                    np.minimum(length[line], _LARGEST).astype(np.uint16).tobytes(), count.astype(np.int32).tobytes(),
+                    slot[some].astype(np.uint32).tobytes(), *(np.minimum(x[some], _LARGEST).astype(np.uint16).tobytes() for x in (first, last - first)),
+                    np.packbits(own[some]).tobytes(),
+                )))
+        return pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(blocks, pa.binary())], ["part", "block"])
+
+    return rows.select("text").mapInArrow(over_slices(run), "part INT, block BINARY")
+
+
+def _unpack(block: bytes) -> tuple[np.ndarray, ...]:
+    n, m = np.frombuffer(block, np.int64, 2).tolist()
+    at, out = 16, []
+    for kind, many in ((np.int64, n), (np.int64, n), (np.uint16, n), (np.int32, n), (np.uint32, m), (np.uint16, m), (np.uint16, m)):
+        out.append(np.frombuffer(block, kind, many, at))
+        at += many * np.dtype(kind).itemsize
+    return (*out, np.unpackbits(np.frombuffer(block, np.uint8, -1, at), count=m).astype(bool))
+
+
+def _meet(blocks: list[bytes], short: bool, params: LineParams) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The candidate pairs of a part in batches of bounded text: the keys of a batch's lines, and pairs of places among them."""
+    key, sketch, length, count, slot, place, span, own = (np.concatenate(x) for x in zip(*map(_unpack, blocks)))
+    # Equal lines of several slices are one; lines of equal least slots, as near copies mostly are, get near numbers.
+    least = np.minimum.reduceat(slot, np.cumsum(count) - count)
+    order = np.lexsort((key, length, least))
+    kept = np.zeros(len(key), bool)
+    kept[np.unique(key, return_index=True)[1]] = True
+    order = order[kept[order]]
+    number = np.zeros(len(key), np.int64)
+    number[order] = np.arange(len(order))
+    entries = np.repeat(kept, count)
+    line = np.repeat(number, count)[entries]
+    slot, first, own = slot[entries], place[entries].astype(np.int64), own[entries]
+    last = first + span[entries]
+    key, sketch, length = key[order], sketch[order].view(_U), length[order].astype(np.int64)
+    most = _most(length, params)
+    code = (slot.astype(_U) << _U(16)) | length[line].astype(_U)
+    order = np.argsort(code, kind="stable")
+    code, line, first, last, own = code[order], line[order], first[order], last[order], own[order]
+    mine = np.flatnonzero(own)
+    low = np.searchsorted(code, code[mine], "left")
+    upper = (code[mine] & ~_U(0xFFFF)) | np.minimum(length[line[mine]] + most[line[mine]], _LARGEST).astype(_U)
+    wide = np.searchsorted(code, upper, "right") - low
+    # By line, so that a pair that meets at several segments is met in one piece.
+    order = np.argsort(line[mine], kind="stable")
+    order = order[wide[order] > 1]
+    mine, low, wide = mine[order], low[order], wide[order]
+    total = np.concatenate([[0], np.cumsum(wide)])
+    ends = np.append(np.flatnonzero(np.diff(line[mine])) + 1, len(mine)) if len(mine) else np.zeros(0, np.int64)
+    at = 0
+    while at < len(mine):
+        upto = int(ends[max(np.searchsorted(total[ends], total[at] + (1 << 20), "right") - 1, np.searchsorted(ends, at, "right"))])
+        a, b = np.repeat(mine[at:upto], wide[at:upto]), expand(low[at:upto], wide[at:upto])
+        at = upto
+        x, y = line[a], line[b]
+        near = (length[x] < length[y]) | ((length[x] == length[y]) & (x < y))
+        near &= (first[a] <= last[b] + most[x]) & (first[b] <= last[a] + most[x])
+        pair = np.unique(x[near] * len(key) + y[near])
+        a, b = pair // len(key), pair % len(key)
+        if short:
+            near = np.bitwise_count(sketch[a] ^ sketch[b]) <= 4 * most[a]
+        else:
+            apart = np.abs(sketch[a].view(np.uint8).reshape(-1, 8).astype(np.int16) - sketch[b].view(np.uint8).reshape(-1, 8))
+            near = np.minimum(apart, 256 - apart).sum(axis=1) <= 2 * most[a]
+        waiting = [(a[near], b[near])] if near.any() else []
+        while waiting:
+            a, b = waiting.pop()
+            members, places = np.unique(np.concatenate([a, b]), return_inverse=True)
+            if len(a) > 1 and (len(a) > BATCH_PAIRS or length[members].sum() > BATCH_CHARS):
+                half = len(a) // 2
+                waiting += [(a[half:], b[half:]), (a[:half], b[:half])]
+            else:
+                yield key[members], places.reshape(2, -1)
+
+
+def _candidates(rows: DataFrame, params: LineParams, splits: int) -> DataFrame:
+    """A written table of batches of candidate pairs: ``batch, keys, pairs``, the pairs packed as places in ``keys``.
+
+    A pair is in one batch of each share of the slots in which it meets.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def pairs(part: int, blocks: list[bytes]) -> Iterator[pa.RecordBatch]:
+            for keys, places in _meet(blocks, part < splits, params):
+                yield pa.RecordBatch.from_arrays([pa.array([keys.tolist()], pa.list_(pa.int64())), pa.array([places.astype(np.int32).tobytes()])], ["keys", "pairs"])
+
+        part, held = -1, []
+        for batch in batches:  # sorted by part
+            for p, block in zip(batch.column("part").to_pylist(), batch.column("block")):
+                if p != part and held:
+                    yield from pairs(part, held)
+                    held = []
+                part = p
+                held.append(block.as_py())
+        if held:
+            yield from pairs(part, held)
+
+    parts = min(splits * (len(_LOWS) + 1), 100_000)
+    dealt = _blocks(rows, params, splits).repartition(parts, "part").sortWithinPartitions("part")
+    found = dealt.mapInArrow(run, "keys ARRAY<BIGINT>, pairs BINARY")
+    return stage(found.withColumn("batch", F.monotonically_increasing_id()), "line-pairs", compression="zstd")
 
 
 def _most(shorter: np.ndarray, params: LineParams) -> np.ndarray:
     """The threshold of pairs by the length of the shorter line."""
     out = np.full(len(shorter), -1, np.int64)
-    for low, edits in params.classes:
+    for low, edits in params.steps():
         out[shorter >= low] = edits
-    return np.where(shorter >= LONG, edits_of_long(shorter), out)
+    return np.where(shorter >= params.long(), edits_of_long(shorter), out)
 
 
-def distinct_lines(docs: DataFrame, params: LineParams = LineParams()) -> DataFrame:
-    """A written table of the distinct long lines: ``id, key, total, length, first_doc, line_no, copies, bits, line``."""
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST)).alias("doc_id"), F.col("text").cast("string").alias("text"))
-    each = _occurrences(rows, params, with_text=True)
-    grouped = each.groupBy("key", "total", "length").agg(
-        F.min("doc_id").alias("first_doc"), F.min_by("line_no", "doc_id").alias("line_no"), F.sum("times").alias("copies"),
-        F.first("bits").alias("bits"), *([F.first("counted").alias("counted")] if params.classes is not None else []),
-        F.first("line").alias("line"),
+def distinct_lines(occurrences: DataFrame) -> DataFrame:
+    """A written table of the distinct long lines, without their texts: ``key, total, length, first_doc, line_no``."""
+    return stage(
+        occurrences.groupBy("key", "total", "length").agg(F.min("doc_id").alias("first_doc"), F.min_by("line_no", "doc_id").alias("line_no")),
+        "distinct-lines",
     )
-    return stage(grouped.withColumn("id", F.monotonically_increasing_id()), "lines")
-
-
-def edit_links(lines: DataFrame, params: LineParams = LineParams()) -> DataFrame:
-    """``a, b, edits``: all pairs of different lines within the threshold, once each, ``a`` occurring first."""
-    if params.classes is None:
-        own = _keyed(lines, params, index_keys, "own")
-        probe = _keyed(lines, params, probe_keys, "probe")
-        near = F.bit_count(F.col("own_bits").bitwiseXOR(F.col("probe_bits"))) <= 4 * params.edits
-        pairs = own.join(probe, (own.slot == probe.slot) & (F.col("own") != F.col("probe")) & near)
-        pairs = pairs.select(F.least("own", "probe").alias("u"), F.greatest("own", "probe").alias("v"))
-    else:
-        pairs = _short_pairs(lines, params).unionByName(_long_pairs(lines))
-    pairs = stage(pairs.distinct(), "line-pairs")
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in slices(batches, "u_line"):
-            u, v = piece.column("u_line"), piece.column("v_line")
-            if params.classes is None:
-                edits, most = within_edits(u, v, params.edits), params.edits
-            else:
-                shorter = np.minimum(*(pc.utf8_length(x).to_numpy(zero_copy_only=False) for x in (u, v)))
-                most = _most(shorter.astype(np.int64), params)
-                edits = within_own_edits(u, v, most)
-            out = piece.select(["u", "v", "v_first"]).append_column("edits", pa.array(edits.astype(np.int32)))
-            yield out.filter(pa.array(edits <= most))
 
-    place = F.struct("first_doc", "line_no", "id")
-    u = lines.select(F.col("id").alias("u"), F.col("line").alias("u_line"), place.alias("u_place"))
-    v = lines.select(F.col("id").alias("v"), F.col("line").alias("v_line"), place.alias("v_place"))
-    texts = pairs.join(u, "u").join(v, "v").select("u", "v", "u_line", "v_line", (F.col("v_place") < F.col("u_place")).alias("v_first"))
-    found = texts.mapInArrow(verify, "u BIGINT, v BIGINT, v_first BOOLEAN, edits INT")
-    return found.select(F.expr("if(v_first, v, u)").alias("a"), F.expr("if(v_first, u, v)").alias("b"), "edits")
+
+def _texts(docs: DataFrame, wanted: DataFrame, params: LineParams) -> DataFrame:
+    """``key, total, length, line`` of the lines ``wanted``, out of the documents in which they first occur."""
+    lists = wanted.groupBy("first_doc").agg(F.collect_set("key").alias("keys")).withColumnRenamed("first_doc", "doc_id")
+
+    def pick(piece: pa.RecordBatch) -> pa.RecordBatch:
+        lines = Lines(piece.column("text"), params.min_chars, visible=params.classes is not None)
+        keys, lists = lines.keys(), piece.column("keys")
+        asked = lists.flatten().to_numpy(zero_copy_only=False)
+        whose = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+        asked = np.unique(mix(asked.view(_U) ^ mix(whose.astype(_U))))
+        lines = lines.some(np.flatnonzero(np.isin(mix(keys.view(_U) ^ mix(lines.row.astype(_U))), asked)))
+        spans = zip(lines.starts.tolist(), lines.ends.tolist())
+        return pa.RecordBatch.from_pydict({
+            "key": pa.array(lines.keys()), "total": pa.array(lines.totals()), "length": pa.array((lines.ends - lines.starts).astype(np.int32)),
+            "line": pa.array([lines.points[a:b].tobytes().decode("utf-32-le", "surrogatepass") for a, b in spans], pa.string()),
+        })
+
+    found = _rows(docs).select("doc_id", "text").join(lists, "doc_id").mapInArrow(over_slices(pick), "key BIGINT, total BIGINT, length INT, line STRING")
+    return found.repartition("key").groupBy("key", "total", "length").agg(F.first("line").alias("line"))
+
+
+def edit_links(docs: DataFrame, lines: DataFrame, params: LineParams = LineParams()) -> DataFrame:
+    """``a, a_total, b, b_total``: all pairs of different lines within the threshold, once each, ``a`` occurring first."""
+    chars = lines.agg(F.sum("length")).first()[0] or 0
+    # Where lengths matter, most text is in some eight buckets.
+    splits = max(1, -(-chars // (PART_CHARS * (8 if params.classes else 1))))
+    batches = _candidates(_rows(docs), params, splits)
+    members = batches.select("batch", F.explode("keys").alias("key"))
+    wanted = members.select("key").distinct().join(lines, "key")
+    texts = _texts(docs, wanted, params).join(wanted, ["key", "total", "length"])
+    texts = stage(texts.select("key", "total", "line", "first_doc", "line_no"), "line-texts", compression="zstd")
+    # The pairs of a batch are a row of their own beside its lines.
+    pairs = batches.select("batch", *(F.lit(None).cast(kind).alias(name) for name, kind in texts.dtypes), "keys", "pairs")
+    rows = members.join(texts, "key").select("batch", *texts.columns).unionByName(pairs, allowMissingColumns=True)
+
+    def verify(table: pa.Table) -> pa.Table:
+        is_line = pc.is_valid(table.column("key"))
+        some, (asked,) = table.filter(is_line), table.filter(pc.invert(is_line)).to_pylist()
+        key, total, doc, number = (some.column(c).to_numpy() for c in ("key", "total", "first_doc", "line_no"))
+        order = np.argsort(key, kind="stable")
+        rank = np.empty(len(key), np.int64)
+        rank[np.lexsort((total, key, number, doc))] = np.arange(len(key))
+        keys = np.array(asked["keys"], np.int64)
+        low, high = (np.searchsorted(key[order], keys, side) for side in ("left", "right"))
+        u, v = np.frombuffer(asked["pairs"], np.int32).reshape(2, -1).astype(np.int64)
+        # Mostly one line has a key; lines that share one by chance are all compared.
+        many = high - low
+        u, v = np.repeat(u, many[u] * many[v]), np.repeat(v, many[u] * many[v])
+        turn = np.arange(len(u)) - np.searchsorted(u * len(keys) + v, u * len(keys) + v)
+        u, v = order[low[u] + turn // np.maximum(many[v], 1)], order[low[v] + turn % np.maximum(many[v], 1)]
+        column = some.column("line").combine_chunks()
+        length = pc.utf8_length(column).to_numpy(zero_copy_only=False).astype(np.int64)
+        most = _most(np.minimum(length[u], length[v]), params)
+        near = within_own_edits(column, u, v, length, most) <= most
+        u, v = u[near], v[near]
+        a, b = np.where(rank[u] < rank[v], u, v), np.where(rank[u] < rank[v], v, u)
+        return pa.table({"a": key[a], "a_total": total[a], "b": key[b], "b_total": total[b]})
+
+    found = rows.groupBy("batch").applyInArrow(verify, "a BIGINT, a_total BIGINT, b BIGINT, b_total BIGINT")
+    return found if splits == 1 else found.distinct()
 
 
 def line_decisions(docs: DataFrame, params: LineParams = LineParams()) -> DataFrame:
@@ -466,16 +578,18 @@ def line_decisions(docs: DataFrame, params: LineParams = LineParams()) -> DataFr
     ``exact``: an equal line occurs in a document of lower id.  ``near``: a different line within the threshold first
     occurs earlier (by document id, then line number; null ids last).  ``links``: number of such lines, earlier or not.
     """
-    lines = distinct_lines(docs, params)
-    links = stage(edit_links(lines, params), "line-links")
-    ends = links.select(F.col("a").alias("id"), F.lit(0).alias("later")).unionByName(links.select(F.col("b").alias("id"), F.lit(1).alias("later")))
-    per_line = ends.groupBy("id").agg(F.count("*").alias("links"), F.max("later").alias("later"))
-    known = lines.drop("line", "line_no", "copies", "bits", "counted").join(per_line, "id", "left").drop("id")
-    rows = docs.select(
-        F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST)).alias("doc_id"), F.col("text").cast("string").alias("text"),
-        _row_key(docs).alias("row_key"),
+    occurrences = _occurrences(docs, params)
+    lines = distinct_lines(occurrences)
+    links = edit_links(docs, lines, params)
+    end = F.explode(F.array(*(
+        F.struct(F.col(x).alias("key"), F.col(f"{x}_total").alias("total"), F.lit(later).alias("later")) for x, later in (("a", 0), ("b", 1))
+    )))
+    per_line = stage(
+        links.select(end.alias("end")).groupBy("end.key", "end.total").agg(F.count("*").alias("links"), F.max("end.later").alias("later")),
+        "line-links",
     )
-    joined = _occurrences(rows, params, with_text=False).join(known, ["key", "total", "length"])
+    known = lines.drop("line_no").join(per_line, ["key", "total"], "left")
+    joined = occurrences.join(known, ["key", "total", "length"])
     return joined.select(
         "doc_id", "row_key", "line_no", "key", "times", F.coalesce("links", F.lit(0)).cast("bigint").alias("links"),
         (F.col("doc_id") > F.col("first_doc")).alias("exact"), (F.coalesce("later", F.lit(0)) == 1).alias("near"),
