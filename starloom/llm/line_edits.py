@@ -127,11 +127,19 @@ class Lines:
 
     def character_counts(self) -> np.ndarray:
         """Eight counts of hashed characters, modulo 256, in the bytes of a word: an edit changes two of them by one."""
-        slot = (self.points * np.uint32(0x9E3779B1)) >> np.uint32(29)
+        slot = ((self.points * np.uint32(0x9E3779B1)) >> np.uint32(29)).astype(np.int64)
         out = np.zeros(len(self.starts), _U)
-        for i in range(8):
-            upto = np.concatenate([[0], np.cumsum(slot == i)])
-            out |= ((upto[self.ends] - upto[self.starts]) & 255).astype(_U) << _U(8 * i)
+        upto = np.zeros(len(slot) + 1, _U)
+        for half in (0, 4):  # four sums at a time, of 16 bits each
+            step = np.zeros(8, _U)
+            step[half : half + 4] = _U(1) << np.arange(0, 64, 16, dtype=_U)
+            np.cumsum(step[slot], out=upto[1:])
+            sums = upto[self.ends] - upto[self.starts]
+            for i in range(4):
+                out |= ((sums >> _U(16 * i)) & _U(255)) << _U(8 * (half + i))
+        for i in np.flatnonzero(self.ends - self.starts > 65535).tolist():  # their sums may pass 16 bits
+            counts = np.bincount(slot[self.starts[i] : self.ends[i]], minlength=8) & 255
+            out[i] = np.bitwise_or.reduce(counts.astype(_U) << np.arange(0, 64, 8, dtype=_U))
         return out.view(np.int64)
 
     def least_grams(self, sizes: list[int]) -> dict[int, np.ndarray]:
@@ -533,6 +541,45 @@ def _texts(docs: DataFrame, wanted: DataFrame, params: LineParams) -> DataFrame:
 
 def edit_links(docs: DataFrame, lines: DataFrame, params: LineParams = LineParams()) -> DataFrame:
     """``a, a_total, b, b_total``: all pairs of different lines within the threshold, once each, ``a`` occurring first."""
+    rows, splits = _batches(docs, lines, params)
+    found = _links(rows, params)
+    return found if splits == 1 else found.distinct()
+
+
+def _links(rows: DataFrame, params: LineParams) -> DataFrame:
+    def pairs(table: pa.Table) -> pa.Table:
+        return pa.table(dict(zip(("a", "a_total", "b", "b_total"), _verified(table, params))))
+
+    return rows.groupBy("batch").applyInArrow(pairs, "a BIGINT, a_total BIGINT, b BIGINT, b_total BIGINT")
+
+
+def link_counts(docs: DataFrame, lines: DataFrame, params: LineParams = LineParams()) -> DataFrame:
+    """``key, total, links, later`` of the lines of :func:`edit_links`: how many partners, and 1 if one occurs earlier.
+
+    Pairs are counted in their batch and never become rows, unless the slots are dealt into shares: then a pair may be
+    in several batches, and must be made distinct.
+    """
+    rows, splits = _batches(docs, lines, params)
+
+    def counted(table: pa.Table) -> pa.Table:
+        a, a_total, b, b_total = _verified(table, params)
+        key, total = np.concatenate([a, b]), np.concatenate([a_total, b_total])
+        ends = pa.table({"key": key, "total": total, "later": np.repeat(np.array([0, 1], np.int32), len(a))})
+        out = ends.group_by(["key", "total"]).aggregate([("later", "count"), ("later", "max")])
+        return out.select(["key", "total", "later_count", "later_max"]).rename_columns(["key", "total", "links", "later"])
+
+    if splits == 1:
+        ends = rows.groupBy("batch").applyInArrow(counted, "key BIGINT, total BIGINT, links BIGINT, later INT")
+    else:
+        end = F.explode(F.array(*(
+            F.struct(F.col(x).alias("key"), F.col(f"{x}_total").alias("total"), F.lit(later).alias("later")) for x, later in (("a", 0), ("b", 1))
+        )))
+        ends = _links(rows, params).distinct().select(end.alias("end")).select("end.*").withColumn("links", F.lit(1))
+    return stage(ends.groupBy("key", "total").agg(F.sum("links").alias("links"), F.max("later").alias("later")), "line-links")
+
+
+def _batches(docs: DataFrame, lines: DataFrame, params: LineParams) -> tuple[DataFrame, int]:
+    """The batches with the texts of their lines, and the number of shares of the slots."""
     chars = lines.agg(F.sum("length")).first()[0] or 0
     # Where lengths matter, most text is in some eight buckets.
     splits = max(1, -(-chars // (PART_CHARS * (8 if params.classes else 1))))
@@ -543,33 +590,32 @@ def edit_links(docs: DataFrame, lines: DataFrame, params: LineParams = LineParam
     texts = stage(texts.select("key", "total", "line", "first_doc", "line_no"), "line-texts", compression="zstd")
     # The pairs of a batch are a row of their own beside its lines.
     pairs = batches.select("batch", *(F.lit(None).cast(kind).alias(name) for name, kind in texts.dtypes), "keys", "pairs")
-    rows = members.join(texts, "key").select("batch", *texts.columns).unionByName(pairs, allowMissingColumns=True)
-
-    def verify(table: pa.Table) -> pa.Table:
-        is_line = pc.is_valid(table.column("key"))
-        some, (asked,) = table.filter(is_line), table.filter(pc.invert(is_line)).to_pylist()
-        key, total, doc, number = (some.column(c).to_numpy() for c in ("key", "total", "first_doc", "line_no"))
-        order = np.argsort(key, kind="stable")
-        rank = np.empty(len(key), np.int64)
-        rank[np.lexsort((total, key, number, doc))] = np.arange(len(key))
-        keys = np.array(asked["keys"], np.int64)
-        low, high = (np.searchsorted(key[order], keys, side) for side in ("left", "right"))
-        u, v = np.frombuffer(asked["pairs"], np.int32).reshape(2, -1).astype(np.int64)
-        # Mostly one line has a key; lines that share one by chance are all compared.
-        many = high - low
-        u, v = np.repeat(u, many[u] * many[v]), np.repeat(v, many[u] * many[v])
-        turn = np.arange(len(u)) - np.searchsorted(u * len(keys) + v, u * len(keys) + v)
-        u, v = order[low[u] + turn // np.maximum(many[v], 1)], order[low[v] + turn % np.maximum(many[v], 1)]
-        column = some.column("line").combine_chunks()
-        length = pc.utf8_length(column).to_numpy(zero_copy_only=False).astype(np.int64)
-        most = _most(np.minimum(length[u], length[v]), params)
-        near = within_own_edits(column, u, v, length, most) <= most
-        u, v = u[near], v[near]
-        a, b = np.where(rank[u] < rank[v], u, v), np.where(rank[u] < rank[v], v, u)
-        return pa.table({"a": key[a], "a_total": total[a], "b": key[b], "b_total": total[b]})
-
-    found = rows.groupBy("batch").applyInArrow(verify, "a BIGINT, a_total BIGINT, b BIGINT, b_total BIGINT")
-    return found if splits == 1 else found.distinct()
+    return members.join(texts, "key").select("batch", *texts.columns).unionByName(pairs, allowMissingColumns=True), splits
+
+
+def _verified(table: pa.Table, params: LineParams) -> tuple[np.ndarray, ...]:
+    """Key and total of the earlier and of the later line of each pair of a batch that is within the threshold."""
+    is_line = pc.is_valid(table.column("key"))
+    some, (asked,) = table.filter(is_line), table.filter(pc.invert(is_line)).to_pylist()
+    key, total, doc, number = (some.column(c).to_numpy() for c in ("key", "total", "first_doc", "line_no"))
+    order = np.argsort(key, kind="stable")
+    rank = np.empty(len(key), np.int64)
+    rank[np.lexsort((total, key, number, doc))] = np.arange(len(key))
+    keys = np.array(asked["keys"], np.int64)
+    low, high = (np.searchsorted(key[order], keys, side) for side in ("left", "right"))
+    u, v = np.frombuffer(asked["pairs"], np.int32).reshape(2, -1).astype(np.int64)
+    # Mostly one line has a key; lines that share one by chance are all compared.
+    many = high - low
+    u, v = np.repeat(u, many[u] * many[v]), np.repeat(v, many[u] * many[v])
+    turn = np.arange(len(u)) - np.searchsorted(u * len(keys) + v, u * len(keys) + v)
+    u, v = order[low[u] + turn // np.maximum(many[v], 1)], order[low[v] + turn % np.maximum(many[v], 1)]
+    column = some.column("line").combine_chunks()
+    length = pc.utf8_length(column).to_numpy(zero_copy_only=False).astype(np.int64)
+    most = _most(np.minimum(length[u], length[v]), params)
+    near = within_own_edits(column, u, v, length, most) <= most
+    u, v = u[near], v[near]
+    a, b = np.where(rank[u] < rank[v], u, v), np.where(rank[u] < rank[v], v, u)
+    return key[a], total[a], key[b], total[b]
 
 
 def line_decisions(docs: DataFrame, params: LineParams = LineParams()) -> DataFrame:
@@ -580,14 +626,7 @@ def line_decisions(docs: DataFrame, params: LineParams = LineParams()) -> DataFr
     """
     occurrences = _occurrences(docs, params)
     lines = distinct_lines(occurrences)
-    links = edit_links(docs, lines, params)
-    end = F.explode(F.array(*(
-        F.struct(F.col(x).alias("key"), F.col(f"{x}_total").alias("total"), F.lit(later).alias("later")) for x, later in (("a", 0), ("b", 1))
-    )))
-    per_line = stage(
-        links.select(end.alias("end")).groupBy("end.key", "end.total").agg(F.count("*").alias("links"), F.max("end.later").alias("later")),
-        "line-links",
-    )
+    per_line = link_counts(docs, lines, params)
     known = lines.drop("line_no").join(per_line, ["key", "total"], "left")
     joined = occurrences.join(known, ["key", "total", "length"])
     return joined.select(
