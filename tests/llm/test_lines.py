@@ -167,3 +167,14 @@ def test_short_repeated_lines_count(spark):
     rows = [(i, "Of, edti oner.\n\n   \nunique line " + "abcdefghij"[i] * 5) for i in range(4)]
     got = {r.doc_id: (r.n_long, r.n_exact) for r in line_edits.line_report(table(spark, rows), line_edits.WHOLE).collect()}
     assert got == {0: (2, 0), 1: (2, 1), 2: (2, 1), 3: (2, 1)}
+
+
+def test_shares_of_slots_give_the_same(spark, monkeypatch):
+    """Text for many parts is dealt by slot; a pair that meets in several shares counts once."""
+    rng = random.Random(5)
+    base = ["".join(rng.choice("abcdefgh é") for _ in range(n)) for n in (14, 60, 130, 300)]
+    docs = [(i, edited(rng, base[i % 4], i % 3)) for i in range(24)]
+    want = {r.doc_id: tuple(r) for r in line_edits.line_report(table(spark, docs), line_edits.WHOLE).collect()}
+    assert sum(r[5] for r in want.values()) > 40
+    monkeypatch.setattr(line_edits, "PART_CHARS", 300)
+    assert {r.doc_id: tuple(r) for r in line_edits.line_report(table(spark, docs), line_edits.WHOLE).collect()} == want
