@@ -1,8 +1,8 @@
 """Log probabilities of whole texts: word counts over the corpus, and the attention model over subword ids.
 
 Documents are dealt into chunks of bounded size.  A chunk sends its distinct words, not its words, to the corpus count and
-gets their counts back; the same pass counts subword ids and takes a fixed share of windows to train on.  Then each chunk
-meets its dictionary and is scored.
+gets their counts back; the same pass counts subword ids and takes the windows to train on, all of them or a fixed share.
+Then each chunk meets its dictionary and is scored.
 """
 
 from __future__ import annotations
@@ -29,8 +29,13 @@ class LmParams:
     # Windows of a trainer; there are as many trainers as this needs, and their parameters are averaged each round.
     trainer_windows: int = 8192
     rates: tuple[float, ...] = (0.01, 0.006, 0.003)
+    # Deal the windows over the rounds, so that each is trained on once, instead of in every round.
+    once: bool = False
 
 
+# What the query trains on: every window of the learnable texts, once.
+ALL_WINDOWS = LmParams(train_one_in=1, trainer_windows=16384, once=True)
+
 WINDOWS_AT_ONCE = 2048
 SLICE = 2 << 20
 
@@ -94,6 +99,20 @@ def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarra
     return distinct, np.bincount(back, np.concatenate(counts), len(distinct)).astype(np.int64)
 
 
+def _window_rows(words: _Words, text: np.ndarray, number: np.ndarray, shape: attention.ModelShape) -> pa.ListArray:
+    """The id before each window and its own ids, as :func:`gather` writes them."""
+    low = words.first_id[text] + number * (shape.window - shape.overlap)
+    lengths = np.minimum(low + shape.window, words.first_id[text + 1]) - low + 1
+    offsets = np.concatenate([[0], np.cumsum(lengths)])
+    at = np.arange(offsets[-1]) - np.repeat(offsets[:-1], lengths)
+    ids = words.ids[np.maximum(np.repeat(low - 1, lengths) + at, 0)].astype(np.int32)
+    later = np.repeat(number > 0, lengths)
+    ids[~later & (at == 0)] = -1
+    context = later & (at > 0) & (at <= shape.overlap)
+    ids[context] = -2 - ids[context]
+    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))
+
+
 def gather(docs: DataFrame, vocabulary: str, params: LmParams) -> DataFrame:
     """A written table of what the chunks tell: ``kind`` 0 words, 1 subword ids, 2 windows to train on.
 
@@ -105,7 +124,7 @@ def gather(docs: DataFrame, vocabulary: str, params: LmParams) -> DataFrame:
     def tell(group: pa.Table) -> pa.Table:
         cache = bpe.cache(vocabulary, "words")
         chunk = group.column("chunk")[0].as_py()
-        keys, counts, ids_seen, rows = [], [], np.zeros(end + 1, np.int64), []
+        keys, counts, ids_seen, taken = [], [], np.zeros(end + 1, np.int64), [pa.array([], pa.list_(pa.int32()))]
         for piece in slices(group.select(["text", "held_out"]).to_batches(), "text", SLICE):
             texts = _lowered(piece.column("text"))
             words = _Words.of(cache, texts, end)
@@ -117,21 +136,17 @@ def gather(docs: DataFrame, vocabulary: str, params: LmParams) -> DataFrame:
             text, number = attention.window_places(words.first_id, shape)
             pick = mix(texts.fingerprints(texts.offsets[:-1], texts.offsets[1:]))
             chosen = learn[text] & (mix(pick[text] + number.astype(np.uint64)) % np.uint64(params.train_one_in) == 0)
-            for t, k in zip(text[chosen].tolist(), number[chosen].tolist()):
-                low = int(words.first_id[t]) + k * (shape.window - shape.overlap)
-                ids = words.ids[low : min(low + shape.window, int(words.first_id[t + 1]))].astype(np.int32)
-                if k:
-                    ids[: shape.overlap] = -2 - ids[: shape.overlap]
-                rows.append([int(words.ids[low - 1]) if k else -1, *ids.tolist()])
+            taken.append(_window_rows(words, text[chosen], number[chosen], shape))
         distinct, totals = _summed(keys, counts)
         seen = np.flatnonzero(ids_seen)
+        rows = pa.concat_arrays(taken)
         n, m, k = len(distinct), len(seen), len(rows)
         return pa.table(
             {
                 "kind": pa.array(np.repeat(np.array([0, 1, 2], np.int32), [n, m, k])), "chunk": pa.array(np.full(n + m + k, chunk, np.int32)),
                 "key": pa.array(np.concatenate([distinct.view(np.int64), seen, np.arange(k)])),
                 "n": pa.array(np.concatenate([totals, ids_seen[seen], np.zeros(k, np.int64)])),
-                "ids": pa.array([None] * (n + m) + rows, pa.list_(pa.int32())),
+                "ids": pa.concat_arrays([pa.nulls(n + m, rows.type), rows]),
             }
         )
 
@@ -141,7 +156,7 @@ def gather(docs: DataFrame, vocabulary: str, params: LmParams) -> DataFrame:
 
 def fit(gathered: DataFrame, vocabulary: str, params: LmParams) -> tuple[attention.Vocabulary, dict[str, np.ndarray]]:
     """The model from the gathered ids and windows: each round, trainers go on from the same parameters over their own
-    windows, and their results are averaged."""
+    windows, and their results are averaged.  With ``params.once`` a round has its own share of the windows."""
     size, shape = bpe.vocabulary_size(vocabulary), params.shape
     each = gathered.where("kind = 1").groupBy("key").agg(F.sum("n").alias("n")).collect()  # one row per id of the vocabulary
     known = attention.Vocabulary(np.array([r.key for r in each], np.int64), np.array([r.n for r in each], np.int64), size, shape)
@@ -150,8 +165,10 @@ def fit(gathered: DataFrame, vocabulary: str, params: LmParams) -> tuple[attenti
     total = rows.count()
     if not total:
         return known, parameters
-    trainers = -(-total // params.trainer_windows)
-    dealt = rows.select("chunk", "key", "ids", F.pmod(F.xxhash64("chunk", "key"), F.lit(trainers)).alias("trainer"))
+    rounds = max(1, len(params.rates)) if params.once else 1
+    trainers = -(-total // (params.trainer_windows * rounds))
+    place = F.pmod(F.xxhash64("chunk", "key"), F.lit(trainers * rounds))
+    dealt = rows.select("chunk", "key", "ids", F.pmod(place, F.lit(trainers)).alias("trainer"), F.floor(place / trainers).alias("round"))
     rank = known.rank
 
     def trainer(rate: float, start: np.ndarray):
@@ -172,12 +189,16 @@ def fit(gathered: DataFrame, vocabulary: str, params: LmParams) -> tuple[attenti
 
         return run
 
-    for rate in params.rates:
-        runs = dealt.groupBy("trainer").applyInPandas(trainer(rate, attention.flat(parameters)), "n BIGINT, values ARRAY<DOUBLE>")
+    for at, rate in enumerate(params.rates):
+        now = dealt.where(F.col("round") == at % rounds).select("chunk", "key", "ids", "trainer")
+        runs = now.groupBy("trainer").applyInPandas(trainer(rate, attention.flat(parameters)), "n BIGINT, values ARRAY<DOUBLE>")
         runs = runs.select("n", F.posexplode("values").alias("at", "value"))
         mean = runs.groupBy("at").agg((F.sum(F.col("value") * F.col("n")) / F.sum("n")).alias("value"))
         values = np.zeros(attention.flat(parameters).size)
-        for r in mean.collect():  # one row per parameter
+        means = mean.collect()  # one row per parameter; none where so few windows leave a round without any
+        if not means:
+            continue
+        for r in means:
             values[r["at"]] = r["value"]
         parameters = attention.unflat(values, parameters)
     return known, parameters
@@ -254,4 +275,4 @@ def scores(docs: DataFrame, params: LmParams = LmParams(), vocabulary: str | Non
 
 def op8_attention_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of all documents."""
-    return scores(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return scores(spark.read.parquet(f"{sf_dir}/documents.parquet"), ALL_WINDOWS)

@@ -244,6 +244,20 @@ def test_production_training_beats_the_small_one(spark):
     assert production > small + 1e-6 * abs(small)
 
 
+def test_query_trains_on_every_learnable_window_once(spark, monkeypatch):
+    rng = random.Random(17)
+    docs = table(spark, [(i, prose(rng, 300 if i % 3 else 5)) for i in range(40)] + [(90, None), (91, "")])
+    asked = []
+    monkeypatch.setattr(lm_score, "scores", lambda docs, params=lm_score.LmParams(): asked.append(params))
+    lm_score.op8_attention_lm(spark, SF_DIR)
+    vocabulary = lm_score.bpe.vocabulary_path(lm_score.bpe.RANKS)
+    gathered = lm_score.gather(docs, vocabulary, asked[0])
+    learnable = dict(gathered.where("kind = 1").groupBy("key").sum("n").collect())
+    scored = Counter(i for r in gathered.where("kind = 2").collect() for i in r.ids[1:] if i >= 0)
+    assert scored == learnable
+    assert asked[0].once and len(asked[0].rates) == 3
+
+
 def test_production_windows_and_their_share(spark):
     params = lm_score.LmParams()
     rng = random.Random(13)
