@@ -17,7 +17,9 @@ from starloom.operators.boosting import BoostingParams, fit_boosting, fit_calibr
 from starloom.operators.features import RICH_FEATURES, STACKED_FEATURES, assemble, item_table, user_table, with_entities
 from starloom.plans import jobs
 from starloom.plans.jobs import InputFiles, predict_files, read_profiles
+from starloom.session import COMPILED_BYTES, METHOD_LIMIT, small_methods
 from starloom.sources import files
+from workload import queries
 
 BOOSTING = BoostingParams(trees=3, depth=3, min_rows_per_leaf=5)
 
@@ -189,3 +191,25 @@ def test_calibration_and_errors(spark):
 def test_clamp_keeps_null(spark):
     df = spark.createDataFrame([(0.2,), (None,), (7.0,), (3.5,)], "x double")
     assert [r.y for r in df.select(clamp("x").alias("y")).collect()] == [1.0, None, 5.0, 3.5]
+
+
+def test_arithmetic_rounding_is_that_of_decimal_text(spark):
+    rng = random.Random(5)
+    values = [0.0, -0.0, 5e-7, -5e-7, 1.5e-6, 2.5e-6, 0.1234565, 1.0000005, 999999.9999995, 1e6, 1e15, 1e300, math.inf, -math.inf, math.nan, None, 5e-324]
+    values += [rng.uniform(-1, 1) * 10.0 ** rng.randrange(-9, 8) for _ in range(3000)]
+    values += [(2 * rng.randrange(-(10**9), 10**9) + 1) / 2e6 for _ in range(1000)]  # half-way, or next to it
+    df = spark.createDataFrame([(x,) for x in values], "x DOUBLE")
+    same = queries.round_half_up(F.col("x")).eqNullSafe(F.round("x", queries.DIGITS))
+    assert df.where(~same).collect() == []
+    assert "CASE WHEN" in queries.rounded(df)._jdf.queryExecution().analyzed().toString()
+
+
+def test_method_limit_is_lowered_only(spark):
+    before = spark.conf.get(METHOD_LIMIT)
+    try:
+        for given, kept in (("65535", COMPILED_BYTES), ("4000", "4000")):
+            spark.conf.set(METHOD_LIMIT, given)
+            small_methods(spark)
+            assert spark.conf.get(METHOD_LIMIT) == kept
+    finally:
+        spark.conf.set(METHOD_LIMIT, before)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from starloom.functions import encoders as enc
@@ -22,7 +22,7 @@ from starloom.operators.similarity import CfParams, corater_sums
 from starloom.operators.similarity import item_similarity as similar_items
 from starloom.operators.similarity import top_similar
 from starloom.plans import jobs
-from starloom.session import fresh_path, stage
+from starloom.session import fresh_path, small_methods, stage
 from starloom.sources import files, profiles, quarantine
 from workload import views
 
@@ -35,6 +35,17 @@ COMPARABLE = True
 LOOSE = 1e-4
 
 
+def round_half_up(x: Column) -> Column:
+    """``F.round(x, DIGITS)``, which takes some microseconds as decimal text, by arithmetic where that can't differ.
+
+    Below 10^6 a scaled value is off by less than 10^-3, so the text is needed only that near to half-way.
+    """
+    scale = F.lit(10.0**DIGITS)
+    near = F.rint(x * scale)
+    plain = (F.abs(x) < F.lit(1e6)) & (F.abs(x * scale - near) < F.lit(0.499))
+    return F.when(plain, near / scale + F.lit(0.0)).otherwise(F.round(x, DIGITS))
+
+
 def rounded(df: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """Round computed doubles for comparison; ``keep`` names exact columns."""
     if not COMPARABLE:
@@ -42,7 +53,7 @@ def rounded(df: DataFrame, keep: list[str] | None = None) -> DataFrame:
     keep = keep or ["stars"]
     return df.select(
         *[
-            F.round(F.col(name) + F.lit(TIE), DIGITS).alias(name) if kind == "double" and name not in keep else F.col(name)
+            round_half_up(F.col(name) + F.lit(TIE)).alias(name) if kind == "double" and name not in keep else F.col(name)
             for name, kind in df.dtypes
         ]
     )
@@ -290,6 +301,7 @@ def _features(rich: bool, train_side: bool):
     """Feature rows as the jobs make them."""
 
     def query(spark: SparkSession, sf: str) -> DataFrame:
+        small_methods(spark)
         train, test = views.train_and_test(spark, sf)
         prepared = jobs.prepare(train, test, views.all_profiles(spark, sf, rich), rich)
         rows = (jobs.train_vectors if train_side else jobs.test_vectors)(prepared)
