@@ -19,7 +19,7 @@ from starloom.plans import jobs
 from starloom.plans.jobs import InputFiles, predict_files, read_profiles
 from starloom.session import COMPILED_BYTES, METHOD_LIMIT, small_methods
 from starloom.sources import files
-from workload import queries
+from workload import queries, views
 
 BOOSTING = BoostingParams(trees=3, depth=3, min_rows_per_leaf=5)
 
@@ -213,3 +213,10 @@ def test_method_limit_is_lowered_only(spark):
             assert spark.conf.get(METHOD_LIMIT) == kept
     finally:
         spark.conf.set(METHOD_LIMIT, before)
+
+
+def test_lines_of_one_file_are_parsed_by_several_tasks(spark):
+    lines = spark.range(500).select(F.col("id").cast("string").alias("value"), F.struct("id").alias("seq")).coalesce(1)
+    spread = views._spread(lines)
+    assert spread.select(F.spark_partition_id()).distinct().count() > 1
+    assert sorted(spread.collect()) == sorted(lines.collect())

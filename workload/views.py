@@ -151,10 +151,15 @@ def _numeric(df: DataFrame, *keys: str) -> DataFrame:
     return df.withColumns({k: F.col(k).try_cast("bigint") for k in keys})
 
 
+def _spread(lines: DataFrame) -> DataFrame:
+    """The lines over all cores: a small file is one task, which parsing its lines may keep busy for long."""
+    return lines.repartition(4 * lines.sparkSession.sparkContext.defaultParallelism, "value")
+
+
 def all_profiles(spark: SparkSession, sf_dir: str, rich: bool) -> Profiles:
     return Profiles(
-        users=_numeric(profiles.parse_users(user_lines(spark, sf_dir)), "user_id"),
-        items=_numeric(profiles.parse_items(item_lines(spark, sf_dir), rich=rich), "item_id"),
+        users=_numeric(profiles.parse_users(_spread(user_lines(spark, sf_dir))), "user_id"),
+        items=_numeric(profiles.parse_items(_spread(item_lines(spark, sf_dir)), rich=rich), "item_id"),
         checkins=_numeric(profiles.parse_checkins(checkin_lines(spark, sf_dir), strict_keys=rich), "item_id"),
         tips=_numeric(profiles.parse_tips(tip_lines(spark, sf_dir)), "user_id", "item_id"),
         photos=_numeric(profiles.parse_photos(photo_lines(spark, sf_dir)), "item_id"),
