@@ -8,10 +8,12 @@ import random
 from pathlib import Path
 
 import pytest
+from pyspark.ml.linalg import Vectors
+from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import functions as F
 
 from starloom.functions.rating import clamp
-from starloom.operators import evaluation
+from starloom.operators import boosting, evaluation
 from starloom.operators.additive import AdditiveParams
 from starloom.operators.boosting import BoostingParams, fit_boosting, fit_calibration
 from starloom.operators.features import RICH_FEATURES, STACKED_FEATURES, assemble, item_table, user_table, with_entities
@@ -193,6 +195,21 @@ def test_clamp_keeps_null(spark):
     assert [r.y for r in df.select(clamp("x").alias("y")).collect()] == [1.0, None, 5.0, 3.5]
 
 
+def test_training_rows_are_dealt_by_number(spark, monkeypatch):
+    monkeypatch.setattr(boosting, "TASK_ROWS", 20)
+    most, fit = [], GBTRegressor.fit
+
+    def seen(self, data):
+        most.append(data.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0])
+        return fit(self, data)
+
+    monkeypatch.setattr(GBTRegressor, "fit", seen)
+    rows = spark.createDataFrame([(float(i % 5), Vectors.dense([float(i % 5)])) for i in range(400)], ["stars", "features"]).coalesce(1)
+    model = fit_boosting(rows, BoostingParams(trees=1, depth=3), staged=False)
+    assert most[0] <= 21
+    assert model.predict(rows).where("abs(raw_prediction - stars) > 1e-9").isEmpty()
+
+
 def test_arithmetic_rounding_is_that_of_decimal_text(spark):
     rng = random.Random(5)
     values = [0.0, -0.0, 5e-7, -5e-7, 1.5e-6, 2.5e-6, 0.1234565, 1.0000005, 999999.9999995, 1e6, 1e15, 1e300, math.inf, -math.inf, math.nan, None, 5e-324]
