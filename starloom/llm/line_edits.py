@@ -58,7 +58,9 @@ class LineParams:
 WHOLE = LineParams(min_chars=1, classes=((10, 1), (20, 2)))
 LONG = 96
 GRAM = 12
-BATCH_PAIRS, BATCH_CHARS = 1 << 17, 1 << 22
+BATCH_PAIRS, BATCH_CHARS = 1 << 17, 1 << 21
+SLICE = 512 << 10  # bytes of text at a time: a task's arrays take some hundred times as much
+OWNER_BITS = 24  # of the table that tells which documents' texts are needed
 PART_CHARS = 48_000_000  # characters of text per part, of some 6 MB packed
 MOST_EDITS = 31  # the band of the edit distance is a word
 
@@ -142,21 +144,24 @@ class Lines:
             out[i] = np.bitwise_or.reduce(counts.astype(_U) << np.arange(0, 64, 8, dtype=_U))
         return out.view(np.int64)
 
-    def least_grams(self, sizes: list[int]) -> dict[int, np.ndarray]:
-        """For each size, the least gram of that many characters from each place on: its hash, and its place in the low
-        27 bits.  Places at the end have no such number of characters, and no entry."""
-        out = {}
-        if len(self.points) < GRAM:
-            return {size: np.zeros(0, _U) for size in sizes}
-        at = np.arange(len(self.points) - GRAM + 1)
-        least, wide = (self.fingerprint(at, at + GRAM) & ~_PLACE) | (at.astype(_U) & _PLACE), 1
+    def least_grams(self, sizes: set[int]) -> Iterator[tuple[int, np.ndarray]]:
+        """For each size, ascending, the least gram of that many characters from each place on: its hash, and its place in
+        the low 27 bits.  Places at the end have no such number of characters, and no entry."""
+        n = len(self.points) - GRAM + 1
+        if n <= 0:
+            yield from ((size, np.zeros(0, _U)) for size in sorted(sizes))
+            return
+        least = self.prefix[GRAM:] - self.prefix[:n]
+        least *= self.down[:n]
+        least += _U(GRAM)
+        least = (mix(least) & ~_PLACE) | (np.arange(n, dtype=_U) & _PLACE)
+        wide = 1
         for size in sorted(sizes):
             while wide < size - GRAM + 1:  # a window of twice the width, or of what is left
                 step = min(wide, size - GRAM + 1 - wide)
                 least = np.minimum(least[:-step], least[step:])
                 wide += step
-            out[size] = least
-        return out
+            yield size, least
 
 
 _PLACE = _U((1 << 27) - 1)
@@ -221,70 +226,90 @@ def probe_keys(lines: Lines, edits: int) -> np.ndarray:
     return np.column_stack(out)
 
 
-def within_edits(left: pa.Array, right: pa.Array, edits: int) -> np.ndarray:
-    """The edit distance of the strings in each row, or ``edits + 1`` if it is larger.
+def _packed(strings: pa.Array) -> tuple[np.ndarray, np.ndarray, int]:
+    """For each character of all strings the next ones packed in a word, where each string starts, and how many a word holds."""
+    texts = strings.to_pylist()
+    points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    used = np.zeros(0x110000, bool)
+    used[points] = True
+    # Characters are numbered, so that a word holds as many as there are kinds for.
+    kind = next(x for x in (np.uint8, np.uint16, np.uint32) if int(used.sum()) <= np.iinfo(x).max)
+    size = np.dtype(kind).itemsize
+    number = np.zeros(len(points) + 8, kind)
+    number[: len(points)] = np.cumsum(used, dtype=np.uint32).astype(kind)[points]
+    words = np.ascontiguousarray(np.ndarray(len(points) + 1, "<u8", number, strides=(size,)))
+    return words, np.concatenate([[0], np.cumsum([len(x) for x in texts])]).astype(np.int64), 8 // size
+
+
+def _distances(words: np.ndarray, per_word: int, a: np.ndarray, m: np.ndarray, b: np.ndarray, t: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """The edit distance of the strings of ``m`` and ``t`` characters at ``a`` and ``b``, or ``most + 1`` if it is larger.
 
-    All rows advance together through one column of the matrix at a time.  A row keeps the ``2 * edits + 1`` cells around
-    the diagonal as differences in the bits of a word: vertical steps up and down, from which the diagonal and
-    horizontal ones follow by one addition.  The distance is followed down the lowest diagonal to the last row of the
-    matrix, then along that row.
+    All rows advance together by one edit at a time.  A row keeps, for each diagonal of the matrix, the furthest place that
+    so many edits reach; from there it slides on over equal characters, a word at a time.  Diagonals from which the
+    edits left don't lead back to the last one are given up, and rows that are decided are dropped.
     """
-    # The longer string of a row is the pattern, so that its end lies in the band.
-    pairs = [(a, b) if len(a) >= len(b) else (b, a) for a, b in zip(left.to_pylist(), right.to_pylist())]
-    n, k = len(pairs), edits
-    m = np.array([len(a) for a, _ in pairs], np.int64)
-    t = np.array([len(b) for _, b in pairs], np.int64)
-    far = m - t > k
-    # Short patterns are lengthened by equal ends, so that the lowest diagonal starts inside the matrix.
-    pad = k + 1
-    width = int(max(m.max(initial=0), t.max(initial=0))) + 2 * pad
-    pattern, text = np.zeros((width + 2 * k + 2, n), np.uint32), np.zeros((width + 1, n), np.uint32)
-    for i, (a, b) in enumerate(pairs):
-        pattern[k : k + len(a), i] = np.frombuffer(a.encode("utf-32-le", "surrogatepass"), np.uint32) + 2
-        text[: len(b), i] = np.frombuffer(b.encode("utf-32-le", "surrogatepass"), np.uint32) + 2
-        pattern[k + len(a) : k + len(a) + pad, i] = 1
-        text[len(b) : len(b) + pad, i] = 1
-    m, t = m + pad, t + pad
-    top, full = 2 * k, _U((1 << (2 * k + 1)) - 1)
-    up = np.full(n, _U(((1 << (k + 1)) - 1) << k))
-    down = np.zeros(n, _U)
-    distance = np.full(n, k, np.int64)
-    for j in range(int(t.max(initial=0))):
-        equal = np.zeros(n, _U)
-        for b in range(2 * k + 1):  # bit b stands for the pattern's character j - k + b
-            equal |= (pattern[j + b] == text[j]).astype(_U) << _U(b)
-        zero = (((equal & up) + up) ^ up) | equal | down
-        zero &= full
-        plus = down | (~(zero | up) & full)
-        minus = zero & up
-        live = j < t
-        steep = live & (j < m - k)
-        distance += steep & ((zero >> _U(top)) & _U(1) == 0)
-        flat = np.flatnonzero(live & ~steep)
-        if len(flat):
-            bit = (top - 1 - (j - (m[flat] - k))).astype(_U)
-            distance[flat] += ((plus[flat] >> bit) & _U(1)).astype(np.int64) - ((minus[flat] >> bit) & _U(1)).astype(np.int64)
-        zero >>= _U(1)
-        up = minus | (~(zero | plus) & full)
-        down = zero & plus
-    return np.where(far, k + 1, np.minimum(distance, k + 1))
-
-
-def within_own_edits(strings: pa.Array, u: np.ndarray, v: np.ndarray, length: np.ndarray, most: np.ndarray) -> np.ndarray:
-    """The edit distance of strings ``u[i]`` and ``v[i]``, or a number above ``most[i]`` if it is larger than that."""
-    out = np.zeros(len(most), np.int64)
-    size = np.maximum(length[u], length[v])
-    for low, high in ((0, 2), (3, 4), (5, 8), (9, 12), (13, 16), (17, 22), (23, MOST_EDITS)):
-        rows = np.flatnonzero((most >= low) & (most <= high))
-        rows = rows[np.argsort(size[rows], kind="stable")]
-        # As many of like size as a bounded matrix holds; the sizes ascend.
-        at = 0
-        while at < len(rows):
-            fits = (np.arange(1, len(rows) - at + 1) * (size[rows[at:]] + 200)) <= 1 << 20
-            upto = at + max(1, int(np.count_nonzero(fits)))
-            some = rows[at:upto]
-            out[some] = within_edits(strings.take(pa.array(u[some])), strings.take(pa.array(v[some])), high)
-            at = upto
+    out, bits, never = most + 1, 64 // per_word, np.int32(-(1 << 30))
+    rows = np.flatnonzero(np.abs(t - m) <= most)
+    a, m, b, t, k = a[rows], m[rows], b[rows], t[rows], most[rows]
+    width = int(k.max(initial=0))
+    reach = np.full((len(rows), 2 * width + 3), never, np.int32)
+    for e in range(width + 1):
+        low, high = width + 1 - e, width + 2 + e
+        diagonal = np.arange(-e, e + 1, dtype=np.int32)
+        if e:
+            now = np.maximum(reach[:, low:high], reach[:, low + 1 : high + 1])
+            now += 1
+            np.maximum(now, reach[:, low - 1 : high - 1], out=now)
+        else:
+            now = np.zeros((len(rows), 1), np.int32)
+        np.minimum(now, m[:, None], out=now, casting="unsafe")
+        np.minimum(now, (t[:, None] - diagonal), out=now, casting="unsafe")
+        row, at = np.nonzero((now >= np.maximum(-diagonal, 0)) & (np.abs(diagonal - (t - m)[:, None]) <= (k - e)[:, None]))
+        place = now[row, at].astype(np.int64)
+        left = np.minimum(m[row], t[row] - diagonal[at]) - place
+        x, y = a[row] + place, b[row] + place + diagonal[at]
+        some = np.flatnonzero(left > 0)
+        while len(some):
+            apart = words[x[some]] ^ words[y[some]]
+            # The lowest bit that differs; all bits below it are equal.
+            step = np.minimum(np.bitwise_count((apart & (~apart + _U(1))) - _U(1)) // bits, left[some])
+            x[some] += step
+            y[some] += step
+            left[some] -= step
+            some = some[(step == per_word) & (left[some] > 0)]
+        now.fill(never)
+        now[row, at] = x - a[row]
+        reach[:, low:high] = now
+        shift = t - m
+        done = np.abs(shift) <= e
+        done[done] = now[done, shift[done] + e] == m[done]
+        out[rows[done]] = e
+        on = ~done & (k > e)
+        if not on.any():
+            break
+        if not on.all():
+            rows, a, m, b, t, k, reach = (z[on] for z in (rows, a, m, b, t, k, reach))
+    return out
+
+
+def within_edits(left: pa.Array, right: pa.Array, edits: int) -> np.ndarray:
+    """The edit distance of the strings in each row, or ``edits + 1`` if it is larger."""
+    n = len(left)
+    at = np.arange(n)
+    return within_own_edits(pa.concat_arrays([left, right]), at, at + n, np.full(n, edits, np.int64))
+
+
+def within_own_edits(strings: pa.Array, u: np.ndarray, v: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """The edit distance of strings ``u[i]`` and ``v[i]``, or ``most[i] + 1`` if it is larger than ``most[i]``."""
+    words, starts, per_word = _packed(strings)
+    out, length = np.zeros(len(most), np.int64), np.diff(starts)
+    rows = np.argsort(most, kind="stable")
+    at = 0
+    while at < len(rows):  # as many as a bounded matrix holds; the thresholds ascend
+        fits = np.arange(1, min(len(rows) - at, 1 << 16) + 1) * (2 * most[rows[at : at + (1 << 16)]] + 3) <= 1 << 19
+        some = rows[at : at + max(1, int(np.count_nonzero(fits)))]
+        out[some] = _distances(words, per_word, starts[u[some]], length[u[some]], starts[v[some]], length[v[some]], most[some])
+        at += len(some)
     return out
 
 
@@ -320,7 +345,7 @@ def _occurrences(docs: DataFrame, params: LineParams) -> DataFrame:
         })
 
     schema = "doc_id BIGINT, row_key BIGINT, line_no INT, times BIGINT, key BIGINT, total BIGINT, length INT"
-    return stage(_rows(docs).mapInArrow(over_slices(lines_of), schema), "lines")
+    return stage(_rows(docs).mapInArrow(over_slices(lines_of, limit=SLICE), schema), "lines")
 
 
 def _short_entries(lines: Lines, params: LineParams) -> Iterator[tuple[np.ndarray, ...]]:
@@ -344,10 +369,9 @@ def _long_entries(lines: Lines) -> Iterator[tuple[int, np.ndarray, np.ndarray, n
     home, away = _bucket(length), _bucket(length - edits_of_long(length))
     buckets = np.unique(np.concatenate([home, away]))
     sizes = {bucket: _least_segment(bucket) for bucket in buckets[buckets > 0].tolist()}
-    all_least = lines.least_grams(list(set(sizes.values())))
-    for bucket, size in sizes.items():
+    for bucket, least in ((x, least) for size, least in lines.least_grams(set(sizes.values())) for x in sizes if sizes[x] == size):
+        size = sizes[bucket]
         rows = np.flatnonzero((length >= LONG) & ((home == bucket) | (away == bucket)))
-        least = all_least[size]
         starts, chars = lines.starts[rows], length[rows]
         windows = chars - size + 1
         of = np.repeat(np.arange(len(rows)), windows)
@@ -407,10 +431,10 @@ def _blocks(rows: DataFrame, params: LineParams, splits: int) -> DataFrame:
                 )))
         return pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(blocks, pa.binary())], ["part", "block"])
 
-    return rows.select("text").mapInArrow(over_slices(run), "part INT, block BINARY")
+    return rows.select("text").mapInArrow(over_slices(run, limit=SLICE), "part INT, block BINARY")
 
 
-def _unpack(block: bytes) -> tuple[np.ndarray, ...]:
+def _unpack(block: pa.Buffer) -> tuple[np.ndarray, ...]:
     n, m = np.frombuffer(block, np.int64, 2).tolist()
     at, out = 16, []
     for kind, many in ((np.int64, n), (np.int64, n), (np.uint16, n), (np.int32, n), (np.uint32, m), (np.uint16, m), (np.uint16, m)):
@@ -419,22 +443,47 @@ def _unpack(block: bytes) -> tuple[np.ndarray, ...]:
     return (*out, np.unpackbits(np.frombuffer(block, np.uint8, -1, at), count=m).astype(bool))
 
 
-def _meet(blocks: list[bytes], short: bool, params: LineParams) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _shared(parts: list[tuple[np.ndarray, ...]], kept: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Line, slot, first and last place and kind of the entries of kept lines whose slot may be a segment and of two lines.
+
+    Most slots are of one line alone.  Tables of a fixed size tell them, so some of these stay.
+    """
+
+    def entries(table: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        at = 0
+        for _, _, _, count, slot, place, span, own in parts:
+            lines = slice(at, at + len(count))
+            at = lines.stop
+            some = np.flatnonzero(np.repeat(kept[lines], count) & table[slot >> np.uint32(8)])
+            first = place[some].astype(np.int32)
+            yield np.repeat(number[lines], count)[some], slot[some], first, first + span[some], own[some]
+
+    segment = np.zeros(1 << 24, bool)
+    for x in parts:
+        segment[x[4][x[7]] >> np.uint32(8)] = True
+    code = np.concatenate([(slot.astype(_U) << _U(32)) | line.astype(_U) for line, slot, *_ in entries(segment)])
+    code.sort()
+    code = code[1:][(code[1:] != code[:-1]) & (code[1:] >> _U(32) == code[:-1] >> _U(32))]
+    twice = np.zeros(1 << 24, bool)
+    twice[code >> _U(40)] = True
+    twice &= segment
+    return tuple(np.concatenate(x) for x in zip(*entries(twice)))
+
+
+def _meet(blocks: list[pa.Buffer], short: bool, params: LineParams) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """The candidate pairs of a part in batches of bounded text: the keys of a batch's lines, and pairs of places among them."""
-    key, sketch, length, count, slot, place, span, own = (np.concatenate(x) for x in zip(*map(_unpack, blocks)))
+    parts = [_unpack(block) for block in blocks]
+    key, sketch, length, count = (np.concatenate([x[i] for x in parts]) for i in range(4))
     # Equal lines of several slices are one; lines of equal least slots, as near copies mostly are, get near numbers.
-    least = np.minimum.reduceat(slot, np.cumsum(count) - count)
+    least = np.concatenate([np.minimum.reduceat(x[4], np.cumsum(x[3]) - x[3]) for x in parts])
     order = np.lexsort((key, length, least))
     kept = np.zeros(len(key), bool)
     kept[np.unique(key, return_index=True)[1]] = True
     order = order[kept[order]]
-    number = np.zeros(len(key), np.int64)
+    number = np.zeros(len(key), np.int32)
     number[order] = np.arange(len(order))
-    entries = np.repeat(kept, count)
-    line = np.repeat(number, count)[entries]
-    slot, first, own = slot[entries], place[entries].astype(np.int64), own[entries]
-    last = first + span[entries]
     key, sketch, length = key[order], sketch[order].view(_U), length[order].astype(np.int64)
+    line, slot, first, last, own = _shared(parts, kept, number)
     most = _most(length, params)
     code = (slot.astype(_U) << _U(16)) | length[line].astype(_U)
     order = np.argsort(code, kind="stable")
@@ -454,7 +503,7 @@ def _meet(blocks: list[bytes], short: bool, params: LineParams) -> Iterator[tupl
         upto = int(ends[max(np.searchsorted(total[ends], total[at] + (1 << 20), "right") - 1, np.searchsorted(ends, at, "right"))])
         a, b = np.repeat(mine[at:upto], wide[at:upto]), expand(low[at:upto], wide[at:upto])
         at = upto
-        x, y = line[a], line[b]
+        x, y = line[a].astype(np.int64), line[b].astype(np.int64)
         near = (length[x] < length[y]) | ((length[x] == length[y]) & (x < y))
         near &= (first[a] <= last[b] + most[x]) & (first[b] <= last[a] + most[x])
         pair = np.unique(x[near] * len(key) + y[near])
@@ -481,7 +530,7 @@ def _candidates(rows: DataFrame, params: LineParams, splits: int) -> DataFrame:
     A pair is in one batch of each share of the slots in which it meets.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def pairs(part: int, blocks: list[bytes]) -> Iterator[pa.RecordBatch]:
+        def pairs(part: int, blocks: list[pa.Buffer]) -> Iterator[pa.RecordBatch]:
             for keys, places in _meet(blocks, part < splits, params):
                 yield pa.RecordBatch.from_arrays([pa.array([keys.tolist()], pa.list_(pa.int64())), pa.array([places.astype(np.int32).tobytes()])], ["keys", "pairs"])
 
@@ -492,9 +541,11 @@ def _candidates(rows: DataFrame, params: LineParams, splits: int) -> DataFrame:
                     yield from pairs(part, held)
                     held = []
                 part = p
-                held.append(block.as_py())
+                held.append(block.as_buffer())
         if held:
             yield from pairs(part, held)
+        held = batch = block = None
+        pa.default_memory_pool().release_unused()
 
     parts = min(splits * (len(_LOWS) + 1), 100_000)
     dealt = _blocks(rows, params, splits).repartition(parts, "part").sortWithinPartitions("part")
@@ -511,16 +562,32 @@ def _most(shorter: np.ndarray, params: LineParams) -> np.ndarray:
 
 
 def distinct_lines(occurrences: DataFrame) -> DataFrame:
-    """A written table of the distinct long lines, without their texts: ``key, total, length, first_doc, line_no``."""
+    """A written table of the distinct long lines, without their texts: ``key, total, length, first_doc, line_no, often``."""
     return stage(
-        occurrences.groupBy("key", "total", "length").agg(F.min("doc_id").alias("first_doc"), F.min_by("line_no", "doc_id").alias("line_no")),
+        occurrences.groupBy("key", "total", "length").agg(
+            F.min("doc_id").alias("first_doc"), F.min_by("line_no", "doc_id").alias("line_no"), F.sum("times").alias("often")
+        ),
         "distinct-lines",
     )
 
 
+def _with_bit_of(rows: DataFrame, lists: DataFrame) -> DataFrame:
+    """The ``rows`` whose ``doc_id`` may be among those of ``lists``, so that not all texts are shuffled to be joined.
+
+    The bits are a small table of a fixed size: with very many ids, more rows stay than are needed.
+    """
+    bit = F.xxhash64("doc_id").bitwiseAND((1 << OWNER_BITS) - 1)
+    word, mask = F.shiftright(bit, 6).alias("_word"), F.expr("shiftleft(1L, int(xxhash64(doc_id) & 63))")
+    bits = lists.groupBy(word).agg(F.bit_or(mask).alias("_bits"))
+    met = rows.withColumn("_word", F.shiftright(bit, 6)).join(F.broadcast(bits), "_word")
+    return met.where(F.col("_bits").bitwiseAND(mask) != 0).select(*rows.columns)
+
+
 def _texts(docs: DataFrame, wanted: DataFrame, params: LineParams) -> DataFrame:
     """``key, total, length, line`` of the lines ``wanted``, out of the documents in which they first occur."""
-    lists = wanted.groupBy("first_doc").agg(F.collect_set("key").alias("keys")).withColumnRenamed("first_doc", "doc_id")
+    lists = stage(
+        wanted.groupBy("first_doc").agg(F.collect_set("key").alias("keys")).withColumnRenamed("first_doc", "doc_id"), "line-owners", compression="zstd"
+    )
 
     def pick(piece: pa.RecordBatch) -> pa.RecordBatch:
         lines = Lines(piece.column("text"), params.min_chars, visible=params.classes is not None)
@@ -535,8 +602,9 @@ def _texts(docs: DataFrame, wanted: DataFrame, params: LineParams) -> DataFrame:
             "line": pa.array([lines.points[a:b].tobytes().decode("utf-32-le", "surrogatepass") for a, b in spans], pa.string()),
         })
 
-    found = _rows(docs).select("doc_id", "text").join(lists, "doc_id").mapInArrow(over_slices(pick), "key BIGINT, total BIGINT, length INT, line STRING")
-    return found.repartition("key").groupBy("key", "total", "length").agg(F.first("line").alias("line"))
+    owners = _with_bit_of(_rows(docs).select("doc_id", "text"), lists)
+    found = owners.join(lists, "doc_id").mapInArrow(over_slices(pick, limit=SLICE), "key BIGINT, total BIGINT, length INT, line STRING")
+    return found.repartition("key", "total", "length").groupBy("key", "total", "length").agg(F.first("line").alias("line"))
 
 
 def edit_links(docs: DataFrame, lines: DataFrame, params: LineParams = LineParams()) -> DataFrame:
@@ -612,27 +680,33 @@ def _verified(table: pa.Table, params: LineParams) -> tuple[np.ndarray, ...]:
     column = some.column("line").combine_chunks()
     length = pc.utf8_length(column).to_numpy(zero_copy_only=False).astype(np.int64)
     most = _most(np.minimum(length[u], length[v]), params)
-    near = within_own_edits(column, u, v, length, most) <= most
+    near = within_own_edits(column, u, v, most) <= most
     u, v = u[near], v[near]
     a, b = np.where(rank[u] < rank[v], u, v), np.where(rank[u] < rank[v], v, u)
     return key[a], total[a], key[b], total[b]
 
 
-def line_decisions(docs: DataFrame, params: LineParams = LineParams()) -> DataFrame:
-    """``doc_id, row_key, line_no, key, times, links, exact, near`` for each distinct long line of each document.
+def _decided(occurrences: DataFrame, lines: DataFrame, per_line: DataFrame) -> DataFrame:
+    known = lines.join(per_line, ["key", "total"], "left").select(
+        "key", "total", "length", "first_doc", F.coalesce("links", F.lit(0)).cast("bigint").alias("links"), F.coalesce("later", F.lit(0)).alias("later"), "often",
+    )
+    # Most lines occur once and have no link; these are counted without meeting their occurrences.
+    known = stage(known.where("often > 1 or links > 0").drop("often"), "line-repeats")
+    return occurrences.join(known, ["key", "total", "length"]).select(
+        "doc_id", "row_key", "line_no", "key", "times", "links", (F.col("doc_id") > F.col("first_doc")).alias("exact"), (F.col("later") == 1).alias("near"),
+    )
+
+
+def line_decisions(docs: DataFrame, params: LineParams = LineParams()) -> tuple[DataFrame, DataFrame]:
+    """``row_key, times`` of all distinct long lines of each document, and ``doc_id, row_key, line_no, key, times, links,
+    exact, near`` of those that occur more than once or have links.
 
     ``exact``: an equal line occurs in a document of lower id.  ``near``: a different line within the threshold first
     occurs earlier (by document id, then line number; null ids last).  ``links``: number of such lines, earlier or not.
     """
     occurrences = _occurrences(docs, params)
     lines = distinct_lines(occurrences)
-    per_line = link_counts(docs, lines, params)
-    known = lines.drop("line_no").join(per_line, ["key", "total"], "left")
-    joined = occurrences.join(known, ["key", "total", "length"])
-    return joined.select(
-        "doc_id", "row_key", "line_no", "key", "times", F.coalesce("links", F.lit(0)).cast("bigint").alias("links"),
-        (F.col("doc_id") > F.col("first_doc")).alias("exact"), (F.coalesce("later", F.lit(0)) == 1).alias("near"),
-    )
+    return occurrences.select("row_key", "times"), _decided(occurrences, lines, link_counts(docs, lines, params))
 
 
 def line_report(docs: DataFrame, params: LineParams = LineParams()) -> DataFrame:
@@ -643,11 +717,12 @@ def line_report(docs: DataFrame, params: LineParams = LineParams()) -> DataFrame
     occurs earlier; ``n_links`` the different lines within the threshold of each of its distinct long lines.  Rows that
     share a ``doc_id`` are separate; neither removes lines of the other.
     """
-    per_row = line_decisions(docs, params).groupBy("row_key").agg(
-        F.sum("times").alias("times"),
+    long, decided = line_decisions(docs, params)
+    marks = decided.groupBy("row_key").agg(
         F.sum(F.when(F.col("exact"), F.col("times")).otherwise(F.col("times") - 1)).alias("n_exact"),
         F.sum((~F.col("exact") & F.col("near")).cast("bigint")).alias("n_near"), F.sum("links").alias("n_links"),
     )
+    per_row = long.groupBy("row_key").agg(F.sum("times").alias("times")).join(marks, "row_key", "left")
     # Equal rows are counted together above and divided again here.
     rows = docs.select(
         F.col("doc_id").cast("bigint").alias("doc_id"), _row_key(docs).alias("row_key"),
@@ -667,7 +742,8 @@ def without_repeats(docs: DataFrame, params: LineParams = LineParams()) -> DataF
     Lines that :func:`line_report` counts as exact or near go; documents of which no visible character is left by this
     go, others stay even if they were blank before.
     """
-    gone = line_decisions(docs, params).where(F.col("exact") | F.col("near") | (F.col("times") > 1))
+    _, decided = line_decisions(docs, params)
+    gone = decided.where(F.col("exact") | F.col("near") | (F.col("times") > 1))
     lists = gone.groupBy("row_key").agg(
         F.array_distinct(F.collect_list(F.when(F.col("exact") | F.col("near"), F.col("key")))).alias("_starloom_gone")
     ).withColumnRenamed("row_key", "_starloom_row")

@@ -144,7 +144,7 @@ def normal_shingles(column: pa.Array, width: int = 5) -> tuple[np.ndarray, np.nd
 
 def slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches in pieces of about ``limit`` bytes of text, one row at least and ``SLICE_ROWS`` at most, which bounds
-    the memory of a task."""
+    the memory of a task.  At the end, Arrow gives back what it holds for later: a worker that waits shall not keep it."""
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
         total = np.cumsum(sizes, dtype=np.int64)
@@ -154,13 +154,15 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = SLICE_BY
             upto = min(upto, at + SLICE_ROWS)
             yield batch.slice(at, upto - at)
             at = upto
+        del batch
+    pa.default_memory_pool().release_unused()
 
 
-def over_slices(function: Callable[[pa.RecordBatch], pa.RecordBatch], column: str = "text"):
+def over_slices(function: Callable[[pa.RecordBatch], pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES):
     """A ``mapInArrow`` function out of one for a piece."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in slices(batches, column):
+        for piece in slices(batches, column, limit):
             yield function(piece)
 
     return run

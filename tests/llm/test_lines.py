@@ -178,3 +178,65 @@ def test_shares_of_slots_give_the_same(spark, monkeypatch):
     assert sum(r[5] for r in want.values()) > 40
     monkeypatch.setattr(line_edits, "PART_CHARS", 300)
     assert {r.doc_id: tuple(r) for r in line_edits.line_report(table(spark, docs), line_edits.WHOLE).collect()} == want
+
+
+@pytest.mark.parametrize("kinds", [4, 300, 70_000])
+def test_distances_at_many_thresholds(kinds):
+    """Whatever number of characters a word holds; a pair beyond its own threshold gets one more than that."""
+    rng = random.Random(kinds)
+    every = [chr(i) for i in range(0x4E00, 0x4E00 + kinds + 2048) if not 0xD800 <= i < 0xE000][:kinds]
+    left = ["".join(rng.choice(every) for _ in range(rng.choice([0, 1, 7, 8, 9, 40, 90]))) for _ in range(150)] + ["".join(every)]
+    right = [edited(rng, x, rng.randint(0, 12)) if len(x) > 12 else x[::-1] + "a" for x in left[:-1]] + [left[-1][1:] + "é"]
+    most = np.array([rng.randint(0, 12) for _ in left], np.int64)
+    at = np.arange(len(left))
+    got = line_edits.within_own_edits(pa.array(left + right), at, at + len(left), most)
+    want = [min(edit_distance(a, b), m + 1) for a, b, m in zip(left[:-1], right, most.tolist())] + [min(2, most[-1] + 1)]
+    assert got.tolist() == want
+
+
+def test_slots_of_one_line_are_left_out():
+    """What a part holds in memory beside its blocks are the entries of slots that lines share."""
+    rng = random.Random(9)
+    lines = ["".join(rng.choice("abcdefgh é") for _ in range(300)) for _ in range(200)]
+    lines += [edited(rng, x, 3) for x in lines[:5]]
+    texts, blocks = pa.array(lines), []
+
+    class Rows:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):
+            blocks.extend(run([pa.RecordBatch.from_arrays([texts], ["text"])]))
+
+    line_edits._blocks(Rows(), line_edits.WHOLE, 1)
+    parts = {}
+    for batch in blocks:
+        for part, block in zip(batch.column("part").to_pylist(), batch.column("block")):
+            parts.setdefault(part, []).append(line_edits._unpack(block.as_buffer()))
+    held = sum(len(x[4]) for part in parts.values() for x in part)
+    kept = 0
+    for part in parts.values():
+        n = sum(len(x[0]) for x in part)
+        line, slot, *_ = line_edits._shared(part, np.ones(n, bool), np.arange(n, dtype=np.int32))
+        all_lines = np.concatenate([np.repeat(np.arange(len(x[3])), x[3]) for x in part])
+        all_slots = np.concatenate([x[4] for x in part])
+        shared = {s for s in set(all_slots.tolist()) if len(set(all_lines[all_slots == s].tolist())) > 1}
+        owned = set(np.concatenate([x[4][x[7]] for x in part]).tolist())
+        assert shared & owned <= set(slot.tolist())
+        kept += len(line)
+    assert kept < 0.1 * held
+
+
+def test_texts_of_owners_only_are_joined(spark):
+    rows = table(spark, [(i, f"text {i}") for i in range(400)])
+    lists = spark.createDataFrame([(i, [i]) for i in range(0, 400, 50)], "doc_id BIGINT, keys ARRAY<BIGINT>")
+    got = {r.doc_id for r in line_edits._with_bit_of(rows.select("doc_id", "text"), lists).collect()}
+    assert got >= set(range(0, 400, 50)) and len(got) < 20
+
+
+def test_only_repeated_or_linked_lines_are_decided(spark):
+    docs = [(i, "\n".join(f"line number {i} {j} ".ljust(30, chr(97 + j)) + str(i * 7919 + j) * 4 for j in range(5))) for i in range(20)]
+    docs += [(20, docs[0][1].split("\n")[0])]
+    long, decided = line_edits.line_decisions(table(spark, docs), LineParams(min_chars=20, edits=1))
+    assert long.count() == 101
+    assert sorted((r.doc_id, r.times, r.exact) for r in decided.collect() if not r.links) == [(0, 1, False), (20, 1, True)]
