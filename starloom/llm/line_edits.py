@@ -726,7 +726,7 @@ def line_report(docs: DataFrame, params: LineParams = LineParams()) -> DataFrame
     # Equal rows are counted together above and divided again here.
     rows = docs.select(
         F.col("doc_id").cast("bigint").alias("doc_id"), _row_key(docs).alias("row_key"),
-        F.coalesce(F.length("text") - F.length(F.replace("text", F.lit("\n"))) + 1, F.lit(0)).cast("bigint").alias("n_lines"),
+        F.coalesce(F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"))) + 1, F.lit(0)).cast("bigint").alias("n_lines"),
     )
     equal = rows.groupBy("row_key").agg(F.count("*").alias("rows"))
     shared = per_row.join(equal, "row_key")
