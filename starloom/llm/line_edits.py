@@ -3,7 +3,7 @@
 Two lines within ``edits`` edits of each other share a segment: cut one into ``edits + 1`` segments, and one of them
 occurs unchanged in the other, near its own place.  Lines are indexed by their segments under their length and probed
 with the few substrings of their own that can match.  A bit set of the line's bigrams, which every edit changes by four
-bits at most, thins out the pairs inside the join; what remains is verified by a banded bit-parallel edit distance.
+bits at most, thins out the pairs inside the join; what remains is verified by its edit distance, diagonal by diagonal.
 
 With a threshold that grows with the length (``WHOLE``), the segments of long lines are too many to probe every place of
 every length for.  A long segment is therefore indexed by its least gram, and a line is probed with the least grams of all
@@ -62,7 +62,7 @@ BATCH_PAIRS, BATCH_CHARS = 1 << 17, 1 << 21
 SLICE = 512 << 10  # bytes of text at a time: a task's arrays take some hundred times as much
 OWNER_BITS = 24  # of the table that tells which documents' texts are needed
 PART_CHARS = 48_000_000  # characters of text per part, of some 6 MB packed
-MOST_EDITS = 31  # the band of the edit distance is a word
+MOST_EDITS = 31  # of any threshold
 
 
 def edits_of_long(length: np.ndarray) -> np.ndarray:
