@@ -25,6 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from starloom.llm.phrases import bit_filter, is_set
 from starloom.llm.text import expand, mix, over_slices, powers, room, slices
 from starloom.session import stage
 
@@ -60,7 +61,7 @@ LONG = 96
 GRAM = 12
 BATCH_PAIRS, BATCH_CHARS = 1 << 17, 1 << 21
 SLICE = 512 << 10  # bytes of text at a time: a task's arrays take some hundred times as much
-OWNER_BITS = 24  # of the table that tells which documents' texts are needed
+FILTER_BITS = 24  # of the tables that tell which documents, lines and texts are needed
 PART_CHARS = 48_000_000  # characters of text per part, of some 6 MB packed
 MOST_EDITS = 31  # of any threshold
 
@@ -330,7 +331,7 @@ def _occurrences(docs: DataFrame, params: LineParams) -> DataFrame:
     def lines_of(piece: pa.RecordBatch) -> pa.RecordBatch:
         lines = Lines(piece.column("text"), params.min_chars, visible=params.classes is not None)
         keys, length = lines.keys(), lines.ends - lines.starts
-        order = np.lexsort((lines.number, keys, lines.row))
+        order = np.lexsort((keys, lines.row))  # numbers ascend already
         row, key = lines.row[order], keys[order]
         new = np.ones(len(order), bool)
         new[1:] = (row[1:] != row[:-1]) | (key[1:] != key[:-1])
@@ -571,40 +572,45 @@ def distinct_lines(occurrences: DataFrame) -> DataFrame:
     )
 
 
-def _with_bit_of(rows: DataFrame, lists: DataFrame) -> DataFrame:
-    """The ``rows`` whose ``doc_id`` may be among those of ``lists``, so that not all texts are shuffled to be joined.
+def _with_bit_of(rows: DataFrame, lists: DataFrame, column: str = "doc_id", also: Column | None = None) -> DataFrame:
+    """The ``rows`` whose ``column`` may be among those of ``lists``, and those of ``also``, so that few are shuffled to be joined.
 
-    The bits are a small table of a fixed size: with very many ids, more rows stay than are needed.
+    The bits are a small table of a fixed size: with very many values, more rows stay than are needed.
     """
-    bit = F.xxhash64("doc_id").bitwiseAND((1 << OWNER_BITS) - 1)
-    word, mask = F.shiftright(bit, 6).alias("_word"), F.expr("shiftleft(1L, int(xxhash64(doc_id) & 63))")
+    bit = F.xxhash64(column).bitwiseAND((1 << FILTER_BITS) - 1)
+    word, mask = F.shiftright(bit, 6).alias("_word"), F.expr(f"shiftleft(1L, int(xxhash64({column}) & 63))")
     bits = lists.groupBy(word).agg(F.bit_or(mask).alias("_bits"))
-    met = rows.withColumn("_word", F.shiftright(bit, 6)).join(F.broadcast(bits), "_word")
-    return met.where(F.col("_bits").bitwiseAND(mask) != 0).select(*rows.columns)
+    met = rows.withColumn("_word", F.shiftright(bit, 6)).join(F.broadcast(bits), "_word", "inner" if also is None else "left")
+    near = F.coalesce(F.col("_bits").bitwiseAND(mask) != 0, F.lit(False))
+    return met.where(near if also is None else near | also).select(*rows.columns)
 
 
 def _texts(docs: DataFrame, wanted: DataFrame, params: LineParams) -> DataFrame:
-    """``key, total, length, line`` of the lines ``wanted``, out of the documents in which they first occur."""
-    lists = stage(
-        wanted.groupBy("first_doc").agg(F.collect_set("key").alias("keys")).withColumnRenamed("first_doc", "doc_id"), "line-owners", compression="zstd"
-    )
+    """``key, total, length, line`` of the lines ``wanted``, out of the documents in which they first occur.
+
+    Few other lines may be among them, as a filter of a fixed size tells which lines of a document are wanted.
+    """
+    asked = wanted.select(F.col("key").bitwiseXOR(F.col("first_doc")).alias("mark"))
+    shared = docs.sparkSession.sparkContext.broadcast(bit_filter(asked, "mark", FILTER_BITS))
 
     def pick(piece: pa.RecordBatch) -> pa.RecordBatch:
         lines = Lines(piece.column("text"), params.min_chars, visible=params.classes is not None)
-        keys, lists = lines.keys(), piece.column("keys")
-        asked = lists.flatten().to_numpy(zero_copy_only=False)
-        whose = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
-        asked = np.unique(mix(asked.view(_U) ^ mix(whose.astype(_U))))
-        lines = lines.some(np.flatnonzero(np.isin(mix(keys.view(_U) ^ mix(lines.row.astype(_U))), asked)))
+        keys, doc = lines.keys(), piece.column("doc_id").to_numpy()
+        some = np.flatnonzero(is_set(shared.value, (keys ^ doc[lines.row]).view(_U)))
+        # Once for each document, however often it has the line.
+        keys, totals, rows = keys[some], lines.totals()[some], lines.row[some]
+        order = np.lexsort((totals, keys, rows))
+        new = np.ones(len(order), bool)
+        new[1:] = np.any([x[order[1:]] != x[order[:-1]] for x in (rows, keys, totals)], axis=0)
+        lines = lines.some(some[order[new]])
         spans = zip(lines.starts.tolist(), lines.ends.tolist())
         return pa.RecordBatch.from_pydict({
             "key": pa.array(lines.keys()), "total": pa.array(lines.totals()), "length": pa.array((lines.ends - lines.starts).astype(np.int32)),
             "line": pa.array([lines.points[a:b].tobytes().decode("utf-32-le", "surrogatepass") for a, b in spans], pa.string()),
         })
 
-    owners = _with_bit_of(_rows(docs).select("doc_id", "text"), lists)
-    found = owners.join(lists, "doc_id").mapInArrow(over_slices(pick, limit=SLICE), "key BIGINT, total BIGINT, length INT, line STRING")
-    return found.repartition("key", "total", "length").groupBy("key", "total", "length").agg(F.first("line").alias("line"))
+    owners = _with_bit_of(_rows(docs).select("doc_id", "text"), wanted.select(F.col("first_doc").alias("doc_id")), "doc_id")
+    return owners.mapInArrow(over_slices(pick, limit=SLICE), "key BIGINT, total BIGINT, length INT, line STRING")
 
 
 def edit_links(docs: DataFrame, lines: DataFrame, params: LineParams = LineParams()) -> DataFrame:
@@ -653,9 +659,12 @@ def _batches(docs: DataFrame, lines: DataFrame, params: LineParams) -> tuple[Dat
     splits = max(1, -(-chars // (PART_CHARS * (8 if params.classes else 1))))
     batches = _candidates(_rows(docs), params, splits)
     members = batches.select("batch", F.explode("keys").alias("key"))
-    wanted = members.select("key").distinct().join(lines, "key")
-    texts = _texts(docs, wanted, params).join(wanted, ["key", "total", "length"])
-    texts = stage(texts.select("key", "total", "line", "first_doc", "line_no"), "line-texts", compression="zstd")
+    wanted = _with_bit_of(lines, members, "key").join(members.select("key").distinct(), "key")
+    wanted = stage(wanted.select(*lines.columns), "line-owners", compression="zstd")
+    # A line's text meets its first place by its key alone, as its batches then do, so that texts are dealt by it once.
+    both = _texts(docs, wanted, params).unionByName(wanted.drop("often"), allowMissingColumns=True).repartition("key")
+    texts = both.groupBy("key", "total", "length").agg(*(F.first(x, ignorenulls=True).alias(x) for x in ("line", "first_doc", "line_no")))
+    texts = texts.where("line is not null and first_doc is not null").select("key", "total", "line", "first_doc", "line_no")
     # The pairs of a batch are a row of their own beside its lines.
     pairs = batches.select("batch", *(F.lit(None).cast(kind).alias(name) for name, kind in texts.dtypes), "keys", "pairs")
     return members.join(texts, "key").select("batch", *texts.columns).unionByName(pairs, allowMissingColumns=True), splits
@@ -687,11 +696,13 @@ def _verified(table: pa.Table, params: LineParams) -> tuple[np.ndarray, ...]:
 
 
 def _decided(occurrences: DataFrame, lines: DataFrame, per_line: DataFrame) -> DataFrame:
-    known = lines.join(per_line, ["key", "total"], "left").select(
+    # Most lines occur once and have no link; these are counted without meeting their occurrences.
+    some = _with_bit_of(lines, per_line, "key", also=F.col("often") > 1)
+    known = some.join(per_line, ["key", "total"], "left").select(
         "key", "total", "length", "first_doc", F.coalesce("links", F.lit(0)).cast("bigint").alias("links"), F.coalesce("later", F.lit(0)).alias("later"), "often",
     )
-    # Most lines occur once and have no link; these are counted without meeting their occurrences.
     known = stage(known.where("often > 1 or links > 0").drop("often"), "line-repeats")
+    occurrences = _with_bit_of(occurrences, known, "key")
     return occurrences.join(known, ["key", "total", "length"]).select(
         "doc_id", "row_key", "line_no", "key", "times", "links", (F.col("doc_id") > F.col("first_doc")).alias("exact"), (F.col("later") == 1).alias("near"),
     )

@@ -206,7 +206,7 @@ class Groups:
         return spark.createDataFrame(rows, "group INT, lang STRING, least BIGINT, salt BIGINT")
 
 
-def _bits(prints: DataFrame, print_column: str, bits: int) -> np.ndarray:
+def bit_filter(prints: DataFrame, print_column: str, bits: int) -> np.ndarray:
     """A filter with the bits of all fingerprints set, in 64-bit words; its size doesn't depend on the data."""
     bit = F.col(print_column).bitwiseAND((1 << bits) - 1)
     words = prints.groupBy(F.shiftright(bit, 6).cast("bigint").alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, int({print_column} & 63))")).alias("bits"))
@@ -262,7 +262,7 @@ def locally_frequent(docs: DataFrame, groups: Groups, params: PhraseParams = Phr
             known = found if known is None else known.unionByName(found)
             if longest < params.most_words:
                 marked = found.join(frame, "group").select(F.col("print").bitwiseXOR(F.col("salt")).alias("mark"))
-                filters.append(_bits(marked, "mark", params.filter_bits))
+                filters.append(bit_filter(marked, "mark", params.filter_bits))
     return known
 
 
@@ -299,7 +299,7 @@ def frequent_phrases(docs: DataFrame, params: PhraseParams = PhraseParams()) ->
     totals (``lang, n``)."""
     totals = stage(word_totals(docs, params), "words")
     groups = Groups.of(totals, params.support)
-    candidates = _bits(possible(locally_frequent(docs, groups, params), groups, params), "print", params.filter_bits)
+    candidates = bit_filter(possible(locally_frequent(docs, groups, params), groups, params), "print", params.filter_bits)
     return stage(exact_counts(docs, groups, candidates, params), "phrases"), totals.groupBy("lang").agg(F.sum("n").alias("n"))
 
 

@@ -240,3 +240,18 @@ def test_only_repeated_or_linked_lines_are_decided(spark):
     long, decided = line_edits.line_decisions(table(spark, docs), LineParams(min_chars=20, edits=1))
     assert long.count() == 101
     assert sorted((r.doc_id, r.times, r.exact) for r in decided.collect() if not r.links) == [(0, 1, False), (20, 1, True)]
+
+
+def test_line_texts_are_found_without_a_shuffle_of_documents(spark):
+    docs = table(spark, [(i, f"the line number {i} of all lines here\nmet by document {i % 7} as well\n") for i in range(60)])
+    lines = line_edits.distinct_lines(line_edits._occurrences(docs, line_edits.WHOLE))
+    wanted = lines.where("length > 30")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = line_edits._texts(docs, wanted, line_edits.WHOLE)
+        assert "hashpartitioning(doc_id" not in found._jdf.queryExecution().executedPlan().toString()
+        rows = found.join(wanted, ["key", "total", "length"]).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert sorted(r.line for r in rows) == sorted(f"the line number {i} of all lines here" for i in range(60))
