@@ -48,6 +48,16 @@ def folder(tmp_path_factory):
     return str(path), {p: stars.get(p) for p in test}, test
 
 
+def test_stacked_vectors_of_ratings_without_neighbours(spark, folder):
+    """Items b0 and b1 are similar without fold 1, where the one pair of b0 is of a user who rated nothing else."""
+    rows = [(f"u{k}", item, float(1 + k % 5), 2 * k + place, 0) for k in range(12) for place, item in enumerate(["b0", "b1"])]
+    rows.append(("alone", "b0", 4.0, 100, 1))
+    ratings = spark.createDataFrame(rows, "user_id string, item_id string, stars double, seq bigint, fold int")
+    prepared = jobs.prepare(ratings, ratings.select("user_id", "item_id", "seq"), read_profiles(spark, InputFiles(folder[0]), False), False, "oof", folds=2)
+    values = {(r.user_id, r.item_id): r.features for r in jobs.train_vectors(prepared).collect()}
+    assert set(values) == {r[:2] for r in rows} and all(len(v) == len(STACKED_FEATURES) for v in values.values())
+
+
 def rows_of(spark, folder, rich, held_out, cf="proxy"):
     source = InputFiles(folder)
     ratings = files.read_ratings(spark, source.path("ratings"))
