@@ -17,7 +17,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 from copy import copy
 from dataclasses import dataclass
-from functools import cache
+from functools import cache, reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -62,7 +63,7 @@ GRAM = 12
 BATCH_PAIRS, BATCH_CHARS = 1 << 17, 1 << 21
 SLICE = 512 << 10  # bytes of text at a time: a task's arrays take some hundred times as much
 FILTER_BITS = 24  # of the tables that tell which documents, lines and texts are needed
-PART_CHARS = 48_000_000  # characters of text per part, of some 6 MB packed
+PART_CHARS = 48_000_000  # characters of a bucket's lines per part
 MOST_EDITS = 31  # of any threshold
 
 
@@ -401,11 +402,29 @@ def _long_entries(lines: Lines) -> Iterator[tuple[int, np.ndarray, np.ndarray, n
         yield bucket, rows[of[at]], slot[at], place[at], place[last], np.logical_or.reduceat(own, at)
 
 
-def _blocks(rows: DataFrame, params: LineParams, splits: int) -> DataFrame:
+def _shares(lines: DataFrame, params: LineParams) -> np.ndarray:
+    """Among how many parts the slots of each bucket of lengths are shared out, by the text of its lines.
+
+    A line's key, sketch and length go to every part that has a slot of it, so a bucket of little text stays in few.
+    """
+    length = F.col("length")
+    away = length - F.least(F.floor(length / 32), F.lit(MOST_EDITS))
+    bucket = lambda x: reduce(add, [(x >= F.lit(int(low))).cast("int") for low in _LOWS])
+    both = F.array_distinct(F.array(bucket(length), bucket(away))) if params.classes else F.array(F.lit(0))
+    out = np.ones(len(_LOWS) + 1, np.int64)
+    by_length = lines.groupBy("length").agg(F.sum("length").alias("chars"))
+    for number, chars in by_length.select("chars", F.explode(both).alias("bucket")).groupBy("bucket").agg(F.sum("chars")).collect():
+        out[number] = max(1, -(-chars // PART_CHARS))
+    return out
+
+
+def _blocks(rows: DataFrame, params: LineParams, shares: np.ndarray | int) -> DataFrame:
     """``part`` and packed entries of the distinct lines of a slice of text for that part.
 
-    Parts are of a bucket of lengths and, if there is more text than for one part each, of a share of the slots.
+    Parts are of a bucket of lengths and, if its lines have more text than for one part, of a share of the slots.
     """
+    shares = np.broadcast_to(np.asarray(shares, np.int64), len(_LOWS) + 1)
+    before = np.cumsum(shares) - shares
 
     def run(piece: pa.RecordBatch) -> pa.RecordBatch:
         lines = Lines(piece.column("text"), params.steps()[0][0], visible=params.classes is not None)
@@ -417,16 +436,16 @@ def _blocks(rows: DataFrame, params: LineParams, splits: int) -> DataFrame:
         groups = [(0, *(np.concatenate(x) for x in zip(*short)))] if short else []
         sketches = {True: lines.bigrams(), False: lines.character_counts()}
         for bucket, of, slot, first, last, own in [*groups, *(_long_entries(lines) if params.classes else [])]:
-            share = (slot >> _U(32)) % _U(splits)
+            share = (slot >> _U(32)) % _U(shares[bucket])
             order = np.lexsort((of, share))
-            cuts = np.searchsorted(share[order], np.arange(splits + 1))
+            cuts = np.searchsorted(share[order], np.arange(shares[bucket] + 1))
             for i in np.flatnonzero(np.diff(cuts)).tolist():
                 some = order[cuts[i] : cuts[i + 1]]
                 line, count = np.unique(of[some], return_counts=True)
-                parts.append(bucket * splits + i)
+                parts.append(int(before[bucket]) + i)
                 blocks.append(b"".join((
                     np.array([len(line), len(some)], np.int64).tobytes(), keys[line].tobytes(), sketches[bucket == 0][line].tobytes(),
-                    np.minimum(length[line], _LARGEST).astype(np.uint16).tobytes(), count.astype(np.int32).tobytes(),
+                    _planes(np.minimum(length[line], _LARGEST).astype(np.uint16)), _planes(count.astype(np.int32)),
                     slot[some].astype(np.uint32).tobytes(), *(np.minimum(x[some], _LARGEST).astype(np.uint16).tobytes() for x in (first, last - first)),
                     np.packbits(own[some]).tobytes(),
                 )))
@@ -435,12 +454,22 @@ def _blocks(rows: DataFrame, params: LineParams, splits: int) -> DataFrame:
     return rows.select("text").mapInArrow(over_slices(run, limit=SLICE), "part INT, block BINARY")
 
 
+def _planes(numbers: np.ndarray) -> bytes:
+    """The low bytes of all numbers first: the high ones are mostly zero, which Spark's compression takes only in one run."""
+    return np.ascontiguousarray(numbers.view(np.uint8).reshape(len(numbers), -1).T).tobytes()
+
+
 def _unpack(block: pa.Buffer) -> tuple[np.ndarray, ...]:
     n, m = np.frombuffer(block, np.int64, 2).tolist()
     at, out = 16, []
     for kind, many in ((np.int64, n), (np.int64, n), (np.uint16, n), (np.int32, n), (np.uint32, m), (np.uint16, m), (np.uint16, m)):
-        out.append(np.frombuffer(block, kind, many, at))
-        at += many * np.dtype(kind).itemsize
+        size = np.dtype(kind).itemsize
+        if len(out) in (2, 3):
+            planes = np.frombuffer(block, np.uint8, many * size, at).reshape(size, many)
+            out.append(np.ascontiguousarray(planes.T).view(kind).ravel())
+        else:
+            out.append(np.frombuffer(block, kind, many, at))
+        at += many * size
     return (*out, np.unpackbits(np.frombuffer(block, np.uint8, -1, at), count=m).astype(bool))
 
 
@@ -525,15 +554,26 @@ def _meet(blocks: list[pa.Buffer], short: bool, params: LineParams) -> Iterator[
                 yield key[members], places.reshape(2, -1)
 
 
-def _candidates(rows: DataFrame, params: LineParams, splits: int) -> DataFrame:
+def _batch(keys: np.ndarray, places: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([keys.tolist()], pa.list_(pa.int64())), pa.array([places.astype(np.int32).tobytes()])], ["keys", "pairs"])
+
+
+def _candidates(rows: DataFrame, params: LineParams, shares: np.ndarray) -> DataFrame:
     """A written table of batches of candidate pairs: ``batch, keys, pairs``, the pairs packed as places in ``keys``.
 
-    A pair is in one batch of each share of the slots in which it meets.
+    A pair is in one batch.  Where the slots are shared out it may meet in several parts; the pairs, which are narrow, are
+    then made distinct before any text is fetched for them.
     """
+    several, short = bool((shares > 1).any()), int(shares[0])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def pairs(part: int, blocks: list[pa.Buffer]) -> Iterator[pa.RecordBatch]:
-            for keys, places in _meet(blocks, part < splits, params):
-                yield pa.RecordBatch.from_arrays([pa.array([keys.tolist()], pa.list_(pa.int64())), pa.array([places.astype(np.int32).tobytes()])], ["keys", "pairs"])
+            for number, (keys, places) in enumerate(_meet(blocks, part < short, params)):
+                if several:
+                    a, b = np.sort(keys[places], axis=0)
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.full(len(a), (part << 32) + number))], ["a", "b", "spot"])
+                else:
+                    yield _batch(keys, places)
 
         part, held = -1, []
         for batch in batches:  # sorted by part
@@ -548,9 +588,33 @@ def _candidates(rows: DataFrame, params: LineParams, splits: int) -> DataFrame:
         held = batch = block = None
         pa.default_memory_pool().release_unused()
 
-    parts = min(splits * (len(_LOWS) + 1), 100_000)
-    dealt = _blocks(rows, params, splits).repartition(parts, "part").sortWithinPartitions("part")
-    found = dealt.mapInArrow(run, "keys ARRAY<BIGINT>, pairs BINARY")
+    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def packed(pieces: list[pa.RecordBatch]) -> pa.RecordBatch:
+            ends = [np.concatenate([x.column(c).to_numpy() for x in pieces]) for c in ("a", "b")]
+            keys, places = np.unique(np.concatenate(ends), return_inverse=True)
+            return _batch(keys, places.reshape(2, -1))
+
+        spot, held = -1, []
+        for batch in batches:  # sorted by spot and pair
+            spots = batch.column("spot").to_numpy()
+            starts = np.append(np.flatnonzero(np.diff(spots, prepend=-1)), len(spots)).tolist()
+            for at, upto in zip(starts, starts[1:]):
+                if spots[at] != spot and held:
+                    yield packed(held)
+                    held = []
+                spot = spots[at]
+                held.append(batch.slice(at, upto - at))
+        if held:
+            yield packed(held)
+
+    parts = min(int(shares.sum()), 100_000)
+    dealt = _blocks(rows, params, shares).repartition(parts, "part").sortWithinPartitions("part")
+    if several:
+        # A pair stays in the first batch that has it: near copies, which meet in most parts, stay together and their texts travel once.
+        met = dealt.mapInArrow(run, "a BIGINT, b BIGINT, spot BIGINT").groupBy("a", "b").agg(F.min("spot").alias("spot"))
+        found = met.repartition("spot").sortWithinPartitions("spot", "a", "b").mapInArrow(gathered, "keys ARRAY<BIGINT>, pairs BINARY")
+    else:
+        found = dealt.mapInArrow(run, "keys ARRAY<BIGINT>, pairs BINARY")
     return stage(found.withColumn("batch", F.monotonically_increasing_id()), "line-pairs", compression="zstd")
 
 
@@ -615,26 +679,17 @@ def _texts(docs: DataFrame, wanted: DataFrame, params: LineParams) -> DataFrame:
 
 def edit_links(docs: DataFrame, lines: DataFrame, params: LineParams = LineParams()) -> DataFrame:
     """``a, a_total, b, b_total``: all pairs of different lines within the threshold, once each, ``a`` occurring first."""
-    rows, splits = _batches(docs, lines, params)
-    found = _links(rows, params)
-    return found if splits == 1 else found.distinct()
-
-
-def _links(rows: DataFrame, params: LineParams) -> DataFrame:
     def pairs(table: pa.Table) -> pa.Table:
         return pa.table(dict(zip(("a", "a_total", "b", "b_total"), _verified(table, params))))
 
-    return rows.groupBy("batch").applyInArrow(pairs, "a BIGINT, a_total BIGINT, b BIGINT, b_total BIGINT")
+    return _batches(docs, lines, params).groupBy("batch").applyInArrow(pairs, "a BIGINT, a_total BIGINT, b BIGINT, b_total BIGINT")
 
 
 def link_counts(docs: DataFrame, lines: DataFrame, params: LineParams = LineParams()) -> DataFrame:
     """``key, total, links, later`` of the lines of :func:`edit_links`: how many partners, and 1 if one occurs earlier.
 
-    Pairs are counted in their batch and never become rows, unless the slots are dealt into shares: then a pair may be
-    in several batches, and must be made distinct.
+    Pairs are counted in their batch, which no other one shares, and their links never become rows.
     """
-    rows, splits = _batches(docs, lines, params)
-
     def counted(table: pa.Table) -> pa.Table:
         a, a_total, b, b_total = _verified(table, params)
         key, total = np.concatenate([a, b]), np.concatenate([a_total, b_total])
@@ -642,22 +697,13 @@ def link_counts(docs: DataFrame, lines: DataFrame, params: LineParams = LinePara
         out = ends.group_by(["key", "total"]).aggregate([("later", "count"), ("later", "max")])
         return out.select(["key", "total", "later_count", "later_max"]).rename_columns(["key", "total", "links", "later"])
 
-    if splits == 1:
-        ends = rows.groupBy("batch").applyInArrow(counted, "key BIGINT, total BIGINT, links BIGINT, later INT")
-    else:
-        end = F.explode(F.array(*(
-            F.struct(F.col(x).alias("key"), F.col(f"{x}_total").alias("total"), F.lit(later).alias("later")) for x, later in (("a", 0), ("b", 1))
-        )))
-        ends = _links(rows, params).distinct().select(end.alias("end")).select("end.*").withColumn("links", F.lit(1))
+    ends = _batches(docs, lines, params).groupBy("batch").applyInArrow(counted, "key BIGINT, total BIGINT, links BIGINT, later INT")
     return stage(ends.groupBy("key", "total").agg(F.sum("links").alias("links"), F.max("later").alias("later")), "line-links")
 
 
-def _batches(docs: DataFrame, lines: DataFrame, params: LineParams) -> tuple[DataFrame, int]:
-    """The batches with the texts of their lines, and the number of shares of the slots."""
-    chars = lines.agg(F.sum("length")).first()[0] or 0
-    # Where lengths matter, most text is in some eight buckets.
-    splits = max(1, -(-chars // (PART_CHARS * (8 if params.classes else 1))))
-    batches = _candidates(_rows(docs), params, splits)
+def _batches(docs: DataFrame, lines: DataFrame, params: LineParams) -> DataFrame:
+    """The batches with the texts of their lines."""
+    batches = _candidates(_rows(docs), params, _shares(lines, params))
     members = batches.select("batch", F.explode("keys").alias("key"))
     wanted = _with_bit_of(lines, members, "key").join(members.select("key").distinct(), "key")
     wanted = stage(wanted.select(*lines.columns), "line-owners", compression="zstd")
@@ -667,7 +713,7 @@ def _batches(docs: DataFrame, lines: DataFrame, params: LineParams) -> tuple[Dat
     texts = texts.where("line is not null and first_doc is not null").select("key", "total", "line", "first_doc", "line_no")
     # The pairs of a batch are a row of their own beside its lines.
     pairs = batches.select("batch", *(F.lit(None).cast(kind).alias(name) for name, kind in texts.dtypes), "keys", "pairs")
-    return members.join(texts, "key").select("batch", *texts.columns).unionByName(pairs, allowMissingColumns=True), splits
+    return members.join(texts, "key").select("batch", *texts.columns).unionByName(pairs, allowMissingColumns=True)
 
 
 def _verified(table: pa.Table, params: LineParams) -> tuple[np.ndarray, ...]:

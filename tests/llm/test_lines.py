@@ -180,6 +180,27 @@ def test_shares_of_slots_give_the_same(spark, monkeypatch):
     assert {r.doc_id: tuple(r) for r in line_edits.line_report(table(spark, docs), line_edits.WHOLE).collect()} == want
 
 
+def test_shares_of_slots_repeat_no_pair(spark, monkeypatch):
+    """A pair is verified in one batch however many shares it meets in, and only buckets of much text are shared out."""
+    rng = random.Random(5)
+    base = ["".join(rng.choice("abcdefgh é") for _ in range(n)) for n in (14, 60, 130, 300)]
+    docs = table(spark, [(i, edited(rng, base[i % 4], i % 3)) for i in range(24)])
+    lines = line_edits.distinct_lines(line_edits._occurrences(docs, line_edits.WHOLE))
+
+    def pairs():
+        found = []
+        for r in line_edits._batches(docs, lines, line_edits.WHOLE).where("pairs is not null").collect():
+            u, v = np.frombuffer(r.pairs, np.int32).reshape(2, -1)
+            found += [tuple(sorted((r.keys[a], r.keys[b]))) for a, b in zip(u.tolist(), v.tolist())]
+        return sorted(found)
+
+    want = pairs()
+    monkeypatch.setattr(line_edits, "PART_CHARS", 300)
+    assert pairs() == want and len(set(want)) == len(want) > 20
+    shares = line_edits._shares(lines, line_edits.WHOLE)
+    assert shares[0] > 1 and shares.max() > 3 and (shares == 1).sum() > 25
+
+
 @pytest.mark.parametrize("kinds", [4, 300, 70_000])
 def test_distances_at_many_thresholds(kinds):
     """Whatever number of characters a word holds; a pair beyond its own threshold gets one more than that."""
